@@ -199,7 +199,8 @@ def repeat_spans(documents: DataFrame, least: int = 400, gram: int = GRAM, class
     anchors = cut(docs.where(f"octet_length(text) >= {least}").select("text", "t", "u").mapInArrow(lambda b: _anchors(b, least, gram), "cls long, t long, u long, start long, windows int, off int"), "anchors")
     texts = cut(docs.groupBy("t", "u").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "texts")
     place = F.struct("t", "u", "start")
-    several = anchors.groupBy("cls").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("cls")
+    # a table, so that the join's sides are both shuffled and a crowded class can be split
+    several = cut(anchors.groupBy("cls").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("cls"), "several")
     hits = cut(anchors.join(several, "cls").distinct(), "hits")
     drop(anchors)
     crowded = hits.groupBy("cls").count().where(f"count > {class_limit}").select("cls", F.lit(True).alias("crowded"))
@@ -261,7 +262,7 @@ def repeat_report(documents: DataFrame, least: int = 400, few: int = 400_000, **
     own = docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
     some = chosen_texts(own, spans.select("t", "u", F.col("rep").alias("doc_id")), few).join(spans.withColumnRenamed("rep", "doc_id"), ["t", "u", "doc_id"]).select("t", "u", "text", "spans")
     cuts = some.mapInArrow(_digests, "t long, u long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["t", "u"])
-    verdicts = cuts.join(copied, ["t", "u"], "full")
+    verdicts = cut(cuts.join(copied, ["t", "u"], "full"), "verdicts")
     base = docs.selectExpr("doc_id", "cast(coalesce(octet_length(text), 0) as long) as n_bytes", "sha2(coalesce(text, ''), 256) as sha", "t", "u")
     whole = f"(copies > 1 and n_bytes >= {least})"
     return base.join(verdicts, ["t", "u"], "left").selectExpr(
@@ -289,6 +290,7 @@ def without_repeats(documents: DataFrame, least: int = 400, **options) -> DataFr
     """documents with their repeats cut out of the text; characters that a cut splits go too; other columns, null texts and the rows stay."""
     spans, copied = repeat_spans(documents, least, **options)
     marks = spans.select("t", "u", "spans").join(copied, ["t", "u"], "full").selectExpr("t as _t", "u as _u", "spans as _spans", "copies as _copies")
+    marks = cut(marks, "marks")
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = documents.withColumns({"_t": F.xxhash64(text), "_u": F.crc32(text.cast("binary")) * (1 << 31) + F.octet_length(text)}).join(marks, ["_t", "_u"], "left")
     docs = docs.select(*[F.col(f"`{c.replace('`', '``')}`") for c in documents.columns], "_t", "_u", "_spans", F.expr(f"coalesce(_copies > 1 and octet_length(text) >= {least}, false)").alias("_whole"))
