@@ -12,8 +12,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(a, b) long pairs -> (id, component): the smallest id reachable, for every id of an edge with two ends.
 
     Null ends and loops are left out; order and repetition of the pairs do not matter; no edges give no rows.
-    Each round takes a partial minimum and one join per star, so a hub's neighbours never meet in one task
-    (the joins are left to adaptive skew splitting), and ends in a table in the shared folder.
+    Each round takes partial minima and joins them back from tables in the shared folder: both sides of a join are then
+    shuffled, so adaptive skew splitting can keep a hub's neighbours out of a single task.
     """
     at = cut(
         edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
@@ -22,14 +22,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     state = None
     for _ in range(max_rounds):
         both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        lowest = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lowest")
         # every larger neighbour is hung onto the smallest id around its hub
         large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # then every id's smaller neighbours, and the id itself, onto the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(large, "large")
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         after = cut(small, "edges")
-        drop(at)
+        for done in (at, lowest, large, least):
+            drop(done)
         at = after
         now = at.agg(F.count("*"), F.expr("coalesce(bit_xor(xxhash64(u, v)), 0)"), F.expr("coalesce(max(u), 0)")).first()
         if now == state:

@@ -178,7 +178,8 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.9, recall: float =
 
 
 def classes_crowds(coded: DataFrame) -> DataFrame:
-    return coded.select(F.explode("keys").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("crowd")).where("crowd > 1")
+    """Buckets of several vectors and their sizes, as a table: joined back, both sides are shuffled and skew can be split."""
+    return cut(coded.select(F.explode("keys").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("crowd")).where("crowd > 1"), "crowds")
 
 
 def blocks_frame(grouped) -> DataFrame:

@@ -139,7 +139,8 @@ def near_duplicates(documents: DataFrame, size: int = 4, percent: int = 80, bloc
     small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     plain = cut(docs.mapInArrow(lambda b: _sketch(b, size), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch binary"), "sketches")
-    classes = plain.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    # what is joined back to skewed rows is a table: then both sides are shuffled, and adaptive execution can split large groups
+    classes = cut(plain.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "reps")
     rows = plain.join(classes, ["h1", "h2"], "left").selectExpr(
         "doc_id", "n_shingles", "if(n_shingles > 0 and doc_id is not null, rep, doc_id) as rep", "if(doc_id = rep, bands, null) as bands", "if(doc_id = rep, sketch, null) as sketch"
     )
@@ -147,7 +148,7 @@ def near_duplicates(documents: DataFrame, size: int = 4, percent: int = 80, bloc
     drop(plain)
     first = rows.where("bands is not null")
     buckets = first.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
-    hubs = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub <> top").select("bucket", "hub")
+    hubs = cut(buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub <> top").select("bucket", "hub"), "hubs")
     members = cut(buckets.join(hubs, "bucket"), "members")
     sketches = first.select(F.col("rep").alias("id"), "sketch")
     least = percent / 100 - SLACK
@@ -156,7 +157,7 @@ def near_duplicates(documents: DataFrame, size: int = 4, percent: int = 80, bloc
     links = cut(confirmed(cut(_agree(stars, sketches, least), "stars"), docs, size, percent), "links")
     joined = cut(components(links), "joined")
     placed = members.join(joined, "id", "left").selectExpr("id", "bucket", "coalesce(component, id) as component")
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("bucket", "n")
+    mixed = cut(placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("bucket", "n"), "mixed")
     open_ = placed.join(mixed, "bucket").join(sketches, "id")
     more = in_blocks(open_, ["bucket"], "n", "id", block).applyInArrow(lambda key, table: _cross(key, table, least), "a long, b long").distinct()
     more = cut(more, "cross")
