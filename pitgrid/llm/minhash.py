@@ -1,8 +1,10 @@
 """Near duplicates by one-permutation MinHash with optimal densification, banded buckets and star-shaped candidate edges.
 
-Documents with equal shingle sets are one class. In each bucket every class is linked to the bucket's smallest one only; what these
-stars, confirmed on full sets, join needs no further comparison. In buckets that still hold classes of several components, sketches of
-members of different components are compared in bounded blocks, and pairs that may reach the threshold are confirmed as well.
+Documents with equal shingle sets are one class. In each bucket every class is linked to one hub only: first to the smallest class, then,
+in buckets that still hold several components, to the class that meets most others over all its buckets (the original of many
+copies that are less like each other). What these stars, confirmed on full sets, join needs no further comparison. In buckets that
+even then hold several components, sketches of members of different components are compared in bounded blocks, each pair in the first
+bucket that it shares, and pairs that may reach the threshold are confirmed as well.
 """
 
 from __future__ import annotations
@@ -19,14 +21,15 @@ from pitgrid.llm.components import components
 from pitgrid.llm.words import SOLID, mix, words_of
 from pitgrid.llm.workspace import cut, drop, gathered, small_batches, utf8
 
-BINS, BANDS = 128, 32
-_EDGES = (np.arange(BINS, dtype=np.uint64) << np.uint64(64 - 7))
+BANDS, ROWS = 32, 4
+BINS = BANDS * ROWS
+_EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - 7)
 #: For each bin, its own order of trying the others: an empty bin copies the first full one.
 _PROBES = np.argsort(np.random.default_rng(20240229).random((BINS, BINS)), axis=1)
 _SPREAD = mix(np.arange(1, BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _TIMES = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
-#: Bytes compared of 128 have a standard error of at most 0.036 at a similarity of 0.8: six of these are allowed for.
-SLACK = 0.22
+#: Bits of the parity sketch, and how many standard deviations more than expected at the threshold may differ.
+BITS, DEVIATIONS = 2048, 5.0
 
 
 def shingle_sets(data: np.ndarray, ends: np.ndarray, size: int = 4) -> list[np.ndarray]:
@@ -63,6 +66,21 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """For each bit whether an odd number of shingles falls on it: two sets' sketches differ where their difference falls on."""
+    return np.packbits((np.bincount((shingles >> np.uint64(20) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8))
+
+
+def may_be_alike(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """Rows of sketches a and b whose sets of n_a and n_b shingles can reach the threshold: by their sizes, and by how many bits differ."""
+    differ = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+    d = (n_a + n_b) * (100 - percent) / (100 + percent)
+    once, twice = (1 - 2 / BITS) ** d, (1 - 4 / BITS) ** d
+    spread = np.sqrt(np.maximum(0, BITS / 4 * (1 - twice) + BITS**2 / 4 * (twice - once**2)))
+    sized = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
+    return sized & (differ <= BITS / 2 * (1 - once) + DEVIATIONS * spread + 1)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for shard in gathered(batches):
         sets = shingle_sets(*utf8(shard.column("text")), size)
@@ -76,9 +94,8 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
             h1[some] = np.add.reduceat(mix(all_ ^ _TIMES[1]), begin)
             h2[some] = np.add.reduceat(mix(all_ ^ _TIMES[2]), begin)
             table = np.stack([signature(s) for s in sets if len(s)])
-            rows = BINS // BANDS
-            keys = mix((table * _SPREAD).reshape(-1, BANDS, rows).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-            small = mix(table ^ _SPREAD).astype(np.uint8)
+            keys = mix((table * _SPREAD).reshape(-1, BANDS, ROWS).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+            small = np.stack([parity(s) for s in sets if len(s)])
             where = iter(range(len(table)))
             bands, sketches = zip(*[(keys[i], small[i].tobytes()) if (i := next(where) if k else -1) >= 0 else (None, None) for k in some.tolist()], strict=True)
         yield pa.RecordBatch.from_pydict(
@@ -86,16 +103,19 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
         )
 
 
-def _cross(key: tuple, table: pa.Table, least: float) -> pa.Table:
-    """Pairs of a block whose sketches agree enough and that are in different components."""
-    ids, comps, side = (table.column(c).to_numpy() for c in ("id", "component", "side"))
-    sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+def _cross(key: tuple, table: pa.Table, percent: int) -> pa.Table:
+    """Pairs of a block whose sketches leave the threshold possible and that are in different components."""
+    ids, comps, side, sizes = (table.column(c).to_numpy() for c in ("id", "component", "side", "n_shingles"))
+    sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
     out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    bands = np.stack(table.column("bands").to_numpy())
+    spot = int((bands[0] == key[0].as_py()).argmax())
     left, right = (np.flatnonzero(side != 1), np.flatnonzero(side != 0))
     for i in left.tolist():
         to = right[(comps[right] != comps[i]) & ((side[i] == 0) | (right > i))]
         if len(to):
-            to = to[(sketches[to] == sketches[i]).sum(1) >= least * BINS]
+            to = to[may_be_alike(sketches[to], sketches[i], sizes[to], sizes[i], percent)]
+            to = to[(bands[to] == bands[i]).argmax(1) == spot]
             out_a.append(np.full(len(to), ids[i]))
             out_b.append(ids[to])
     a, b = np.concatenate(out_a), np.concatenate(out_b)
@@ -150,31 +170,43 @@ def near_duplicates(documents: DataFrame, size: int = 4, percent: int = 80, bloc
     buckets = first.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
     hubs = cut(buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub <> top").select("bucket", "hub"), "hubs")
     members = cut(buckets.join(hubs, "bucket"), "members")
-    sketches = first.select(F.col("rep").alias("id"), "sketch")
-    least = percent / 100 - SLACK
-
-    stars = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = cut(confirmed(cut(_agree(stars, sketches, least), "stars"), docs, size, percent), "links")
-    joined = cut(components(links), "joined")
-    placed = members.join(joined, "id", "left").selectExpr("id", "bucket", "coalesce(component, id) as component")
-    mixed = cut(placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("bucket", "n"), "mixed")
-    open_ = placed.join(mixed, "bucket").join(sketches, "id")
-    more = in_blocks(open_, ["bucket"], "n", "id", block).applyInArrow(lambda key, table: _cross(key, table, least), "a long, b long").distinct()
-    more = cut(more, "cross")
-    links = cut(links.unionByName(confirmed(more, docs, size, percent)), "all-links")
+    sketches = first.select(F.col("rep").alias("id"), "bands", "sketch", "n_shingles")
+
+    def star(edges: DataFrame, name: str) -> DataFrame:
+        """Confirmed links among edges (hub, id) whose sketches leave the threshold possible."""
+        pairs = edges.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
+        return confirmed(cut(_agree(pairs, sketches, percent), name), docs, size, percent)
+
+    def unsettled(links: DataFrame) -> DataFrame:
+        """Members with their components and the number of the bucket's members, of buckets with several components."""
+        placed = cut(members.join(components(links), "id", "left").selectExpr("id", "bucket", "coalesce(component, id) as component"), "placed")
+        sizes = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("bucket", "n")
+        sizes = cut(sizes, "mixed")
+        return placed.join(sizes, "bucket")
+
+    links = cut(star(members.where("id <> hub"), "stars"), "links")
+    placed = unsettled(links)
+    company = cut(placed.groupBy("id").agg(F.sum("n").alias("company")), "company")
+    central = placed.join(company, "id").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("id")).alias("minus"), "component")).alias("hub"))
+    central = cut(central.selectExpr("bucket", "-hub.minus as hub", "hub.component as hub_component"), "central")
+    links = cut(links.unionByName(star(placed.join(central, "bucket").where("component <> hub_component"), "central-stars")), "links")
+    placed = unsettled(links)
+    more = in_blocks(placed.join(sketches, "id"), ["bucket"], "n", "id", block).applyInArrow(lambda key, table: _cross(key, table, percent), "a long, b long")
+    links = cut(links.unionByName(confirmed(cut(more, "cross"), docs, size, percent)), "links")
     found = components(links)
     out = rows.select("doc_id", "n_shingles", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     return out.selectExpr("doc_id", "n_shingles", "coalesce(component, rep) as component_id").withColumn("kept", F.expr("doc_id is null or doc_id = component_id"))
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+def _agreeing(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sketch_a", "sketch_b"))
-        keep = pa.array((x == y).sum(1) >= least * BINS)
-        yield batch.select(["a", "b"]).filter(keep)
+        if batch.num_rows:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b"))
+            keep = may_be_alike(a, b, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _agree(edges: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+def _agree(edges: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sketches leave the threshold possible."""
-    pairs = edges.join(sketches.selectExpr("id as b", "sketch as sketch_b"), "b").join(sketches.selectExpr("id as a", "sketch as sketch_a"), "a")
-    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(lambda x: _agreeing(x, least), "a long, b long").distinct()
+    pairs = edges.join(sketches.selectExpr("id as b", "sketch as sketch_b", "n_shingles as n_b"), "b").join(sketches.selectExpr("id as a", "sketch as sketch_a", "n_shingles as n_a"), "a")
+    return pairs.mapInArrow(lambda x: _agreeing(x, percent), "a long, b long").distinct()
