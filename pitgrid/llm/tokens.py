@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -17,20 +18,22 @@ from pyspark.sql import functions as F
 
 from pitgrid.llm.workspace import cut, new_path, small_batches
 
-import re
-
+#: A white space before a space: only there may a pretoken reach over a space that could be cut at.
 _BLANK_BEFORE_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
-#: Word forms whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Stretches without spaces that are pretokens by themselves: letters, digits, punctuation but the apostrophe, one line end.
+_PIECES = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]+|[!-&(-/:-@\\[-`{-~]+|\n(?!\\s)")
+#: Stretches whose ids a worker remembers.
+REMEMBERED = 1_000_000
 _encoders: dict[str, "Encoder"] = {}
 
 
 class Encoder:
     """Ids of whole texts by a byte-level BPE whose pretokens never span a space that follows a non-space.
 
-    Such a text is cut before those spaces; each distinct stretch goes through the tokenizers library once and its ids
-    are remembered, up to a bound. Special tokens' strings in a text are ordinary text.
+    A text is cut before those spaces, and the stretches between them at changes of letters, digits, punctuation and line ends. Each
+    distinct stretch goes through the tokenizers library, many in one call, and its ids are remembered, up to a bound.
+    Stretches with other characters go through it whole. Special tokens' strings in a text are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -38,21 +41,73 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}  # by the stretch after a space
+        self.bare: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        parts = [(_CUT.split(t) if _BLANK_BEFORE_SPACE.search(t) else t.split(" ")) for t in texts]
-        heads = self._fresh([p[0] for p in parts])
-        new = {w for p in parts for w in p[1:]}
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [w for w in new if w not in self.known]
-        self.known.update(zip(new, self._fresh([" " + w for w in new]), strict=True))
-        known = self.known
-        return [head + b"".join([known[w] for w in p[1:]]) for head, p in zip(heads, parts, strict=True)]
-
-    def _fresh(self, texts: list[str]) -> list[bytes]:
+        for known in (self.spaced, self.bare):
+            if len(known) > REMEMBERED:
+                known.clear()
+        parts = [_CUT.split(t) if _BLANK_BEFORE_SPACE.search(t) else t.split(" ") for t in texts]
+        heads = self._whole([p[0] for p in parts])
+        flat = [w for p in parts for w in p[1:]]
+        ids = list(map(self.spaced.get, flat))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        self._learn({flat[i] for i in missing})
+        for i in missing:
+            ids[i] = self.spaced[flat[i]]
+        out, at = [], 0
+        for head, p in zip(heads, parts, strict=True):
+            out.append(head + b"".join(ids[at : at + len(p) - 1]))
+            at += len(p) - 1
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        spaced, bare = self.spaced, self.bare
+        firsts, rest, odd = set(), set(), []
+        split: list[tuple[str, list[str]]] = []
+        for w in new:
+            if w.isascii() and w.isalpha():
+                firsts.add(w)
+                continue
+            pieces = _PIECES.findall(w)
+            if not pieces or pieces[0] == "\n" or len("".join(pieces)) != len(w):
+                odd.append(w)
+                continue
+            firsts.add(pieces[0])
+            if len(pieces) > 1:
+                rest.update(pieces[1:])
+                split.append((w, pieces))
+        spaced.update(zip(odd, self._whole([" " + w for w in odd]), strict=True))
+        fresh = [w for w in firsts if w not in spaced]
+        spaced.update(zip(fresh, self._joined(fresh, " "), strict=True))
+        rest.discard("\n")
+        fresh = [w for w in rest if w not in bare]
+        bare.update(zip(fresh, self._joined(fresh, "\n"), strict=True))
+        if "\n" not in bare:
+            bare["\n"] = self._whole(["\n"])[0]
+        for w, pieces in split:
+            spaced[w] = spaced[pieces[0]] + b"".join([bare[x] for x in pieces[1:]])
+
+    def _joined(self, pieces: list[str], before: str) -> list[bytes]:
+        """Ids of pretokens: with a space before each one the space belongs to it, with a line end it does not."""
+        out: list[bytes] = []
+        groups = [pieces[i : i + 400] for i in range(0, len(pieces), 400)]
+        texts = [before + before.join(g) for g in groups]
+        for group, e in zip(groups, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+            word = np.array(e.word_ids)
+            edges = [0, *(np.flatnonzero(np.diff(word)) + 1).tolist(), len(word)]
+            if before == "\n":
+                edges = edges[1:]
+            ids = np.array(e.ids, "<u4").tobytes()
+            own = [ids[4 * a : 4 * b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            out += own if before == " " else own[::2]
+            if len(own) != len(group) * (1 if before == " " else 2) - (before != " "):
+                raise ValueError("the tokenizer splits these stretches otherwise")
+        return out
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
@@ -66,8 +121,8 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[
     """(doc ids, ids of each text with the end id) for a few documents at a time; null is an empty text."""
     use, tail = encoder(path), struct.pack("<I", end)
     for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            few = batch.slice(at, 64)
+        for at in range(0, batch.num_rows, 200):
+            few = batch.slice(at, 200)
             yield few.column("doc_id").to_pylist(), [ids + tail for ids in use.encode([t or "" for t in few.column("text").to_pylist()])]
 
 
