@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
@@ -23,8 +24,8 @@ _BLANK_BEFORE_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
 #: Stretches without spaces that are pretokens by themselves: letters, digits, punctuation but the apostrophe, one line end.
 _PIECES = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]+|[!-&(-/:-@\\[-`{-~]+|\n(?!\\s)")
-#: Stretches whose ids a worker remembers.
-REMEMBERED = 1_000_000
+#: Stretches whose ids a worker remembers, in each of two generations.
+REMEMBERED = 600_000
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -43,52 +44,77 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.spaced: dict[str, bytes] = {}  # by the stretch after a space
         self.bare: dict[str, bytes] = {}
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        for known in (self.spaced, self.bare):
-            if len(known) > REMEMBERED:
-                known.clear()
-        parts = [_CUT.split(t) if _BLANK_BEFORE_SPACE.search(t) else t.split(" ") for t in texts]
-        heads = self._whole([p[0] for p in parts])
-        flat = [w for p in parts for w in p[1:]]
-        ids = list(map(self.spaced.get, flat))
-        missing = [i for i, x in enumerate(ids) if x is None]
-        self._learn({flat[i] for i in missing})
+        if len(self.spaced) + len(self.bare) > REMEMBERED:
+            self.older, self.spaced, self.bare = (self.spaced, self.bare), {}, {}
+        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        blank = [i for i, t in enumerate(texts) if _BLANK_BEFORE_SPACE.search(t)]
+        if blank:
+            lists = parts.to_pylist()
+            for i in blank:
+                lists[i] = _CUT.split(texts[i])
+            parts = pa.array(lists, pa.large_list(pa.large_string()))
+        begin = parts.offsets.to_numpy()
+        coded = parts.values.dictionary_encode()
+        distinct, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        heads = self._whole([distinct[k] for k in which[begin[:-1]].tolist()])
+        which = np.delete(which, begin[:-1])
+        own = list(map(self.spaced.get, distinct))
+        missing = [i for i, x in enumerate(own) if x is None]
+        found = self._learn({distinct[i] for i in missing})
         for i in missing:
-            ids[i] = self.spaced[flat[i]]
-        out, at = [], 0
-        for head, p in zip(heads, parts, strict=True):
-            out.append(head + b"".join(ids[at : at + len(p) - 1]))
-            at += len(p) - 1
-        return out
-
-    def _learn(self, new: set[str]) -> None:
-        spaced, bare = self.spaced, self.bare
+            own[i] = found[distinct[i]]
+        # each stretch's ids one after the other, then those of all stretches in the order of the texts
+        ids, sizes = np.frombuffer(b"".join(own), "<u4"), np.fromiter(map(len, own), np.int64, len(own)) // 4
+        first = np.cumsum(sizes) - sizes
+        n = sizes[which]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids = ids[np.repeat(first[which] - ends[:-1], n) + np.arange(ends[-1])]
+        edges = ends[begin - np.arange(len(begin))].tolist()
+        return [head + ids[a:b].tobytes() for head, a, b in zip(heads, edges[:-1], edges[1:], strict=True)]
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of stretches that the younger generation lacks. Compounds are remembered once their first word is known."""
+        spaced, bare, (old_spaced, old_bare) = self.spaced, self.bare, self.older
+        found: dict[str, bytes] = {}
         firsts, rest, odd = set(), set(), []
         split: list[tuple[str, list[str]]] = []
         for w in new:
-            if w.isascii() and w.isalpha():
+            if (ids := old_spaced.get(w)) is not None:
+                spaced[w] = found[w] = ids
+            elif w.isascii() and w.isalpha():
                 firsts.add(w)
-                continue
-            pieces = _PIECES.findall(w)
-            if not pieces or pieces[0] == "\n" or len("".join(pieces)) != len(w):
-                odd.append(w)
-                continue
-            firsts.add(pieces[0])
-            if len(pieces) > 1:
+            else:
+                pieces = _PIECES.findall(w)
+                if not pieces or pieces[0] == "\n" or len("".join(pieces)) != len(w):
+                    odd.append(w)
+                    continue
+                firsts.add(pieces[0])
                 rest.update(pieces[1:])
                 split.append((w, pieces))
-        spaced.update(zip(odd, self._whole([" " + w for w in odd]), strict=True))
+        found.update(zip(odd, self._whole([" " + w for w in odd]), strict=True))
+        firsts = [w for w in firsts if w not in spaced]
+        spaced.update((w, old_spaced[w]) for w in firsts if w in old_spaced)
         fresh = [w for w in firsts if w not in spaced]
         spaced.update(zip(fresh, self._joined(fresh, " "), strict=True))
-        rest.discard("\n")
-        fresh = [w for w in rest if w not in bare]
-        bare.update(zip(fresh, self._joined(fresh, "\n"), strict=True))
+        fresh = set(fresh)
+        rest = [w for w in rest if w not in bare and w != "\n"]
+        bare.update((w, old_bare[w]) for w in rest if w in old_bare)
+        rest = [w for w in rest if w not in bare]
+        bare.update(zip(rest, self._joined(rest, "\n"), strict=True))
         if "\n" not in bare:
             bare["\n"] = self._whole(["\n"])[0]
         for w, pieces in split:
-            spaced[w] = spaced[pieces[0]] + b"".join([bare[x] for x in pieces[1:]])
+            found[w] = ids = spaced[pieces[0]] + b"".join([bare[x] for x in pieces[1:]])
+            if len(pieces) > 1 and pieces[0] not in fresh:
+                spaced[w] = ids
+        for w in new:
+            if w not in found:
+                found[w] = spaced[w]
+        return found
 
     def _joined(self, pieces: list[str], before: str) -> list[bytes]:
         """Ids of pretokens: with a space before each one the space belongs to it, with a line end it does not."""
@@ -121,8 +147,8 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[
     """(doc ids, ids of each text with the end id) for a few documents at a time; null is an empty text."""
     use, tail = encoder(path), struct.pack("<I", end)
     for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            few = batch.slice(at, 200)
+        for at in range(0, batch.num_rows, 400):
+            few = batch.slice(at, 400)
             yield few.column("doc_id").to_pylist(), [ids + tail for ids in use.encode([t or "" for t in few.column("text").to_pylist()])]
 
 
