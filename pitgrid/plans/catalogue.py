@@ -1,4 +1,301 @@
 """Queries over the driver's tables and the SQL that they are checked against."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pitgrid.functions import clean, grid
+from pitgrid.operators import asof, panel, spatial
+from pitgrid.plans import metrics, serving
+from pitgrid.plans.views import sql, view
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def _with(*names: str) -> str:
+    return "WITH " + ", ".join(f"{n} AS ({sql(n)})" for n in names)
+
+
+R, H, O, S, E = (_with(n) for n in ("revisions", "hotspots", "obs", "sitreps", "scored"))
+_FIRST = "f AS (SELECT national_fire_id, min(record_start) AS t0, arg_min(latitude, (record_start, id)) FILTER (latitude IS NOT NULL) AS lat, arg_min(longitude, (record_start, id)) FILTER (longitude IS NOT NULL) AS lon, arg_min(agency_code, (record_start, id)) FILTER (agency_code IS NOT NULL) AS agency_code, arg_min(region_code, (record_start, id)) FILTER (region_code IS NOT NULL) AS region_code, arg_min(fire_year, (record_start, id)) FILTER (fire_year IS NOT NULL) AS fire_year, count(*) AS n_revisions FROM revisions GROUP BY 1 HAVING min(record_start) IS NOT NULL)"
+_LAEA = "sqrt(2 / greatest(1 + sin(radians(60)) * sin(radians({lat})) + cos(radians(60)) * cos(radians({lat})) * cos(radians({lon} + 96)), 1e-12))"
+_CX = "cast(floor(6371.0072 * " + _LAEA + " * cos(radians({lat})) * sin(radians({lon} + 96)) / 10) as int)"
+_CY = "cast(floor(6371.0072 * " + _LAEA + " * (cos(radians(60)) * sin(radians({lat})) - sin(radians(60)) * cos(radians({lat})) * cos(radians({lon} + 96))) / 10) as int)"
+
+
+def _cell(lat: str = "lat", lon: str = "lon") -> str:
+    return f"{_CX.format(lat=lat, lon=lon)} AS cell_x, {_CY.format(lat=lat, lon=lon)} AS cell_y"
+
+
+def _revisions(spark, d):
+    r = view(spark, d, "revisions")
+    return r, asof.first_seen(r)
+
+
+@query(f"{R}, {_FIRST} SELECT * FROM f")
+def first_seen(spark, d):
+    return _revisions(spark, d)[1]
+
+
+_STATE = "s AS (SELECT r.* FROM revisions r JOIN f USING (national_fire_id) WHERE r.record_start <= f.t0 + INTERVAL {h} HOUR QUALIFY row_number() OVER (PARTITION BY r.national_fire_id ORDER BY r.record_start DESC, r.id DESC) = 1)"
+
+
+@query(f"{R}, {_FIRST}, {_STATE.format(h=24)} SELECT * FROM s")
+def state_asof_24h(spark, d):
+    return asof.state_asof(*_revisions(spark, d), 24)
+
+
+@query(f"{R}, {_FIRST} SELECT r.national_fire_id, count(*) AS n_revisions_by_decision, arg_min(fire_size, (record_start, id)) FILTER (fire_size IS NOT NULL) AS size_first, max(fire_size) AS size_max_by_decision, count(DISTINCT stage_of_control_status) + max(CASE WHEN stage_of_control_status IS NULL THEN 1 ELSE 0 END) AS n_status_by_decision FROM revisions r JOIN f USING (national_fire_id) WHERE record_start <= t0 + INTERVAL 24 HOUR GROUP BY 1")
+def revisions_before(spark, d):
+    return asof.revisions_before(*_revisions(spark, d), 24)
+
+
+@query(f"{R}, {_FIRST}, {_STATE.format(h=72)} SELECT national_fire_id, fire_size AS size_at_horizon, stage_of_control_status AS status_at_horizon FROM s")
+def label_at_72h(spark, d):
+    return asof.label_at(*_revisions(spark, d), 72)
+
+
+@query(f"{R}, {_FIRST} SELECT f.* FROM f WHERE t0 + INTERVAL 72 HOUR <= (SELECT max(record_start) FROM revisions)")
+def observable(spark, d):
+    r, seen = _revisions(spark, d)
+    return asof.observable(seen, r, 72)
+
+
+@query(f"{R} SELECT national_fire_id, id, record_start IS NULL OR fire_year IS NULL OR cast(record_start AS date) BETWEEN make_date(fire_year - 1, 1, 1) AND make_date(fire_year + 1, 12, 31) AS kept FROM revisions")
+def quarantine_split(spark, d):
+    kept, rejected = clean.quarantine(view(spark, d, "revisions"))
+    part = lambda x, flag: x.select("national_fire_id", "id", F.lit(flag).alias("kept"))
+    return part(kept, True).unionByName(part(rejected, False))
+
+
+@query(f"{R} SELECT fire_year, count(*) AS n_rows, count(DISTINCT national_fire_id) AS n_fires, min(record_start) AS first_record, max(record_start) AS last_record, round(count(*) / count(DISTINCT national_fire_id), 2) AS rows_per_fire FROM revisions GROUP BY 1")
+def bitemporal_depth(spark, d):
+    return clean.bitemporal_depth(view(spark, d, "revisions"))
+
+
+@query(f"""{_with('revisions', 'sitreps')}, {_FIRST}, q AS (SELECT national_fire_id, agency_code, t0 + INTERVAL 24 HOUR AS decision_at FROM f)
+    SELECT q.national_fire_id, q.agency_code, q.decision_at, s.national_preparedness_level AS ciffc_national_pl, s.agency_preparedness AS ciffc_agency_pl, date_diff('microsecond', s.published_at, q.decision_at) // 60000000 / 60.0e0 AS ciffc_sitrep_lag_hours
+    FROM q ASOF LEFT JOIN sitreps s ON q.agency_code = s.agency_code AND q.decision_at >= s.published_at""")
+def asof_join_backward(spark, d):
+    _, seen = _revisions(spark, d)
+    return asof.preparedness(seen.select("national_fire_id", "agency_code", asof.hours_after("t0", 24).alias("decision_at")), view(spark, d, "sitreps"))
+
+
+_NEAR = """m AS (SELECT f.national_fire_id, f.t0, h.*, 6371.0 * 2 * asin(sqrt(power(sin(radians(h.lat - f.lat) / 2), 2) + cos(radians(f.lat)) * cos(radians(h.lat)) * power(sin(radians(h.lon - f.lon) / 2), 2))) AS dist_km
+    FROM f JOIN hotspots h ON h.rep_date BETWEEN f.t0 - INTERVAL 24 HOUR AND f.t0 + INTERVAL 24 HOUR AND h.lat BETWEEN f.lat - 50 / 111.32 AND f.lat + 50 / 111.32
+    AND h.lon BETWEEN f.lon - 50 / (111.32 * greatest(cos(radians(f.lat)), 0.01)) AND f.lon + 50 / (111.32 * greatest(cos(radians(f.lat)), 0.01))),
+    n AS (SELECT *, CASE upper(fuel)[1] WHEN 'C' THEN 'conifer' WHEN 'D' THEN 'deciduous' WHEN 'M' THEN 'mixed' WHEN 'S' THEN 'slash' WHEN 'O' THEN 'open' ELSE 'other' END AS g FROM m WHERE dist_km <= 50),
+    g AS (SELECT national_fire_id, g AS hs_fuel_group FROM n GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY national_fire_id ORDER BY count(*) DESC, g) = 1)"""
+_MEAN = "CAST(sum(CAST({m} AS DECIMAL(18,6))) AS DOUBLE) / nullif(count({m}), 0) AS hs_{m}_mean"
+
+
+@query(f"""{_with('revisions', 'hotspots')}, {_FIRST}, {_NEAR} SELECT n.national_fire_id, count(*) AS hs_count, {', '.join(f'max({m}) AS hs_{m}_max, {_MEAN.format(m=m)}' for m in ('fwi', 'hfi', 'ros'))},
+    CAST(sum(CAST(hfi AS DECIMAL(18,6))) AS DOUBLE) AS hs_hfi_sum, round(min(dist_km), 6) AS hs_dist_min_km, count(DISTINCT CAST(rep_date AS date)) AS hs_active_days, date_diff('hour', min(rep_date), n.t0) AS hs_detection_lead_hours, any_value(hs_fuel_group) AS hs_fuel_group
+    FROM n JOIN g USING (national_fire_id) GROUP BY n.national_fire_id, n.t0""")
+def radius_join_aggs(spark, d):
+    _, seen = _revisions(spark, d)
+    out = spatial.hotspot_features(seen, view(spark, d, "hotspots"), radius_km=50)
+    return out.withColumn("hs_dist_min_km", F.round("hs_dist_min_km", 6))
+
+
+@query(f"{H} SELECT cast(rep_date AS date) AS day, CASE upper(fuel)[1] WHEN 'C' THEN 'conifer' WHEN 'D' THEN 'deciduous' WHEN 'M' THEN 'mixed' WHEN 'S' THEN 'slash' WHEN 'O' THEN 'open' ELSE 'other' END AS fuel_group FROM hotspots GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY day ORDER BY count(*) DESC, fuel_group) = 1")
+def dominant_category(spark, d):
+    h = view(spark, d, "hotspots").select(F.to_date("rep_date").alias("day"), spatial.fuel_group("fuel").alias("fuel_group"))
+    return spatial.dominant(h, "day", "fuel_group")
+
+
+@query(f"{H} SELECT hid, {_cell()} FROM hotspots")
+def laea_cells(spark, d):
+    return grid.with_cells(view(spark, d, "hotspots")).select("hid", "cell_x", "cell_y")
+
+
+@query(f"{H} SELECT hid, round(lat, 6) AS lat, round(lon, 6) AS lon FROM hotspots")
+def laea_round_trip(spark, d):
+    x, y = grid.project()
+    lat, lon = grid.unproject()
+    return view(spark, d, "hotspots").select("hid", x.alias("x"), y.alias("y")).select("hid", F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"))
+
+
+_DAILY = f"daily AS (SELECT cell_x, cell_y, cast(rep_date AS date) AS d, count(*) AS n, max(fwi) AS fwi, max(hfi) AS hfi, max(ros) AS ros FROM (SELECT *, {_cell()} FROM hotspots) GROUP BY 1, 2, 3)"
+_RING = "ring AS (SELECT k.cell_x, k.cell_y, k.day, k.cell_x + ox AS rx, k.cell_y + oy AS ry FROM keys k, (SELECT unnest([-1, 0, 1]) AS ox), (SELECT unnest([-1, 0, 1]) AS oy) WHERE ox <> 0 OR oy <> 0)"
+
+
+@query(f"{H}, {_DAILY} SELECT * FROM daily")
+def cell_counts(spark, d):
+    return panel.cell_days(view(spark, d, "hotspots"))
+
+
+def _sql_trailing(prefix: str, windows, ring_windows, censor: int, measures, source: str) -> str:
+    own = ", ".join([f"cast(coalesce(sum(n) FILTER (d >= day - {w}), 0) AS BIGINT) AS {prefix}_n_{w}d" for w in windows] + [f"max({m}) FILTER (d >= day - {w}) AS {prefix}_{m}_max_{w}d" for w in windows for m in measures])
+    near = ", ".join([f"cast(coalesce(sum(n) FILTER (d >= day - {w}), 0) AS BIGINT) AS {prefix}_ring_n_{w}d" for w in ring_windows] + [f"max({m}) FILTER (d >= day - {w}) AS {prefix}_ring_{m}_max_{w}d" for w in ring_windows for m in measures])
+    return f"""a AS (SELECT k.cell_x, k.cell_y, k.day, {own}, min(date_diff('day', d, day)) FILTER (d >= day - {censor}) AS {prefix}_days_since FROM keys k LEFT JOIN {source} s ON s.cell_x = k.cell_x AND s.cell_y = k.cell_y AND d < day AND d >= day - {max(*windows, censor)} GROUP BY 1, 2, 3),
+    b AS (SELECT k.cell_x, k.cell_y, k.day, {near} FROM ring k LEFT JOIN {source} s ON s.cell_x = k.rx AND s.cell_y = k.ry AND d < day AND d >= day - {max(ring_windows)} GROUP BY 1, 2, 3)
+    SELECT * FROM a JOIN b USING (cell_x, cell_y, day)"""
+
+
+_KEYS = f"keys AS (SELECT DISTINCT cell_x, cell_y, day FROM (SELECT {_cell()}, unnest([date '2024-01-10', date '2024-01-20', date '2024-01-30']) AS day FROM hotspots WHERE hid % 10 = 0))"
+
+
+def _keys(spark, d):
+    days = F.explode(F.expr("array(date'2024-01-10', date'2024-01-20', date'2024-01-30')")).alias("day")
+    return grid.with_cells(view(spark, d, "hotspots").where("hid % 10 = 0")).select("cell_x", "cell_y", days).distinct()
+
+
+@query(f"{H}, {_DAILY}, {_KEYS}, {_RING}, {_sql_trailing('hs', (1, 3, 7), (7,), 60, ('fwi', 'hfi', 'ros'), 'daily')}")
+def trailing_cell_windows(spark, d):
+    return panel.trailing(_keys(spark, d), panel.cell_days(view(spark, d, "hotspots")), "hs", (1, 3, 7), (7,), 60, ("fwi", "hfi", "ros"))
+
+
+_EVENTS = f"ev AS (SELECT cell_x, cell_y, cast(t0 AS date) AS day, count(*) AS n_ignitions, min(agency_code) AS agency_code FROM (SELECT *, {_cell()} FROM f) GROUP BY 1, 2, 3)"
+
+
+@query(f"{_with('revisions', 'hotspots')}, {_FIRST}, {_EVENTS}, evd AS (SELECT cell_x, cell_y, day AS d, n_ignitions AS n FROM ev), {_KEYS}, {_RING}, {_sql_trailing('ig', (7, 30, 365), (7, 365), 365, (), 'evd')}")
+def trailing_ignitions(spark, d):
+    daily = panel.ignition_events(view(spark, d, "revisions")).select("cell_x", "cell_y", F.col("day").alias("d"), F.col("n_ignitions").alias("n"))
+    return panel.trailing(_keys(spark, d), daily, "ig", (7, 30, 365), (7, 365), 365)
+
+
+@query(f"{R}, {_FIRST}, {_EVENTS} SELECT * FROM ev")
+def ignition_events(spark, d):
+    return panel.ignition_events(view(spark, d, "revisions"))
+
+
+_AGENCY = "vote AS (SELECT cell_x, cell_y, agency_code FROM ev WHERE agency_code IS NOT NULL AND agency_code <> 'PC' GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY cell_x, cell_y ORDER BY sum(n_ignitions) DESC, agency_code) = 1)"
+
+
+@query(f"{R}, {_FIRST}, {_EVENTS}, {_AGENCY} SELECT * FROM vote")
+def cell_agency_vote(spark, d):
+    return panel.agency_vote(panel.ignition_events(view(spark, d, "revisions")))
+
+
+_POLY = [("WE", 0, [(-126.0, 47.0), (-115.0, 47.0), (-113.5, 59.0), (-126.0, 59.0)]), ("MI", 1, [(-115.0, 47.0), (-107.0, 49.0), (-113.5, 59.0)]), ("XX", 2, [(-109.0, 47.0), (-104.0, 47.0), (-104.0, 59.0), (-109.0, 55.0)])]
+
+
+def _edges(spark):
+    rings = spark.createDataFrame(_POLY, "code string, ring long, points array<struct<lon:double,lat:double>>")
+    return grid.polygon_edges(rings)
+
+
+_EDGE_SQL = "edges(code, ring, a_lon, a_lat, b_lon, b_lat) AS (VALUES " + ", ".join(f"('{c}', {r}, {a[0]}e0, {a[1]}e0, {b[0]}e0, {b[1]}e0)" for c, r, p in _POLY for a, b in zip(p, p[1:] + p[:1], strict=True)) + ")"
+
+
+@query(f"{H}, {_EDGE_SQL}, i AS (SELECT hid, code, ring FROM hotspots JOIN edges ON (a_lat > lat) <> (b_lat > lat) AND lon < (b_lon - a_lon) * (lat - a_lat) / (b_lat - a_lat) + a_lon GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1) SELECT hid, arg_min(code, ring) AS code FROM i GROUP BY hid")
+def point_in_polygon(spark, d):
+    return grid.place(view(spark, d, "hotspots"), _edges(spark), "hid")
+
+
+_SITES = f"sites AS (SELECT DISTINCT aes, 6371.0072 * {_LAEA.format(lat='lat', lon='lon')} * cos(radians(lat)) * sin(radians(lon + 96)) AS x, 6371.0072 * {_LAEA.format(lat='lat', lon='lon')} * (cos(radians(60)) * sin(radians(lat)) - sin(radians(60)) * cos(radians(lat)) * cos(radians(lon + 96))) AS y FROM obs)"
+_KNN = "nb AS (SELECT * FROM (SELECT cell_x, cell_y, aes, sqrt(power(x - (cell_x + 0.5) * 10, 2) + power(y - (cell_y + 0.5) * 10, 2)) AS dist_km FROM (SELECT DISTINCT cell_x, cell_y FROM keys), sites) {w} QUALIFY row_number() OVER (PARTITION BY cell_x, cell_y ORDER BY dist_km, aes) <= {k})"
+
+
+@query(f"{_with('hotspots', 'obs')}, {_KEYS}, {_SITES}, {_KNN.format(k=5, w='')} SELECT cell_x, cell_y, aes, row_number() OVER (PARTITION BY cell_x, cell_y ORDER BY dist_km, aes) - 1 AS rank, round(dist_km, 6) AS dist_km FROM nb")
+def knn_stations(spark, d):
+    near = grid.nearest(_keys(spark, d), view(spark, d, "obs").select("aes", "lat", "lon").distinct(), 5)
+    return near.withColumn("dist_km", F.round("dist_km", 6)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"{_with('hotspots', 'obs')}, {_KEYS}, {_SITES}, {_KNN.format(k=12, w='WHERE dist_km <= 300')}, j AS (SELECT k.*, dist_km, power(1 / greatest(dist_km, 1), 2) AS w, temp, rh, fwi FROM keys k JOIN nb USING (cell_x, cell_y) JOIN obs o ON o.aes = nb.aes AND o.obs_date = k.day - 1) SELECT cell_x, cell_y, day, {', '.join(f'round(sum({m} * w) / sum(w) FILTER ({m} IS NOT NULL), 6) AS wx_{m}' for m in ('temp', 'rh', 'fwi'))}, count(*) AS wx_n_stations, round(min(dist_km), 6) AS wx_dist_km FROM j GROUP BY 1, 2, 3")
+def idw_interpolation(spark, d):
+    obs, keys = view(spark, d, "obs"), _keys(spark, d)
+    out = panel.station_weather(keys, grid.nearest(keys, obs.select("aes", "lat", "lon").distinct(), 12, 300.0), obs, ("temp", "rh", "fwi"))
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c.startswith("wx_") and c != "wx_n_stations"})
+
+
+_AREA = f"area AS (SELECT DISTINCT c.cell_x, c.cell_y, v.agency_code FROM (SELECT cell_x, cell_y FROM ev UNION SELECT {_cell()} FROM hotspots) c JOIN vote v USING (cell_x, cell_y))"
+
+
+@query(f"{_with('revisions', 'hotspots')}, {_FIRST}, {_EVENTS}, {_AGENCY}, {_AREA} SELECT * FROM area")
+def study_area(spark, d):
+    return panel.study_area(panel.ignition_events(view(spark, d, "revisions")), view(spark, d, "hotspots"), [2024])
+
+
+@query(f"""{_with('revisions', 'hotspots')}, {_FIRST}, {_EVENTS}, {_AGENCY}, {_AREA}, days AS (SELECT unnest(generate_series(date '2024-01-01', date '2024-01-30', INTERVAL 1 DAY))::date AS day),
+    pos AS (SELECT ev.cell_x, ev.cell_y, day, n_ignitions FROM ev JOIN area a ON a.cell_x = ev.cell_x AND a.cell_y = ev.cell_y JOIN days USING (day)),
+    neg AS (SELECT a.cell_x, a.cell_y, day FROM area a, days QUALIFY row_number() OVER (PARTITION BY day ORDER BY md5('7|' || a.cell_x || '|' || a.cell_y || '|' || day), a.cell_x, a.cell_y) <= (SELECT round_even(0.2 * count(*), 0) FROM area))
+    SELECT p.*, a.agency_code FROM (SELECT cell_x, cell_y, day, n_ignitions, 1::TINYINT AS ignition FROM pos UNION ALL SELECT cell_x, cell_y, day, 0, 0::TINYINT FROM neg ANTI JOIN pos USING (cell_x, cell_y, day)) p JOIN area a USING (cell_x, cell_y)""")
+def negative_sample(spark, d):
+    events = panel.ignition_events(view(spark, d, "revisions"))
+    area = panel.study_area(events, view(spark, d, "hotspots"), [2024])
+    days = spark.sql("select explode(sequence(date'2024-01-01', date'2024-01-30')) as day")
+    return panel.sample_panel(area, events, days, 0.2, 7)
+
+
+_PR = "c AS (SELECT p, pos, neg, sum(pos) OVER (ORDER BY p DESC) AS tp, sum(neg) OVER (ORDER BY p DESC) AS fp FROM (SELECT p, sum(CASE WHEN y = 1 THEN {w} ELSE 0 END)::DOUBLE AS pos, sum(CASE WHEN y = 1 THEN 0 ELSE {w} END)::DOUBLE AS neg FROM scored GROUP BY p))"
+
+
+@query(f"{E}, {_PR.format(w=1)} SELECT round(p, 9) AS p, pos, neg, tp, fp FROM c")
+def pr_curve(spark, d):
+    return metrics.pr_curve(metrics.score_groups(view(spark, d, "scored"))).withColumn("p", F.round("p", 9))
+
+
+@query(f"{E}, {_PR.format(w='w')} SELECT round(sum(pos * tp / (tp + fp)) / sum(pos), 9) AS average_precision FROM c")
+def weighted_ap(spark, d):
+    return metrics.average_precision(view(spark, d, "scored"), w="w").select(F.round("average_precision", 9).alias("average_precision"))
+
+
+@query(f"{E}, {_PR.format(w=1)} SELECT round(sum(neg * (tp - pos + pos / 2)) / (sum(pos) * sum(neg)), 9) AS roc_auc FROM c")
+def roc_auc(spark, d):
+    return metrics.roc_auc(view(spark, d, "scored")).select(F.round("roc_auc", 9).alias("roc_auc"))
+
+
+@query(f"{E} SELECT round(sum(w * power(y - p, 2)) / sum(w), 9) AS brier, round(sum(w * y) / sum(w), 9) AS prevalence FROM scored")
+def brier(spark, d):
+    return metrics.brier(view(spark, d, "scored"), w="w").select(F.round("brier", 9).alias("brier"), F.round("prevalence", 9).alias("prevalence"))
+
+
+@query(f"{E}, e AS (SELECT list_distinct(quantile_cont(p, [0, 0.2, 0.4, 0.6, 0.8, 1])) AS e FROM scored), b AS (SELECT greatest(1, len(list_filter(e, lambda x: x < p))) AS bucket, y, p FROM scored, e) SELECT cast(bucket AS INT) AS bucket, count(*) AS n, round(avg(p), 6) AS mean_score, round(avg(y), 6) AS mean_outcome FROM b GROUP BY 1")
+def reliability(spark, d):
+    out = metrics.reliability(view(spark, d, "scored"))
+    return out.withColumns({c: F.round(c, 6) for c in ("mean_score", "mean_outcome")})
+
+
+@query(f"{E} SELECT doc_id, round(p / (1 - p) * 0.05 / (1 + p / (1 - p) * 0.05), 9) AS corrected FROM (SELECT doc_id, greatest(1e-12, least(1 - 1e-12, p)) AS p FROM scored)")
+def prior_correction(spark, d):
+    return view(spark, d, "scored").select("doc_id", F.round(metrics.correct_prior("p", 0.05), 9).alias("corrected"))
+
+
+@query()
+def paired_bootstrap(spark, d):
+    return metrics.paired_bootstrap(view(spark, d, "scored"), draws=200)
+
+
+@query(f"{E} SELECT doc_id, p AS risk, (SELECT count(*) FROM scored WHERE p >= 0.2) AS n_matching FROM scored WHERE p >= 0.2 ORDER BY p DESC, doc_id LIMIT 25")
+def topk_risk(spark, d):
+    return serving.top(view(spark, d, "scored").select("doc_id", F.col("p").alias("risk")), "risk >= 0.2", "risk", ["doc_id"], 25)
+
+
+@query(f"{O} SELECT cast(year(obs_date) AS INT) AS year, count(*) AS n_rows, count(DISTINCT obs_date) AS n_days, count(DISTINCT aes) AS n_stations, min(obs_date) AS first_day, max(obs_date) AS last_day, round(count(rh) / count(*), 9) AS share_known, round(avg(rh), 9) AS mean FROM obs GROUP BY 1")
+def coverage_by_year(spark, d):
+    out = clean.coverage(view(spark, d, "obs"), "rh")
+    return out.withColumns({c: F.round(c, 9) for c in ("share_known", "mean")})
+
+
+@query(f"""{_with('revisions', 'hotspots')}, {_FIRST}, {_STATE.format(h=24)}, z AS (SELECT r.national_fire_id, r.fire_size AS size_at_horizon FROM revisions r JOIN f USING (national_fire_id) WHERE r.record_start <= f.t0 + INTERVAL 72 HOUR QUALIFY row_number() OVER (PARTITION BY r.national_fire_id ORDER BY r.record_start DESC, r.id DESC) = 1)
+    SELECT f.national_fire_id, month(t0) AS month, dayofyear(t0) AS doy, hour(t0) AS t0_hour, coalesce(s.fire_size, 0) AS size_at_decision, round(ln(1 + coalesce(s.fire_size, 0)), 9) AS log_size_at_decision, CASE WHEN size_at_horizon >= 100 THEN 1 ELSE 0 END::TINYINT AS escalated
+    FROM f JOIN s USING (national_fire_id) JOIN z USING (national_fire_id) WHERE t0 + INTERVAL 72 HOUR <= (SELECT max(record_start) FROM revisions) AND size_at_horizon IS NOT NULL AND coalesce(s.fire_size, 0) < 100""")
+def escalation_labels(spark, d):
+    from pitgrid.plans import tables
+
+    out = tables.escalation(view(spark, d, "revisions"), view(spark, d, "hotspots"))
+    return out.select("national_fire_id", "month", "doy", "t0_hour", F.coalesce("size_at_decision", F.lit(0.0)).alias("size_at_decision"), F.round("log_size_at_decision", 9).alias("log_size_at_decision"), "escalated")
+
+
+@query()
+def escalation_table(spark, d):
+    from pitgrid.plans import tables
+
+    return tables.escalation(view(spark, d, "revisions"), view(spark, d, "hotspots"), view(spark, d, "sitreps"))
