@@ -24,12 +24,12 @@ def pr_curve(groups: DataFrame) -> DataFrame:
 
 
 def average_precision(scored: DataFrame, y: str = "y", p: str = "p", w: str | None = None) -> DataFrame:
-    return pr_curve(score_groups(scored, y, p, w)).agg(F.coalesce(F.sum(F.expr("pos * tp / (tp + fp)")) / F.sum("pos"), F.lit(0.0)).alias("average_precision"))
+    return pr_curve(score_groups(scored, y, p, w)).agg(F.coalesce(F.try_divide(F.sum(F.expr("try_divide(pos * tp, tp + fp)")), F.sum("pos")), F.lit(0.0)).alias("average_precision"))
 
 
 def roc_auc(scored: DataFrame, y: str = "y", p: str = "p", w: str | None = None) -> DataFrame:
     """The weighted share of positive-negative pairs in the right order, ties half."""
-    return pr_curve(score_groups(scored, y, p, w)).agg((F.sum(F.expr("neg * (tp - pos + pos / 2)")) / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"))
+    return pr_curve(score_groups(scored, y, p, w)).agg(F.try_divide(F.sum(F.expr("neg * (tp - pos + pos / 2)")), F.sum("pos") * F.sum("neg")).alias("roc_auc"))
 
 
 def brier(scored: DataFrame, y: str = "y", p: str = "p", w: str | None = None) -> DataFrame:
