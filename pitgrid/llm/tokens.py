@@ -25,7 +25,7 @@ _CUT = re.compile(r"(?<=\S) ")
 #: Stretches without spaces that are pretokens by themselves: letters, digits, punctuation but the apostrophe, one line end.
 _PIECES = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]+|[!-&(-/:-@\\[-`{-~]+|\n(?!\\s)")
 #: Stretches whose ids a worker remembers, in each of two generations.
-REMEMBERED = 600_000
+REMEMBERED = 350_000
 _encoders: dict[str, "Encoder"] = {}
 
 

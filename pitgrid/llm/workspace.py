@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text a Python task holds at once, unless a single document is longer.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Rows in one Arrow batch: bounds a batch of very long texts.
 BATCH_ROWS = 400
 
