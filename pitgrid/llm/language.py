@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitgrid.llm.workspace import small_batches
+from pitgrid.llm.workspace import gathered, small_batches
 
 BITS = 15
 SIZE = 1 << BITS
@@ -97,7 +97,7 @@ def temperature_of(logits: np.ndarray, labels: np.ndarray) -> float:
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, n = np.zeros(SIZE, np.int64), 0
-    for batch in batches:
+    for batch in gathered(batches):
         for which, _ in counts_of(batch.column("text").to_pylist()):
             total[which] += 1
             n += 1
@@ -106,7 +106,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in gathered(batches):
         pairs = list(counts_of(batch.column("text").to_pylist()))
         yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "which": [w.astype("<u4").tobytes() for w, _ in pairs], "counts": [c.astype("<u4").tobytes() for _, c in pairs]}, schema=pa.schema([("lang", pa.string()), ("which", pa.binary()), ("counts", pa.binary())]))
 
@@ -148,7 +148,7 @@ def fit(labelled: DataFrame, per_language: int = 1000, most_languages: int = 500
 
 def _predict(batches: Iterator[pa.RecordBatch], shared, text: str, names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
     model: Model | None = shared.value
-    for batch in batches:
+    for batch in gathered(batches, text):
         texts = [t if t and _LETTER.search(t) else None for t in batch.column(text).to_pylist()]
         found: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
         if model:

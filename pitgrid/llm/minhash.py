@@ -124,7 +124,7 @@ def _cross(key: tuple, table: pa.Table, percent: int) -> pa.Table:
 
 def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     last: tuple[int | None, np.ndarray | None] = (None, None)
-    for batch in batches:
+    for batch in gathered(batches, "text_b"):
         ids_a, ids_b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
         texts = batch.column("text_a")
         own = shingle_sets(*utf8(batch.column("text_b")), size)

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitgrid.llm.workspace import cut, new_path, small_batches
+from pitgrid.llm.workspace import cut, gathered, new_path, small_batches
 
 #: A white space before a space: only there may a pretoken reach over a space that could be cut at.
 _BLANK_BEFORE_SPACE = re.compile(r"\s ")
@@ -146,10 +146,8 @@ def encoder(path: str) -> Encoder:
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[tuple[list, list[bytes]]]:
     """(doc ids, ids of each text with the end id) for a few documents at a time; null is an empty text."""
     use, tail = encoder(path), struct.pack("<I", end)
-    for batch in batches:
-        for at in range(0, batch.num_rows, 400):
-            few = batch.slice(at, 400)
-            yield few.column("doc_id").to_pylist(), [ids + tail for ids in use.encode([t or "" for t in few.column("text").to_pylist()])]
+    for few in gathered(batches):
+        yield few.column("doc_id").to_pylist(), [ids + tail for ids in use.encode([t or "" for t in few.column("text").to_pylist()])]
 
 
 # The file: zstandard frames with content checksums, a skippable frame with each frame's first document and number of

@@ -60,6 +60,7 @@ def small_batches(spark: SparkSession) -> None:
     """Texts can be very long: lowers Spark's default of 10,000 rows a batch; a lower setting of the user stays."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SHARD_BYTES))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
