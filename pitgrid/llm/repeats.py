@@ -21,7 +21,7 @@ from pitgrid.llm.words import mix, powers, prefix_hashes
 from pitgrid.llm.workspace import cut, drop, gathered, small_batches, utf8
 
 GRAM = 100
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _PLACE = np.uint64((1 << 24) - 1)
 
 

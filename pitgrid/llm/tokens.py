@@ -148,6 +148,7 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[
     use, tail = encoder(path), struct.pack("<I", end)
     for few in gathered(batches):
         yield few.column("doc_id").to_pylist(), [ids + tail for ids in use.encode([t or "" for t in few.column("text").to_pylist()])]
+    use.older = {}, {}
 
 
 # The file: zstandard frames with content checksums, a skippable frame with each frame's first document and number of

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text a Python task holds at once, unless a single document is longer.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Rows in one Arrow batch: bounds a batch of very long texts.
 BATCH_ROWS = 400
 
@@ -88,6 +89,15 @@ def gathered(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int
         held.append(batch.slice(begin))
     if held:
         yield _joined(held)
+    held = []
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers outlive their tasks, and many share a machine."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
