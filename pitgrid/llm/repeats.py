@@ -14,11 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitgrid.llm.words import mix, powers, prefix_hashes
-from pitgrid.llm.workspace import cut, drop, gathered, small_batches, utf8
+from pitgrid.llm.workspace import SHARD_BYTES, cut, drop, gathered, small_batches, utf8
 
 GRAM = 100
 CHUNK = 1 << 19
@@ -70,20 +70,29 @@ def _anchors(batches: Iterator[pa.RecordBatch], least: int, gram: int) -> Iterat
         yield pa.RecordBatch.from_pydict({"cls": cls, "t": shard.column("t").take(own), "u": shard.column("u").take(own), "start": start, "windows": windows.astype(np.int32), "off": off.astype(np.int32)})
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """The bytes of each wanted segment of each text."""
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, int, int, pa.StructArray]]:
+    """(bytes, t, u, wanted segments) of each row; the segments stay in Arrow, as a repetitive text has nearly one for each of its bytes."""
     for batch in batches:
         for k in range(batch.num_rows):
-            text, t, u = (batch.column("text")[k].as_py() or "").encode("utf-8", "surrogatepass"), batch.column("t")[k].as_py(), batch.column("u")[k].as_py()
-            wanted = batch.column("wanted")[k].as_py()
+            text, t, u = ((batch.column(c)[k].as_py()) for c in ("text", "t", "u"))
+            yield (text or "").encode("utf-8", "surrogatepass"), t, u, batch.column("wanted").slice(k, 1).flatten()
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The bytes of each wanted segment of each text, in batches of about SHARD_BYTES: a segment has under 2 * least bytes."""
+    step = max(1, SHARD_BYTES // (2 * least))
+    for text, t, u, wanted in _texts(batches):
+        for at in range(0, len(wanted), step):
+            part = wanted.slice(at, step)
+            start, windows = (part.field(c).to_pylist() for c in ("start", "windows"))
             yield pa.RecordBatch.from_pydict(
                 {
-                    "cls": pa.array([w["cls"] for w in wanted], pa.int64()),
-                    "t": pa.array([t] * len(wanted), pa.int64()),
-                    "u": pa.array([u] * len(wanted), pa.int64()),
-                    "start": pa.array([w["start"] for w in wanted], pa.int64()),
-                    "off": pa.array([w["off"] for w in wanted], pa.int32()),
-                    "bytes": pa.array([text[w["start"] : w["start"] + w["windows"] + least - 1] for w in wanted], pa.binary()),
+                    "cls": part.field("cls"),
+                    "t": pa.array([t] * len(part), pa.int64()),
+                    "u": pa.array([u] * len(part), pa.int64()),
+                    "start": part.field("start"),
+                    "off": part.field("off"),
+                    "bytes": pa.array([text[b : b + n + least - 1] for b, n in zip(start, windows, strict=True)], pa.binary()),
                 }
             )
 
@@ -138,13 +147,15 @@ def _class_spans(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.R
 
     def done() -> None:
         rows = list({r[:3]: r for r in held}.values())
-        best: dict[int, list[tuple[int, int]]] = {}
+        # all of a member's repeats hold its common gram, so their union is one span: deeply nested intervals cost no memory
+        best: dict[int, tuple[int, int]] = {}
         for length, group in maximal_repeats([r[4][r[3] :] for r in rows], [r[4][: r[3]][::-1] for r in rows], least):
             for member, left in group:
-                best.setdefault(member, []).append((left, length))
-        for member, found in best.items():
+                wide = best.get(member, (0, 0))
+                best[member] = max(left, wide[0]), max(length, wide[1])
+        for member, (left, length) in best.items():
             t, u, start, off, _ = rows[member]
-            out.extend((t, u, start + off - left, start + off + length) for left, length in found)
+            out.append((t, u, start + off - left, start + off + length))
 
     def batch_of(rows: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["t", "u", "b", "e"])
@@ -167,16 +178,33 @@ def _class_spans(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.R
 
 
 def _window_hashes(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cls, t, u, start, off, raw = (batch.column(c).to_pylist() for c in ("cls", "t", "u", "start", "off", "bytes"))
-        for k, piece in enumerate(raw):
-            n = len(piece) - least + 1
-            data = np.frombuffer(piece, np.uint8)
+    """Two hashes of every window of the wanted segments, computed over stretches of the text that neighbouring segments share."""
+    for text, t, u, wanted in _texts(batches):
+        start, windows = (wanted.field(c).to_numpy() for c in ("start", "windows"))
+        first = np.repeat(start - np.cumsum(windows) + windows, windows)
+        at = np.sort(first + np.arange(len(first)))
+        data = np.frombuffer(text, np.uint8)
+        for low in range(0, len(data), CHUNK // 8):
+            own = at[np.searchsorted(at, low) : np.searchsorted(at, low + CHUNK // 8)] - low
+            if not len(own):
+                continue
+            part = data[low : low + CHUNK // 8 + least - 1]
             both = []
-            for turn in (data, data ^ np.uint8(0x5A)):
+            for turn in (part, part ^ np.uint8(0x5A)):
                 sums, (_, inverse) = prefix_hashes(turn), powers(len(turn))
-                both.append(mix((sums[least:] - sums[:n]) * inverse[:n]).view(np.int64))
-            yield pa.RecordBatch.from_pydict({"cls": [cls[k]] * n, "w1": both[0], "w2": both[1], "t": [t[k]] * n, "u": [u[k]] * n, "b": start[k] + np.arange(n)})
+                both.append(mix((sums[own + least] - sums[own]) * inverse[own]).view(np.int64))
+            yield pa.RecordBatch.from_pydict({"w1": both[0], "w2": both[1], "t": np.full(len(own), t), "u": np.full(len(own), u), "b": own + low})
+
+
+def runs(spans: DataFrame, stretch: int = 4096) -> DataFrame:
+    """(t, u, b, e) -> the same bytes in few rows: spans that begin in one stretch of a text are merged where they meet.
+
+    A text's spans are never gathered as they are: there can be one for each of its bytes, here at most one for each ``least`` bytes remain.
+    """
+    own = Window.partitionBy("t", "u", "_at").orderBy("b", "e")
+    spans = spans.withColumn("_at", F.expr(f"b div {stretch}"))
+    fresh = spans.withColumn("_new", F.coalesce(F.col("b") > F.max("e").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
+    return fresh.withColumn("_run", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0))).groupBy("t", "u", "_at", "_run").agg(F.min("b").alias("b"), F.max("e").alias("e")).drop("_at", "_run")
 
 
 def keyed(documents: DataFrame) -> DataFrame:
@@ -212,12 +240,12 @@ def repeat_spans(documents: DataFrame, least: int = 400, gram: int = GRAM, class
     usual = pieces.withColumn("wanted", F.expr("filter(wanted, x -> not x.crowded)")).where("size(wanted) > 0").mapInArrow(lambda b: _pieces(b, least), shape)
     spans = usual.repartition("cls").sortWithinPartitions("cls").mapInArrow(lambda b: _class_spans(b, least), "t long, u long, b long, e long")
     if not crowded.isEmpty():
-        dense = pieces.withColumn("wanted", F.expr("filter(wanted, x -> x.crowded)")).where("size(wanted) > 0").mapInArrow(lambda b: _pieces(b, least), shape)
-        windows = cut(dense.mapInArrow(lambda b: _window_hashes(b, least), "cls long, w1 long, w2 long, t long, u long, b long"), "windows")
+        dense = pieces.withColumn("wanted", F.expr("filter(wanted, x -> x.crowded)")).where("size(wanted) > 0")
+        windows = cut(dense.mapInArrow(lambda b: _window_hashes(b, least), "w1 long, w2 long, t long, u long, b long"), "windows")
         place = F.struct("t", "u", "b")
         twice = windows.groupBy("w1", "w2").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("w1", "w2")
         spans = spans.unionByName(windows.join(twice, ["w1", "w2"]).selectExpr("t", "u", "b", f"b + {least} as e"))
-    spans = cut(spans.groupBy("t", "u").agg(F.collect_list(F.struct("b", "e")).alias("spans")).join(texts.select("t", "u", "rep"), ["t", "u"]), "spans")
+    spans = cut(runs(spans).groupBy("t", "u").agg(F.collect_list(F.struct("b", "e")).alias("spans")).join(texts.select("t", "u", "rep"), ["t", "u"]), "spans")
     return spans, texts.where("copies > 1").select("t", "u", "copies")
 
 
