@@ -3,7 +3,7 @@
 run() applies the stages to ``documents``; each stage's result is written as Parquet and read again as the next one's documents.
 The first four return the columns of documents. Their decisions:
 
-* language_id drops documents without a letter and those whose calibrated confidence in any language is under one half;
+* language_id drops documents without a letter and those whose calibrated confidence in every language is near chance (under LEAST_SCORE);
 * near_duplicates keeps the document with the smallest doc_id of each group, and all without a doc_id;
 * repeats cuts every occurrence of a repeated 400-byte string out of the texts (n_chars is counted anew) and keeps all rows;
 * decontamination drops documents that the 13-word rule calls contaminated;
@@ -19,10 +19,14 @@ from pitgrid.llm import decontaminate, language, minhash, packing, queries, repe
 from pitgrid.llm.workspace import cut
 
 
+#: Under this confidence no language is told from the others. Short texts in a known language often have under one half, and stay.
+LEAST_SCORE = 0.3
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(docs.select("doc_id", "text", "lang").where(f"not {queries.HELD_OUT}"))
     names = ("_pipeline_lang", "_pipeline_score")
-    return language.identify(docs, model, names=names).where(f"{names[0]} <> 'und' and {names[1]} >= 0.5").select(docs.columns)
+    return language.identify(docs, model, names=names).where(f"{names[0]} <> 'und' and {names[1]} >= {LEAST_SCORE}").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
