@@ -11,6 +11,7 @@ from pitgrid.functions import clean, grid
 from pitgrid.operators import asof, panel, spatial
 from pitgrid.plans import metrics, serving
 from pitgrid.plans.views import sql, view
+from pitgrid.sources import feeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -299,3 +300,17 @@ def escalation_table(spark, d):
     from pitgrid.plans import tables
 
     return tables.escalation(view(spark, d, "revisions"), view(spark, d, "hotspots"), view(spark, d, "sitreps"))
+
+
+@query(f"""{_with('sitreps')} SELECT cast(year(sitrep_date) AS INT) AS year, count(DISTINCT sitrep_date) AS n_days, count(*) AS n_rows, round(avg(national_preparedness_level), 2) AS mean_national_pl,
+    max(national_preparedness_level) AS max_national_pl, round(avg(agency_preparedness), 2) AS mean_agency_pl FROM sitreps GROUP BY 1""")
+def preparedness_coverage(spark, d):
+    return feeds.report_coverage(view(spark, d, "sitreps"))
+
+
+@query(f"""{O} SELECT aes, max(temp) AS wx_temp_max, round(avg(temp), 9) AS wx_temp_mean, min(rh) AS wx_rh_min, round(avg(rh), 9) AS wx_rh_mean, max(fwi) AS wx_wind_max, round(avg(fwi), 9) AS wx_wind_mean,
+    cast(NULL AS DOUBLE) AS wx_gust_max, cast(NULL AS DOUBLE) AS wx_precip_sum, cast(NULL AS DOUBLE) AS wx_vpd_max, cast(count(*) FILTER (rh < 30 AND fwi > 15) AS DOUBLE) AS wx_crossover_hours FROM obs GROUP BY aes""")
+def weather_summary(spark, d):
+    rows = view(spark, d, "obs").selectExpr("aes", "temp as temperature_2m", "rh as relative_humidity_2m", "fwi as wind_speed_10m")
+    out = feeds.weather_summary(rows, ["aes"])
+    return out.withColumns({c: F.round(c, 9) for c in out.columns if c.endswith("_mean")})
