@@ -17,10 +17,19 @@ def score_groups(scored: DataFrame, y: str = "y", p: str = "p", w: str | None =
     return scored.groupBy(F.col(p).alias("p")).agg(F.sum(F.when(F.col(y) == 1, weight).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col(y) == 1, 0.0).otherwise(weight)).alias("neg"))
 
 
-def pr_curve(groups: DataFrame) -> DataFrame:
-    """(p, pos, neg, tp, fp) from the highest score down. One row a distinct score enters the window, not one a sample."""
-    down = W.orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return groups.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down)})
+def pr_curve(groups: DataFrame, parts: int = 256) -> DataFrame:
+    """(p, pos, neg, tp, fp) from the highest score down, over rows of distinct scores.
+
+    The scores are split into ``parts`` ranges that are summed apart; only the ranges' totals pass through one window.
+    """
+    shares = ", ".join(f"{i / parts}D" for i in range(1, parts))
+    edges = groups.agg(F.expr(f"percentile_approx(p, array({shares}))").alias("_e"))
+    placed = groups.crossJoin(F.broadcast(edges)).withColumn("_b", F.expr("if(p is null, -1, coalesce(size(filter(_e, e -> e < p)), 0))")).drop("_e")
+    above = W.orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)
+    totals = placed.groupBy("_b").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+    before = totals.select("_b", *[F.coalesce(F.sum(f"_{c}").over(above), F.lit(0.0)).alias(f"_before_{c}") for c in ("pos", "neg")])
+    down = W.partitionBy("_b").orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return placed.join(F.broadcast(before), "_b").select("p", "pos", "neg", (F.col("_before_pos") + F.sum("pos").over(down)).alias("tp"), (F.col("_before_neg") + F.sum("neg").over(down)).alias("fp"))
 
 
 def average_precision(scored: DataFrame, y: str = "y", p: str = "p", w: str | None = None) -> DataFrame:
