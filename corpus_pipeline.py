@@ -4,7 +4,7 @@ run() applies the stages to ``documents``; each stage's result is written as Par
 The first four return the columns of documents. Their decisions:
 
 * language_id drops documents without a letter and those whose calibrated confidence in every language is near chance (under LEAST_SCORE);
-* near_duplicates keeps the document with the smallest doc_id of each group, and all without a doc_id;
+* near_duplicates keeps one row of each group of near duplicates, equal texts and rows without a doc_id included: the one with the smallest doc_id;
 * repeats cuts every occurrence of a repeated 400-byte string out of the texts (n_chars is counted anew) and keeps all rows;
 * decontamination drops documents that the 13-word rule calls contaminated;
 * packing returns the pieces of the remaining documents in sequences of 2,048 token ids.
@@ -30,8 +30,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = minhash.near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group: equal texts count once, whatever their ids, and each distinct text has an id of its own among the near duplicates.
+
+    Of equal texts the row with the smallest doc_id stays (null ids last, then the other columns in order). A text that has its doc_id
+    alone keeps it; texts without an id, and all but one of those that share an id, are numbered from 2^62 on, so after the others.
+    Texts without words are in no group; of them only repeated rows (same doc_id and text) become one.
+    """
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]
+    wordless = F.coalesce(~F.col("text").rlike(r"[^ \t-\r]"), F.lit(True))
+    keys = repeats.keyed(docs).withColumns({"_null": F.col("text").isNull(), "_own": F.when(wordless, F.col("doc_id"))})
+    one = keys.groupBy("t", "u", "_null", "_own").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_last"), "doc_id", *rest)).alias("_row"))
+    one = cut(one.select("t", "u", "_row.*").drop("_last"), "one-of-equals")
+    first = one.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n"), F.min(F.struct("t", "u")).alias("_first")).where("_n > 1").select("doc_id", "_first")
+    at = F.expr(f"if(doc_id is null or _first <> struct(t, u), {1 << 62} + (xxhash64(t, u) & {(1 << 62) - 1}), cast(doc_id as long))")
+    one = cut(one.join(cut(first, "shared-ids"), "doc_id", "left").withColumn("_id", at).select("_id", *docs.columns), "numbered")
+    gone = minhash.near_duplicates(one.select(F.col("_id").alias("doc_id"), "text")).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
+    return one.join(gone, "_id", "left_anti").select(docs.columns)
 
 
 def exact_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
