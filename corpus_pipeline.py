@@ -5,7 +5,8 @@ The first four return the columns of documents. Their decisions:
 
 * language_id drops documents without a letter and those whose calibrated confidence in every language is near chance (under LEAST_SCORE);
 * near_duplicates keeps one row of each group of near duplicates, equal texts and rows without a doc_id included: the one with the smallest doc_id;
-* repeats cuts every occurrence of a repeated 400-byte string out of the texts (n_chars is counted anew) and keeps all rows;
+* repeats cuts every occurrence of a passage of more than 50 words that occurs elsewhere too out of the texts (n_chars is counted anew) and keeps all
+  rows; op7's bound of 400 bytes is that query's contract and not used here;
 * decontamination drops documents that the 13-word rule calls contaminated;
 * packing returns the pieces of the remaining documents in sequences of 2,048 token ids.
 """
@@ -49,7 +50,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def exact_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = repeats.without_repeats(docs, least=400)
+    """Every occurrence of a repeated passage of over 50 whole words goes, however few its bytes; see repeats.without_passages."""
+    out = repeats.without_passages(docs, over=50)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns) if "n_chars" in docs.columns else out
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitgrid.llm.words import mix, powers, prefix_hashes
+from pitgrid.llm.words import SOLID, mix, powers, prefix_hashes, words_of
 from pitgrid.llm.workspace import SHARD_BYTES, cut, drop, gathered, small_batches, utf8
 
 GRAM = 100
@@ -324,3 +324,101 @@ def without_repeats(documents: DataFrame, least: int = 400, **options) -> DataFr
     docs = docs.select(*[F.col(f"`{c.replace('`', '``')}`") for c in documents.columns], "_t", "_u", "_spans", F.expr(f"coalesce(_copies > 1 and octet_length(text) >= {least}, false)").alias("_whole"))
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in documents.schema)
     return docs.mapInArrow(_rewrite, schema)
+
+
+def _word_blocks(data: np.ndarray, start: np.ndarray, end: np.ndarray, over: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first word, bytes, starts, ends) of stretches of words; neighbours share ``over`` words, so each window of over + 1 words lies in one."""
+    step = CHUNK // 8
+    for at in range(0, max(0, len(start) - over), step):
+        a, b = start[at : at + step + over], end[at : at + step + over]
+        yield at, data[a[0] : b[-1]], a - a[0], b - a[0]
+
+
+def _range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    sums, (_, inverse) = prefix_hashes(data), powers(len(data))
+    return mix((sums[end] - sums[start]) * inverse[start])
+
+
+def _word_anchors(batches: Iterator[pa.RecordBatch], over: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Runs of windows of over + 1 words that have one minimiser among their grams of ``gram`` words: class, text, first word, windows."""
+    for shard in gathered(batches):
+        data, ends = utf8(shard.column("text"))
+        words = words_of(data, ends, SOLID)
+        base = np.searchsorted(words.doc, np.arange(shard.num_rows))
+        for at, part, start, end in _word_blocks(data, words.start, words.end, over):
+            grams = _range_hashes(part, start[: len(start) - gram + 1], end[gram - 1 :])
+            order = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
+            pick = (sliding_min(order, over - gram + 2) & _PLACE).astype(np.int64)
+            doc = words.doc[at : at + len(pick)]
+            valid = doc == words.doc[at + over : at + over + len(pick)]
+            new, last = valid.copy(), valid.copy()
+            other = (pick[1:] != pick[:-1]) | (doc[1:] != doc[:-1])
+            new[1:] &= other | ~valid[:-1]
+            last[:-1] &= other | ~valid[1:]
+            first, last = np.flatnonzero(new), np.flatnonzero(last)
+            own = pa.array(doc[first])
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "cls": mix(grams[pick[first]] ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64),
+                    "t": shard.column("t").take(own),
+                    "u": shard.column("u").take(own),
+                    "start": at + first - base[doc[first]],
+                    "windows": (last - first + 1).astype(np.int32),
+                }
+            )
+
+
+def _word_windows(batches: Iterator[pa.RecordBatch], over: int) -> Iterator[pa.RecordBatch]:
+    """Two hashes and the bytes' range of every window of the wanted runs."""
+    for text, t, u, wanted in _texts(batches):
+        data = np.frombuffer(text, np.uint8)
+        words = words_of(data, np.array([0, len(data)]), SOLID)
+        asked = np.zeros(len(words.start) + 1, np.int64)
+        first, windows = (wanted.field(c).to_numpy() for c in ("start", "windows"))
+        np.add.at(asked, first, 1)
+        np.add.at(asked, first + windows, -1)
+        asked = np.cumsum(asked) > 0
+        for at, part, start, end in _word_blocks(data, words.start, words.end, over):
+            own = np.flatnonzero(asked[at : at + len(start) - over])
+            if not len(own):
+                continue
+            begin, stop = start[own], end[own + over]
+            both = [(_range_hashes(turn, begin, stop) ^ (stop - begin).astype(np.uint64)).view(np.int64) for turn in (part, part ^ np.uint8(0x5A))]
+            yield pa.RecordBatch.from_pydict({"w1": both[0], "w2": both[1], "t": np.full(len(own), t), "u": np.full(len(own), u), "b": begin + words.start[at], "e": stop + words.start[at]})
+
+
+def without_passages(documents: DataFrame, over: int = 50, gram: int = 16, few: int = 400_000) -> DataFrame:
+    """documents without the passages of more than ``over`` words that occur elsewhere in them too; other columns, null texts and the rows stay.
+
+    A word is a run of bytes other than ASCII white space. A passage is a run of whole words with what stands between them, byte for byte; it is cut
+    from its first word to its last if it has more than ``over`` words, whatever its bytes, and every occurrence goes. So exactly the maximal
+    repeated runs of over + 1 words or more go: each is the union of its windows of over + 1 words, and equal windows meet in the class of their
+    minimiser (the gram of ``gram`` words with the smallest hash), where they are compared by two hashes and their length in an aggregate.
+    Texts that several rows share and that have more than ``over`` words are repeated as a whole.
+    """
+    small_batches(documents.sparkSession)
+    gram = min(gram, over + 1)
+    docs = keyed(documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text"))
+    long = docs.where(f"octet_length(text) > {2 * over}")  # over + 1 words and what is between them have 2 * over + 1 bytes at least
+    anchors = cut(long.select("text", "t", "u").mapInArrow(lambda b: _word_anchors(b, over, gram), "cls long, t long, u long, start long, windows int"), "passage-anchors")
+    texts = cut(long.groupBy("t", "u").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "passage-texts")
+    place = F.struct("t", "u", "start")
+    several = cut(anchors.groupBy("cls").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("cls"), "passage-classes")
+    hits = anchors.join(several, "cls").select("t", "u", "start", "windows").distinct()
+    wanted = hits.groupBy("t", "u").agg(F.collect_list(F.struct("start", "windows")).alias("wanted")).join(texts.drop("copies"), ["t", "u"])
+    wanted = cut(wanted, "passage-wanted")
+    drop(anchors)
+    chosen = chosen_texts(long, wanted.select("t", "u", "doc_id"), few)
+    pieces = chosen.join(wanted, ["t", "u", "doc_id"]).select("text", "t", "u", "wanted")
+    windows = cut(pieces.mapInArrow(lambda b: _word_windows(b, over), "w1 long, w2 long, t long, u long, b long, e long"), "passage-windows")
+    place = F.struct("t", "u", "b")
+    twice = cut(windows.groupBy("w1", "w2").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("w1", "w2"), "passage-twice")
+    spans = runs(windows.join(twice, ["w1", "w2"]).select("t", "u", "b", "e")).groupBy("t", "u").agg(F.collect_list(F.struct("b", "e")).alias("_spans"))
+    marks = cut(spans.join(texts.where("copies > 1").select("t", "u", "copies"), ["t", "u"], "full").selectExpr("t as _t", "u as _u", "_spans", "copies as _copies"), "passage-marks")
+    drop(windows)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    marked = documents.withColumns({"_t": F.xxhash64(text), "_u": F.crc32(text.cast("binary")) * (1 << 31) + F.octet_length(text)}).join(marks, ["_t", "_u"], "left")
+    whole = F.expr(rf"if(_copies > 1, size(filter(split(text, '[ \\t-\\r]+'), x -> x <> '')) > {over}, false)").alias("_whole")
+    marked = marked.select(*[F.col(f"`{c.replace('`', '``')}`") for c in documents.columns], "_t", "_u", "_spans", whole)
+    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in documents.schema)
+    return marked.mapInArrow(_rewrite, schema)

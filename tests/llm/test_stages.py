@@ -53,3 +53,37 @@ def test_one_row_of_each_group_stays(spark):
     # what stays is not blanked as a repeat of its own copy
     after = {(r.doc_id, r.text) for r in p.exact_repeats(spark, frame(spark, got), "").collect()}
     assert {(5, a), (None, b), (2, d)} <= after
+
+
+def without_passages(texts, over=50):
+    """Windows of over + 1 whole words with their separators, compared as they are."""
+    places = {}
+    for k, t in enumerate(texts):
+        w = [m.span() for m in re.finditer(rb"[^ \t-\r]+", t)]
+        for i in range(len(w) - over):
+            b, e = w[i][0], w[i + over][1]
+            places.setdefault(t[b:e], []).append((k, b, e))
+    gone = [bytearray(len(t)) for t in texts]
+    for found in places.values():
+        if len(found) > 1:
+            for k, b, e in found:
+                gone[k][b:e] = b"\1" * (e - b)
+    return [bytes(x for x, g in zip(t, own) if not g) for t, own in zip(texts, gone)]
+
+
+def test_passages_of_over_50_words_go(spark):
+    rng = random.Random(8)
+    short = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(n))
+    passages = [prose(rng, n).replace(" ", "  ", 1) for n in range(48, 66)] + [short(50), short(51), short(65)]
+    texts = []
+    for x in passages:
+        texts += [prose(rng, rng.randint(0, 9)) + " " + x + "\n" + prose(rng, 7) for _ in range(2)]
+    inner = prose(rng, 60)
+    texts += ["é" + inner, inner + "é ü", "x " + inner.replace(" ", "\t", 30), inner[3:], passages[5], prose(rng, 20) + " " + " ".join([inner[:200]] * 9), "w" * 900 + " end", "w" * 900 + " tail", "ab " * 300, "", " \n "]
+    rows = [*enumerate(texts), (None, prose(rng, 30) + " " + passages[12] + " é"), (None, None)]
+    got = {(r.doc_id, r.text, r.n_chars) for r in p.exact_repeats(spark, frame(spark, rows), "").collect()}
+    want = without_passages([(t or "").encode() for _, t in rows])
+    want = {(i, None if t is None else w.decode(), None if t is None else len(w.decode())) for (i, t), w in zip(rows, want)}
+    assert got == want
+    cut = {n for n, x in zip(range(48, 66), passages) if any(len(x.encode()) < 400 and t and x in t and (i, t, len(t)) not in got for i, t in rows)}
+    assert {51, 52, 55} <= cut and not cut & {48, 49, 50}
