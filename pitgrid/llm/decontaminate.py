@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitgrid.llm.words import ALNUM, words_of
-from pitgrid.llm.workspace import gathered, small_batches, utf8
+from pitgrid.llm.workspace import cut, gathered, small_batches, utf8
 
 SPANS = "array<struct<first:int,after:int>>"
 
@@ -208,15 +208,16 @@ def scan(batches: Iterator[pa.RecordBatch], block) -> Iterator[pa.RecordBatch]:
         )
 
 
-def blocks_of(benchmark: DataFrame, width: int, block_words: int) -> Iterator[Windows]:
+def blocks_of(benchmark: DataFrame, width: int, block_words: int) -> Iterator[tuple[Windows, bool]]:
+    """(windows, whether more follow), each block built when it is asked for; at least one, which can be empty."""
     held, size = [], 0
     for row in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
-        held.append((row.item_id, row.text))
-        size += len(row.text) // 2 + 1
         if size >= block_words:
-            yield Windows(held, width)
+            yield Windows(held, width), True
             held, size = [], 0
-    yield Windows(held, width)
+        held.append((row.item_id, row.text))
+        size += len(row.text) // 2 + 1
+    yield Windows(held, width), False
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, block_words: int = 4_000_000) -> DataFrame:
@@ -227,22 +228,30 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = 13, s
     Null and empty texts have no words and are clean; an item without words has no window; an item with a null id counts as one
     with the id ''; items that share an id are one; repeated document rows each get their row. An empty benchmark marks nothing.
 
-    The windows go to the executors in blocks of at most ``block_words`` possible words each, so what is broadcast is bounded.
-    More blocks make further passes over the documents; these are merged by doc_id and text, so wholly repeated rows then count once.
+    The windows go to the executors in blocks of at most ``block_words`` possible words each, so what is broadcast is bounded: each block's
+    hits are written out and its broadcast dropped before the next block is read. Hits are merged for each (doc_id, text) and joined back to all rows.
     """
     spark = documents.sparkSession
     small_batches(spark)
     docs = documents.select("doc_id", "text", F.xxhash64("text").alias("check"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    passes = []
-    for windows in blocks_of(benchmark, width, block_words):
+    passes: list[DataFrame] = []
+    for windows, more in blocks_of(benchmark, width, block_words):
         block = spark.sparkContext.broadcast(windows)
-        passes.append(docs.mapInArrow(lambda batches, block=block: scan(batches, block), f"doc_id {kind}, check long, n_words long, spans {SPANS}, items array<string>"))
-    out = passes[0]
-    if len(passes) > 1:
+        out = docs.mapInArrow(lambda batches, block=block: scan(batches, block), f"doc_id {kind}, check long, n_words long, spans {SPANS}, items array<string>")
+        if more or passes:
+            # the first pass counts every row's words; of the others only hits are needed
+            passes.append(cut(out if not passes else out.where("size(spans) > 0"), "passes"))
+            block.destroy()
+        del windows
+    if passes:
+        hits = passes[0].where("size(spans) > 0")
         for more in passes[1:]:
-            out = out.unionByName(more)
-        out = out.groupBy("doc_id", "check").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+            hits = hits.unionByName(more)
+        merged = hits.distinct().groupBy(F.col("doc_id").alias("_id"), F.col("check").alias("_check")).agg(F.flatten(F.collect_list("spans")).alias("_spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("_items"))
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("check") == F.col("_check"))
+        out = passes[0].select("doc_id", "check", "n_words").join(cut(merged, "merged-hits"), same, "left")
+        out = out.select("doc_id", "n_words", F.coalesce("_spans", F.expr(f"cast(array() as {SPANS})")).alias("spans"), F.coalesce("_items", F.expr("cast(array() as array<string>)")).alias("items"))
     n_hit = F.expr("aggregate(array_sort(spans), (0L, 0L), (s, x) -> (greatest(s.col1, cast(x.after as long)), s.col2 + greatest(0L, cast(x.after as long) - greatest(s.col1, cast(x.first as long)))), s -> s.col2)")
     return (
         out.withColumn("n_hit", n_hit)
