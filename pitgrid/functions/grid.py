@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pitgrid.llm.workspace import cut
+
 RADIUS, LAT0, LON0, CELL_KM = 6371.0072, 60.0, -96.0, 10.0
 RING = [(x, y) for x in (-1, 0, 1) for y in (-1, 0, 1) if (x, y) != (0, 0)]
 
@@ -43,20 +45,43 @@ def with_ring(df: DataFrame) -> DataFrame:
     return df.withColumn("_o", F.explode(offsets)).withColumns({"ring_x": F.col("cell_x") + F.col("_o.x"), "ring_y": F.col("cell_y") + F.col("_o.y")}).drop("_o")
 
 
-def nearest(cells: DataFrame, stations: DataFrame, k: int = 12, max_km: float | None = None, most_stations: int = 50_000) -> DataFrame:
+def nearest(cells: DataFrame, stations: DataFrame, k: int = 12, max_km: float | None = None) -> DataFrame:
     """(cell_x, cell_y, aes, rank from 0, dist_km): each cell's k nearest stations on the projected plane, ties by station.
 
-    Stations are compared from every cell, as a checked broadcast; of more than ``most_stations`` the request is refused.
+    Cells and stations meet by equi-joins of square bins: a cell searches its own bin and the eight around. What lies beyond is farther than one
+    side of a bin, so k stations nearer than that are final; cells with fewer search again with bins of twice the side, up to max_km or the whole plane.
     """
     x, y = project()
-    sites = stations.where("lat is not null and lon is not null").select("aes", x.alias("_sx"), y.alias("_sy"))
-    if (n := sites.count()) > most_stations:
-        raise ValueError(f"{n} stations are too many to compare with every cell")
-    c = cells.select("cell_x", "cell_y").distinct().withColumns({"_cx": (F.col("cell_x") + 0.5) * CELL_KM, "_cy": (F.col("cell_y") + 0.5) * CELL_KM})
-    pairs = c.crossJoin(F.broadcast(sites)).withColumn("dist_km", F.expr("sqrt((_sx - _cx) * (_sx - _cx) + (_sy - _cy) * (_sy - _cy))"))
-    pairs = pairs.where(F.col("dist_km") <= max_km) if max_km is not None else pairs
-    ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("cell_x", "cell_y").orderBy("dist_km", "aes")) - 1)
-    return ranked.where(F.col("rank") < k).select("cell_x", "cell_y", "aes", "rank", "dist_km")
+    sites = cut(stations.where("lat is not null and lon is not null").select("aes", x.alias("_sx"), y.alias("_sy")), "stations")
+    n, wide, high = sites.selectExpr("count(*)", "max(_sx) - min(_sx)", "max(_sy) - min(_sy)").first()
+    side, span = CELL_KM, max(wide or 0.0, high or 0.0)
+    while n and side * side * n < span * span * k:
+        side *= 2
+    pending = cells.select("cell_x", "cell_y").distinct().withColumns({"_cx": (F.col("cell_x") + 0.5) * CELL_KM, "_cy": (F.col("cell_y") + 0.5) * CELL_KM})
+    around = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i, j))))"))
+    found: list[DataFrame] = []
+    while True:
+        last = not n or side > 4 * RADIUS + CELL_KM or (max_km is not None and side > max_km)
+        bins = lambda a, b, side=side: {"_bx": F.expr(f"cast(floor({a} / {side}D) as int)"), "_by": F.expr(f"cast(floor({b} / {side}D) as int)")}
+        asked = pending.withColumns(bins("_cx", "_cy")).withColumn("_o", around).withColumns({"_bx": F.expr("_bx + _o.i"), "_by": F.expr("_by + _o.j")})
+        pairs = asked.join(sites.withColumns(bins("_sx", "_sy")), ["_bx", "_by"]).withColumn("dist_km", F.expr("sqrt((_sx - _cx) * (_sx - _cx) + (_sy - _cy) * (_sy - _cy))"))
+        pairs = pairs.where(F.col("dist_km") <= max_km) if max_km is not None else pairs
+        ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("cell_x", "cell_y").orderBy("dist_km", "aes")) - 1)
+        ranked = ranked.where(F.col("rank") < k).select("cell_x", "cell_y", "aes", "rank", "dist_km")
+        if last:
+            found.append(ranked)
+            break
+        ranked = cut(ranked, "ranked")
+        settled = cut(ranked.where(F.col("dist_km") < side - 1e-6).groupBy("cell_x", "cell_y").count().where(F.col("count") >= k).select("cell_x", "cell_y"), "settled")
+        found.append(ranked.join(settled, ["cell_x", "cell_y"], "left_semi"))
+        pending = cut(pending.join(settled, ["cell_x", "cell_y"], "left_anti"), "pending")
+        if pending.isEmpty():
+            break
+        side *= 2
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def polygon_edges(rings: DataFrame) -> DataFrame:
