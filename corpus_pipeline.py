@@ -4,7 +4,8 @@ run() applies the stages to ``documents``; each stage's result is written as Par
 The first four return the columns of documents. Their decisions:
 
 * language_id drops documents without a letter and those whose calibrated confidence in every language is near chance (under LEAST_SCORE);
-* near_duplicates keeps one row of each group of near duplicates, equal texts and rows without a doc_id included: the one with the smallest doc_id;
+* near_duplicates keeps one row of each group of near duplicates (0.8 of the five-word shingles in common; four words are op4's contract), equal texts
+  and rows without a doc_id included: the one with the smallest doc_id;
 * repeats cuts every occurrence of a passage of more than 50 words that occurs elsewhere too out of the texts (n_chars is counted anew) and keeps all
   rows; op7's bound of 400 bytes is that query's contract and not used here;
 * decontamination drops documents that the 13-word rule calls contaminated;
@@ -45,7 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = one.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n"), F.min(F.struct("t", "u")).alias("_first")).where("_n > 1").select("doc_id", "_first")
     at = F.expr(f"if(doc_id is null or _first <> struct(t, u), {1 << 62} + (xxhash64(t, u) & {(1 << 62) - 1}), cast(doc_id as long))")
     one = cut(one.join(cut(first, "shared-ids"), "doc_id", "left").withColumn("_id", at).select("_id", *docs.columns), "numbered")
-    gone = minhash.near_duplicates(one.select(F.col("_id").alias("doc_id"), "text")).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
+    gone = minhash.near_duplicates(one.select(F.col("_id").alias("doc_id"), "text"), size=5).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
     return one.join(gone, "_id", "left_anti").select(docs.columns)
 
 

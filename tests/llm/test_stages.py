@@ -41,8 +41,12 @@ def test_one_row_of_each_group_stays(spark):
     a, b, c, d, e, f = (prose(rng, 120) for _ in range(6))
     rows = [(5, a), (5, a), (None, b), (None, b), (3, c), (9, c + " more"), (None, c), (None, d), (2, d), (4, e), (4, f), (4, f + " x"), (None, e + " tail"), (11, ""), (12, ""), (12, ""), (13, None)]
     rows += [(20 + i, prose(rng, 90)) for i in range(5)]
+    # 0.81 of the four-word shingles in common, 0.77 of the five-word shingles
+    near = prose(rng, 120).split(" ")
+    rows += [(30, " ".join(near)), (31, " ".join("other" if i in (20, 60, 100) else w for i, w in enumerate(near)))]
+    assert len(groups(rows[-2:], 4)) == 1 and len(groups(rows[-2:], 5)) == 2
     got = [(r.doc_id, r.text) for r in p.near_duplicates(spark, frame(spark, rows), "").collect()]
-    want = groups(rows, 4)
+    want = groups(rows, 5)
     assert len(got) == len(want)
     for group in want:
         own = [rows[k] for k in group]
