@@ -156,18 +156,25 @@ def _keys(spark, d):
     return grid.with_cells(view(spark, d, "hotspots").where("hid % 10 = 0")).select("cell_x", "cell_y", days).distinct()
 
 
+def _all_keys(spark, d):
+    """Every cell with a detection on every day from the table's first to its last."""
+    hotspots = view(spark, d, "hotspots")
+    days = hotspots.agg(F.min("rep_date").alias("a"), F.max("rep_date").alias("b")).select(F.explode(F.expr("sequence(to_date(a), to_date(b))")).alias("day"))
+    return grid.with_cells(hotspots).select("cell_x", "cell_y").distinct().crossJoin(F.broadcast(days))
+
+
 @query(f"{H}, {_DAILY}, {_KEYS}, {_RING}, {_sql_trailing('hs', (1, 3, 7), (7,), 60, ('fwi', 'hfi', 'ros'), 'daily')}")
-def trailing_cell_windows(spark, d):
-    return panel.trailing(_keys(spark, d), panel.cell_days(view(spark, d, "hotspots")), "hs", (1, 3, 7), (7,), 60, ("fwi", "hfi", "ros"))
+def trailing_cell_windows(spark, d, keys=_keys):
+    return panel.trailing(keys(spark, d), panel.cell_days(view(spark, d, "hotspots")), "hs", (1, 3, 7), (7,), 60, ("fwi", "hfi", "ros"))
 
 
 _EVENTS = f"ev AS (SELECT cell_x, cell_y, cast(t0 AS date) AS day, count(*) AS n_ignitions, min(agency_code) AS agency_code FROM (SELECT *, {_cell()} FROM f) GROUP BY 1, 2, 3)"
 
 
 @query(f"{_with('revisions', 'hotspots')}, {_FIRST}, {_EVENTS}, evd AS (SELECT cell_x, cell_y, day AS d, n_ignitions AS n FROM ev), {_KEYS}, {_RING}, {_sql_trailing('ig', (7, 30, 365), (7, 365), 365, (), 'evd')}")
-def trailing_ignitions(spark, d):
+def trailing_ignitions(spark, d, keys=_keys):
     daily = panel.ignition_events(view(spark, d, "revisions")).select("cell_x", "cell_y", F.col("day").alias("d"), F.col("n_ignitions").alias("n"))
-    return panel.trailing(_keys(spark, d), daily, "ig", (7, 30, 365), (7, 365), 365)
+    return panel.trailing(keys(spark, d), daily, "ig", (7, 30, 365), (7, 365), 365)
 
 
 @query(f"{R}, {_FIRST}, {_EVENTS} SELECT * FROM ev")
@@ -204,18 +211,38 @@ _KNN = "nb AS (SELECT * FROM (SELECT cell_x, cell_y, aes, sqrt(power(x - (cell_x
 
 
 @query(f"{_with('hotspots', 'obs')}, {_KEYS}, {_SITES}, {_KNN.format(k=5, w='')} SELECT cell_x, cell_y, aes, row_number() OVER (PARTITION BY cell_x, cell_y ORDER BY dist_km, aes) - 1 AS rank, round(dist_km, 6) AS dist_km FROM nb")
-def knn_stations(spark, d):
-    near = grid.nearest(_keys(spark, d), view(spark, d, "obs").select("aes", "lat", "lon").distinct(), 5)
+def knn_stations(spark, d, keys=_keys):
+    near = grid.nearest(keys(spark, d), view(spark, d, "obs").select("aes", "lat", "lon").distinct(), 5)
     return near.withColumn("dist_km", F.round("dist_km", 6)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"{_with('hotspots', 'obs')}, {_KEYS}, {_SITES}, {_KNN.format(k=12, w='WHERE dist_km <= 300')}, j AS (SELECT k.*, dist_km, power(1 / greatest(dist_km, 1), 2) AS w, temp, rh, fwi FROM keys k JOIN nb USING (cell_x, cell_y) JOIN obs o ON o.aes = nb.aes AND o.obs_date = k.day - 1) SELECT cell_x, cell_y, day, {', '.join(f'round(sum({m} * w) / sum(w) FILTER ({m} IS NOT NULL), 6) AS wx_{m}' for m in ('temp', 'rh', 'fwi'))}, count(*) AS wx_n_stations, round(min(dist_km), 6) AS wx_dist_km FROM j GROUP BY 1, 2, 3")
-def idw_interpolation(spark, d):
-    obs, keys = view(spark, d, "obs"), _keys(spark, d)
+def idw_interpolation(spark, d, keys=_keys):
+    obs, keys = view(spark, d, "obs"), keys(spark, d)
     out = panel.station_weather(keys, grid.nearest(keys, obs.select("aes", "lat", "lon").distinct(), 12, 300.0), obs, ("temp", "rh", "fwi"))
     return out.withColumns({c: F.round(c, 6) for c in out.columns if c.startswith("wx_") and c != "wx_n_stations"})
 
 
+@query()
+def trailing_cell_windows_all(spark, d):
+    return trailing_cell_windows(spark, d, _all_keys)
+
+
+@query()
+def trailing_ignitions_all(spark, d):
+    return trailing_ignitions(spark, d, _all_keys)
+
+
+@query()
+def knn_stations_all(spark, d):
+    return knn_stations(spark, d, _all_keys)
+
+
+@query()
+def idw_interpolation_all(spark, d):
+    return idw_interpolation(spark, d, _all_keys)
+
+
 _AREA = f"area AS (SELECT DISTINCT c.cell_x, c.cell_y, v.agency_code FROM (SELECT cell_x, cell_y FROM ev UNION SELECT {_cell()} FROM hotspots) c JOIN vote v USING (cell_x, cell_y))"
 
 
