@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import re
+import json
+import os
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -12,125 +14,165 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitgrid.llm.workspace import cut, gathered, new_path, small_batches
+from pitgrid.llm.workspace import cut, drop, gathered, new_path, remove, small_batches, utf8
 
-#: A white space before a space: only there may a pretoken reach over a space that could be cut at.
-_BLANK_BEFORE_SPACE = re.compile(r"\s ")
-_CUT = re.compile(r"(?<=\S) ")
-#: Stretches without spaces that are pretokens by themselves: letters, digits, punctuation but the apostrophe, one line end.
-_PIECES = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]+|[!-&(-/:-@\\[-`{-~]+|\n(?!\\s)")
-#: Stretches whose ids a worker remembers, in each of two generations.
+#: Pretokens whose ids a worker remembers, in each of two generations.
 REMEMBERED = 350_000
+#: Text that is encoded at once.
+CODED_BYTES = 2 << 20
+LETTER, NUMBER, OTHER, BLANK, UNSURE = range(5)
+#: The contractions that the vocabulary's pattern takes after an apostrophe.
+ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
 _encoders: dict[str, "Encoder"] = {}
 
 
+def kinds_of_characters() -> np.ndarray:
+    """What each code point is to the pattern. UNSURE: white space beyond ASCII, and what is not assigned or has changed since Unicode 3.2."""
+    kinds = np.full(0x110000, UNSURE, np.uint8)
+    for c in range(0x30000):
+        now, then = unicodedata.category(chr(c))[0], unicodedata.ucd_3_2_0.category(chr(c))[0]
+        if now == then and now != "Z":
+            kinds[c] = {"L": LETTER, "N": NUMBER}.get(now, OTHER)
+    kinds[[9, 10, 11, 12, 13, 32]] = BLANK
+    kinds[[*range(0x1C, 0x20), 0x85]] = UNSURE
+    return kinds
+
+
+def pretokens(points: np.ndarray, kinds: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """First characters of the pretokens of documents with the given ends, by their characters' code points and kinds.
+
+    A pretoken is a contraction, a run of letters, of digits or of other characters with one space before it, or white space: of a
+    run before something else, its last character goes with what follows if it is a space and is a pretoken alone if not.
+    """
+    n = len(points)
+    fresh = np.zeros(n + 1, bool)
+    fresh[ends[:-1]] = True
+    fresh[n] = True
+    start = fresh[:-1].copy()
+    start[1:] |= kinds[1:] != kinds[:-1]
+    blank = kinds == BLANK
+    last = blank[:-1] & ~blank[1:] & ~fresh[1:-1]
+    start[:-1] |= last
+    start[np.flatnonzero(last & (points[:-1] == 32)) + 1] = False
+    at = np.flatnonzero((points == 39) & start)
+    if len(at):
+        room = ends[np.searchsorted(ends, at, side="right")] - at
+        first, second = (np.where(room > k, points[np.minimum(at + k, n - 1)], 0) for k in (1, 2))
+        short = np.isin(first, [ord(c) for c in ONE_LETTER])
+        long = np.logical_or.reduce([(first == ord(a)) & (second == ord(b)) for a, b in TWO_LETTERS])
+        hit = short | long
+        start[at[hit] + 1] = False
+        after = at[hit] + np.where(short[hit], 2, 3)
+        start[after[after < n]] = True
+    return np.flatnonzero(start)
+
+
 class Encoder:
-    """Ids of whole texts by a byte-level BPE whose pretokens never span a space that follows a non-space.
+    """Ids of whole texts by a tokenizer of the tokenizers library, as ``encode(text, add_special_tokens=False)`` gives them.
 
-    A text is cut before those spaces, and the stretches between them at changes of letters, digits, punctuation and line ends. Each
-    distinct stretch goes through the tokenizers library, many in one call, and its ids are remembered, up to a bound.
-    Stretches with other characters go through it whole. Special tokens' strings in a text are ordinary text.
+    For a byte-level BPE with the usual pattern, texts are cut into pretokens over whole buffers; each distinct pretoken goes through the
+    library, many in one call, and its ids are remembered, up to a bound. Texts that hold a special token's string or a character whose kind
+    is not sure, and all texts of other tokenizers, go through the library whole.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.spaced: dict[str, bytes] = {}  # by the stretch after a space
-        self.bare: dict[str, bytes] = {}
-        self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
-        if len(self.spaced) + len(self.bare) > REMEMBERED:
-            self.older, self.spaced, self.bare = (self.spaced, self.bare), {}, {}
-        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
-        blank = [i for i, t in enumerate(texts) if _BLANK_BEFORE_SPACE.search(t)]
-        if blank:
-            lists = parts.to_pylist()
-            for i in blank:
-                lists[i] = _CUT.split(texts[i])
-            parts = pa.array(lists, pa.large_list(pa.large_string()))
-        begin = parts.offsets.to_numpy()
-        coded = parts.values.dictionary_encode()
-        distinct, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        heads = self._whole([distinct[k] for k in which[begin[:-1]].tolist()])
-        which = np.delete(which, begin[:-1])
-        own = list(map(self.spaced.get, distinct))
-        missing = [i for i, x in enumerate(own) if x is None]
-        found = self._learn({distinct[i] for i in missing})
-        for i in missing:
-            own[i] = found[distinct[i]]
-        # each stretch's ids one after the other, then those of all stretches in the order of the texts
+        plan = json.loads(self.tokenizer.to_str())
+        before, model = plan["pre_tokenizer"] or {}, plan["model"]
+        self.usual = (
+            before.get("type") == "ByteLevel" and not before["add_prefix_space"] and before.get("use_regex", True) and not plan["normalizer"]
+            and model["type"] == "BPE" and not model["dropout"] and not model["continuing_subword_prefix"] and not model["end_of_word_suffix"]
+        )
+        self.special = [x["content"] for x in plan["added_tokens"]]
+        if self.usual:
+            vocabulary = self.tokenizer.get_vocab()
+            self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+            self.line_end = vocabulary["\u010a"]
+            self.kinds = kinds_of_characters()
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit integers; a null text has none."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        if not self.usual:
+            return self._whole([t or "" for t in column.to_pylist()])
+        data, ends = utf8(column)
+        if not len(data):
+            return [b""] * len(column)
+        points = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4")
+        place = None
+        if len(points) < len(data):
+            place = np.flatnonzero((data & 0xC0) != 0x80)
+            ends = np.searchsorted(place, ends)
+        kinds = self.kinds[points]
+        odd = set((np.searchsorted(ends, np.flatnonzero(kinds == UNSURE), side="right") - 1).tolist())
+        for token in self.special:
+            odd |= set(np.flatnonzero(pc.fill_null(pc.match_substring(column, token), False).to_numpy(zero_copy_only=False)).tolist())
+        if odd:
+            plain = column.to_pylist()
+            found = self.encode(["" if i in odd else t for i, t in enumerate(plain)])
+            for i, ids in zip(sorted(odd), self._whole([plain[i] for i in sorted(odd)]), strict=True):
+                found[i] = ids
+            return found
+        begin = pretokens(points, kinds, ends[np.append(True, np.diff(ends) > 0)])
+        offsets = np.append(begin if place is None else place[begin], len(data)).astype(np.int64)
+        coded = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+        own, which = self._ids(coded.dictionary.to_pylist()), coded.indices.to_numpy()
+        # each pretoken's ids one after the other, then those of all pretokens in the order of the texts
         ids, sizes = np.frombuffer(b"".join(own), "<u4"), np.fromiter(map(len, own), np.int64, len(own)) // 4
-        first = np.cumsum(sizes) - sizes
         n = sizes[which]
-        ends = np.concatenate(([0], np.cumsum(n)))
-        ids = ids[np.repeat(first[which] - ends[:-1], n) + np.arange(ends[-1])]
-        edges = ends[begin - np.arange(len(begin))].tolist()
-        return [head + ids[a:b].tobytes() for head, a, b in zip(heads, edges[:-1], edges[1:], strict=True)]
-
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """Ids of stretches that the younger generation lacks. Compounds are remembered once their first word is known."""
-        spaced, bare, (old_spaced, old_bare) = self.spaced, self.bare, self.older
-        found: dict[str, bytes] = {}
-        firsts, rest, odd = set(), set(), []
-        split: list[tuple[str, list[str]]] = []
-        for w in new:
-            if (ids := old_spaced.get(w)) is not None:
-                spaced[w] = found[w] = ids
-            elif w.isascii() and w.isalpha():
-                firsts.add(w)
-            else:
-                pieces = _PIECES.findall(w)
-                if not pieces or pieces[0] == "\n" or len("".join(pieces)) != len(w):
-                    odd.append(w)
-                    continue
-                firsts.add(pieces[0])
-                rest.update(pieces[1:])
-                split.append((w, pieces))
-        found.update(zip(odd, self._whole([" " + w for w in odd]), strict=True))
-        firsts = [w for w in firsts if w not in spaced]
-        spaced.update((w, old_spaced[w]) for w in firsts if w in old_spaced)
-        fresh = [w for w in firsts if w not in spaced]
-        spaced.update(zip(fresh, self._joined(fresh, " "), strict=True))
-        fresh = set(fresh)
-        rest = [w for w in rest if w not in bare and w != "\n"]
-        bare.update((w, old_bare[w]) for w in rest if w in old_bare)
-        rest = [w for w in rest if w not in bare]
-        bare.update(zip(rest, self._joined(rest, "\n"), strict=True))
-        if "\n" not in bare:
-            bare["\n"] = self._whole(["\n"])[0]
-        for w, pieces in split:
-            found[w] = ids = spaced[pieces[0]] + b"".join([bare[x] for x in pieces[1:]])
-            if len(pieces) > 1 and pieces[0] not in fresh:
-                spaced[w] = ids
-        for w in new:
-            if w not in found:
-                found[w] = spaced[w]
-        return found
-
-    def _joined(self, pieces: list[str], before: str) -> list[bytes]:
-        """Ids of pretokens: with a space before each one the space belongs to it, with a line end it does not."""
+        after = np.concatenate(([0], np.cumsum(n)))
+        ids = ids[np.repeat((np.cumsum(sizes) - sizes)[which] - after[:-1], n) + np.arange(after[-1])]
+        edges = after[np.searchsorted(begin, ends)].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+    def _ids(self, distinct: list[str]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        own = list(map(self.known.get, distinct))
+        missing = [i for i, x in enumerate(own) if x is None]
+        if self.older:
+            for i in missing:
+                own[i] = self.older.get(distinct[i])
+            self.known.update((distinct[i], own[i]) for i in missing if own[i] is not None)
+            missing = [i for i in missing if own[i] is None]
+        groups: tuple[list[str], list[str], list[str]] = ([], [], [])
+        for i in missing:
+            w = distinct[i]
+            groups[0 if w[0] == " " and not w.isspace() else 2 if w.isspace() else 1].append(w)
+        for words, ids in zip(groups, (self._joined(groups[0], ""), self._joined(groups[1], "\n"), self._whole(groups[2])), strict=True):
+            self.known.update(zip(words, ids, strict=True))
+        for i in missing:
+            own[i] = self.known[distinct[i]]
+        return own
+
+    def _joined(self, words: list[str], between: str) -> list[bytes]:
+        """Ids of pretokens, many in one text. Those that begin with a space are told apart by it, the others by line ends between them."""
         out: list[bytes] = []
-        groups = [pieces[i : i + 400] for i in range(0, len(pieces), 400)]
-        texts = [before + before.join(g) for g in groups]
-        for group, e in zip(groups, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-            word = np.array(e.word_ids)
-            edges = [0, *(np.flatnonzero(np.diff(word)) + 1).tolist(), len(word)]
-            if before == "\n":
-                edges = edges[1:]
-            ids = np.array(e.ids, "<u4").tobytes()
-            own = [ids[4 * a : 4 * b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            out += own if before == " " else own[::2]
-            if len(own) != len(group) * (1 if before == " " else 2) - (before != " "):
-                raise ValueError("the tokenizer splits these stretches otherwise")
+        groups = [words[i : i + 400] for i in range(0, len(words), 400)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([between.join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            if between:
+                edge = np.flatnonzero(ids == self.line_end)
+                begin, end = np.append(0, edge + 1), np.append(edge, len(ids))
+            else:
+                begin = np.flatnonzero(self.opens[ids])
+                end = np.append(begin[1:], len(ids))
+            if len(begin) != len(group):
+                raise ValueError("the tokenizer splits these pretokens otherwise")
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip((4 * begin).tolist(), (4 * end).tolist(), strict=True)]
         return out
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -146,18 +188,22 @@ def encoder(path: str) -> Encoder:
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[tuple[list, list[bytes]]]:
     """(doc ids, ids of each text with the end id) for a few documents at a time; null is an empty text."""
     use, tail = encoder(path), struct.pack("<I", end)
-    for few in gathered(batches):
-        yield few.column("doc_id").to_pylist(), [ids + tail for ids in use.encode([t or "" for t in few.column("text").to_pylist()])]
-    use.older = {}, {}
+    for few in gathered(batches, limit=CODED_BYTES):
+        yield few.column("doc_id").to_pylist(), [ids + tail for ids in use.encode(few.column("text"))]
+    use.older = {}
 
 
 # The file: zstandard frames with content checksums, a skippable frame with each frame's first document and number of
-# documents, then the seek table of the zstandard seekable format.
+# documents, then the seek table of the zstandard seekable format (sizes and the low half of the content's XXH64).
 SEEK_MAGIC, SKIPPABLE, INDEX_SKIPPABLE = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 NULL_ID = -(1 << 63)
 FRAME_IDS = 1 << 18
 
 
+def checksum(body: bytes) -> int:
+    return xxhash.xxh64_intdigest(body) & 0xFFFFFFFF
+
+
 class SeekableWriter:
     """Documents in, frames of about FRAME_IDS ids out. Narrow: two bytes an id."""
 
@@ -182,7 +228,7 @@ class SeekableWriter:
         body = struct.pack("<IB", len(self.docs), 2 if self.narrow else 4) + np.array(self.docs, "<i8").tobytes() + np.array(self.lengths, "<u4").tobytes() + ids.astype("<u2" if self.narrow else "<u4").tobytes()
         frame = self.zstd.compress(body)
         self.out.write(frame)
-        self.frames.append((len(frame), len(body), zlib.crc32(body)))
+        self.frames.append((len(frame), len(body), checksum(body)))
         self.index.append((self.docs[0], len(self.docs)))
         self.ids, self.docs, self.lengths, self.held = [], [], [], 0
 
@@ -215,7 +261,7 @@ class SeekableReader:
         size, plain, check = self.frames[k]
         self.file.seek(self.begins[k])
         body = self.zstd.decompress(self.file.read(size), max_output_size=plain)
-        if zlib.crc32(body) != check:
+        if checksum(body) != check:
             raise ValueError(f"frame {k} does not match its checksum")
         n, width = struct.unpack_from("<IB", body)
         docs = np.frombuffer(body, "<i8", n, 5)
@@ -245,20 +291,27 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end: int)
                 n_docs, n_ids = n_docs + 1, n_ids + len(own) // 4
         writer.close()
     if n_docs:
-        fs.move(draft, final)  # a repeated task puts the same bytes in the same place
+        if fs.get_file_info(final).type != pyarrow.fs.FileType.NotFound:
+            fs.delete_file(final)  # of a task that was repeated: the same bytes, and not every store moves onto a file
+        fs.move(draft, final)
         yield pa.RecordBatch.from_pydict({"part": [part], "file": [final.rpartition("/")[2]], "n_docs": [n_docs], "n_ids": [n_ids]})
     else:
         fs.delete_file(draft)
 
 
-def write_token_files(documents: DataFrame, folder: str, path: str, end: int) -> DataFrame:
+def write_token_files(documents: DataFrame, folder: str, path: str, end: int, file_bytes: int = 64 << 20) -> DataFrame:
     """Writes the ids of all documents into folder, ascending by doc_id over the files; returns the list of files (part, file, n_docs, n_ids).
 
     Null ids come first, null texts are empty; rows with equal ids are ordered by a hash of their text. Every document ends with ``end``.
-    Texts are moved once, by ranges of doc_id; each task encodes its range and writes one file through a draft that it renames.
+    Texts are moved once, by ranges of doc_id, so many that a file holds about ``file_bytes`` of text; each task encodes its range and writes
+    one file through a draft that it renames. An empty table gives no files.
     """
-    small_batches(documents.sparkSession)
-    ranged = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    spark = documents.sparkSession
+    small_batches(spark)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-total // file_bytes), min(spark.sparkContext.defaultParallelism, -(-total // (1 << 20))))
+    ranged = docs.repartitionByRange(int(n), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     return cut(ranged.mapInArrow(lambda b: _write(b, folder, path, end), "part long, file string, n_docs long, n_ids long"), "token-files")
 
 
@@ -294,5 +347,11 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
 
 
 def token_table(documents: DataFrame, path: str, end: int = 2) -> DataFrame:
-    folder = new_path(documents.sparkSession, "tokens")
-    return read_token_files(write_token_files(documents, folder, path, end), folder)
+    """The documents of token files that are written, read back and deleted again; see write_token_files and read_token_files."""
+    spark = documents.sparkSession
+    folder = new_path(spark, "tokens")
+    files = write_token_files(documents, folder, path, end)
+    out = cut(read_token_files(files, folder), "token-table")
+    drop(files)
+    remove(spark, folder)
+    return out

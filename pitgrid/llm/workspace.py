@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,21 +22,17 @@ BATCH_ROWS = 400
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or on a local master one of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='pitgrid-')}"
         spark.conf.set("spark.checkpoint.dir", found)
-        atexit.register(_rmtree, found.removeprefix("file://"))
+        atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
     return found.rstrip("/")
 
 
-def _rmtree(path: str) -> None:
-    import shutil
-
-    shutil.rmtree(path, ignore_errors=True)
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -51,10 +49,32 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def drop(df: DataFrame) -> None:
     """Deletes a table of cut() that nothing reads any more."""
-    spark, path = df.sparkSession, getattr(df, "_pitgrid_path", None)
-    if path:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path := getattr(df, "_pitgrid_path", None):
+        remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores before them until no column has one of them, in whatever case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def ddl(df: DataFrame) -> str:
+    return ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema)
 
 
 def small_batches(spark: SparkSession) -> None:
