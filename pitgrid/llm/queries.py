@@ -53,7 +53,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.repeat_report(table(spark, sf_dir, "documents"), least=400)
+    return repeats.repeat_report(table(spark, sf_dir, "documents"), least=400, over=50)
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), end=1).drop("slot")
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), end=1).drop("bin_class")
 
 
 def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +107,7 @@ ORACLES: dict[str, str] = {
         c AS (SELECT id, min(root) AS root FROM r GROUP BY id)
         SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.root AS component_id, c.root = v.vec_id AS kept
         FROM v LEFT JOIN n USING (vec_id) JOIN c ON c.id = v.vec_id""",
-    "op7_suffix_array": """
+    "op7_suffix_array": r"""
         WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
         w AS (SELECT doc_id, j0, md5(substr(h, 2 * j0 + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 399)) AS j0 FROM d WHERE length(h) >= 800)),
         r AS (SELECT doc_id, j0 FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
@@ -116,9 +116,13 @@ ORACLES: dict[str, str] = {
         s AS (SELECT doc_id, min(j0) AS b, max(j0) + 400 AS e FROM i GROUP BY doc_id, run),
         p AS (SELECT doc_id, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS since FROM s),
         k AS (SELECT p.doc_id, string_agg(substr(h, 2 * since + 1, 2 * (b - since)), '' ORDER BY b) || substr(any_value(h), 2 * max(e) + 1) AS kept, sum(e - b) AS n_removed, count(*) AS n_spans FROM p JOIN d USING (doc_id) GROUP BY p.doc_id)
+        , v AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS x FROM documents),
+        g AS (SELECT doc_id, j0, md5(array_to_string(x[j0:j0 + 50], ' ')) AS k FROM (SELECT doc_id, x, unnest(range(1, len(x) - 49)) AS j0 FROM v WHERE len(x) > 50)),
+        y AS (SELECT doc_id, j0 FROM g WHERE k IN (SELECT k FROM g GROUP BY k HAVING count(*) > 1)),
+        z AS (SELECT doc_id, sum(CASE WHEN j0 <= before + 51 THEN 0 ELSE 1 END) AS n FROM (SELECT doc_id, j0, lag(j0) OVER (PARTITION BY doc_id ORDER BY j0) AS before FROM y) GROUP BY doc_id)
         SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(k.n_spans, 0) AS BIGINT) AS n_spans,
-               sha256(unhex(coalesce(k.kept, d.h))) AS kept_sha256
-        FROM d LEFT JOIN k USING (doc_id)""",
+               sha256(unhex(coalesce(k.kept, d.h))) AS kept_sha256, CAST(coalesce(z.n, 0) AS BIGINT) AS n_passages, coalesce(z.n, 0) > 0 AS has_passage
+        FROM d LEFT JOIN k USING (doc_id) LEFT JOIN z USING (doc_id)""",
     "op10_revisits": r"""
         WITH u AS (SELECT page_id, url, html, regexp_replace(regexp_replace(url, '(?s)#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM pages),
         q AS (SELECT *, array_to_string(list_sort(list_filter(string_split(regexp_replace(regexp_extract(rest, '(?s)[?].*$'), '^[?]', ''), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|gclid|fbclid|ref)(=|$)'))), '&') AS query FROM u),

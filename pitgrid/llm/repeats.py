@@ -1,30 +1,67 @@
-"""Exact repeats of at least a given number of bytes, by common-prefix interval trees over enhanced suffix arrays.
-
-Each window of ``least`` bytes is handed to the class of its minimiser: the gram with the smallest hash among the grams inside it. Equal windows
-have equal minimisers, so they meet; neighbouring windows with one minimiser stay one segment of text. Only classes with
-more than one distinct segment are looked at. A class's segments, cut at the minimiser, are suffixes in order; a stack
-scan of their common prefixes gives the tree of intervals, and in each interval the common left extensions of all members,
-not just neighbours, give the maximal repeats.
+"""Exact repeats of at least a given length, by common-prefix interval trees over enhanced suffix arrays.
+
+A text is a sequence of symbols: its bytes, or its words. Each window of ``least`` symbols is handed to the class of its minimiser: the gram
+with the smallest hash among the grams inside it. Equal windows have equal minimisers, so they meet; neighbouring windows with one minimiser
+stay one segment of text, and a segment that occurs at several places is repeated as a whole. The other segments of a class, cut at the minimiser,
+are suffixes in order: a stack scan of their common prefixes gives the tree of intervals, and in each interval the common left extensions of
+all members, not just neighbours, give the maximal repeats.
+
+A class of very many different segments never meets in one task: it is divided by longer context. Two segments that share ``least`` symbols
+around their gram share at least half of what the gram lacks on its left or on its right, so they meet again in the class of the gram
+extended to the left or in that of the gram extended to the right. What lies too far off for such a class is trimmed, which makes segments
+equal again, and a gram of ``least`` symbols is all that its class can share, so this ends.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitgrid.llm.words import SOLID, mix, powers, prefix_hashes, words_of
-from pitgrid.llm.workspace import SHARD_BYTES, cut, drop, gathered, small_batches, utf8
+from pitgrid.llm.workspace import SHARD_BYTES, cut, ddl, drop, fresh, gathered, quoted, small_batches, utf8
 
-GRAM = 100
 CHUNK = 1 << 19
+#: Bytes of keys that may be broadcast; a key is three 64-bit values.
+KEY_BYTES, KEY_SIZE = 8 << 20, 24
 _PLACE = np.uint64((1 << 24) - 1)
 
 
+class Unit(NamedTuple):
+    """What a repeat is measured in: symbols of ``width`` bytes, windows of ``least`` symbols, minimisers of ``gram``."""
+
+    least: int
+    gram: int
+    width: int
+
+    def symbols(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, ends = utf8(column)
+        if self.width == 1:
+            return data, ends
+        words = words_of(data, ends, SOLID, lower=False)
+        return words.key, np.searchsorted(words.doc, np.arange(len(column) + 1))
+
+    def raw(self, symbols: np.ndarray) -> bytes:
+        return symbols.tobytes() if self.width == 1 else symbols.astype(">u8").tobytes()
+
+    @property
+    def least_bytes(self) -> int:
+        return self.least if self.width == 1 else 2 * self.least - 1
+
+
+def of_bytes(least: int, gram: int = 100) -> Unit:
+    return Unit(least, min(gram, least), 1)
+
+
+def of_words(least: int, gram: int = 16) -> Unit:
+    return Unit(least, min(gram, least), 8)
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` consecutive values, from running minima of blocks in both directions."""
     n = len(x)
@@ -36,8 +73,9 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], forth[width - 1 : n])
 
 
-def segments(data: np.ndarray, ends: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(class, document, first window, windows, minimiser's distance from the first window) of all runs of windows with one minimiser."""
+def segments(data: np.ndarray, ends: np.ndarray, unit: Unit) -> tuple[np.ndarray, ...]:
+    """(class, content hash, document, start, size, minimiser's distance from the start) of all runs of windows with one minimiser."""
+    least, gram = unit.least, unit.gram
     out: list[tuple[np.ndarray, ...]] = []
     stop = np.repeat(ends[1:], np.diff(ends)) if len(data) else np.zeros(0, np.int64)
     for at in range(0, max(0, len(data) - least + 1), CHUNK):
@@ -49,52 +87,40 @@ def segments(data: np.ndarray, ends: np.ndarray, least: int, gram: int) -> tuple
         at_ = (sliding_min(order, least - gram + 1) & _PLACE).astype(np.int64)
         start = np.arange(at, at + windows)
         valid = start + least <= stop[at : at + windows]
-        new = valid.copy()
+        # runs never reach over documents: with a minimiser in common their windows overlap, and those between documents are not valid
+        new, end = valid.copy(), valid.copy()
         new[1:] &= (at_[1:] != at_[:-1]) | ~valid[:-1]
-        end = valid.copy()
         end[:-1] &= (at_[1:] != at_[:-1]) | ~valid[1:]
-        # a document's last window and the next one's first are never neighbours: least - 1 positions between them are not valid, unless least is 1
         first, last = np.flatnonzero(new), np.flatnonzero(end)
         pick = at_[first]
         doc = np.searchsorted(ends, start[first], side="right") - 1
-        out.append((mix(grams[pick] ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64), doc, start[first] - ends[doc], last - first + 1, pick - first))
+        content = mix((sums[last + least] - sums[first]) * inverse[first])
+        out.append((mix(grams[pick] ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64), content.view(np.int64), doc, start[first] - ends[doc], last - first + least, pick - first))
     if not out:
-        return (np.zeros(0, np.int64),) * 5
+        return (np.zeros(0, np.int64),) * 6
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _anchors(batches: Iterator[pa.RecordBatch], least: int, gram: int) -> Iterator[pa.RecordBatch]:
-    for shard in gathered(batches, limit=CHUNK * 2):
-        cls, doc, start, windows, off = segments(*utf8(shard.column("text")), least, gram)
+def _anchors(batches: Iterator[pa.RecordBatch], unit: Unit) -> Iterator[pa.RecordBatch]:
+    for shard in gathered(batches):
+        cls, content, doc, start, size, off = segments(*unit.symbols(shard.column("text")), unit)
         own = pa.array(doc)
-        yield pa.RecordBatch.from_pydict({"cls": cls, "t": shard.column("t").take(own), "u": shard.column("u").take(own), "start": start, "windows": windows.astype(np.int32), "off": off.astype(np.int32)})
+        yield pa.RecordBatch.from_pydict({"cls": cls, "h": content, "size": size.astype(np.int32), "off": off.astype(np.int32), "t": shard.column("t").take(own), "u": shard.column("u").take(own), "start": start})
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, int, int, pa.StructArray]]:
-    """(bytes, t, u, wanted segments) of each row; the segments stay in Arrow, as a repetitive text has nearly one for each of its bytes."""
+def _pieces(batches: Iterator[pa.RecordBatch], unit: Unit) -> Iterator[pa.RecordBatch]:
+    """The symbols of each wanted segment of each text, in batches of about SHARD_BYTES: a segment has under 2 * least symbols."""
+    step = max(1, SHARD_BYTES // (2 * unit.least * unit.width))
     for batch in batches:
         for k in range(batch.num_rows):
-            text, t, u = ((batch.column(c)[k].as_py()) for c in ("text", "t", "u"))
-            yield (text or "").encode("utf-8", "surrogatepass"), t, u, batch.column("wanted").slice(k, 1).flatten()
-
-
-def _pieces(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """The bytes of each wanted segment of each text, in batches of about SHARD_BYTES: a segment has under 2 * least bytes."""
-    step = max(1, SHARD_BYTES // (2 * least))
-    for text, t, u, wanted in _texts(batches):
-        for at in range(0, len(wanted), step):
-            part = wanted.slice(at, step)
-            start, windows = (part.field(c).to_pylist() for c in ("start", "windows"))
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "cls": part.field("cls"),
-                    "t": pa.array([t] * len(part), pa.int64()),
-                    "u": pa.array([u] * len(part), pa.int64()),
-                    "start": part.field("start"),
-                    "off": part.field("off"),
-                    "bytes": pa.array([text[b : b + n + least - 1] for b, n in zip(start, windows, strict=True)], pa.binary()),
-                }
-            )
+            t, u = (batch.column(c)[k].as_py() for c in ("t", "u"))
+            symbols, _ = unit.symbols(batch.column("text").slice(k, 1))
+            wanted = batch.column("wanted").slice(k, 1).flatten()
+            for at in range(0, len(wanted), step):
+                part = wanted.slice(at, step)
+                start, size = (part.field(c).to_pylist() for c in ("start", "size"))
+                own = {c: part.field(c) for c in ("cls", "start", "off", "several", "crowded")}
+                yield pa.RecordBatch.from_pydict(own | {"t": pa.array([t] * len(part), pa.int64()), "u": pa.array([u] * len(part), pa.int64()), "raw": pa.array([unit.raw(symbols[b : b + n]) for b, n in zip(start, size, strict=True)], pa.binary())})
 
 
 def shared(a: bytes, b: bytes) -> int:
@@ -120,48 +146,56 @@ def intervals(common: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((c, begin))
 
 
-def maximal_repeats(rights: list[bytes], lefts: list[bytes], least: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+def maximal_repeats(rights: list[bytes], lefts: list[bytes], least: int, width: int = 1) -> Iterator[tuple[int, list[tuple[int, int]]]]:
     """(right length, [(member, left length)]) with left + right >= least, for the intervals whose members' left contexts differ.
 
-    rights: from the common gram on; lefts: before it, reversed. A member's left length is the longest left context that it shares with any
-    other member of the interval.
+    rights: from the common gram on; lefts: before it, its symbols in reverse; lengths are in symbols. A member's left length is the longest left
+    context that it shares with any other member of the interval.
     """
     order = sorted(range(len(rights)), key=rights.__getitem__)
-    common = [shared(rights[a], rights[b]) for a, b in zip(order[:-1], order[1:], strict=True)]
+    common = [shared(rights[a], rights[b]) // width for a, b in zip(order[:-1], order[1:], strict=True)]
     for length, begin, end in intervals(common):
-        members = sorted(order[begin : end + 1], key=lefts.__getitem__)
-        if length + len(lefts[members[-1]]) < least and length + max(len(lefts[m]) for m in members) < least:
+        own = order[begin : end + 1]
+        if length + max(len(lefts[m]) for m in own) // width < least:
             continue
-        near = [0, *(shared(lefts[a], lefts[b]) for a, b in zip(members[:-1], members[1:], strict=True)), 0]
+        members = sorted(own, key=lefts.__getitem__)
+        near = [0, *(shared(lefts[a], lefts[b]) // width for a, b in zip(members[:-1], members[1:], strict=True)), 0]
         group = [(m, max(near[k], near[k + 1])) for k, m in enumerate(members)]
         group = [(m, left) for m, left in group if left + length >= least]
         if len(group) > 1:
             yield length, group
 
 
-def _class_spans(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def reversed_symbols(raw: bytes, width: int) -> bytes:
+    return raw[::-1] if width == 1 else np.frombuffer(raw, ">u8")[::-1].tobytes()
+
+
+def _class_spans(batches: Iterator[pa.RecordBatch], unit: Unit) -> Iterator[pa.RecordBatch]:
     """Rows come class by class; a class is held in memory."""
-    held: list[tuple[int, int, int, int, bytes]] = []
+    held: list[tuple[int, int, int, int, bool, bytes]] = []
     last = None
     out: list[tuple[int, int, int, int]] = []
+    width = unit.width
 
     def done() -> None:
-        rows = list({r[:3]: r for r in held}.values())
+        if len(held) < 2:
+            return
         # all of a member's repeats hold its common gram, so their union is one span: deeply nested intervals cost no memory
         best: dict[int, tuple[int, int]] = {}
-        for length, group in maximal_repeats([r[4][r[3] :] for r in rows], [r[4][: r[3]][::-1] for r in rows], least):
+        for length, group in maximal_repeats([r[5][width * r[3] :] for r in held], [reversed_symbols(r[5][: width * r[3]], width) for r in held], unit.least, width):
             for member, left in group:
                 wide = best.get(member, (0, 0))
                 best[member] = max(left, wide[0]), max(length, wide[1])
         for member, (left, length) in best.items():
-            t, u, start, off, _ = rows[member]
-            out.append((t, u, start + off - left, start + off + length))
+            t, u, start, off, several, _ = held[member]
+            if not several:
+                out.append((t, u, start + off - left, start + off + length))
 
     def batch_of(rows: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["t", "u", "b", "e"])
 
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("cls", "t", "u", "start", "off", "bytes")]
+        columns = [batch.column(c).to_pylist() for c in ("cls", "t", "u", "start", "off", "several", "raw")]
         for cls, *row in zip(*columns, strict=True):
             if cls != last and held:
                 done()
@@ -177,81 +211,114 @@ def _class_spans(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.R
         yield batch_of(out)
 
 
-def _window_hashes(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Two hashes of every window of the wanted segments, computed over stretches of the text that neighbouring segments share."""
-    for text, t, u, wanted in _texts(batches):
-        start, windows = (wanted.field(c).to_numpy() for c in ("start", "windows"))
-        first = np.repeat(start - np.cumsum(windows) + windows, windows)
-        at = np.sort(first + np.arange(len(first)))
-        data = np.frombuffer(text, np.uint8)
-        for low in range(0, len(data), CHUNK // 8):
-            own = at[np.searchsorted(at, low) : np.searchsorted(at, low + CHUNK // 8)] - low
-            if not len(own):
-                continue
-            part = data[low : low + CHUNK // 8 + least - 1]
-            both = []
-            for turn in (part, part ^ np.uint8(0x5A)):
-                sums, (_, inverse) = prefix_hashes(turn), powers(len(turn))
-                both.append(mix((sums[own + least] - sums[own]) * inverse[own]).view(np.int64))
-            yield pa.RecordBatch.from_pydict({"w1": both[0], "w2": both[1], "t": np.full(len(own), t), "u": np.full(len(own), u), "b": own + low})
+def _divided(batches: Iterator[pa.RecordBatch], unit: Unit) -> Iterator[pa.RecordBatch]:
+    """Each segment in the classes of its gram extended to the left and to the right, trimmed to what such a class can share."""
+    width, least = unit.width, unit.least
+    for batch in batches:
+        out: dict[str, list] = {c: [] for c in ("cls", "h", "size", "off", "t", "u", "start", "known", "raw", "left", "right")}
+        names = ("cls", "t", "u", "start", "off", "several", "raw", "left", "right")
+        for cls, t, u, start, off, several, raw, left, right in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            lack, size = least - left - right, len(raw) // width
+            more = -(-lack // 2)
+            for side, l, r in (("L", left + more, right), ("R", left, right + lack - more + 1)):
+                if lack < 1 or l > off or r > size - off:
+                    continue
+                spare = max(0, least - l - r)
+                begin, end = max(0, off - l - spare), min(size, off + r + spare)
+                if end - begin < least:
+                    continue
+                gram, own = raw[width * (off - l) : width * (off + r)], raw[width * begin : width * end]
+                digest = hashlib.blake2b(gram, digest_size=8, key=b"%d%s" % (cls, side.encode())).digest()
+                content = hashlib.blake2b(own, digest_size=8).digest()
+                row = (int.from_bytes(digest, "little", signed=True), int.from_bytes(content, "little", signed=True), end - begin, off - begin, t, u, start + begin, several, own, l, r)
+                for values, value in zip(out.values(), row, strict=True):
+                    values.append(value)
+        yield pa.RecordBatch.from_pydict({c: pa.array(v, _TYPES.get(c, pa.int64())) for c, v in out.items()})
+
+
+_TYPES = {"size": pa.int32(), "off": pa.int32(), "known": pa.bool_(), "raw": pa.binary(), "left": pa.int32(), "right": pa.int32()}
+_DIVIDED = "cls long, h long, size int, off int, t long, u long, start long, known boolean, raw binary, left int, right int"
+CONTENT, PLACE = ["cls", "h", "size", "off"], ["t", "u", "start"]
+
+
+def _settled(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(spans of the segments that occur at several places, one place of each content of the classes left to compare, those classes).
+
+    Contents are told apart by class, size, place of the gram and a hash. What is joined back to skewed rows is a table, so that both sides of the
+    join are shuffled and a crowded key can be split.
+    """
+    place = F.struct(*PLACE)
+    contents = rows.groupBy(*CONTENT).agg(F.min(place).alias("low"), F.max(place).alias("high"), F.max("known").alias("known"))
+    contents = cut(contents.selectExpr(*CONTENT, "low.t as t", "low.u as u", "low.start as start", "known or low <> high as several"), "contents")
+    mixed = cut(contents.groupBy("cls").agg(F.count("*").alias("n"), F.min("several").alias("all")).where("n > 1 and not all").select("cls", (F.col("n") > limit).alias("crowded")), "mixed")
+    several = cut(contents.where("several").select(*CONTENT), "several")
+    spans = rows.where("not known").join(several, CONTENT).selectExpr("t", "u", "start as b", "start + size as e").distinct()
+    return spans, contents.join(mixed, "cls"), mixed
 
 
 def runs(spans: DataFrame, stretch: int = 4096) -> DataFrame:
-    """(t, u, b, e) -> the same bytes in few rows: spans that begin in one stretch of a text are merged where they meet.
+    """(t, u, b, e) -> the same symbols in few rows: spans that begin in one stretch of a text are merged where they meet.
 
-    A text's spans are never gathered as they are: there can be one for each of its bytes, here at most one for each ``least`` bytes remain.
+    A text's spans are never gathered as they are: there can be one for each of its bytes, here at most one for each ``least`` symbols remain.
     """
     own = Window.partitionBy("t", "u", "_at").orderBy("b", "e")
     spans = spans.withColumn("_at", F.expr(f"b div {stretch}"))
-    fresh = spans.withColumn("_new", F.coalesce(F.col("b") > F.max("e").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
-    return fresh.withColumn("_run", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0))).groupBy("t", "u", "_at", "_run").agg(F.min("b").alias("b"), F.max("e").alias("e")).drop("_at", "_run")
+    fresh_ = spans.withColumn("_new", F.coalesce(F.col("b") > F.max("e").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
+    return fresh_.withColumn("_run", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0))).groupBy("t", "u", "_at", "_run").agg(F.min("b").alias("b"), F.max("e").alias("e")).drop("_at", "_run")
+
+
+def identity(text: str = "text") -> tuple[Column, Column]:
+    """Two hashes of a text and its length, in two longs; null is an empty text."""
+    own = F.coalesce(F.col(text), F.lit(""))
+    return F.xxhash64(own), F.crc32(own.cast("binary")) * (1 << 31) + F.octet_length(own)
 
 
 def keyed(documents: DataFrame) -> DataFrame:
-    """With t, u: the text's identity (two hashes and its length)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return documents.withColumns({"t": F.xxhash64(text), "u": F.crc32(text.cast("binary")) * (1 << 31) + F.octet_length(text)})
+    return documents.withColumns(dict(zip("tu", identity(), strict=True)))
 
 
-def repeat_spans(documents: DataFrame, least: int = 400, gram: int = GRAM, class_limit: int = 20_000, few: int = 400_000) -> tuple[DataFrame, DataFrame]:
-    """(texts with repeats: t, u, spans array<struct<b, e>> unmerged; texts that several rows share: t, u, copies).
+def repeat_spans(documents: DataFrame, unit: Unit, class_limit: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """(texts with repeats: t, u, rep, spans array<struct<b, e>> unmerged, in symbols; texts that several rows share: t, u, copies).
 
-    Spans are bytes covered by a string of ``least`` bytes that starts elsewhere in the texts too. Of equal texts one stands for all;
-    texts that several rows share and that have ``least`` bytes are repeated as a whole, whatever their spans say.
-    Classes of more than ``class_limit`` segments do not meet in one task: their windows are compared by hashes in an aggregate instead.
+    Spans are symbols covered by a string of ``least`` symbols that starts elsewhere in the texts too. Of equal texts one stands for all;
+    texts that several rows share and that have ``least`` symbols are repeated as a whole, whatever their spans say.
+    ``class_limit``: the most different segments that a task compares at once; the result does not depend on it.
     """
     spark = documents.sparkSession
     small_batches(spark)
-    gram = min(gram, least)
-    docs = keyed(documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text"))
-    anchors = cut(docs.where(f"octet_length(text) >= {least}").select("text", "t", "u").mapInArrow(lambda b: _anchors(b, least, gram), "cls long, t long, u long, start long, windows int, off int"), "anchors")
+    docs = keyed(documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")).where(f"octet_length(text) >= {unit.least_bytes}")
+    anchors = cut(docs.select("text", "t", "u").mapInArrow(lambda b: _anchors(b, unit), "cls long, h long, size int, off int, t long, u long, start long").withColumn("known", F.lit(False)), "anchors")
     texts = cut(docs.groupBy("t", "u").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "texts")
-    place = F.struct("t", "u", "start")
-    # a table, so that the join's sides are both shuffled and a crowded class can be split
-    several = cut(anchors.groupBy("cls").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("cls"), "several")
-    hits = cut(anchors.join(several, "cls").distinct(), "hits")
+    whole, left, mixed = _settled(anchors, class_limit)
+    whole = cut(whole, "whole-segments")
     drop(anchors)
-    crowded = hits.groupBy("cls").count().where(f"count > {class_limit}").select("cls", F.lit(True).alias("crowded"))
-    wanted = hits.join(crowded, "cls", "left").groupBy("t", "u").agg(F.collect_list(F.struct("cls", "start", "windows", "off", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("wanted")).join(texts.select("t", "u", "rep"), ["t", "u"])
+    wanted = left.groupBy("t", "u").agg(F.collect_list(F.struct("cls", "start", "size", "off", "several", "crowded")).alias("wanted")).join(texts.select("t", "u", "rep"), ["t", "u"])
     wanted = cut(wanted, "wanted")
-    chosen = chosen_texts(docs, wanted.select("t", "u", F.col("rep").alias("doc_id")), few)
+    chosen = chosen_texts(docs, wanted.select("t", "u", F.col("rep").alias("doc_id")))
     pieces = chosen.join(wanted.withColumnRenamed("rep", "doc_id"), ["t", "u", "doc_id"]).select("text", "t", "u", "wanted")
-    shape = "cls long, t long, u long, start long, off int, bytes binary"
-    usual = pieces.withColumn("wanted", F.expr("filter(wanted, x -> not x.crowded)")).where("size(wanted) > 0").mapInArrow(lambda b: _pieces(b, least), shape)
-    spans = usual.repartition("cls").sortWithinPartitions("cls").mapInArrow(lambda b: _class_spans(b, least), "t long, u long, b long, e long")
-    if not crowded.isEmpty():
-        dense = pieces.withColumn("wanted", F.expr("filter(wanted, x -> x.crowded)")).where("size(wanted) > 0")
-        windows = cut(dense.mapInArrow(lambda b: _window_hashes(b, least), "w1 long, w2 long, t long, u long, b long"), "windows")
-        place = F.struct("t", "u", "b")
-        twice = windows.groupBy("w1", "w2").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("w1", "w2")
-        spans = spans.unionByName(windows.join(twice, ["w1", "w2"]).selectExpr("t", "u", "b", f"b + {least} as e"))
+    shape = "cls long, start long, off int, several boolean, crowded boolean, t long, u long, raw binary"
+    pieces = cut(pieces.mapInArrow(lambda b: _pieces(b, unit), shape), "pieces").withColumns({"left": F.lit(0), "right": F.lit(unit.gram)})
+    found = [whole, _compared(pieces, unit)]
+    while not mixed.where("crowded").isEmpty():
+        rows = cut(pieces.where("crowded").mapInArrow(lambda b: _divided(b, unit), _DIVIDED), "divided")
+        more, left, mixed = _settled(rows, class_limit)
+        pieces = cut(rows.join(left.select(*CONTENT, *PLACE, "several", "crowded"), [*CONTENT, *PLACE]), "divided-pieces")
+        found += [cut(more, "whole-segments"), _compared(pieces, unit)]
+    spans = found[0]
+    for more in found[1:]:
+        spans = spans.unionByName(more)
     spans = cut(runs(spans).groupBy("t", "u").agg(F.collect_list(F.struct("b", "e")).alias("spans")).join(texts.select("t", "u", "rep"), ["t", "u"]), "spans")
     return spans, texts.where("copies > 1").select("t", "u", "copies")
 
 
-def chosen_texts(docs: DataFrame, keys: DataFrame, few: int) -> DataFrame:
-    """docs(t, u, doc_id, ...) that are in keys: by a broadcast of at most ``few`` keys, else by a shuffle."""
-    return docs.join(F.broadcast(keys) if keys.count() <= few else keys, ["t", "u", "doc_id"], "left_semi")
+def _compared(pieces: DataFrame, unit: Unit) -> DataFrame:
+    usual = pieces.where("not crowded").select("cls", "t", "u", "start", "off", "several", "raw")
+    return usual.repartition("cls").sortWithinPartitions("cls").mapInArrow(lambda b: _class_spans(b, unit), "t long, u long, b long, e long")
+
+
+def chosen_texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs(t, u, doc_id, ...) that are in keys: by a broadcast of at most KEY_BYTES of keys, else by a shuffle."""
+    return docs.join(F.broadcast(keys) if KEY_SIZE * keys.count() <= KEY_BYTES else keys, ["t", "u", "doc_id"], "left_semi")
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -269,6 +336,12 @@ def left_over(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(ends, [*(b for b, _ in spans), len(text)], strict=True))
 
 
+def word_edges(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of words as spans of bytes, from the first word's start to the last one's end."""
+    words = words_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]), SOLID, lower=False)
+    return [(int(words.start[b]), int(words.end[e - 1])) for b, e in spans]
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -279,146 +352,80 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"t": batch.column("t"), "u": batch.column("u"), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(n, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
 
 
-def repeat_report(documents: DataFrame, least: int = 400, few: int = 400_000, **options) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+def repeat_report(documents: DataFrame, least: int = 400, gram: int = 100, over: int | None = None, **options) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256[, n_passages, has_passage].
 
     documents(doc_id, text); other columns are ignored. Null texts are empty; nothing is removed from texts shorter than ``least`` bytes. Every
-    occurrence of a repeat goes, the first too. Repeated rows, null ids included, are copies of each other.
+    occurrence of a repeat goes, the first too. Repeated rows, null ids included, are copies of each other. An empty table gives no rows.
+    With ``over``, the maximal runs of words in passages of more than so many whole words that occur elsewhere too are counted as well, however few their
+    bytes; they change nothing else. A text that several rows share is one such passage if it is long enough.
     """
-    spans, copied = repeat_spans(documents, least, few=few, **options)
+    spans, copied = repeat_spans(documents, of_bytes(least, gram), **options)
     docs = keyed(documents.select("doc_id", "text"))
     own = docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
-    some = chosen_texts(own, spans.select("t", "u", F.col("rep").alias("doc_id")), few).join(spans.withColumnRenamed("rep", "doc_id"), ["t", "u", "doc_id"]).select("t", "u", "text", "spans")
+    keys = spans.withColumnRenamed("rep", "doc_id")
+    some = chosen_texts(own, keys.select("t", "u", "doc_id")).join(keys, ["t", "u", "doc_id"]).select("t", "u", "text", "spans")
     cuts = some.mapInArrow(_digests, "t long, u long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["t", "u"])
-    verdicts = cut(cuts.join(copied, ["t", "u"], "full"), "verdicts")
-    base = docs.selectExpr("doc_id", "cast(coalesce(octet_length(text), 0) as long) as n_bytes", "sha2(coalesce(text, ''), 256) as sha", "t", "u")
+    verdicts = cuts.join(copied, ["t", "u"], "full")
+    if over is not None:
+        passages, again = repeat_spans(documents, of_words(over + 1), **options)
+        counted = passages.select("t", "u", _number_of_runs("spans").alias("passages")).join(again.selectExpr("t", "u", "copies as again"), ["t", "u"], "full")
+        verdicts = verdicts.join(counted, ["t", "u"], "full")
+    verdicts = cut(verdicts, "verdicts")
+    base = docs.selectExpr("doc_id", "cast(coalesce(octet_length(text), 0) as long) as n_bytes", "sha2(coalesce(text, ''), 256) as sha", "t", "u", *["text"] * (over is not None))
     whole = f"(copies > 1 and n_bytes >= {least})"
-    return base.join(verdicts, ["t", "u"], "left").selectExpr(
+    out = base.join(verdicts, ["t", "u"], "left").selectExpr(
         "doc_id",
         "n_bytes",
         f"if({whole}, n_bytes, coalesce(n_removed, 0L)) as n_removed",
         f"if({whole}, 1L, coalesce(n_spans, 0L)) as n_spans",
         f"if({whole}, sha2('', 256), coalesce(kept_sha256, sha)) as kept_sha256",
+        *([f"if(again > 1 and {_more_words(over)}, 1L, coalesce(passages, 0L)) as n_passages"] if over is not None else []),
     )
+    return out.withColumn("has_passage", F.col("n_passages") > 0) if over is not None else out
+
+
+def _number_of_runs(spans: str) -> Column:
+    step = "if(x.b > s.at, struct(x.e as at, s.n + 1 as n), struct(greatest(s.at, x.e) as at, s.n as n))"
+    return F.expr(f"aggregate(array_sort({spans}), struct(-1L as at, 0L as n), (s, x) -> {step}, s -> s.n)")
 
 
-def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _more_words(over: int, text: str = "text") -> str:
+    return rf"size(filter(split({text}, '[ \\t-\\r]+'), x -> x <> '')) > {over}"
+
+
+def _rewrite(batches: Iterator[pa.RecordBatch], unit: Unit, spans_name: str, whole_name: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        for k, (spans, whole) in enumerate(zip(batch.column("_spans").to_pylist(), batch.column("_whole").to_pylist(), strict=True)):
+        for k, (spans, whole) in enumerate(zip(batch.column(spans_name).to_pylist(), batch.column(whole_name).to_pylist(), strict=True)):
             if whole:
                 texts[k] = ""
             elif spans:
-                texts[k] = left_over(texts[k].encode("utf-8", "surrogatepass"), merged(spans)).decode("utf-8", "ignore")
+                raw, spans = texts[k].encode("utf-8", "surrogatepass"), merged(spans)
+                texts[k] = left_over(raw, spans if unit.width == 1 else word_edges(raw, spans)).decode("utf-8", "ignore")
         at = batch.schema.get_field_index("text")
-        yield batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.string())).drop_columns(["_t", "_u", "_spans", "_whole"])
-
-
-def without_repeats(documents: DataFrame, least: int = 400, **options) -> DataFrame:
-    """documents with their repeats cut out of the text; characters that a cut splits go too; other columns, null texts and the rows stay."""
-    spans, copied = repeat_spans(documents, least, **options)
-    marks = spans.select("t", "u", "spans").join(copied, ["t", "u"], "full").selectExpr("t as _t", "u as _u", "spans as _spans", "copies as _copies")
-    marks = cut(marks, "marks")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    docs = documents.withColumns({"_t": F.xxhash64(text), "_u": F.crc32(text.cast("binary")) * (1 << 31) + F.octet_length(text)}).join(marks, ["_t", "_u"], "left")
-    docs = docs.select(*[F.col(f"`{c.replace('`', '``')}`") for c in documents.columns], "_t", "_u", "_spans", F.expr(f"coalesce(_copies > 1 and octet_length(text) >= {least}, false)").alias("_whole"))
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in documents.schema)
-    return docs.mapInArrow(_rewrite, schema)
+        yield batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.string())).drop_columns([spans_name, whole_name])
 
 
-def _word_blocks(data: np.ndarray, start: np.ndarray, end: np.ndarray, over: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first word, bytes, starts, ends) of stretches of words; neighbours share ``over`` words, so each window of over + 1 words lies in one."""
-    step = CHUNK // 8
-    for at in range(0, max(0, len(start) - over), step):
-        a, b = start[at : at + step + over], end[at : at + step + over]
-        yield at, data[a[0] : b[-1]], a - a[0], b - a[0]
+def _without(documents: DataFrame, unit: Unit, long_enough: str, options: dict) -> DataFrame:
+    spans, copied = repeat_spans(documents, unit, **options)
+    t, u, own, copies, whole = fresh(documents.columns, "t", "u", "spans", "copies", "whole")
+    marks = cut(spans.select("t", "u", "spans").join(copied, ["t", "u"], "full").selectExpr(f"t as {t}", f"u as {u}", f"spans as {own}", f"copies as {copies}"), "marks")
+    docs = documents.withColumns(dict(zip((t, u), identity(), strict=True))).join(marks, [t, u], "left")
+    docs = docs.select(*[F.col(quoted(c)) for c in documents.columns], own, F.expr(f"if({copies} > 1, {long_enough}, false)").alias(whole))
+    return docs.mapInArrow(lambda b: _rewrite(b, unit, own, whole), ddl(documents))
 
 
-def _range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    sums, (_, inverse) = prefix_hashes(data), powers(len(data))
-    return mix((sums[end] - sums[start]) * inverse[start])
+def without_repeats(documents: DataFrame, least: int = 400, gram: int = 100, **options) -> DataFrame:
+    """documents with their repeats cut out of the text; characters that a cut splits go too; other columns, null texts and the rows stay."""
+    return _without(documents, of_bytes(least, gram), f"octet_length(text) >= {least}", options)
 
 
-def _word_anchors(batches: Iterator[pa.RecordBatch], over: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Runs of windows of over + 1 words that have one minimiser among their grams of ``gram`` words: class, text, first word, windows."""
-    for shard in gathered(batches):
-        data, ends = utf8(shard.column("text"))
-        words = words_of(data, ends, SOLID)
-        base = np.searchsorted(words.doc, np.arange(shard.num_rows))
-        for at, part, start, end in _word_blocks(data, words.start, words.end, over):
-            grams = _range_hashes(part, start[: len(start) - gram + 1], end[gram - 1 :])
-            order = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
-            pick = (sliding_min(order, over - gram + 2) & _PLACE).astype(np.int64)
-            doc = words.doc[at : at + len(pick)]
-            valid = doc == words.doc[at + over : at + over + len(pick)]
-            new, last = valid.copy(), valid.copy()
-            other = (pick[1:] != pick[:-1]) | (doc[1:] != doc[:-1])
-            new[1:] &= other | ~valid[:-1]
-            last[:-1] &= other | ~valid[1:]
-            first, last = np.flatnonzero(new), np.flatnonzero(last)
-            own = pa.array(doc[first])
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "cls": mix(grams[pick[first]] ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64),
-                    "t": shard.column("t").take(own),
-                    "u": shard.column("u").take(own),
-                    "start": at + first - base[doc[first]],
-                    "windows": (last - first + 1).astype(np.int32),
-                }
-            )
-
-
-def _word_windows(batches: Iterator[pa.RecordBatch], over: int) -> Iterator[pa.RecordBatch]:
-    """Two hashes and the bytes' range of every window of the wanted runs."""
-    for text, t, u, wanted in _texts(batches):
-        data = np.frombuffer(text, np.uint8)
-        words = words_of(data, np.array([0, len(data)]), SOLID)
-        asked = np.zeros(len(words.start) + 1, np.int64)
-        first, windows = (wanted.field(c).to_numpy() for c in ("start", "windows"))
-        np.add.at(asked, first, 1)
-        np.add.at(asked, first + windows, -1)
-        asked = np.cumsum(asked) > 0
-        for at, part, start, end in _word_blocks(data, words.start, words.end, over):
-            own = np.flatnonzero(asked[at : at + len(start) - over])
-            if not len(own):
-                continue
-            begin, stop = start[own], end[own + over]
-            both = [(_range_hashes(turn, begin, stop) ^ (stop - begin).astype(np.uint64)).view(np.int64) for turn in (part, part ^ np.uint8(0x5A))]
-            yield pa.RecordBatch.from_pydict({"w1": both[0], "w2": both[1], "t": np.full(len(own), t), "u": np.full(len(own), u), "b": begin + words.start[at], "e": stop + words.start[at]})
-
-
-def without_passages(documents: DataFrame, over: int = 50, gram: int = 16, few: int = 400_000) -> DataFrame:
+def without_passages(documents: DataFrame, over: int = 50, gram: int = 16, **options) -> DataFrame:
     """documents without the passages of more than ``over`` words that occur elsewhere in them too; other columns, null texts and the rows stay.
 
-    A word is a run of bytes other than ASCII white space. A passage is a run of whole words with what stands between them, byte for byte; it is cut
-    from its first word to its last if it has more than ``over`` words, whatever its bytes, and every occurrence goes. So exactly the maximal
-    repeated runs of over + 1 words or more go: each is the union of its windows of over + 1 words, and equal windows meet in the class of their
-    minimiser (the gram of ``gram`` words with the smallest hash), where they are compared by two hashes and their length in an aggregate.
-    Texts that several rows share and that have more than ``over`` words are repeated as a whole.
+    A word is a run of bytes other than ASCII white space. A passage is a run of whole words; the white space between them is not compared. Exactly the
+    words in runs of more than ``over`` that occur elsewhere too go, every occurrence, however few their bytes, with what stands between words that
+    go. Texts that several rows share and that have more than ``over`` words are repeated as a whole. An empty table gives no rows.
     """
-    small_batches(documents.sparkSession)
-    gram = min(gram, over + 1)
-    docs = keyed(documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text"))
-    long = docs.where(f"octet_length(text) > {2 * over}")  # over + 1 words and what is between them have 2 * over + 1 bytes at least
-    anchors = cut(long.select("text", "t", "u").mapInArrow(lambda b: _word_anchors(b, over, gram), "cls long, t long, u long, start long, windows int"), "passage-anchors")
-    texts = cut(long.groupBy("t", "u").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "passage-texts")
-    place = F.struct("t", "u", "start")
-    several = cut(anchors.groupBy("cls").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("cls"), "passage-classes")
-    hits = anchors.join(several, "cls").select("t", "u", "start", "windows").distinct()
-    wanted = hits.groupBy("t", "u").agg(F.collect_list(F.struct("start", "windows")).alias("wanted")).join(texts.drop("copies"), ["t", "u"])
-    wanted = cut(wanted, "passage-wanted")
-    drop(anchors)
-    chosen = chosen_texts(long, wanted.select("t", "u", "doc_id"), few)
-    pieces = chosen.join(wanted, ["t", "u", "doc_id"]).select("text", "t", "u", "wanted")
-    windows = cut(pieces.mapInArrow(lambda b: _word_windows(b, over), "w1 long, w2 long, t long, u long, b long, e long"), "passage-windows")
-    place = F.struct("t", "u", "b")
-    twice = cut(windows.groupBy("w1", "w2").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("w1", "w2"), "passage-twice")
-    spans = runs(windows.join(twice, ["w1", "w2"]).select("t", "u", "b", "e")).groupBy("t", "u").agg(F.collect_list(F.struct("b", "e")).alias("_spans"))
-    marks = cut(spans.join(texts.where("copies > 1").select("t", "u", "copies"), ["t", "u"], "full").selectExpr("t as _t", "u as _u", "_spans", "copies as _copies"), "passage-marks")
-    drop(windows)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    marked = documents.withColumns({"_t": F.xxhash64(text), "_u": F.crc32(text.cast("binary")) * (1 << 31) + F.octet_length(text)}).join(marks, ["_t", "_u"], "left")
-    whole = F.expr(rf"if(_copies > 1, size(filter(split(text, '[ \\t-\\r]+'), x -> x <> '')) > {over}, false)").alias("_whole")
-    marked = marked.select(*[F.col(f"`{c.replace('`', '``')}`") for c in documents.columns], "_t", "_u", "_spans", whole)
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in documents.schema)
-    return marked.mapInArrow(_rewrite, schema)
+    return _without(documents, of_words(over + 1, gram), _more_words(over), options)

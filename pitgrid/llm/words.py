@@ -52,8 +52,8 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def words_of(data: np.ndarray, ends: np.ndarray, word: np.ndarray) -> Words:
-    """Maximal runs of bytes in the class ``word``, A-Z lower-cased; ends: the documents' offsets in data."""
+def words_of(data: np.ndarray, ends: np.ndarray, word: np.ndarray, lower: bool = True) -> Words:
+    """Maximal runs of bytes in the class ``word``, A-Z lower-cased unless said otherwise; ends: the documents' offsets in data."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(none, none, none, np.zeros(0, np.uint64))
@@ -66,6 +66,6 @@ def words_of(data: np.ndarray, ends: np.ndarray, word: np.ndarray) -> Words:
     last[:-1] &= ~inside[1:]
     last[edges - 1] |= inside[edges - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    sums = prefix_hashes(LOWER[data])
+    sums = prefix_hashes(LOWER[data] if lower else data)
     key = mix((sums[end] - sums[start]) * powers(len(data))[1][start])
     return Words(start, end, np.searchsorted(ends, start, side="right") - 1, key)

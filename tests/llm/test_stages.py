@@ -4,6 +4,7 @@ import random
 import re
 
 import corpus_pipeline as p
+from pitgrid.llm import repeats
 
 COLUMNS = "doc_id long, text string, lang string, n_chars long"
 
@@ -60,19 +61,27 @@ def test_one_row_of_each_group_stays(spark):
 
 
 def without_passages(texts, over=50):
-    """Windows of over + 1 whole words with their separators, compared as they are."""
+    """Words in windows of over + 1 whole words that occur twice go, with what stands between words that go."""
+    spans = [[m.span() for m in re.finditer(rb"[^ \t-\r]+", t)] for t in texts]
+    words = [[t[b:e] for b, e in own] for t, own in zip(texts, spans)]
     places = {}
-    for k, t in enumerate(texts):
-        w = [m.span() for m in re.finditer(rb"[^ \t-\r]+", t)]
-        for i in range(len(w) - over):
-            b, e = w[i][0], w[i + over][1]
-            places.setdefault(t[b:e], []).append((k, b, e))
-    gone = [bytearray(len(t)) for t in texts]
+    for k, own in enumerate(words):
+        for i in range(len(own) - over):
+            places.setdefault(tuple(own[i : i + over + 1]), []).append((k, i))
+    gone = [set() for _ in texts]
     for found in places.values():
         if len(found) > 1:
-            for k, b, e in found:
-                gone[k][b:e] = b"\1" * (e - b)
-    return [bytes(x for x, g in zip(t, own) if not g) for t, own in zip(texts, gone)]
+            for k, i in found:
+                gone[k].update(range(i, i + over + 1))
+    out = []
+    for t, own, go in zip(texts, spans, gone):
+        cut = bytearray(len(t))
+        for i in go:
+            cut[own[i][0] : own[i][1]] = b"\1" * (own[i][1] - own[i][0])
+            if i + 1 in go:
+                cut[own[i][1] : own[i + 1][0]] = b"\1" * (own[i + 1][0] - own[i][1])
+        out.append(bytes(x for x, c in zip(t, cut) if not c))
+    return out
 
 
 def test_passages_of_over_50_words_go(spark):
@@ -86,6 +95,8 @@ def test_passages_of_over_50_words_go(spark):
     texts += ["é" + inner, inner + "é ü", "x " + inner.replace(" ", "\t", 30), inner[3:], passages[5], prose(rng, 20) + " " + " ".join([inner[:200]] * 9), "w" * 900 + " end", "w" * 900 + " tail", "ab " * 300, "", " \n "]
     rows = [*enumerate(texts), (None, prose(rng, 30) + " " + passages[12] + " é"), (None, None)]
     got = {(r.doc_id, r.text, r.n_chars) for r in p.exact_repeats(spark, frame(spark, rows), "").collect()}
+    small = {(r.doc_id, r.text) for r in repeats.without_passages(frame(spark, rows), class_limit=2).collect()}
+    assert small == {r[:2] for r in got}
     want = without_passages([(t or "").encode() for _, t in rows])
     want = {(i, None if t is None else w.decode(), None if t is None else len(w.decode())) for (i, t), w in zip(rows, want)}
     assert got == want
