@@ -62,7 +62,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs.select("doc_id", "text"), queries.vocabulary(), end=1).drop("slot")
+    return packing.pack(docs.select("doc_id", "text"), queries.vocabulary(), end=1).drop("bin_class")
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("exact_repeats", exact_repeats), ("decontamination", decontamination), ("packing", pack)]
