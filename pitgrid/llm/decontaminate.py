@@ -8,6 +8,8 @@ their occurrences are found from sampled suffix positions. No document is shuffl
 
 from __future__ import annotations
 
+import re
+import string
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -19,6 +21,9 @@ from pyspark.sql import functions as F
 from pitgrid.llm.words import ALNUM, words_of
 from pitgrid.llm.workspace import cut, gathered, small_batches, utf8
 
+#: A word of the contamination rule, in text whose A-Z are in lower case, and that change of case.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 SPANS = "array<struct<first:int,after:int>>"
 
 
@@ -209,19 +214,26 @@ def scan(batches: Iterator[pa.RecordBatch], block) -> Iterator[pa.RecordBatch]:
 
 
 def blocks_of(benchmark: DataFrame, width: int, block_words: int) -> Iterator[tuple[Windows, bool]]:
-    """(windows, whether more follow), each block built when it is asked for; at least one, which can be empty."""
+    """(windows, whether more follow), each block built when it is asked for; at least one, which can be empty.
+
+    An item of more than ``block_words`` words comes in parts that share width - 1 words, under its one id: the same windows.
+    """
     held, size = [], 0
     for row in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
-        if size >= block_words:
-            yield Windows(held, width), True
-            held, size = [], 0
-        held.append((row.item_id, row.text))
-        size += len(row.text) // 2 + 1
+        parts = [row.text]
+        if len(row.text) > 2 * block_words and len(words := _WORD.findall(row.text.translate(_LOWER))) > block_words + width:
+            parts = [" ".join(words[at : at + block_words + width - 1]) for at in range(0, len(words) - width + 1, block_words)]
+        for part in parts:
+            if size >= block_words:
+                yield Windows(held, width), True
+                held, size = [], 0
+            held.append((row.item_id, part))
+            size += len(part) // 2 + 1
     yield Windows(held, width), False
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, block_words: int = 4_000_000) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (word positions), items.
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (word positions), items, check (a hash of the text).
 
     documents(doc_id, text), benchmark(item_id, text); other columns are ignored. A window is ``width`` consecutive words of an
     item, or all words of a shorter one. A document is contaminated if n_hit > 0 and share * n_hit >= n_words.
@@ -249,14 +261,14 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = 13, s
         for more in passes[1:]:
             hits = hits.unionByName(more)
         merged = hits.distinct().groupBy(F.col("doc_id").alias("_id"), F.col("check").alias("_check")).agg(F.flatten(F.collect_list("spans")).alias("_spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("_items"))
-        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("check") == F.col("_check"))
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("check").eqNullSafe(F.col("_check"))
         out = passes[0].select("doc_id", "check", "n_words").join(cut(merged, "merged-hits"), same, "left")
-        out = out.select("doc_id", "n_words", F.coalesce("_spans", F.expr(f"cast(array() as {SPANS})")).alias("spans"), F.coalesce("_items", F.expr("cast(array() as array<string>)")).alias("items"))
+        out = out.select("doc_id", "check", "n_words", F.coalesce("_spans", F.expr(f"cast(array() as {SPANS})")).alias("spans"), F.coalesce("_items", F.expr("cast(array() as array<string>)")).alias("items"))
     n_hit = F.expr("aggregate(array_sort(spans), (0L, 0L), (s, x) -> (greatest(s.col1, cast(x.after as long)), s.col2 + greatest(0L, cast(x.after as long) - greatest(s.col1, cast(x.first as long)))), s -> s.col2)")
     return (
         out.withColumn("n_hit", n_hit)
         .withColumn("n_items", F.size("items").cast("long"))
         .withColumn("items_sha256", F.sha2(F.array_join(F.array_sort("items"), ","), 256))
         .withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))
-        .select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items")
+        .select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items", "check")
     )

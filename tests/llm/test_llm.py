@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pitgrid.llm import components, decontaminate, embeddings, language, minhash, packing, queries, repeats, revisits, shards, tokens, urls
 
@@ -99,6 +100,17 @@ def test_language(spark):
     assert np.mean([by[i].lang_pred == k for i, _, k in rows]) > 0.97
     assert (by[900].lang_pred, by[901].lang_pred, by[902].lang_pred) == ("und", "und", "aa") and all(0 <= r.score <= 1 for r in got)
     assert (model.weights == 0).mean() > 0.5
+    assert by[0].sure and not by[900].sure and not by[901].sure
+    # other languages' texts are told whatever the number of learnt languages; those of learnt ones stay
+    for n in (1, 2, 3, 4):
+        known = [(i, " ".join(rng.choice(lists[k] if k in lists else ["zo", "ki", "y"]) for _ in range(rng.randint(3, 60))), k) for i, k in enumerate(["aa", "bb", "cc", "dd"][:n] * 80)]
+        few = language.fit(spark.createDataFrame(known, "doc_id long, text string, lang string"), per_language=60)
+        strange = [(1000 + i, " ".join("".join(chr(rng.randint(0x430, 0x44F)) for _ in range(6)) for _ in range(rng.randint(2, 40)))) for i in range(40)]
+        told = language.identify(spark.createDataFrame([(i, t) for i, t, _ in known] + strange, "doc_id long, text string"), few).collect()
+        assert np.mean([r.sure for r in told if r.doc_id < 1000]) > 0.97 and not any(r.sure for r in told if r.doc_id >= 1000)
+    again = language.fit(spark.createDataFrame(rows[::-1], "doc_id long, text string, lang string").repartition(5), per_language=40)
+    once = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=40)
+    assert (again.weights == once.weights).all() and again[3:] == once[3:]
     assert language.fit(spark.createDataFrame([], "doc_id long, text string, lang string")) is None
     assert {r.lang_pred for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), None).collect()} == {"und"}
 
@@ -179,6 +191,7 @@ def test_near_vectors(spark):
     assert len(got) == len(rows) and s.sum() * 0.99 <= found <= s.sum()
     assert all(by[i].n_links <= s[i].sum() for i in range(400)) and by[5].component_id == by[6].component_id
     assert all(by[i].n_links == 0 and by[i].kept for i in range(900, 906))
+    assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
 def test_codes_estimate_without_bias():
@@ -207,6 +220,7 @@ def test_shards(spark, corpus):
     grown = {r.doc_id: r.shard for r in shards.shard_table(frame(spark, rows), n_shards=5).collect()}
     assert all(grown[r.doc_id] == r.grown_shard for r in got)
     assert sorted(shards.fisher_yates(50, [1, 2]).tolist()) == list(range(50))
+    assert shards.shard_table(frame(spark, [])).count() == 0
 
 
 @pytest.mark.parametrize("options", [{}, {"class_limit": 1}, {"class_limit": 3}])
@@ -249,6 +263,15 @@ def test_url_filter(spark):
     assert (by[502].rule, by[502].verdict, by[503].rule, by[503].verdict) == ("example.com/en/7", "allow", "example.net/de/8", "block")
     assert by[504].rule == "com/en/" and by[505].rule is None and by[506].rule is None and (by[507].host, by[507].path) == ("a.com", "")
     assert by[1].host == "b.example.net" and by[1].rule == "net/de/"
+    # trees from labelled URLs, judged on hosts whose labels they have not seen
+    rng = random.Random(6)
+    pages = [(i, f"http://{'x' * rng.randint(2, 6)}{i}.{'spam' if i % 2 else 'good'}.{rng.choice(['io', 'eu'])}/" + ("/".join(str(rng.randint(1000, 9999)) for _ in range(5)) + "?a=1&b=2&c=3" if i % 2 else "about")) for i in range(600)]
+    table = spark.createDataFrame(pages, "page_id long, url string")
+    judged = urls.filter_urls(table, queries.URL_RULES, labelled=table.where("page_id < 300").selectExpr("url", "page_id % 2 as label")).where("page_id >= 300").collect()
+    assert np.mean([(r.verdict == "block") == (r.page_id % 2 == 1) for r in judged]) > 0.95
+    # a labelled row's share never holds its own label: lone domains get the prior
+    shares = urls.with_features(urls.with_parts(table.where("page_id < 20")).withColumn("label", F.expr("page_id % 2 + 0.0D")).withColumn("url", F.expr("concat(url, page_id)"))).collect()
+    assert all(0 < r.f_domain_block < 1 for r in shares)
     lone = urls.filter_urls(spark.createDataFrame([(1, "http://x.y/z")], "page_id long, url string"), queries.URL_RULES).collect()
     assert lone[0].verdict == "allow" and urls.filter_urls(spark.createDataFrame([], "page_id long, url string"), queries.URL_RULES).count() == 0
 
@@ -302,6 +325,9 @@ def test_revisits(spark):
         got = sorted(revisits.resolve_revisits(table, block).collect(), key=lambda r: r.record_id)
         assert [(r.record_id, r.source_id, r.outcome) for r in got] == [(2, 1, "resolved"), (4, 1, "resolved"), (5, 3, "resolved"), (6, 3, "mismatch"), (7, None, "missing"), (8, None, "missing"), (9, 3, "unchecked"), (9, 3, "unchecked"), (10, None, "missing")]
         assert got[0].headers == {"etag": "e1", "content-length": "5", "date": "d1"}
+    assert revisits.resolve_revisits(table.limit(0)).count() == 0
+    pages = revisits.resolve_revisits(revisits.captures(spark.createDataFrame([(None, "http://a", "x"), (None, None, None), (1, "http://a", None)], "page_id long, url string, html string"))).collect()
+    assert sorted((str(r.record_id), r.outcome) for r in pages) == [("3", "unchecked"), ("None", "missing"), ("None", "missing")]
 
 
 def test_pipeline(spark):
