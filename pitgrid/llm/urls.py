@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from pitgrid.llm.workspace import cut
 
+#: Parts of the labelled URLs, by a hash of the URL, for shares that leave a row's own part out.
+FOLDS = 5
 FEATURES = ["f_length", "f_host_length", "f_path_length", "f_depth", "f_labels", "f_digits", "f_hyphens", "f_parameters", "f_entropy", "f_suffix_seen", "f_suffix_block", "f_domain_seen", "f_domain_block"]
 
 
@@ -40,8 +42,11 @@ def with_rule(rows: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     return rows.withColumns({"rule": rule, "ruled": ruled})
 
 
-def with_features(rows: DataFrame, few: int = 100_000) -> DataFrame:
-    """Adds the lexical features; label (1 block, 0 allow, null unknown) feeds the suffixes' shares only."""
+def with_features(rows: DataFrame, few_bytes: int = 8 << 20) -> DataFrame:
+    """Adds the lexical features; label (1 block, 0 allow, null unknown) feeds the suffixes' shares only, and those of other folds than its own.
+
+    Suffix statistics of at most ``few_bytes`` are broadcast, larger ones joined by a shuffle.
+    """
     rows = rows.withColumns({"_u": F.coalesce("url", F.lit("")), "_suffix": F.element_at(F.split("host", r"\."), -1), "_domain": F.array_join(F.expr("slice(split(host, '\\\\.'), -least(2, size(split(host, '\\\\.'))), 2)"), ".")})
     rows = rows.withColumns(
         {
@@ -56,10 +61,16 @@ def with_features(rows: DataFrame, few: int = 100_000) -> DataFrame:
             "f_entropy": F.expr("aggregate(array_distinct(split(_u, '')), 0D, (s, c) -> s - if(c = '', 0D, ((length(_u) - length(replace(_u, c, ''))) / length(_u)) * log2((length(_u) - length(replace(_u, c, ''))) / length(_u))))"),
         }
     )
+    rows = rows.withColumn("_fold", F.when(F.col("label").isNotNull(), F.pmod(F.xxhash64(F.lit(17), "_u"), F.lit(FOLDS))))
     for name in ("suffix", "domain"):
-        seen = cut(rows.groupBy(f"_{name}").agg(F.count("*").alias("n"), F.sum("label").alias("blocked"), F.count("label").alias("known")), name)
-        seen = seen.selectExpr(f"_{name}", f"log1p(n) as f_{name}_seen", f"(coalesce(blocked, 0) + 1) / (known + 2) as f_{name}_block")
-        rows = rows.join(F.broadcast(seen) if seen.count() <= few else seen, f"_{name}", "left")
+        sums = [(f"b{k}", F.sum(F.when(F.col("_fold") == k, F.col("label")).otherwise(0.0))) for k in range(FOLDS)] + [(f"k{k}", F.count(F.when(F.col("_fold") == k, 1))) for k in range(FOLDS)]
+        seen = cut(rows.groupBy(f"_{name}").agg(F.count("*").alias("n"), *[c.alias(a) for a, c in sums]), name)
+        size = seen.agg(F.sum(F.octet_length(f"_{name}") + 8 * (2 * FOLDS + 8))).first()[0] or 0
+        seen = seen.selectExpr(f"_{name}", f"log1p(n) as f_{name}_seen", f"array({', '.join(f'b{k}' for k in range(FOLDS))}) as _b", f"array({', '.join(f'k{k}' for k in range(FOLDS))}) as _k")
+        rows = rows.join(F.broadcast(seen) if size <= few_bytes else seen, f"_{name}", "left")
+        # a labelled row's share leaves its own fold out, so it never holds the row's label
+        total = "aggregate({0}, cast(0 as double), (s, x) -> s + x) - coalesce({0}[cast(_fold as int)], 0)"
+        rows = rows.withColumn(f"f_{name}_block", F.expr(f"({total.format('_b')} + 1) / ({total.format('_k')} + 2)")).drop("_b", "_k")
     return rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in FEATURES})
 
 
