@@ -24,47 +24,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "items")
+    """Benchmark windows of 13 words found in every document, by an FM-index of each shard of documents."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "items", "check")
 
 
 HELD_OUT = "coalesce(pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0, false)"
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learnt from documents whose doc_id is not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.fit(docs.where(f"not {HELD_OUT}"))
     return language.identify(docs.select("doc_id", "text"), model).select("doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", "score")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids as read back from seekable token files in ascending doc_id order."""
     return tokens.token_table(table(spark, sf_dir, "documents"), vocabulary(), end=2).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with 80 % of their four-word shingles in common."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of vectors with a cosine of 0.9 or more."""
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in 40 shuffled shards under the law ``key``."""
     return shards.shard_table(table(spark, sf_dir, "documents"), n_shards=40)
 
 
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeats of 400 bytes, and its repeated passages of over 50 words."""
     return repeats.repeat_report(table(spark, sf_dir, "documents"), least=400, over=50)
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict for the URL of every page."""
     return urls.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in sequences of 2,048 ids."""
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), end=1).drop("bin_class")
 
 
 def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's revisit, resolved to an earlier response of its canonical URL."""
     found = revisits.resolve_revisits(revisits.captures(table(spark, sf_dir, "pages")))
     return found.select("record_id", "canonical_url", "source_id", "outcome", F.expr("array_join(transform(array_sort(map_keys(headers)), k -> concat(k, ': ', headers[k])), '; ')").alias("headers"))
 

@@ -61,9 +61,9 @@ def resolve_revisits(records: DataFrame, block_seconds: int = 3600) -> DataFrame
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Each page as two records: a full response at page_id seconds, and 5,000 seconds later a revisit that names the page's entity tag."""
+    """Each page as two records: a full response at page_id seconds, and 5,000 seconds later a revisit that names the page's entity tag. Without a page_id both have no time."""
     tag = F.expr("concat('\"', substring(md5(html), 1, 16), '\"')")
-    rows = pages.where("page_id is not null").select("page_id", "url", tag.alias("etag"), F.expr("coalesce(octet_length(html), 0)").cast("string").alias("size"), F.explode(F.array(F.lit(200), F.lit(304))).alias("status"))
+    rows = pages.select("page_id", "url", tag.alias("etag"), F.expr("coalesce(octet_length(html), 0)").cast("string").alias("size"), F.explode(F.array(F.lit(200), F.lit(304))).alias("status"))
     late = F.col("status") == 304
     at = F.col("page_id") + F.when(late, 5000).otherwise(0)
     headers = F.map_filter(
