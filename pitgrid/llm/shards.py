@@ -80,8 +80,8 @@ def write_shards(documents: DataFrame, folder: str, n_shards: int = 40, bucket_b
     buckets = max(1, -(-total // (n_shards * bucket_bytes)))
     rows = documents.withColumn("_shard", shard_of(F.col("doc_id"), n_shards, seed)).withColumn("_hash", F.xxhash64(F.lit(seed + 1), "doc_id", "text"))
     rows = rows.withColumn("_bucket", F.pmod("_hash", F.lit(buckets)).cast("int"))
-    # about eight buckets to a task, however many bytes there are
-    tasks = max(spark.sparkContext.defaultParallelism, -(-total // (8 * bucket_bytes)))
+    # about two buckets to a task, however many bytes there are
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // (2 * bucket_bytes)))
     rows = rows.repartition(int(tasks), "_shard", "_bucket").sortWithinPartitions("_shard", "_bucket", "_hash", "doc_id")
     shuffled = rows.mapInArrow(lambda b: _shuffle(b, seed), ddl(rows) + ", _place long")
     shuffled.drop("_hash").sortWithinPartitions("_shard", "_bucket", "_place").write.partitionBy("_shard").option("compression", "zstd").parquet(folder)
