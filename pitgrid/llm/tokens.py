@@ -299,7 +299,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end: int)
         fs.delete_file(draft)
 
 
-def write_token_files(documents: DataFrame, folder: str, path: str, end: int, file_bytes: int = 64 << 20) -> DataFrame:
+def write_token_files(documents: DataFrame, folder: str, path: str, end: int, file_bytes: int = 32 << 20) -> DataFrame:
     """Writes the ids of all documents into folder, ascending by doc_id over the files; returns the list of files (part, file, n_docs, n_ids).
 
     Null ids come first, null texts are empty; rows with equal ids are ordered by a hash of their text. Every document ends with ``end``.
