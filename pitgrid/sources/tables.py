@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitgrid.functions import clean
+
 
 def _path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -19,6 +21,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
+
 def replace(df: DataFrame, path: str, by: str | None = None) -> None:
     """Writes df beside path, then puts it in path's place: df may read path, and a failed write leaves path as it was."""
     spark, mark = df.sparkSession, uuid.uuid4().hex
@@ -41,9 +48,10 @@ def replace_seasons(fresh: DataFrame, path: str, years: list[int] | None = None,
     """Puts fresh in place of its years in a table partitioned by season; returns the columns that went because one side lacks them.
 
     years: those to be refreshed, by default the ones that fresh has. Only columns that both sides have are kept, so that a column means the
-    same in all seasons. Where the table keeps its columns and fresh has rows in all the years, only those seasons' files are written; else all are.
+    same in all seasons. Detections of what does not burn go, where there is a fuel. Where the table keeps its columns and fresh has rows in all the years, only those seasons' files are written; else all are.
     """
     spark = fresh.sparkSession
+    fresh = clean.burnable(fresh) if "fuel" in fresh.columns else fresh
     fresh = fresh.withColumn("season", F.year(at))
     seen = [r.season for r in fresh.select("season").distinct().collect()]
     years = seen if years is None else years
@@ -59,6 +67,7 @@ def replace_seasons(fresh: DataFrame, path: str, years: list[int] | None = None,
         fresh.select(common).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("season").parquet(path)
     else:
         kept = stored.where(~F.coalesce(F.col("season").isin(*years), F.lit(False)))
+        kept = clean.burnable(kept) if "fuel" in kept.columns else kept
         replace(kept.select(common).unionByName(fresh.select(common)), path, "season")
     return dropped
 
