@@ -223,9 +223,8 @@ def test_shards(spark, corpus):
     assert shards.shard_table(frame(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("options", [{}, {"class_limit": 1}, {"class_limit": 3}])
-@pytest.mark.parametrize("least", [40, 400])
-def test_repeats(spark, corpus, options, least):
+@pytest.mark.parametrize(("least", "options"), [(40, {}), (40, {"class_limit": 3}), (400, {}), (400, {"class_limit": 1})])
+def test_repeats(spark, corpus, least, options):
     got = repeats.repeat_report(frame(spark, corpus), least=least, gram=12 if least == 40 else 100, **options).collect()
     texts = [(r[1] or "").encode() for r in corpus]
     seen = Counter(t[i : i + least] for t in texts for i in range(len(t) - least + 1))
