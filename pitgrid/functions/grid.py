@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pitgrid.llm.workspace import cut
+from pitgrid.sources.shared import written as cut
 
 RADIUS, LAT0, LON0, CELL_KM = 6371.0072, 60.0, -96.0, 10.0
+#: Degrees of latitude in a band of edges.
+BAND = 0.25
 RING = [(x, y) for x in (-1, 0, 1) for y in (-1, 0, 1) if (x, y) != (0, 0)]
 
 
@@ -92,10 +94,14 @@ def polygon_edges(rings: DataFrame) -> DataFrame:
 
 
 def place(points: DataFrame, edges: DataFrame, key: str, margin: float = 0.01) -> DataFrame:
-    """(key, code): the polygon that each point lies in by the even-odd rule, edges half open in latitude; of several rings the first. Points outside are left out."""
-    e = F.broadcast(edges) if edges.count() <= 100_000 else edges
+    """(key, code): the polygon that each point lies in by the even-odd rule, edges half open in latitude; of several rings the first. Points outside are left out.
+
+    Points and edges meet by an equi-join of bands of latitude; an edge is copied to the bands that it spans.
+    """
+    band = F.explode(F.sequence(F.floor(F.least("a_lat", "b_lat") / BAND), F.floor(F.greatest("a_lat", "b_lat") / BAND))).alias("_band")
     box = f"lon between _minlon - {margin}D and _maxlon + {margin}D and lat between _minlat - {margin}D and _maxlat + {margin}D"
-    over = points.select(key, "lat", "lon").join(e, F.expr(f"{box} and (a_lat > lat) <> (b_lat > lat)"))
+    banded = points.select(key, "lat", "lon").withColumn("_band", F.floor(F.col("lat") / BAND))
+    over = banded.join(edges.select("*", band), "_band").where(f"{box} and (a_lat > lat) <> (b_lat > lat)")
     crosses = F.expr("cast(lon < (b_lon - a_lon) * (lat - a_lat) / (b_lat - a_lat) + a_lon as int)")
     inside = over.groupBy(key, "code", "ring").agg(F.sum(crosses).alias("_n")).where("_n % 2 = 1")
     return inside.groupBy(key).agg(F.min_by("code", "ring").alias("code"))

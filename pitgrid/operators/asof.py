@@ -86,9 +86,9 @@ def asof_backward(left: DataFrame, right: DataFrame, key: str, left_on: str, rig
 
 #: Situation-report columns and the features that they become.
 SITREP = {
-    "national_preparedness_level": "ciffc_national_pl", "agency_preparedness": "ciffc_agency_pl", "prep_hazard": "ciffc_hazard", "prep_current_load": "ciffc_current_load",
-    "prep_expected_load": "ciffc_expected_load", "prep_resource_levels": "ciffc_resource_levels", "prep_resource_availability": "ciffc_resource_availability",
-    "occurrence_pred_lightning": "ciffc_lightning_pred", "occurrence_pred_human": "ciffc_human_pred",
+    "national_preparedness_level": "ciffc_national_pl", "agency_preparedness": "ciffc_agency_pl", "prep_hazard": "ciffc_prep_hazard", "prep_current_load": "ciffc_prep_current_load",
+    "prep_expected_load": "ciffc_prep_expected_load", "prep_resource_levels": "ciffc_prep_resource_levels", "prep_resource_availability": "ciffc_prep_resource_availability",
+    "occurrence_pred_lightning": "ciffc_occurrence_pred_lightning", "occurrence_pred_human": "ciffc_occurrence_pred_human",
 }
 
 

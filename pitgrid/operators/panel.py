@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pitgrid.functions import grid
 from pitgrid.operators.asof import first_seen
+from pitgrid.sources.shared import written
 
 CELL = ["cell_x", "cell_y"]
 MONTHS = tuple(range(4, 11))
@@ -37,7 +38,8 @@ def cell_agency(cells: DataFrame, events: DataFrame, edges: DataFrame | None = N
     out = cells.select(*CELL).distinct().join(agency_vote(events), CELL, "left")
     if edges is None:
         return out
-    keyed = grid.with_centres(cells.select(*CELL).distinct()).withColumn("_cell", F.struct(*CELL))
+    # as a table: else the centre's formula is written out once more for every use of it
+    keyed = grid.with_centres(written(cells.select(*CELL).distinct(), "cells")).withColumn("_cell", F.struct(*CELL))
     at = grid.place(keyed, edges, "_cell").select("_cell.*", F.col("code").alias("_code"))
     return out.join(at, CELL, "left").select(*CELL, F.coalesce("agency_code", "_code").alias("agency_code"))
 
@@ -49,14 +51,29 @@ def study_area(events: DataFrame, hotspots: DataFrame, years: list[int], edges:
 
 
 def sampled_negatives(area: DataFrame, days: DataFrame, rate: float, seed: int) -> DataFrame:
-    """For every day the same number of cells, round-half-even(rate * cells), the first by a seeded hash."""
+    """For every day the same number of cells, round-half-even(rate * cells), the first by a seeded hash.
+
+    Days are few and go along as an array. Only hashes under a bound that a day's sample hardly ever reaches are ranked; days that it leaves short,
+    if any, are ranked again over all their cells.
+    """
     per_day = int(Decimal(str(rate * area.count())).quantize(Decimal(1), ROUND_HALF_EVEN))
     if per_day < 1:
         raise ValueError("the rate samples no cell")
-    cells = area.select(*CELL)
-    drawn = days.select("day").crossJoin(cells).withColumn("_h", F.expr(f"md5(concat_ws('|', '{seed}', cell_x, cell_y, day))"))
-    rank = F.row_number().over(W.partitionBy("day").orderBy("_h", *CELL))
-    return drawn.withColumn("_r", rank).where(F.col("_r") <= per_day).select(*CELL, "day")
+    all_days = sorted({r.day for r in days.select("day").where("day is not null").distinct().collect()})
+
+    def ranked(chosen: list, bound: str) -> DataFrame:
+        drawn = area.select(*CELL, F.explode(F.array(*[F.lit(d) for d in chosen])).alias("day")).withColumn("_h", F.expr(f"md5(concat_ws('|', '{seed}', cell_x, cell_y, day))"))
+        rank = F.row_number().over(W.partitionBy("day").orderBy("_h", *CELL))
+        return drawn.where(F.col("_h") < bound).withColumn("_r", rank).where(F.col("_r") <= per_day).select(*CELL, "day")
+
+    if not all_days:
+        return area.select(*CELL, F.lit(None).cast("date").alias("day")).limit(0)
+    share = min(1.0, (per_day + 6 * per_day**0.5 + 20) / max(1, area.count()))
+    bound = "g" if share >= 1 else f"{int(share * (1 << 64)):016x}"
+    out = written(ranked(all_days, bound), "negatives")
+    full = {r.day for r in out.groupBy("day").count().where(F.col("count") == per_day).collect()}
+    short = [d for d in all_days if d not in full] if share < 1 else []
+    return out.where(~F.col("day").isin(*short)).unionByName(ranked(short, "g")) if short else out
 
 
 def sample_panel(area: DataFrame, events: DataFrame, days: DataFrame, rate: float, seed: int) -> DataFrame:
@@ -66,6 +83,21 @@ def sample_panel(area: DataFrame, events: DataFrame, days: DataFrame, rate: floa
     return known.unionByName(drawn).join(area.select(*CELL, "agency_code"), CELL, "left")
 
 
+def area_coverage(area: DataFrame, events: DataFrame, days: DataFrame) -> DataFrame:
+    """n_reachable ignitions on the days, n_inside the area, and the share."""
+    reachable = events.join(days.select("day").distinct(), "day", "left_semi")
+    inside = reachable.join(area.select(*CELL).distinct().withColumn("_in", F.lit(1)), CELL, "left")
+    sums = inside.agg(F.coalesce(F.sum("n_ignitions"), F.lit(0)).alias("n_reachable"), F.coalesce(F.sum(F.when(F.col("_in") == 1, F.col("n_ignitions"))), F.lit(0)).alias("n_inside"))
+    return sums.withColumn("coverage", F.col("n_inside") / F.greatest(F.col("n_reachable"), F.lit(1)))
+
+
+def scoreable_days(observations: DataFrame, day=None, days: int = 1) -> DataFrame:
+    """The ``days`` days up to ``day`` (by default the one after the last observation) that can be scored, by date."""
+    last = observations.agg(F.date_add(F.max("obs_date"), 1).alias("_last"))
+    target = F.col("_last") if day is None else F.lit(day).cast("date")
+    return last.select("_last", F.explode(F.sequence(F.date_sub(target, days - 1), target)).alias("day")).where("day <= _last").select("day")
+
+
 def cell_days(hotspots: DataFrame, measures: tuple[str, ...] = ("fwi", "hfi", "ros")) -> DataFrame:
     return grid.with_cells(hotspots).withColumn("d", F.to_date("rep_date")).groupBy(*CELL, "d").agg(F.count("*").alias("n"), *[F.max(m).alias(m) for m in measures])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 from pitgrid.functions import clean, grid
 from pitgrid.operators import asof, panel, spatial
-from pitgrid.plans import metrics, serving
+from pitgrid.plans import metrics, models, serving
+from pitgrid.plans import tables as plans
 from pitgrid.plans.views import sql, view
-from pitgrid.sources import feeds
+from pitgrid.sources import feeds, shared, tables
+from pitgrid.sources.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -148,33 +151,28 @@ def _sql_trailing(prefix: str, windows, ring_windows, censor: int, measures, sou
     SELECT * FROM a JOIN b USING (cell_x, cell_y, day)"""
 
 
-_KEYS = f"keys AS (SELECT DISTINCT cell_x, cell_y, day FROM (SELECT {_cell()}, unnest([date '2024-01-10', date '2024-01-20', date '2024-01-30']) AS day FROM hotspots WHERE hid % 10 = 0))"
+_KEYS = f"keys AS (SELECT cell_x, cell_y, day FROM (SELECT DISTINCT {_cell()} FROM hotspots), (SELECT unnest(generate_series(min(rep_date)::date, max(rep_date)::date, INTERVAL 1 DAY))::date AS day FROM hotspots))"
 
 
 def _keys(spark, d):
-    days = F.explode(F.expr("array(date'2024-01-10', date'2024-01-20', date'2024-01-30')")).alias("day")
-    return grid.with_cells(view(spark, d, "hotspots").where("hid % 10 = 0")).select("cell_x", "cell_y", days).distinct()
-
-
-def _all_keys(spark, d):
     """Every cell with a detection on every day from the table's first to its last."""
     hotspots = view(spark, d, "hotspots")
     days = hotspots.agg(F.min("rep_date").alias("a"), F.max("rep_date").alias("b")).select(F.explode(F.expr("sequence(to_date(a), to_date(b))")).alias("day"))
-    return grid.with_cells(hotspots).select("cell_x", "cell_y").distinct().crossJoin(F.broadcast(days))
+    return models.area_days(grid.with_cells(hotspots).select("cell_x", "cell_y").distinct(), days)
 
 
 @query(f"{H}, {_DAILY}, {_KEYS}, {_RING}, {_sql_trailing('hs', (1, 3, 7), (7,), 60, ('fwi', 'hfi', 'ros'), 'daily')}")
-def trailing_cell_windows(spark, d, keys=_keys):
-    return panel.trailing(keys(spark, d), panel.cell_days(view(spark, d, "hotspots")), "hs", (1, 3, 7), (7,), 60, ("fwi", "hfi", "ros"))
+def trailing_cell_windows(spark, d):
+    return panel.trailing(_keys(spark, d), panel.cell_days(view(spark, d, "hotspots")), "hs", (1, 3, 7), (7,), 60, ("fwi", "hfi", "ros"))
 
 
 _EVENTS = f"ev AS (SELECT cell_x, cell_y, cast(t0 AS date) AS day, count(*) AS n_ignitions, min(agency_code) AS agency_code FROM (SELECT *, {_cell()} FROM f) GROUP BY 1, 2, 3)"
 
 
 @query(f"{_with('revisions', 'hotspots')}, {_FIRST}, {_EVENTS}, evd AS (SELECT cell_x, cell_y, day AS d, n_ignitions AS n FROM ev), {_KEYS}, {_RING}, {_sql_trailing('ig', (7, 30, 365), (7, 365), 365, (), 'evd')}")
-def trailing_ignitions(spark, d, keys=_keys):
+def trailing_ignitions(spark, d):
     daily = panel.ignition_events(view(spark, d, "revisions")).select("cell_x", "cell_y", F.col("day").alias("d"), F.col("n_ignitions").alias("n"))
-    return panel.trailing(keys(spark, d), daily, "ig", (7, 30, 365), (7, 365), 365)
+    return panel.trailing(_keys(spark, d), daily, "ig", (7, 30, 365), (7, 365), 365)
 
 
 @query(f"{R}, {_FIRST}, {_EVENTS} SELECT * FROM ev")
@@ -211,38 +209,18 @@ _KNN = "nb AS (SELECT * FROM (SELECT cell_x, cell_y, aes, sqrt(power(x - (cell_x
 
 
 @query(f"{_with('hotspots', 'obs')}, {_KEYS}, {_SITES}, {_KNN.format(k=5, w='')} SELECT cell_x, cell_y, aes, row_number() OVER (PARTITION BY cell_x, cell_y ORDER BY dist_km, aes) - 1 AS rank, round(dist_km, 6) AS dist_km FROM nb")
-def knn_stations(spark, d, keys=_keys):
-    near = grid.nearest(keys(spark, d), view(spark, d, "obs").select("aes", "lat", "lon").distinct(), 5)
+def knn_stations(spark, d):
+    near = grid.nearest(_keys(spark, d), view(spark, d, "obs").select("aes", "lat", "lon").distinct(), 5)
     return near.withColumn("dist_km", F.round("dist_km", 6)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"{_with('hotspots', 'obs')}, {_KEYS}, {_SITES}, {_KNN.format(k=12, w='WHERE dist_km <= 300')}, j AS (SELECT k.*, dist_km, power(1 / greatest(dist_km, 1), 2) AS w, temp, rh, fwi FROM keys k JOIN nb USING (cell_x, cell_y) JOIN obs o ON o.aes = nb.aes AND o.obs_date = k.day - 1) SELECT cell_x, cell_y, day, {', '.join(f'round(sum({m} * w) / sum(w) FILTER ({m} IS NOT NULL), 6) AS wx_{m}' for m in ('temp', 'rh', 'fwi'))}, count(*) AS wx_n_stations, round(min(dist_km), 6) AS wx_dist_km FROM j GROUP BY 1, 2, 3")
-def idw_interpolation(spark, d, keys=_keys):
-    obs, keys = view(spark, d, "obs"), keys(spark, d)
+def idw_interpolation(spark, d):
+    obs, keys = view(spark, d, "obs"), _keys(spark, d)
     out = panel.station_weather(keys, grid.nearest(keys, obs.select("aes", "lat", "lon").distinct(), 12, 300.0), obs, ("temp", "rh", "fwi"))
     return out.withColumns({c: F.round(c, 6) for c in out.columns if c.startswith("wx_") and c != "wx_n_stations"})
 
 
-@query()
-def trailing_cell_windows_all(spark, d):
-    return trailing_cell_windows(spark, d, _all_keys)
-
-
-@query()
-def trailing_ignitions_all(spark, d):
-    return trailing_ignitions(spark, d, _all_keys)
-
-
-@query()
-def knn_stations_all(spark, d):
-    return knn_stations(spark, d, _all_keys)
-
-
-@query()
-def idw_interpolation_all(spark, d):
-    return idw_interpolation(spark, d, _all_keys)
-
-
 _AREA = f"area AS (SELECT DISTINCT c.cell_x, c.cell_y, v.agency_code FROM (SELECT cell_x, cell_y FROM ev UNION SELECT {_cell()} FROM hotspots) c JOIN vote v USING (cell_x, cell_y))"
 
 
@@ -296,9 +274,50 @@ def prior_correction(spark, d):
     return view(spark, d, "scored").select("doc_id", F.round(metrics.correct_prior("p", 0.05), 9).alias("corrected"))
 
 
-@query()
+_U = "('0x' || substr(h, {at}, 8))::BIGINT"
+_COUNT = " + ".join(f"(u >= {c})::INT" for c in metrics.POISSON)
+
+
+def _sql_bootstrap(draws: int, w: str) -> str:
+    return f"""r AS (SELECT doc_id, y, p, p_base, {w} AS w, b, md5('17|' || b || '|' || doc_id) AS h FROM scored, (SELECT unnest(range(0, {-(-draws // 4)})) AS b)),
+    u AS ({' UNION ALL '.join(f'SELECT b * 4 + {k} AS draw, y, p, p_base, w, {_U.format(at=8 * k + 1)} AS u FROM r' for k in range(4))}),
+    n AS (SELECT draw, y, p, p_base, w * ({_COUNT}) AS n FROM u WHERE draw < {draws}),
+    g AS (SELECT draw, o, p, sum(CASE WHEN y = 1 THEN n ELSE 0 END) AS pos, sum(n) AS n FROM (SELECT draw, 'm' AS o, y, p, n FROM n UNION ALL SELECT draw, 'b', y, p_base, n FROM n) WHERE n > 0 GROUP BY 1, 2, 3),
+    c AS (SELECT *, sum(pos) OVER d AS tp, sum(n) OVER d AS seen FROM g WINDOW d AS (PARTITION BY draw, o ORDER BY p DESC)),
+    a AS (SELECT draw, o, sum(pos * tp / seen) / nullif(sum(pos), 0) AS ap FROM c GROUP BY 1, 2),
+    x AS (SELECT draw, max(ap) FILTER (o = 'm') AS m, max(ap) FILTER (o = 'b') AS b FROM a GROUP BY 1 HAVING max(ap) FILTER (o = 'm') IS NOT NULL)
+    SELECT {', '.join(f'round(quantile_cont({e}, {q}), 9) AS {n}_{k}' for n, e in (('model', 'm'), ('base', 'b'), ('delta', 'm - b')) for k, q in (('low', 0.05), ('high', 0.95)))}, round(avg((m > b)::INT), 9) AS p_better, count(*) AS draws FROM x"""
+
+
+def _bounds(out: DataFrame) -> DataFrame:
+    """Arrays of two percentiles as columns."""
+    return out.select(*[F.round(F.col(n)[k], 9).alias(f"{n}_{end}") for n in ("model", "base", "delta") for k, end in enumerate(("low", "high"))], F.round("p_better", 9).alias("p_better"), "draws")
+
+
+@query(f"{E}, {_sql_bootstrap(1000, '1.0e0')}")
 def paired_bootstrap(spark, d):
-    return metrics.paired_bootstrap(view(spark, d, "scored"), draws=200)
+    return _bounds(metrics.paired_bootstrap(view(spark, d, "scored"), "doc_id"))
+
+
+@query(f"{E}, {_sql_bootstrap(1000, 'w')}")
+def paired_bootstrap_weighted(spark, d):
+    return _bounds(metrics.paired_bootstrap(view(spark, d, "scored"), "doc_id", w="w"))
+
+
+@query(f"{E}, {_PR.format(w='w')} SELECT round(sum(neg * (tp - pos + pos / 2)) / (sum(pos) * sum(neg)), 9) AS roc_auc FROM c")
+def roc_auc_weighted(spark, d):
+    return metrics.roc_auc(view(spark, d, "scored"), w="w").select(F.round("roc_auc", 9).alias("roc_auc"))
+
+
+@query(f"{E}, e AS (SELECT list_distinct(quantile_cont(p, [0, 0.2, 0.4, 0.6, 0.8, 1])) AS e FROM scored), b AS (SELECT greatest(1, len(list_filter(e, lambda x: x < p))) AS bucket, y, p, w FROM scored, e) SELECT cast(bucket AS INT) AS bucket, count(*) AS n, round(sum(w * p) / sum(w), 6) AS mean_score, round(sum(w * y) / sum(w), 6) AS mean_outcome FROM b GROUP BY 1")
+def reliability_weighted(spark, d):
+    out = metrics.reliability(view(spark, d, "scored"), w="w")
+    return out.withColumns({c: F.round(c, 6) for c in ("mean_score", "mean_outcome")})
+
+
+@query()
+def reliability_points(spark, d):
+    return metrics.reliability_points(view(spark, d, "scored"))
 
 
 @query(f"{E} SELECT doc_id, p AS risk, (SELECT count(*) FROM scored WHERE p >= 0.2) AS n_matching FROM scored WHERE p >= 0.2 ORDER BY p DESC, doc_id LIMIT 25")
@@ -316,17 +335,80 @@ def coverage_by_year(spark, d):
     SELECT f.national_fire_id, month(t0) AS month, dayofyear(t0) AS doy, hour(t0) AS t0_hour, coalesce(s.fire_size, 0) AS size_at_decision, round(ln(1 + coalesce(s.fire_size, 0)), 9) AS log_size_at_decision, CASE WHEN size_at_horizon >= 100 THEN 1 ELSE 0 END::TINYINT AS escalated
     FROM f JOIN s USING (national_fire_id) JOIN z USING (national_fire_id) WHERE t0 + INTERVAL 72 HOUR <= (SELECT max(record_start) FROM revisions) AND size_at_horizon IS NOT NULL AND coalesce(s.fire_size, 0) < 100""")
 def escalation_labels(spark, d):
-    from pitgrid.plans import tables
-
-    out = tables.escalation(view(spark, d, "revisions"), view(spark, d, "hotspots"))
+    out = plans.escalation(view(spark, d, "revisions"), view(spark, d, "hotspots"))
     return out.select("national_fire_id", "month", "doy", "t0_hour", F.coalesce("size_at_decision", F.lit(0.0)).alias("size_at_decision"), F.round("log_size_at_decision", 9).alias("log_size_at_decision"), "escalated")
 
 
-@query()
+_HS = ("fwi", "hfi", "ros")
+_NEAR10 = _NEAR.replace("50 / ", "10 / ").replace("dist_km <= 50", "dist_km <= 10")
+_ESC = f"""{_FIRST}, {_STATE.format(h=24)}, z AS (SELECT r.national_fire_id, r.fire_size AS size_at_horizon, r.stage_of_control_status AS status_at_horizon FROM revisions r JOIN f USING (national_fire_id) WHERE r.record_start <= f.t0 + INTERVAL 72 HOUR QUALIFY row_number() OVER (PARTITION BY r.national_fire_id ORDER BY r.record_start DESC, r.id DESC) = 1),
+    v AS (SELECT r.national_fire_id, count(*) AS n_revisions_by_decision, arg_min(fire_size, (record_start, id)) FILTER (fire_size IS NOT NULL) AS size_first, max(fire_size) AS size_max_so_far, count(DISTINCT stage_of_control_status) + max(CASE WHEN stage_of_control_status IS NULL THEN 1 ELSE 0 END) AS n_distinct_status FROM revisions r JOIN f USING (national_fire_id) WHERE record_start <= t0 + INTERVAL 24 HOUR GROUP BY 1),
+    {_NEAR10},
+    hs AS (SELECT n.national_fire_id, count(*) AS hs_count, {', '.join(f'max({m}) AS hs_{m}_max, {_MEAN.format(m=m)}' for m in _HS)}, CAST(sum(CAST(hfi AS DECIMAL(18,6))) AS DOUBLE) AS hs_hfi_sum, min(dist_km) AS hs_dist_min_km,
+        count(DISTINCT CAST(rep_date AS date)) AS hs_active_days, date_diff('hour', min(rep_date), n.t0) AS hs_detection_lead_hours, any_value(hs_fuel_group) AS hs_fuel_group FROM n JOIN g USING (national_fire_id) GROUP BY n.national_fire_id, n.t0),
+    q AS (SELECT national_fire_id, agency_code, t0 + INTERVAL 24 HOUR AS decision_at FROM f),
+    c AS (SELECT q.national_fire_id, q.decision_at, s.national_preparedness_level AS ciffc_national_pl, s.agency_preparedness AS ciffc_agency_pl, date_diff('microsecond', s.published_at, q.decision_at) // 60000000 / 60.0e0 AS ciffc_sitrep_lag_hours FROM q ASOF LEFT JOIN sitreps s ON q.agency_code = s.agency_code AND q.decision_at >= s.published_at),
+    esc AS (SELECT f.*, s.fire_size AS size_at_decision, s.stage_of_control_status AS status_at_decision, v.* EXCLUDE (national_fire_id), coalesce(hs.hs_count, 0) AS hs_count, coalesce(hs.hs_active_days, 0) AS hs_active_days, hs.* EXCLUDE (national_fire_id, hs_count, hs_active_days),
+        cast(month(t0) AS INT) AS month, cast(dayofyear(t0) AS INT) AS doy, cast(hour(t0) AS INT) AS t0_hour, c.* EXCLUDE (national_fire_id), coalesce(s.fire_size, 0) - coalesce(v.size_first, 0) AS size_growth_to_decision, ln(1 + coalesce(s.fire_size, 0)) AS log_size_at_decision,
+        z.size_at_horizon, z.status_at_horizon, CASE WHEN size_at_horizon >= 100 THEN 1 ELSE 0 END::TINYINT AS escalated, CASE WHEN coalesce(status_at_horizon, '') = 'OC' THEN 1 ELSE 0 END::TINYINT AS still_out_of_control
+        FROM f JOIN s USING (national_fire_id) JOIN z USING (national_fire_id) JOIN c USING (national_fire_id) LEFT JOIN v USING (national_fire_id) LEFT JOIN hs USING (national_fire_id)
+        WHERE t0 + INTERVAL 72 HOUR <= (SELECT max(record_start) FROM revisions) AND size_at_horizon IS NOT NULL AND coalesce(s.fire_size, 0) < 100)"""
+_ALL3 = _with("revisions", "hotspots", "sitreps")
+_ROUNDED = ("hs_dist_min_km", "log_size_at_decision")
+
+
+def _escalation(spark, d):
+    return plans.escalation(view(spark, d, "revisions"), view(spark, d, "hotspots"), view(spark, d, "sitreps"))
+
+
+@query(f"{_ALL3}, {_ESC} SELECT * EXCLUDE ({', '.join(_ROUNDED)}), {', '.join(f'round({c}, 6) AS {c}' for c in _ROUNDED)} FROM esc")
 def escalation_table(spark, d):
-    from pitgrid.plans import tables
+    return _escalation(spark, d).withColumns({c: F.round(c, 6) for c in _ROUNDED})
+
+
+_LEVELS = ("agency_code", "region_code", "status_at_decision", "hs_fuel_group")
+_NUMBERS = tuple(c for c in models.ESCALATION.numeric if c not in ("hs_sfc_mean", "hs_tfc_max", "hs_tfc_mean") and (not c.startswith("ciffc_") or c in ("ciffc_national_pl", "ciffc_agency_pl")))
+
+
+@query(f"{_ALL3}, {_ESC}, {', '.join(f'l_{c} AS (SELECT list_sort(list(DISTINCT {c})) AS v FROM esc WHERE {c} IS NOT NULL)' for c in _LEVELS)} SELECT national_fire_id, {', '.join(f'round(cast(coalesce({c}, -1e9) AS DOUBLE), 6) AS x_{c}' for c in _NUMBERS)}, {', '.join(f'cast(coalesce(list_position((SELECT v FROM l_{c}), {c}), 0) AS DOUBLE) AS x_{c}' for c in _LEVELS)} FROM esc")
+def escalation_matrix(spark, d):
+    """The features of every labelled incident as numbers, levels numbered in their order."""
+    table = written(_escalation(spark, d), "labelled")
+    columns = models.features(table, models.ESCALATION)
+    out = models.matrix(table, columns, models.levels_of(table, models.ESCALATION, columns))
+    return out.select("national_fire_id", *[F.round(f"x_{c}", 6).alias(f"x_{c}") for c in columns])
+
 
-    return tables.escalation(view(spark, d, "revisions"), view(spark, d, "hotspots"), view(spark, d, "sitreps"))
+@query(f"{_ALL3}, {_ESC} SELECT agency_code, count(*) AS n, cast(sum(escalated) AS BIGINT) AS positives FROM esc GROUP BY 1")
+def fold_counts(spark, d):
+    return models.fold_counts(_escalation(spark, d), models.ESCALATION)
+
+
+_SEASON = "cast(2022 + least(2, (dayofyear(t0) - 1) {div} 9) as int)"
+
+
+@query(f"{_ALL3}, {_ESC}, y AS (SELECT {_SEASON.format(div='//')} AS fire_year, escalated FROM esc) SELECT CASE WHEN fire_year < (SELECT max(fire_year) FROM y) THEN 'train' ELSE 'test' END AS part, fire_year, count(*) AS n, cast(sum(escalated) AS BIGINT) AS positives FROM y GROUP BY 1, 2")
+def season_backtest_counts(spark, d):
+    table = _escalation(spark, d).withColumn("fire_year", F.expr(_SEASON.format(div="div")))
+    train, test, *_ = models.season_split(table)
+    both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    return both.groupBy("part", "fire_year").agg(F.count("*").alias("n"), F.sum(F.col("escalated").cast("long")).alias("positives"))
+
+
+@query()
+def escalation_backtest(spark, d):
+    """The held-out season's incidents with their risks: trees, isotonic calibration, size as the baseline."""
+    table = written(_escalation(spark, d).withColumn("fire_year", F.expr(_SEASON.format(div="div"))), "labelled")
+    return models.backtest(table, models.ESCALATION, draws=0, trees=20)[1]
+
+
+@query()
+def ignition_scores(spark, d):
+    """Every cell of the study area on the day after the last observation."""
+    r, h, o = (view(spark, d, n) for n in ("revisions", "hotspots", "obs"))
+    days = spark.sql("select explode(sequence(date'2024-01-02', date'2024-01-30')) as day")
+    panel_ = written(plans.ignition(r, h, o, days, [2024], rate=0.2), "panel")
+    return models.score_ignition(models.fit(panel_, models.IGNITION, rate=0.2, trees=20), r, h, o)
 
 
 @query(f"""{_with('sitreps')} SELECT cast(year(sitrep_date) AS INT) AS year, count(DISTINCT sitrep_date) AS n_days, count(*) AS n_rows, round(avg(national_preparedness_level), 2) AS mean_national_pl,
@@ -341,3 +423,154 @@ def weather_summary(spark, d):
     rows = view(spark, d, "obs").selectExpr("aes", "temp as temperature_2m", "rh as relative_humidity_2m", "fwi as wind_speed_10m")
     out = feeds.weather_summary(rows, ["aes"])
     return out.withColumns({c: F.round(c, 9) for c in out.columns if c.endswith("_mean")})
+
+
+@query(f"{H} SELECT hid, CASE WHEN temp BETWEEN -60 AND 50 THEN temp END AS temp, CASE WHEN rh BETWEEN 0 AND 100 THEN rh END AS rh, CASE WHEN fwi BETWEEN 0 AND 200 THEN fwi END AS fwi FROM (SELECT hid, CAST(hid % 200 - 100 AS DOUBLE) AS temp, CAST(hid % 150 AS DOUBLE) AS rh, CAST(hid % 400 AS DOUBLE) AS fwi FROM hotspots)")
+def physical_limits(spark, d):
+    raw = view(spark, d, "hotspots").selectExpr("hid", "cast(hid % 200 - 100 as double) as temp", "cast(hid % 150 as double) as rh", "cast(hid % 400 as double) as fwi")
+    return clean.in_limits(raw)
+
+
+_FUELS = "CASE hid % 9 WHEN 0 THEN 'Water' WHEN 1 THEN 'vegetated non-fuel' WHEN 2 THEN 'Non-Fuel' WHEN 3 THEN 'URBAN' WHEN 4 THEN 'unknown' WHEN 5 THEN 'nonfuel' WHEN 6 THEN NULL ELSE fuel END"
+
+
+@query(f"{H} SELECT hid, fuel FROM (SELECT hid, {_FUELS} AS fuel FROM hotspots) WHERE fuel IS NULL OR lower(fuel) NOT IN ('water', 'urban', 'unknown', 'non-fuel', 'vegetated non-fuel')")
+def burnable_fuel(spark, d):
+    return clean.burnable(view(spark, d, "hotspots").selectExpr("hid", f"{_FUELS} as fuel"))
+
+
+@query(f"{R} SELECT id, CASE stage_of_control_status WHEN 'OC' THEN 'out of control' WHEN 'BH' THEN 'being held' WHEN 'UC' THEN 'under control' WHEN 'EX' THEN 'out' WHEN 'UNK' THEN 'unknown' ELSE stage_of_control_status END AS status FROM revisions")
+def status_labels(spark, d):
+    return view(spark, d, "revisions").select("id", serving.status_label("stage_of_control_status").alias("status"))
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE year(o_orderdate) IN (1995, 1996) AND month(o_orderdate) BETWEEN 4 AND 10")
+def season_rows(spark, d):
+    return clean.in_season(spark.read.parquet(f"{d}/orders.parquet"), "o_orderdate", [1995, 1996]).select("o_orderkey", "o_orderdate")
+
+
+_PAIRED = "SELECT cast(cast(aes AS INT) % 20 AS VARCHAR) AS aes, obs_date, temp, rh, fwi, lat, lon FROM obs"
+
+
+@query(f"{O}, o AS ({_PAIRED}) SELECT aes, obs_date, round(avg(temp), 9) AS temp, round(avg(rh), 9) AS rh, round(avg(fwi), 9) AS fwi, arg_min(lat, (lat, lon)) AS lat, arg_min(lon, (lat, lon)) AS lon FROM o GROUP BY 1, 2")
+def station_day_means(spark, d):
+    rows = view(spark, d, "obs").withColumn("aes", (F.col("aes").cast("int") % 20).cast("string"))
+    out = clean.station_days(rows, ["temp", "rh", "fwi"])
+    return out.withColumns({c: F.round(c, 9) for c in ("temp", "rh", "fwi")})
+
+
+@query(f"{H} SELECT hid, CASE WHEN hfi - 300 >= 0 THEN hfi - 300 END AS hfi, CASE WHEN ros - 10 >= 0 THEN ros - 10 END AS ros FROM hotspots")
+def sentinels(spark, d):
+    return clean.without_sentinels(view(spark, d, "hotspots").selectExpr("hid", "hfi - 300 as hfi", "ros - 10 as ros"), ["hfi", "ros"])
+
+
+@query(f"{H} SELECT hid, CASE WHEN hid % 7 <> 0 THEN date_trunc('second', rep_date) END AS rep_date FROM hotspots")
+def feed_timestamps(spark, d):
+    text = "case when hid % 7 = 0 then 'not a date' when hid % 2 = 0 then date_format(rep_date, \"yyyy-MM-dd'T'HH:mm:ss\") else date_format(rep_date, 'yyyy-MM-dd HH:mm:ss') end as rep_date"
+    return view(spark, d, "hotspots").selectExpr("hid", text).withColumn("rep_date", clean.timestamp("rep_date"))
+
+
+_IDS = "CASE id % 4 WHEN 0 THEN concat('2024_', agency_code, '_', national_fire_id) WHEN 1 THEN national_fire_id WHEN 2 THEN concat('x', national_fire_id, '_7') ELSE NULL END"
+
+
+@query(f"{R} SELECT id, CASE WHEN length(f) - length(replace(f, '_', '')) >= 2 THEN array_to_string(string_split(f, '_')[3:], '_') ELSE coalesce(f, '') END AS short FROM (SELECT id, {_IDS} AS f FROM revisions)")
+def short_ids(spark, d):
+    return view(spark, d, "revisions").selectExpr("id", f"{_IDS} as f").select("id", clean.short_id("f").alias("short"))
+
+
+@query(f"{R}, {_FIRST} SELECT national_fire_id, date_diff('microsecond', t0, TIMESTAMP '2024-03-01 12:34:56') // 3600000000 AS age_hours FROM f")
+def incident_age_hours(spark, d):
+    return _revisions(spark, d)[1].select("national_fire_id", clean.age_hours("t0", "2024-03-01 12:34:56").alias("age_hours"))
+
+
+@query(f"{R}, {_FIRST} SELECT f.*, r.fire_size AS size_now, r.stage_of_control_status AS status_now FROM f JOIN revisions r USING (national_fire_id) QUALIFY row_number() OVER (PARTITION BY f.national_fire_id ORDER BY r.record_start DESC, r.id DESC) = 1".replace("f.*", "f.national_fire_id, f.t0"))
+def latest_state(spark, d):
+    r, seen = _revisions(spark, d)
+    return models.with_latest(seen.select("national_fire_id", "t0"), r)
+
+
+@query(f"{R} SELECT id, coalesce(fire_size, 0) AS size, 0.0e0 AS nothing FROM revisions")
+def baseline_vector(spark, d):
+    r = view(spark, d, "revisions")
+    return r.select("id", clean.zero_if_missing(r, "fire_size").alias("size"), clean.zero_if_missing(r, "no_such_column").alias("nothing"))
+
+
+_STATIONS = "SELECT DISTINCT aes, lat, lon, CASE cast(aes AS INT) % 3 WHEN 0 THEN 'AB' WHEN 1 THEN 'BC' ELSE NULL END AS prov FROM obs WHERE cast(aes AS INT) % 7 <> 0"
+
+
+@query(f"{O}, st AS ({_STATIONS}) SELECT o.aes, o.obs_date, o.temp, st.lat, st.lon FROM obs o JOIN st USING (aes)")
+def observations_with_stations(spark, d):
+    obs = view(spark, d, "obs")
+    return clean.with_stations(obs.select("aes", "obs_date", "temp"), spark.sql(_STATIONS.replace("FROM obs", "FROM {obs}"), obs=obs))
+
+
+@query(f"{O}, st AS ({_STATIONS}) SELECT o.aes, o.obs_date, st.prov FROM obs o LEFT JOIN st USING (aes)")
+def observations_with_provinces(spark, d):
+    obs = view(spark, d, "obs")
+    return clean.with_provinces(obs.select("aes", "obs_date"), spark.sql(_STATIONS.replace("FROM obs", "FROM {obs}"), obs=obs))
+
+
+_X, _Y = "((cell_x + 0.5) * 10)", "((cell_y + 0.5) * 10)"
+_RHO = f"sqrt({_X} * {_X} + {_Y} * {_Y})"
+_ARC = f"(2 * asin(least(1, {_RHO} / (2 * 6371.0072))))"
+_LAT = f"degrees(asin(greatest(-1, least(1, cos({_ARC}) * sin(radians(60)) + {_Y} * sin({_ARC}) * cos(radians(60)) / {_RHO}))))"
+_LON = f"(-96 + degrees(atan2({_X} * sin({_ARC}), {_RHO} * cos(radians(60)) * cos({_ARC}) - {_Y} * sin(radians(60)) * sin({_ARC}))))"
+_CENTRES = f"centres AS (SELECT cell_x, cell_y, {_LAT} AS lat, {_LON} AS lon FROM (SELECT DISTINCT {_cell()} FROM hotspots))"
+
+
+@query(f"{H}, {_CENTRES} SELECT cell_x, cell_y, round(lat, 6) AS lat, round(lon, 6) AS lon FROM centres")
+def cell_centres(spark, d):
+    out = grid.with_centres(grid.with_cells(view(spark, d, "hotspots")).select("cell_x", "cell_y").distinct())
+    return out.withColumns({c: F.round(c, 6) for c in ("lat", "lon")})
+
+
+_INSIDE = "i AS (SELECT cell_x, cell_y, code, ring FROM centres JOIN edges ON (a_lat > lat) <> (b_lat > lat) AND lon < (b_lon - a_lon) * (lat - a_lat) / (b_lat - a_lat) + a_lon GROUP BY 1, 2, 3, 4 HAVING count(*) % 2 = 1), poly AS (SELECT cell_x, cell_y, arg_min(code, ring) AS code FROM i GROUP BY 1, 2)"
+
+
+@query(f"{_with('revisions', 'hotspots')}, {_FIRST}, {_EVENTS}, {_AGENCY}, {_CENTRES}, {_EDGE_SQL}, {_INSIDE} SELECT cell_x, cell_y, coalesce(vote.agency_code, code) AS agency_code FROM centres LEFT JOIN vote USING (cell_x, cell_y) LEFT JOIN poly USING (cell_x, cell_y)")
+def agency_or_polygon(spark, d):
+    cells = grid.with_cells(view(spark, d, "hotspots")).select("cell_x", "cell_y").distinct()
+    return panel.cell_agency(cells, panel.ignition_events(view(spark, d, "revisions")), _edges(spark))
+
+
+_DAYS = "days AS (SELECT unnest(generate_series(date '2024-01-05', date '2024-01-20', INTERVAL 1 DAY))::date AS day)"
+
+
+@query(f"{_with('revisions', 'hotspots')}, {_FIRST}, {_EVENTS}, {_AGENCY}, {_AREA}, {_DAYS}, reach AS (SELECT ev.* FROM ev SEMI JOIN days USING (day)) SELECT cast(sum(n_ignitions) AS BIGINT) AS n_reachable, cast(sum(n_ignitions) FILTER ((cell_x, cell_y) IN (SELECT (cell_x, cell_y) FROM area)) AS BIGINT) AS n_inside, round(n_inside / n_reachable, 9) AS coverage FROM reach")
+def area_coverage(spark, d):
+    events = panel.ignition_events(view(spark, d, "revisions"))
+    days = spark.sql("select explode(sequence(date'2024-01-05', date'2024-01-20')) as day")
+    return panel.area_coverage(panel.study_area(events, view(spark, d, "hotspots"), [2024]), events, days).withColumn("coverage", F.round("coverage", 9))
+
+
+@query(f"{_with('revisions', 'hotspots', 'obs')}, {_FIRST}, {_EVENTS}, {_AGENCY}, {_AREA} SELECT cell_x, cell_y, agency_code, day FROM area, (SELECT unnest([max(obs_date), max(obs_date) + 1])::date AS day FROM obs)")
+def area_on_scoreable_days(spark, d):
+    area = panel.study_area(panel.ignition_events(view(spark, d, "revisions")), view(spark, d, "hotspots"), [2024])
+    return models.area_days(area, panel.scoreable_days(view(spark, d, "obs"), days=2))
+
+
+@query("SELECT day FROM (SELECT unnest(generate_series(date '2023-01-01', date '2024-12-31', INTERVAL 1 DAY))::date AS day) WHERE month(day) BETWEEN 4 AND 10")
+def season_days(spark, d):
+    return panel.season_days(spark, [2023, 2024])
+
+
+@query(f"{_with('scored')} SELECT count(*) AS n, count(*) FILTER (p >= 0.1) AS n_over_10, count(*) FILTER (p >= 0.25) AS n_over_25, count(*) FILTER (y = 1) AS n_out_of_control FROM scored")
+def readouts(spark, d):
+    return serving.readouts(view(spark, d, "scored").selectExpr("p as risk", "if(y = 1, 'OC', 'EX') as status_now"))
+
+
+@query(f"{E}, q AS (SELECT list_sort(list(p)) AS s, count(*) AS n FROM scored) SELECT doc_id, round(p, 9) AS risk, cast((p < s[1 + cast(floor(0.995 * (n - 1) + 0.5) AS INT)])::INT + (p < s[1 + cast(floor(0.98 * (n - 1) + 0.5) AS INT)])::INT AS INT) AS band FROM scored, q QUALIFY row_number() OVER (ORDER BY p DESC, doc_id) <= greatest(1, n * 8 // 100)")
+def top_share(spark, d):
+    out = serving.top_share(view(spark, d, "scored").select("doc_id", F.col("p").alias("risk")), ties=("doc_id",), day=None)
+    return out.withColumn("risk", F.round("risk", 9))
+
+
+@query("SELECT o_orderkey, o_totalprice, o_orderdate, cast(year(o_orderdate) AS INT) AS season FROM orders WHERE year(o_orderdate) < 1997 AND (year(o_orderdate) <> 1996 OR o_orderkey % 2 = 0)")
+def season_replacement(spark, d):
+    """A table of seasons, one of which is replaced, twice: the second time changes nothing."""
+    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_totalprice", "o_orderdate")
+    path = f"{shared.folder(spark)}/seasons-{uuid.uuid4().hex}"
+    tables.replace_seasons(orders.where("year(o_orderdate) < 1997"), path, at="o_orderdate")
+    for _ in range(2):
+        tables.replace_seasons(orders.where("year(o_orderdate) = 1996 and o_orderkey % 2 = 0"), path, at="o_orderdate")
+    return spark.read.parquet(path)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pitgrid.sources.shared import written
+
 
 def score_groups(scored: DataFrame, y: str = "y", p: str = "p", w: str | None = None) -> DataFrame:
     """(p, pos, neg): weights of positives and negatives at each distinct score."""
@@ -49,12 +49,44 @@ def brier(scored: DataFrame, y: str = "y", p: str = "p", w: str | None = None) -
 def reliability(scored: DataFrame, y: str = "y", p: str = "p", w: str | None = None, bins: int = 5) -> DataFrame:
     """Quantile buckets (low, high], equal edges merged, empty buckets left out: rows, mean score, mean outcome."""
     weight = F.col(w) if w else F.lit(1.0)
-    shares = ", ".join(f"{i / bins}D" for i in range(bins + 1))
-    edges = scored.agg(F.expr(f"array_distinct(percentile({p}, array({shares})))").alias("_e"))
+    edges = quantiles(scored, p, [i / bins for i in range(bins + 1)])
     placed = scored.crossJoin(F.broadcast(edges)).withColumn("bucket", F.expr(f"greatest(1, size(filter(_e, e -> e < {p})))"))
     return placed.groupBy("bucket").agg(F.count("*").alias("n"), (F.sum(weight * F.col(p)) / F.sum(weight)).alias("mean_score"), (F.sum(weight * F.col(y)) / F.sum(weight)).alias("mean_outcome"))
 
 
+def quantiles(scored: DataFrame, p: str, shares: list[float]) -> DataFrame:
+    """One row: _e, the distinct linear quantiles. Ranks come from counts of equal scores, so no task sees all rows."""
+    groups = pr_curve(scored.where(F.col(p).isNotNull()).groupBy(F.col(p).cast("double").alias("p")).agg(F.count("*").cast("double").alias("pos"), F.lit(0.0).alias("neg")))
+    groups = written(groups.select("p", "pos", "tp"), "ranks")
+    n = groups.agg(F.sum("pos")).first()[0] or 0
+    at = [s * max(0.0, n - 1) for s in shares]
+    asked = F.broadcast(scored.sparkSession.createDataFrame([(i, float(int(a) + k), a - int(a) if k else 1 - a + int(a)) for i, a in enumerate(at) for k in (0, 1)], "i int, rank double, part double"))
+    # counted from the lowest score, a group holds the ranks from n - tp on
+    found = asked.join(groups, F.expr(f"rank >= {n}D - tp and rank < {n}D - tp + pos"), "left")
+    each = found.groupBy("i").agg(F.sum(F.when(F.col("part") > 0, F.col("part") * F.col("p"))).alias("q"))
+    return each.agg(F.expr("array_distinct(transform(array_sort(collect_list(struct(i, q))), x -> x.q))").alias("_e"))
+
+
+def reliability_points(scored: DataFrame, y: str = "y", p: str = "p", bins: int = 8) -> DataFrame:
+    """Buckets of about equal counts that never split equal scores: bucket, n, mean_score, mean_outcome.
+
+    A bucket takes max(30, rows / bins) rows and then what equals its last score; a last one of under a third of that joins the one before. Only scores'
+    counts are folded, in their order.
+    """
+    groups = scored.groupBy(F.col(p).alias("p")).agg(F.count("*").alias("n"), F.sum(F.col(y)).cast("double").alias("k"))
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    target, rows, held = max(30, total // bins), [], [0, 0.0, 0.0]
+    for r in groups.orderBy("p").toLocalIterator():
+        held = [held[0] + r.n, held[1] + r.n * r.p, held[2] + r.k]
+        if held[0] >= target:
+            rows, held = [*rows, held], [0, 0.0, 0.0]
+    if held[0]:
+        rows.append(held)
+    if len(rows) > 1 and rows[-1][0] < target // 3:
+        rows[-2:] = [[a + b for a, b in zip(*rows[-2:], strict=True)]]
+    return scored.sparkSession.createDataFrame([(i, n, s / n, k / n) for i, (n, s, k) in enumerate(rows)], "bucket int, n long, mean_score double, mean_outcome double")
+
+
 def correct_prior(p: str, rate: float):
     """Undoes sampling of negatives at ``rate`` in a probability."""
     q = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.col(p)))
@@ -66,43 +98,26 @@ def sample_weight(y: str, rate: float):
     return F.when(F.col(y) == 1, F.lit(1.0)).otherwise(F.lit(1.0 / rate))
 
 
-def weighted_ap(y: np.ndarray, w: np.ndarray, last: np.ndarray) -> float:
-    """Of rows sorted by falling score; last marks the end of each run of ties."""
-    tp, total = np.cumsum(w * y)[last], np.cumsum(w)[last]
-    gain = np.diff(tp, prepend=0)
-    return float((gain * tp / np.maximum(total, 1e-300)).sum() / tp[-1]) if len(tp) and tp[-1] > 0 else 0.0
+#: Poisson(1) by inversion of 32 hashed bits: how many of these a value reaches.
+POISSON = [int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * (1 << 32)) for k in range(11)]
 
 
-def paired_bootstrap(scored: DataFrame, y: str = "y", model: str = "p", base: str = "p_base", w: str | None = None, draws: int = 1000, seed: int = 17, most_rows: int = 2_000_000) -> DataFrame:
-    """5th and 95th percentiles of both average precisions and their paired difference over multinomial resamples.
+def paired_bootstrap(scored: DataFrame, key: str, y: str = "y", model: str = "p", base: str = "p_base", w: str | None = None, draws: int = 1000, seed: int = 17) -> DataFrame:
+    """5th and 95th percentiles of both average precisions and their paired difference over resamples of the rows.
 
-    The held-out rows, at most ``most_rows``, go to the executors once, sorted; each draw is a vector of counts with its own seed, and draws run in parallel. Draws without positives
-    are skipped.
+    A row's count in a draw is Poisson(1) by a hash of seed, draw and ``key``, the same for both scores: no row leaves its task to be drawn, and any engine
+    draws the same. Rows with equal scores are summed for each draw first. Draws without positives are skipped.
     """
-    weight = F.col(w) if w else F.lit(1.0)
-    table = scored.select(F.col(y).cast("double").alias("y"), F.col(model).cast("double").alias("m"), F.col(base).cast("double").alias("b"), weight.cast("double").alias("w")).orderBy("y", "m", "b", "w").limit(most_rows + 1).toPandas()
-    if len(table) > most_rows:
-        raise ValueError("too many rows to resample")
-    spark = scored.sparkSession
-    shared = spark.sparkContext.broadcast(table.to_numpy())
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = shared.value
-        views = []
-        for c in (1, 2):
-            order = np.argsort(-rows[:, c], kind="stable")
-            s = rows[order, c]
-            views.append((order, np.append(np.flatnonzero(s[1:] != s[:-1]), len(s) - 1) if len(s) else np.zeros(0, int)))
-        for batch in batches:
-            out = []
-            for draw in batch["id"]:
-                if not len(rows):
-                    continue
-                n = np.bincount(np.random.default_rng([seed, int(draw)]).integers(0, len(rows), len(rows)), minlength=len(rows)) * rows[:, 3]
-                if (n * rows[:, 0]).sum() > 0:
-                    out.append([weighted_ap(rows[o, 0], n[o], last) for o, last in views])
-            yield pd.DataFrame(out, columns=["m", "b"], dtype=float)
-
-    done = spark.range(draws).repartition(8).mapInPandas(run, "m double, b double")
+    weight = F.col(w).cast("double") if w else F.lit(1.0)
+    fours = F.explode(F.sequence(F.lit(0), F.lit(-(-draws // 4) - 1))).alias("_b")
+    rows = scored.select(F.col(key).cast("string").alias("_key"), (F.col(y) == 1).alias("_y"), F.col(model).cast("double").alias("_m"), F.col(base).cast("double").alias("_p"), weight.alias("_w"), fours)
+    rows = rows.withColumn("_h", F.expr(f"md5(concat_ws('|', '{seed}', _b, _key))"))
+    drawn = F.expr("posexplode(array(" + ", ".join(f"cast(conv(substring(_h, {8 * k + 1}, 8), 16, 10) as bigint)" for k in range(4)) + "))").alias("_k", "_u")
+    rows = rows.select("*", drawn).withColumn("_n", sum((F.col("_u") >= c).cast("int") for c in POISSON)).where("_n > 0")
+    rows = rows.select((F.col("_b") * 4 + F.col("_k")).alias("draw"), "_y", (F.col("_n") * F.col("_w")).alias("_n"), F.explode(F.expr("array(struct('model' as of, _m as p), struct('base' as of, _p as p))")).alias("_s")).where(F.col("draw") < draws)
+    groups = rows.groupBy("draw", "_s.of", "_s.p").agg(F.sum(F.when(F.col("_y"), F.col("_n")).otherwise(0.0)).alias("pos"), F.sum("_n").alias("all"))
+    down = W.partitionBy("draw", "of").orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    each = groups.withColumns({"tp": F.sum("pos").over(down), "seen": F.sum("all").over(down)}).groupBy("draw", "of").agg(F.try_divide(F.sum(F.expr("pos * tp / seen")), F.sum("pos")).alias("ap"))
+    both = each.groupBy("draw").agg(F.max(F.when(F.col("of") == "model", F.col("ap"))).alias("m"), F.max(F.when(F.col("of") == "base", F.col("ap"))).alias("b")).where("m is not null")
     edge = lambda e: F.expr(f"percentile({e}, array(0.05D, 0.95D))")
-    return done.agg(edge("m").alias("model"), edge("b").alias("base"), edge("m - b").alias("delta"), F.avg((F.col("m") > F.col("b")).cast("double")).alias("p_better"), F.count("*").alias("draws"))
+    return both.agg(edge("m").alias("model"), edge("b").alias("base"), edge("m - b").alias("delta"), F.avg((F.col("m") > F.col("b")).cast("double")).alias("p_better"), F.count("*").alias("draws"))

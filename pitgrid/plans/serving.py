@@ -2,11 +2,47 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitgrid.sources import tables
+
 #: Stage-of-control codes.
-STATUS = {"OC": "Out of control", "BH": "Being held", "UC": "Under control", "EX": "Extinguished", "UNK": "Unknown"}
+STATUS = {"OC": "out of control", "BH": "being held", "UC": "under control", "EX": "out", "UNK": "unknown"}
+
+
+def status_label(c: str):
+    """The text of a status code; other codes stay as they are."""
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in STATUS.items() for x in pair])[F.col(c)], F.col(c))
+
+
+def by_risk(risk: DataFrame, *ties: str, day: str | None = None) -> DataFrame:
+    """All rows by falling risk, inside each day where one is named; ties by the named columns."""
+    return risk.orderBy(*([day] if day else []), F.desc("risk"), *ties)
+
+
+def artefacts(spark, paths: dict[str, str]) -> dict[str, dict]:
+    """For each named path whether it has been built, when it was written and how many bytes it holds, in whatever store."""
+    out = {}
+    for name, path in paths.items():
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(where):
+            out[name] = {"built": False}
+            continue
+        at = datetime.datetime.fromtimestamp(fs.getFileStatus(where).getModificationTime() / 1000, datetime.UTC)
+        out[name] = {"built": True, "written_at": at.strftime("%Y-%m-%dT%H:%M:%SZ"), "bytes": fs.getContentSummary(where).getLength()}
+    return out
+
+
+def models(spark, paths: dict[str, str]) -> dict[str, dict]:
+    """What the sidecars of fitted models and backtests say: target, seasons, rows, held-out accuracy. A missing one leaves its part out."""
+    out: dict[str, dict] = {}
+    for name, path in paths.items():
+        out[name] = tables.read_json(spark, path) if tables.exists(spark, path) else {}
+    return out
 
 
 def top(rows: DataFrame, condition, by: str, ties: list[str], limit: int) -> DataFrame:
@@ -43,14 +79,19 @@ def ignition(risk: DataFrame, limit: int = 1000, min_risk: float = 0.0, bbox: tu
     return top(risk, F.lit(min_risk <= 0) | (F.col("risk") >= min_risk), "risk", ["cell_x", "cell_y"], limit)
 
 
-def readouts(risk: DataFrame, thresholds: tuple[float, ...] = (0.05, 0.2)) -> DataFrame:
+def readouts(risk: DataFrame, thresholds: tuple[float, ...] = (0.1, 0.25)) -> DataFrame:
     return risk.agg(F.count("*").alias("n"), *[F.count_if(F.col("risk") >= t).alias(f"n_over_{int(t * 100)}") for t in thresholds], F.count_if(F.col("status_now") == "OC").alias("n_out_of_control"))
 
 
-def top_share(risk: DataFrame, share: float = 0.08, bands: tuple[float, ...] = (0.995, 0.98)) -> DataFrame:
-    """The top share of rows by score, banded by nearest-rank quantiles."""
-    cuts = risk.agg(*[F.expr(f"percentile_disc({q}) within group (order by risk)").alias(f"_q{i}") for i, q in enumerate((*bands, 1 - share))])
-    band = F.lit(len(bands))
-    for i in reversed(range(len(bands))):
-        band = F.when(F.col("risk") >= F.col(f"_q{i}"), i).otherwise(band)
-    return risk.crossJoin(F.broadcast(cuts)).where(F.col("risk") >= F.col(f"_q{len(bands)}")).withColumn("band", band).drop(*[f"_q{i}" for i in range(len(bands) + 1)])
+def top_share(risk: DataFrame, share: float = 0.08, bands: tuple[float, ...] = (0.995, 0.98), ties: tuple[str, ...] = ("cell_x", "cell_y"), day: str | None = "day") -> DataFrame:
+    """The top share of the newest day's rows, at least one, by falling risk; band: 0 from the first quantile of all its rows on, 1 from the second, else the last.
+
+    Quantiles are the rows nearest to their place.
+    """
+    if day:
+        risk = risk.join(F.broadcast(risk.agg(F.max(day).alias(day))), day)
+    n = risk.count()
+    places = ", ".join(f"{int(q * (n - 1) + 0.5) / max(1, n - 1)}D" for q in bands)
+    cuts = risk.agg(F.expr(f"percentile(risk, array({places}))").alias("_q"))
+    kept = risk.orderBy(F.desc("risk"), *ties).limit(max(1, int(n * share)))
+    return kept.crossJoin(F.broadcast(cuts)).withColumn("band", F.expr("size(filter(_q, q -> risk < q))")).drop("_q")

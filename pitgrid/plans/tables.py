@@ -13,7 +13,7 @@ ESCALATED_HA, DECISION_H, HORIZON_H, RADIUS_KM = 100.0, 24, 72, 10.0
 
 def escalation_features(revisions: DataFrame, offsets: DataFrame, hotspots: DataFrame, sitreps: DataFrame | None = None, decision_hours: float = DECISION_H) -> DataFrame:
     """One row an incident with a state at its decision instant; only rows visible then are read. Counts are 0 without rows, measures null."""
-    state = asof.state_asof(revisions, offsets, decision_hours).select("national_fire_id", F.col("fire_size").alias("size_at_decision"), F.col("stage_of_control_status").alias("status_at_decision"))
+    state = asof.state_asof(revisions, offsets, decision_hours).select("national_fire_id", F.col("fire_size").alias("size_at_decision"), F.col("stage_of_control_status").alias("status_at_decision"), *[c for c in ("response_type", "national_fire_cause") if c in revisions.columns])
     out = offsets.join(state, "national_fire_id").join(asof.revisions_before(revisions, offsets, decision_hours), "national_fire_id", "left")
     out = out.join(spatial.hotspot_features(offsets, hotspots, RADIUS_KM, decision_hours), "national_fire_id", "left")
     out = out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("hs_count", "hs_active_days")})
@@ -23,6 +23,7 @@ def escalation_features(revisions: DataFrame, offsets: DataFrame, hotspots: Data
             "size_growth": F.expr("coalesce(size_at_decision, 0) - coalesce(size_first, 0)"), "log_size_at_decision": F.expr("log1p(coalesce(size_at_decision, 0))"),
         }
     )
+    out = out.withColumnsRenamed({"size_growth": "size_growth_to_decision", "size_max_by_decision": "size_max_so_far", "n_status_by_decision": "n_distinct_status"})
     return asof.preparedness(out, sitreps) if sitreps is not None else out
 
 

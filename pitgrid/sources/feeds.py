@@ -6,6 +6,7 @@ Files are fetched by other means into a folder that Spark reads; nothing here op
 from __future__ import annotations
 
 import csv
+import functools
 import io
 import zipfile
 from collections.abc import Iterator
@@ -88,6 +89,22 @@ def station_days(raw: DataFrame) -> DataFrame:
     return clean.in_limits(out.where("obs_date is not null"))
 
 
+def archive(spark: SparkSession, paths: str | list[str], years: list[int], season_only: bool = True) -> DataFrame:
+    """Station observations of the years (and of the season's months only) from decadal files: one row a station and day, measures in their limits.
+
+    Only the known columns are parsed, and the months asked for are tested on the text of the date, in the scan.
+    """
+    raw = delimited(spark, paths)
+    wanted = ["aes", "rep_date", "lat", "lon", "elev", *clean.LIMITS]
+    if lacking := [c for c in wanted if c not in raw.columns]:
+        raise ValueError(f"the archive lacks {lacking}")
+    months = clean.SEASON_MONTHS if season_only else range(1, 13)
+    asked = functools.reduce(lambda a, b: a | b, [F.col("rep_date").startswith(f"{y}-{m:02d}") for y in years for m in months], F.lit(False))
+    rows = raw.select(wanted).where(asked).withColumns({c: clean.number(c) for c in wanted[2:]} | {"aes": F.trim("aes"), "obs_date": F.to_date(clean.timestamp(F.trim("rep_date")))})
+    rows = clean.in_limits(rows.where("obs_date is not null and lat is not null and lon is not null"))
+    return clean.station_days(rows, list(clean.LIMITS), ("lat", "lon", "elev"))
+
+
 def stations(raw: DataFrame) -> DataFrame:
     """aes, lat, lon, prov: one row a station, the first in (lat, lon, prov) order; those without coordinates go."""
     rows = raw.select(F.trim("aes").alias("aes"), clean.number("lat").alias("lat"), clean.number("lon").alias("lon"), (F.trim("prov") if "prov" in raw.columns else F.lit(None).cast("string")).alias("prov"))

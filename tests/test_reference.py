@@ -119,7 +119,7 @@ def test_metrics(spark):
     flat = spark.createDataFrame([(int(i < 2), 0.5) for i in range(10)], "y int, p double")
     assert metrics.average_precision(flat).first()[0] == pytest.approx(0.2)
     assert metrics.average_precision(flat.where("y = 0")).first()[0] == 0.0
-    same = metrics.paired_bootstrap(df.withColumn("p_base", F.col("p")), draws=20).first()
+    same = metrics.paired_bootstrap(df.selectExpr("*", "p as p_base", "monotonically_increasing_id() as k"), "k", draws=20).first()
     assert list(same.delta) == [0.0, 0.0]
     p = spark.createDataFrame([(0.001 / (0.001 + 0.999 * 0.02),)], "p double")
     assert p.select(metrics.correct_prior("p", 0.02)).first()[0] == pytest.approx(0.001, rel=1e-9)

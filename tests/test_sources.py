@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from pitgrid.functions import grid
+from pitgrid.functions import clean, grid
 from pitgrid.sources import feeds, tables
 
 
@@ -97,3 +97,24 @@ def test_season_replacement(spark, tmp_path):
     assert count() == {2025: 4, 2026: 1}
     tables.write_json(spark, {"n": 1}, f"{path}.json")
     assert tables.read_json(spark, f"{path}.json") == {"n": 1}
+
+
+def test_archive_reads_the_season_only(spark, tmp_path):
+    head = "aes,rep_date,lat,lon,elev,temp,rh,ws,precip,ffmc,dmc,dc,isi,bui,fwi,dsr,extra"
+    line = lambda day, temp, fwi, lat="50": f"A1,{day} 12:00:00,{lat},-110,7,{temp},40,1,0,80,1,1,1,1,{fwi},1,x"
+    rows = [line("2024-07-01", 10, 250), line("2024-07-01", 20, 100), line("2024-12-01", 10, 1), line("2023-07-01", 10, 1), line("2024-07-02", 10, 1, ""), line("junk", 1, 1)]
+    (tmp_path / "a.csv").write_text("\n".join([head, *rows]))
+    got = feeds.archive(spark, f"file://{tmp_path}/a.csv", [2024]).collect()
+    assert [(str(r.obs_date), r.temp, r.fwi, r.lat) for r in got] == [("2024-07-01", 15.0, 100.0, 50.0)]
+    assert feeds.archive(spark, f"file://{tmp_path}/a.csv", [2024], season_only=False).count() == 2
+    (tmp_path / "b.csv").write_text("aes,rep_date\nA1,2024-07-01")
+    with pytest.raises(ValueError, match="lacks"):
+        feeds.archive(spark, f"file://{tmp_path}/b.csv", [2024])
+
+
+def test_small_functions(spark):
+    df = spark.createDataFrame([(1, float("nan"), None), (2, 1.5, "x")], "k int, v double, geometry string").withColumn("at", F.expr("timestamp_ntz'2024-01-02 03:04:05'"))
+    assert clean.without(df, "geometry", "FID").columns == ["k", "v", "at"]
+    assert [r.json for r in clean.json_rows(clean.without(df, "geometry")).orderBy("json").collect()] == ['{"k":1,"v":null,"at":"2024-01-02T03:04:05"}', '{"k":2,"v":1.5,"at":"2024-01-02T03:04:05"}']
+    hot = spark.createDataFrame([("Water", 1), (None, 2), ("Vegetated Non-Fuel", 3), ("C2", 4)], "fuel string, k int")
+    assert {r.k for r in clean.burnable(hot).collect()} == {2, 4}

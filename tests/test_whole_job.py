@@ -49,19 +49,19 @@ def test_panels_hold_all_cells_and_days(spark, tmp_path):
     def before(places, key, n, ring):
         return sum((max(abs(x - key[0]), abs(y - key[1])) == 1 if ring else (x, y) == key[:2]) and 1 <= (key[2] - day).days <= n for x, y, day in places)
 
-    rows = run("trailing_cell_windows_all")
+    rows = run("trailing_cell_windows")
     assert {(r.cell_x, r.cell_y, r.day): (r.hs_n_1d, r.hs_n_3d, r.hs_n_7d, r.hs_ring_n_7d) for r in rows} == {k: (*(before(spots, k, n, False) for n in (1, 3, 7)), before(spots, k, 7, True)) for k in keys} and len(rows) == len(keys)
     fires = {}
     for i, t, user, *_ in sorted(events, key=lambda e: (e[1], e[0])):
         fires.setdefault((user, (t - dt.datetime(1970, 1, 1)).days // 6), (*cell(48 + user * 37 % 1200 / 100, -125 + user * 53 % 3000 / 100), t.date()))
-    rows = run("trailing_ignitions_all")
+    rows = run("trailing_ignitions")
     assert {(r.cell_x, r.cell_y, r.day): (r.ig_n_7d, r.ig_ring_n_7d) for r in rows} == {k: (before(fires.values(), k, 7, False), before(fires.values(), k, 7, True)) for k in keys} and len(rows) == len(keys)
     sites = {str(i): plane(48 + (i * 71 % 1000) / 100, -125 + (i * 131 % 2000) / 100) for i in range(1, 60)}
     near = {c: sorted((math.hypot(x - (c[0] + 0.5) * 10, y - (c[1] + 0.5) * 10), a) for a, (x, y) in sites.items()) for c in cells}
-    assert {(r.cell_x, r.cell_y, r["rank"]): r.aes for r in run("knn_stations_all")} == {(*c, i): a for c in cells for i, (_, a) in enumerate(near[c][:5])}
+    assert {(r.cell_x, r.cell_y, r["rank"]): r.aes for r in run("knn_stations")} == {(*c, i): a for c in cells for i, (_, a) in enumerate(near[c][:5])}
     want = {}
     for x, y, day in keys:
         own = [(1 / max(d, 1) ** 2, (int(a) * 13 + ((day - dt.date(2024, 1, 1)).days - 1) * 7) % 60 - 20) for d, a in near[x, y][:12] if d <= 300]
         if own:
             want[x, y, day] = (len(own), pytest.approx(sum(w * v for w, v in own) / sum(w for w, _ in own), abs=2e-6))
-    assert {(r.cell_x, r.cell_y, r.day): (r.wx_n_stations, r.wx_temp) for r in run("idw_interpolation_all")} == want
+    assert {(r.cell_x, r.cell_y, r.day): (r.wx_n_stations, r.wx_temp) for r in run("idw_interpolation")} == want
