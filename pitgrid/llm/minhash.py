@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitgrid.llm.blocks import in_blocks
-from pitgrid.llm.components import components
+from pitgrid.llm.components import components, extended
 from pitgrid.llm.words import SOLID, mix, words_of
 from pitgrid.llm.workspace import cut, drop, gathered, small_batches, utf8
 
@@ -165,35 +165,51 @@ def near_duplicates(documents: DataFrame, size: int = 4, percent: int = 80, bloc
         "doc_id", "n_shingles", "if(n_shingles > 0 and doc_id is not null, rep, doc_id) as rep", "if(doc_id = rep, bands, null) as bands", "if(doc_id = rep, sketch, null) as sketch"
     )
     rows = cut(rows, "classes")
-    drop(plain)
+    drop(plain, classes)
     first = rows.where("bands is not null")
     buckets = first.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
     hubs = cut(buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub <> top").select("bucket", "hub"), "hubs")
     members = cut(buckets.join(hubs, "bucket"), "members")
+    drop(hubs)
     sketches = first.select(F.col("rep").alias("id"), "bands", "sketch", "n_shingles")
 
-    def star(edges: DataFrame, name: str) -> DataFrame:
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs that full sets confirm, as a table."""
+        pairs = cut(pairs, name)
+        out = cut(confirmed(pairs, docs, size, percent), "links")
+        drop(pairs)
+        return out
+
+    def star(edges: DataFrame) -> DataFrame:
         """Confirmed links among edges (hub, id) whose sketches leave the threshold possible."""
         pairs = edges.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
-        return confirmed(cut(_agree(pairs, sketches, percent), name), docs, size, percent)
+        return linked(_agree(pairs, sketches, percent), "stars")
 
-    def unsettled(links: DataFrame) -> DataFrame:
-        """Members with their components and the number of the bucket's members, of buckets with several components."""
-        placed = cut(members.join(components(links), "id", "left").selectExpr("id", "bucket", "coalesce(component, id) as component"), "placed")
+    def unsettled(inside: DataFrame, found: DataFrame) -> DataFrame:
+        """Of the members (id, bucket) those in buckets with several components, with their component and the bucket's number of members."""
+        placed = cut(inside.join(found, "id", "left").selectExpr("id", "bucket", "coalesce(component, id) as component"), "placed")
         sizes = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("bucket", "n")
         sizes = cut(sizes, "mixed")
-        return placed.join(sizes, "bucket")
+        out = cut(placed.join(sizes, "bucket"), "unsettled")
+        drop(placed, sizes)
+        return out
 
-    links = cut(star(members.where("id <> hub"), "stars"), "links")
-    placed = unsettled(links)
-    company = cut(placed.groupBy("id").agg(F.sum("n").alias("company")), "company")
-    central = placed.join(company, "id").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("id")).alias("minus"), "component")).alias("hub"))
-    central = cut(central.selectExpr("bucket", "-hub.minus as hub", "hub.component as hub_component"), "central")
-    links = cut(links.unionByName(star(placed.join(central, "bucket").where("component <> hub_component"), "central-stars")), "links")
-    placed = unsettled(links)
-    more = in_blocks(placed.join(sketches, "id"), ["bucket"], "n", "id", block).applyInArrow(lambda key, table: _cross(key, table, percent), "a long, b long")
-    links = cut(links.unionByName(confirmed(cut(more, "cross"), docs, size, percent)), "links")
+    links = star(members.where("id <> hub"))
     found = components(links)
+    still = unsettled(members.select("id", "bucket"), found)
+    drop(members, links)
+    company = cut(still.groupBy("id").agg(F.sum("n").alias("company")), "company")
+    central = still.join(company, "id").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("id")).alias("minus"), "component")).alias("hub"))
+    central = cut(central.selectExpr("bucket", "-hub.minus as hub", "hub.component as hub_component"), "central")
+    links = star(still.join(central, "bucket").where("component <> hub_component"))
+    before, found = found, extended(found, links)
+    # components only grow: a bucket of one component stays so
+    earlier, still = still, unsettled(still.select("id", "bucket"), found)
+    drop(before, links, company, central, earlier)
+    more = in_blocks(still.join(sketches, "id"), ["bucket"], "n", "id", block).applyInArrow(lambda key, table: _cross(key, table, percent), "a long, b long")
+    links = linked(more, "cross")
+    before, found = found, extended(found, links)
+    drop(before, links, still)
     out = rows.select("doc_id", "n_shingles", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     return out.selectExpr("doc_id", "n_shingles", "coalesce(component, rep) as component_id").withColumn("kept", F.expr("doc_id is null or doc_id = component_id"))
 

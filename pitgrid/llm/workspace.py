@@ -47,10 +47,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Deletes a table of cut() that nothing reads any more."""
-    if path := getattr(df, "_pitgrid_path", None):
-        remove(df.sparkSession, path)
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of cut() that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_pitgrid_path", None):
+            remove(df.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

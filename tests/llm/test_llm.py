@@ -63,6 +63,18 @@ def test_components(spark):
     assert {k: v for k, v in want.items() if k in got or k not in loops} == got
 
 
+@pytest.mark.parametrize("split", [0, 1, 60, 200])
+def test_extended_components(spark, split):
+    """Components of a part of the links, extended by the others, are those of all links."""
+    rng = random.Random(2)
+    links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(140)] + [(i, i + 1) for i in range(400, 460)]
+    rng.shuffle(links)
+    frames = [spark.createDataFrame(x, "a long, b long") for x in (links[:split], links[split:])]
+    got = {r.id: r.component for r in components.extended(components.components(frames[0]), frames[1]).collect()}
+    want = roots({x for p in links for x in p}, links)
+    assert {k: want[k] for k in got} == got and {x for a, b in links if a != b for x in (a, b)} == set(got)
+
+
 @pytest.mark.parametrize("block_words", [4_000_000, 20])
 def test_decontamination(spark, corpus, block_words):
     rng = random.Random(9)
