@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitgrid.llm import decontaminate, embeddings, language, minhash, packing, repeats, revisits, shards, tokens, urls
+from pitgrid.llm import audits, conversations, decontaminate, embeddings, language, minhash, overlaps, packing, repeats, revisits, shards, tokens, urls
 
 #: The rule list of the URL filter.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -79,9 +79,28 @@ def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record_id", "canonical_url", "source_id", "outcome", F.expr("array_join(transform(array_sort(map_keys(headers)), k -> concat(k, ': ', headers[k])), '; ')").alias("headers"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, and its cheapest repair."""
+    return conversations.audit_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the runs of 50 words that documents with smaller ids have too."""
+    return overlaps.overlap_report(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from every part of the documents, in each of their orders."""
+    return audits.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_language_id, op3_token_files, op4_minhash, op5_embeddings, op6_sharding, op7_suffix_array, op8_url_filter, op9_packing, op10_revisits)
-}
+    f.__name__: f
+    for f in (
+        op1_decontamination, op2_language_id, op3_token_files, op4_minhash, op5_embeddings, op6_sharding, op7_suffix_array, op8_url_filter, op9_packing, op10_revisits,
+        op11_conversations, op12_substrings, op13_filter_audit,
+    )
+}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -145,4 +164,56 @@ ORACLES: dict[str, str] = {
         SELECT 2 * page_id + 1 AS record_id, url AS canonical_url, 2 * source AS source_id, outcome,
                CASE WHEN outcome IN ('resolved', 'unchecked') THEN 'cache-control: max-age=600; content-length: ' || size || '; content-type: text/html; date: ' || CAST(page_id + 5000 AS VARCHAR) || '; etag: ' || etag END AS headers
         FROM o""",
+    "op11_conversations": r"""
+        WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+        f AS (SELECT *, xor(list_reduce(flatten(list_transform(string_split(key, ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0])), lambda a, e: xor(xor(a, e) >> 1, 3988292384 * (xor(a, e) & 1)), 4294967295::BIGINT), 4294967295::BIGINT) % 20 AS fault FROM k),
+        g AS (SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(0, CASE fault WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM f WHERE fault <> 0),
+        o AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS pos FROM g),
+        d AS (SELECT *, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS body, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again, lag(role) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM o),
+        t AS (SELECT conv_id, turn, role, text, pos, body = '' AS blank, body <> '' AND again AS duplicate, body <> '' AND NOT again AND right(body, 1) NOT IN ('.', '!', '?') AS truncated,
+            pos > 1 AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au') AS illegal, CASE WHEN body <> '' AND NOT again THEN left(role, 1) END AS own FROM d),
+        s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(blank::INT) AS blank, sum(duplicate::INT) AS duplicate, sum(truncated::INT) AS truncated, sum(illegal::INT) AS illegal, max(pos) AS n FROM t GROUP BY 1),
+        e(edit, from_, to_, cost, marks, before) AS (VALUES ('D', '', '', 3, 'D', NULL), ('D', 's', 's', 3, 'D', NULL), ('D', 'u', 'u', 3, 'D', NULL), ('D', 'a', 'a', 3, 'D', NULL),
+            ('K', '', 's', 0, 'K', ''), ('K', '', 'u', 0, 'K', ''), ('K', 's', 'u', 0, 'K', ''), ('K', 'a', 'u', 0, 'K', ''), ('K', 'u', 'a', 0, 'K', ''), ('K', '', 'a', 2, 'IK', 'user:'), ('K', 's', 'a', 2, 'IK', 'user:'), ('K', 'a', 'a', 2, 'IK', 'user:'), ('K', 'u', 'u', 2, 'IK', 'assistant:'),
+            ('R', '', 'u', 2, 'R', ''), ('R', 's', 'u', 2, 'R', ''), ('R', 'a', 'u', 2, 'R', ''), ('R', 'u', 'a', 2, 'R', ''), ('R', '', 'a', 4, 'IR', 'user:'), ('R', 's', 'a', 4, 'IR', 'user:'), ('R', 'a', 'a', 4, 'IR', 'user:'), ('R', 'u', 'u', 4, 'IR', 'assistant:')),
+        w(conv_id, pos, state, cost, audit, lines) AS (
+            SELECT conv_id, 0::BIGINT, '', 0::BIGINT, '', []::VARCHAR[] FROM s
+            UNION ALL
+            SELECT conv_id, pos, state, cost, audit, lines FROM (
+                SELECT w.conv_id, t.pos, e.to_ AS state, w.cost + e.cost + CASE WHEN e.edit <> 'D' AND t.truncated THEN 1 ELSE 0 END AS cost, w.audit || e.marks AS audit,
+                    w.lines || CASE WHEN e.before <> '' THEN [e.before] ELSE [] END || CASE e.edit WHEN 'D' THEN [] WHEN 'K' THEN [t.role || ':' || t.text] ELSE [CASE e.to_ WHEN 'u' THEN 'user:' ELSE 'assistant:' END || t.text] END AS lines
+                FROM w JOIN t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.pos = w.pos + 1 JOIN e ON e.from_ = w.state AND (e.edit = 'D' OR t.own IS NOT NULL AND (e.edit = 'R' OR t.own = e.to_)))
+            QUALIFY row_number() OVER (PARTITION BY conv_id, pos, state ORDER BY cost, audit) = 1),
+        z AS (SELECT w.conv_id, w.cost + CASE state WHEN 's' THEN 4 WHEN 'u' THEN 2 ELSE 0 END AS cost, audit || CASE state WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END AS audit, lines || CASE state WHEN 's' THEN ['user:', 'assistant:'] WHEN 'u' THEN ['assistant:'] ELSE [] END AS lines
+            FROM w JOIN s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.n = w.pos),
+        y AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1)
+        SELECT c.conv_id, CAST(coalesce(s.gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(s.blank, 0) AS BIGINT) AS blank, CAST(coalesce(s.duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(s.truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(s.illegal, 0) AS BIGINT) AS illegal,
+            CAST(coalesce(y.cost, 0) AS BIGINT) AS cost, coalesce(y.audit, '') AS audit, sha256(coalesce(array_to_string(y.lines, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN y ON y.conv_id IS NOT DISTINCT FROM c.conv_id""",
+    "op12_substrings": r"""
+        WITH d AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        r AS (SELECT *, row_number() OVER () AS row FROM d),
+        g AS (SELECT row, doc_id, j0, md5(array_to_string(w[j0:j0 + 49], ' ')) AS k FROM (SELECT *, unnest(range(1, len(w) - 48)) AS j0 FROM r WHERE len(w) >= 50 AND doc_id IS NOT NULL)),
+        f AS (SELECT k, min(doc_id) AS first FROM g GROUP BY k HAVING min(doc_id) < max(doc_id)),
+        h AS (SELECT row, j0 FROM g JOIN f USING (k) WHERE doc_id > first),
+        o AS (SELECT row, j0, CASE WHEN j0 <= lag(j0) OVER (PARTITION BY row ORDER BY j0) + 50 THEN 0 ELSE 1 END AS fresh FROM h),
+        i AS (SELECT row, j0, sum(fresh) OVER (PARTITION BY row ORDER BY j0 ROWS UNBOUNDED PRECEDING) AS run FROM o),
+        s AS (SELECT row, min(j0) AS b, max(j0) + 50 AS e FROM i GROUP BY row, run),
+        p AS (SELECT row, b, e, coalesce(lag(e) OVER (PARTITION BY row ORDER BY b), 1) AS since FROM s),
+        q AS (SELECT p.row, flatten(list(r.w[since:b - 1] ORDER BY b)) || any_value(r.w[ends:]) AS kept, sum(e - b) AS n FROM (SELECT *, max(e) OVER (PARTITION BY row) AS ends FROM p) p JOIN r USING (row) GROUP BY p.row)
+        SELECT r.doc_id, CAST(len(r.w) AS BIGINT) AS n_words, CAST(coalesce(q.n, 0) AS BIGINT) AS n_removed, sha256(array_to_string(coalesce(q.kept, r.w), ' ')) AS kept_sha256 FROM r LEFT JOIN q USING (row)""",
+    "op13_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        m AS (SELECT doc_id, part, (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::INT
+            + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask FROM d),
+        l AS (SELECT doc_id, max((quality IS NOT DISTINCT FROM 1)::INT) AS good, max((toxic IS NOT DISTINCT FROM 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+        c AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+        f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+        p AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+        s AS (SELECT filter_order, step::INT AS step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM p, (SELECT unnest(range(1, 6)) AS step)),
+        x AS (SELECT part, filter_order, step, bit, before, sum(n) FILTER (mask & (bit | before) = 0) AS kept, sum(n) FILTER (mask & bit <> 0 AND mask & before = 0) AS removed, sum(n) FILTER (mask & bit <> 0 AND mask & before <> 0) AS redundant,
+            sum(n) FILTER (mask = bit) AS unique_fails, sum(good) FILTER (mask & bit <> 0 AND mask & before = 0) AS good_lost, sum(toxic) FILTER (mask & bit <> 0 AND mask & before = 0) AS toxic_lost FROM c, s GROUP BY ALL),
+        h AS (SELECT part, bit, sum(removed) AS shapley FROM x GROUP BY part, bit)
+        SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+            CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(shapley, 0) AS BIGINT) AS shapley FROM x JOIN h USING (part, bit)""",
 }
