@@ -123,7 +123,7 @@ def backtest(at: Folder, a) -> None:
 
 def ablate(at: Folder, a) -> None:
     contract, table, name = contract_of(a.command)
-    told(at, models.ablation(at.read(table), contract, {"full": []} | {f"no {g}": [g] for g in contract.groups}, a.test_years, rate_of(at, contract), a.bootstrap, trees=a.trees), f"{name}_ablation")
+    told(at, models.ablation(at.read(table), contract, models.feature_sets(contract), a.test_years, rate_of(at, contract), a.bootstrap, trees=a.trees), f"{name}_ablation")
 
 
 def compare_geography(at: Folder, a) -> None:
@@ -182,7 +182,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         p.add_argument(f"--{name}", type=int, nargs="+")
     for name, default in (("neg-rate", 0.03),):
         p.add_argument(f"--{name}", type=float, default=default)
-    for name, default in (("bootstrap", 1000), ("min-positives", 10), ("trees", 100), ("window-days", 14), ("top", 20), ("days", 1)):
+    for name, default in (("bootstrap", 1000), ("min-positives", 10), ("trees", None), ("window-days", 14), ("top", 20), ("days", 1)):
         p.add_argument(f"--{name}", type=int, default=default)
     for name in ("holdout-agency", "as-of", "day"):
         p.add_argument(f"--{name}")

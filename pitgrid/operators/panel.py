@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from decimal import ROUND_HALF_EVEN, Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -102,30 +105,82 @@ def cell_days(hotspots: DataFrame, measures: tuple[str, ...] = ("fwi", "hfi", "r
     return grid.with_cells(hotspots).withColumn("d", F.to_date("rep_date")).groupBy(*CELL, "d").agg(F.count("*").alias("n"), *[F.max(m).alias(m) for m in measures])
 
 
-def trailing(panel: DataFrame, daily: DataFrame, prefix: str, windows: tuple[int, ...], ring_windows: tuple[int, ...], censor: int, measures: tuple[str, ...] = ()) -> DataFrame:
+def trailing(
+    panel: DataFrame, daily: DataFrame, prefix: str, windows: tuple[int, ...], ring_windows: tuple[int, ...], censor: int, measures: tuple[str, ...] = (), ring_measures: tuple[str, ...] | None = None
+) -> DataFrame:
     """Counts and maxima of daily(cell, d, n, measures) over the days before each panel day, in its cell and in the eight around.
 
-    A window of w days reads d with day - w <= d < day: the panel's day is never read. One join over the longest window feeds all the narrower ones. Counts
-    without rows are 0, maxima null; days_since is null beyond ``censor`` days.
+    A window of w days reads d with day - w <= d < day: the panel's day is never read. Counts without rows are 0, maxima null; days_since is null beyond
+    ``censor`` days. ring_measures: those with maxima around the cell too (default: all). Rows without a cell or a day go.
+
+    The daily rows, which are few, are scattered to their neighbours; each cell's days are then swept once in order, so the work grows with the panel
+    rows and the daily rows and not with their pairs.
     """
-    keys = panel.select(*CELL, "day").distinct()
-    longest = max(*windows, censor)
-    own = keys.join(daily, CELL).where(F.expr(f"d >= date_sub(day, {longest}) and d < day"))
-    aggs = []
-    for w in windows:
-        aggs.append(F.expr(f"sum(n) filter (where d >= date_sub(day, {w}))").alias(f"{prefix}_n_{w}d"))
-        aggs += [F.expr(f"max({m}) filter (where d >= date_sub(day, {w}))").alias(f"{prefix}_{m}_max_{w}d") for m in measures]
-    aggs.append(F.expr("min(datediff(day, d))").alias(f"{prefix}_days_since"))
-    cell = own.groupBy(*CELL, "day").agg(*aggs)
-    near = grid.with_ring(keys).join(daily.select(F.col("cell_x").alias("ring_x"), F.col("cell_y").alias("ring_y"), "d", "n", *measures), ["ring_x", "ring_y"])
-    near = near.where(F.expr(f"d >= date_sub(day, {max(ring_windows)}) and d < day"))
-    aggs = []
-    for w in ring_windows:
-        aggs.append(F.expr(f"sum(n) filter (where d >= date_sub(day, {w}))").alias(f"{prefix}_ring_n_{w}d"))
-        aggs += [F.expr(f"max({m}) filter (where d >= date_sub(day, {w}))").alias(f"{prefix}_ring_{m}_max_{w}d") for m in measures]
-    ring = near.groupBy(*CELL, "day").agg(*aggs)
-    out = keys.join(cell, [*CELL, "day"], "left").join(ring, [*CELL, "day"], "left")
-    return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in out.columns if "_n_" in c} | {f"{prefix}_days_since": F.expr(f"if({prefix}_days_since <= {censor}, {prefix}_days_since, null)")})
+    around = measures if ring_measures is None else ring_measures
+    keys = panel.select(*CELL, "day").where("cell_x is not null and cell_y is not null and day is not null").distinct()
+    own = daily.where("d is not null").select(*CELL, F.col("d").alias("day"), F.lit(0).alias("kind"), F.col("n").cast("long").alias("n"), *[F.col(m).cast("double").alias(f"m_{m}") for m in measures])
+    near = grid.with_ring(own).select(F.col("ring_x").alias("cell_x"), F.col("ring_y").alias("cell_y"), "day", F.lit(1).alias("kind"), "n", *[f"m_{m}" for m in measures])
+    asked = keys.select(*CELL, "day", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("n"), *[F.lit(None).cast("double").alias(f"m_{m}") for m in measures])
+    rows = own.unionByName(near).unionByName(asked).withColumn("day", F.unix_date("day"))
+    out = {c: "int" for c in (*CELL, "day")} | {f"{prefix}_n_{w}d": "long" for w in windows} | {f"{prefix}_{m}_max_{w}d": "double" for w in windows for m in measures} | {f"{prefix}_days_since": "int"}
+    out |= {f"{prefix}_ring_n_{w}d": "long" for w in ring_windows} | {f"{prefix}_ring_{m}_max_{w}d": "double" for w in ring_windows for m in around}
+    spans = [(0, f"{prefix}_", windows, measures), (1, f"{prefix}_ring_", ring_windows, around)]
+    swept = rows.repartition(*CELL).sortWithinPartitions(*CELL, "day").mapInArrow(lambda b: _swept(b, list(out), prefix, spans, censor), ", ".join(f"{c} {t}" for c, t in out.items()))
+    return swept.withColumn("day", F.date_from_unix_date("day"))
+
+
+def _swept(batches: Iterator[pa.RecordBatch], columns: list[str], prefix: str, spans: list[tuple], censor: int) -> Iterator[pa.RecordBatch]:
+    """Rows by cell and day -> the panel rows with their windows. Of the cell that a batch ends in, the days that a later batch can still read are carried over."""
+    reach = max([censor, *(w for _, _, ws, _ in spans for w in ws)])
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        skip = held.num_rows if held is not None else 0
+        column = {c: table.column(c).to_numpy() for c in table.column_names}
+        x, y, day, kind = (column[c].astype(np.int64) for c in (*CELL, "day", "kind"))
+        cell = np.cumsum(np.append(0, (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+        # one number for cell and day: the rows are in its order
+        at = cell * (1 << 40) + day
+        asked = np.flatnonzero(kind == 2)
+        asked = asked[asked >= skip]
+        out = {"cell_x": x[asked].astype(np.int32), "cell_y": y[asked].astype(np.int32), "day": day[asked].astype(np.int32)}
+        for k, name, windows, measures in spans:
+            some = np.flatnonzero(kind == k)
+            own, total = at[some], np.append(0, np.cumsum(column["n"][some]))
+            before = np.searchsorted(own, at[asked])
+            since = {w: np.searchsorted(own, at[asked] - w) for w in windows}
+            out |= {f"{name}n_{w}d": total[before] - total[since[w]] for w in windows}
+            for m in measures:
+                tops = _tops(column[f"m_{m}"][some].astype(np.float64))
+                out |= {f"{name}{m}_max_{w}d": pa.array(top := _top(tops, since[w], before), mask=np.isneginf(top)) for w in windows}
+            if k == 0:
+                last = at[asked] - own[np.maximum(before, 1) - 1] if len(own) else np.zeros(len(asked), np.int64)
+                out[f"{prefix}_days_since"] = pa.array(last.astype(np.int32), mask=(before == 0) | (last > censor) | (len(own) == 0))
+        yield pa.RecordBatch.from_pydict({c: out[c] for c in columns})
+        held = table.filter(pa.array((cell == cell[-1]) & (kind < 2) & (day >= day[-1] - reach)))
+
+
+def _tops(values: np.ndarray) -> list[np.ndarray]:
+    """Maxima of 1, 2, 4, ... values from each place on; nulls are the least."""
+    levels = [np.where(np.isnan(values), -np.inf, values)]
+    while len(levels[-1]) > 1 << (len(levels) - 1):
+        step = 1 << (len(levels) - 1)
+        levels.append(np.maximum(levels[-1][:-step], levels[-1][step:]))
+    return levels
+
+
+def _top(levels: list[np.ndarray], begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The maxima from begin up to end, by the two levels that cover it; -inf where there is none."""
+    out = np.full(len(begin), -np.inf)
+    level = np.frexp(np.maximum(end - begin, 1))[1] - 1
+    for k in np.unique(level[end > begin]).tolist():
+        here = np.flatnonzero((level == k) & (end > begin))
+        out[here] = np.maximum(levels[k][begin[here]], levels[k][end[here] - (1 << k)])
+    return out
 
 
 def station_weather(panel: DataFrame, neighbours: DataFrame, observations: DataFrame, measures: tuple[str, ...]) -> DataFrame:

@@ -399,7 +399,8 @@ def season_backtest_counts(spark, d):
 def escalation_backtest(spark, d):
     """The held-out season's incidents with their risks: trees, isotonic calibration, size as the baseline."""
     table = written(_escalation(spark, d).withColumn("fire_year", F.expr(_SEASON.format(div="div"))), "labelled")
-    return models.backtest(table, models.ESCALATION, draws=0, trees=20)[1]
+    train, test, *_ = models.season_split(table)
+    return models.scored_split(train, test, models.ESCALATION)[0]
 
 
 @query()
@@ -408,7 +409,7 @@ def ignition_scores(spark, d):
     r, h, o = (view(spark, d, n) for n in ("revisions", "hotspots", "obs"))
     days = spark.sql("select explode(sequence(date'2024-01-02', date'2024-01-30')) as day")
     panel_ = written(plans.ignition(r, h, o, days, [2024], rate=0.2), "panel")
-    return models.score_ignition(models.fit(panel_, models.IGNITION, rate=0.2, trees=20), r, h, o)
+    return models.score_ignition(models.fit(panel_, models.IGNITION, rate=0.2), r, h, o)
 
 
 @query(f"""{_with('sitreps')} SELECT cast(year(sitrep_date) AS INT) AS year, count(DISTINCT sitrep_date) AS n_days, count(*) AS n_rows, round(avg(national_preparedness_level), 2) AS mean_national_pl,

@@ -1,28 +1,28 @@
-"""Fitting, calibrating, backtesting and applying the two risk models: gradient-boosted trees, isotonic calibration, correction of the sampled prior.
+"""Fitting, calibrating, backtesting and applying the two risk models: boosted trees grown leaf by leaf, isotonic calibration, correction of the sampled prior.
 
-Features are named by contracts. A missing number is a value below all others, so that trees can set it apart; a category that training has not seen counts as
-missing. Fits are unweighted on the earlier three quarters of the training time and calibrated on the rest.
+Features are named by contracts. Missing numbers and categories that training has not seen go where each split's missing values go. Fits are unweighted on the earlier
+three quarters of the training rows and calibrated on the rest. Folds and sets of features are fitted side by side, in the same passes over one binned table.
 """
 
 from __future__ import annotations
 
+import logging
 from typing import NamedTuple
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import StringIndexerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitgrid.functions.clean import age_hours, zero_if_missing
-from pitgrid.operators import asof, panel
-from pitgrid.plans import metrics, tables
+from pitgrid.operators import asof, panel, ranks
+from pitgrid.plans import boosting, metrics, tables
+from pitgrid.plans.boosting import MISSING, Boosted, Plan
 from pitgrid.sources import tables as store
-from pitgrid.sources.shared import written
+from pitgrid.sources.shared import removed, written
 
-MISSING = -1e9
+log = logging.getLogger(__name__)
+#: The share of the training rows, in time, that trees learn from; the rest calibrates them.
+EARLY = 0.75
 
 
 class Contract(NamedTuple):
@@ -35,6 +35,8 @@ class Contract(NamedTuple):
     groups: dict[str, tuple[str, ...]]
     least_calibration: int  # positives without which there is no calibration
     least_final: int  # positives without which there is no final fit
+    trees: int
+    leaves: int
     leaf: int
     sampled: bool
 
@@ -65,6 +67,8 @@ ESCALATION = Contract(
     groups={"ciffc": _CIFFC, "ciffc_detail": _CIFFC[2:], "hotspots": (*_FIRE_HOTSPOTS, "hs_fuel_group"), "geography": ("lat", "lon", "agency_code", "region_code")},
     least_calibration=10,
     least_final=20,
+    trees=400,
+    leaves=31,
     leaf=30,
     sampled=False,
 )
@@ -78,13 +82,15 @@ IGNITION = Contract(
     groups={"ciffc": _CIFFC, "network": _NETWORK, "weather": (*_WEATHER, *_NETWORK), "hotspots": _CELL_HOTSPOTS, "history": _HISTORY, "geography": ("lat", "lon", "agency_code")},
     least_calibration=25,
     least_final=100,
+    trees=500,
+    leaves=63,
     leaf=100,
     sampled=True,
 )
 
 
 class Fitted(NamedTuple):
-    base: PipelineModel
+    base: Boosted
     calibrator: IsotonicRegressionModel | None
     columns: list[str]
     levels: dict[str, list[str]]
@@ -93,11 +99,17 @@ class Fitted(NamedTuple):
 
 
 def features(df: DataFrame, contract: Contract, drop: tuple[str, ...] = ()) -> list[str]:
-    """The contract's columns that df has, in its order; a forbidden one among them is an error."""
-    chosen = [c for c in (*contract.numeric, *contract.categorical) if c in df.columns and c not in drop]
-    if leaked := contract.forbidden & set(chosen):
-        raise ValueError(f"label leakage: {sorted(leaked)} must not be features")
-    return chosen
+    """The contract's columns that df has, in its order, less the dropped ones; that one of them is forbidden is an error."""
+    wanted = [*contract.numeric, *contract.categorical]
+    if told := sorted(contract.forbidden.intersection(wanted).difference(drop)):
+        raise ValueError(f"outcome leakage: the contract for {contract.target} forbids {', '.join(told)}")
+    present = set(df.columns).difference(drop)
+    return [c for c in wanted if c in present]
+
+
+def absent(df: DataFrame, contract: Contract) -> list[str]:
+    """The contract's columns that df lacks."""
+    return [c for c in (*contract.numeric, *contract.categorical) if c not in df.columns]
 
 
 def levels_of(train: DataFrame, contract: Contract, columns: list[str]) -> dict[str, list[str]]:
@@ -119,57 +131,95 @@ def matrix(df: DataFrame, columns: list[str], levels: dict[str, list[str]]) -> D
     return df.withColumns(out)
 
 
-def fit(train: DataFrame, contract: Contract, drop: tuple[str, ...] = (), rate: float | None = None, trees: int = 100, depth: int = 5, step: float = 0.1, seed: int = 17) -> Fitted:
-    """Trees on the earlier part of train, an isotonic map of their scores on the later one unless that has too few positives."""
-    columns = features(train, contract, drop)
+class Wanted(NamedTuple):
+    """One of the models that are fitted together: the agency that it leaves out, and the features."""
+
+    without: str | None = None
+    drop: tuple[str, ...] = ()
+
+
+def fits(train: DataFrame, contract: Contract, wanted: dict[str, Wanted], rate: float | None = None, trees: int | None = None, leaves: int | None = None, leaf: int | None = None, seed: int = 17) -> dict[str, Fitted]:
+    """Models of train, in one go: trees on the earlier part of each one's rows, an isotonic map of their scores on the later one unless that has too few positives.
+
+    Parts are told by place in the contract's order, to the row. trees, leaves and leaf (rows in a leaf) are the contract's by default. Bins and levels come from all
+    of train; a level that a model's own rows lack counts as missing for it. What the contract names and train lacks is logged and listed in ``about``.
+    """
+    for w in wanted.values():
+        features(train, contract, w.drop)
+    columns, lacking = features(train, contract), absent(train, contract)
+    if lacking:
+        log.warning("%s: the table lacks %s", contract.target, ", ".join(lacking))
     levels = levels_of(train, contract, columns)
-    y, at = F.col(contract.target).cast("double"), F.unix_micros(F.col(contract.order[0]).cast("timestamp"))
-    rows = written(matrix(train, columns, levels).select(*contract.order, y.alias("_y"), at.alias("_at"), *[f"x_{c}" for c in columns]), "train")
-    n, positives, edge = rows.agg(F.count("*"), F.sum("_y"), F.percentile_approx("_at", 0.75, 1_000_000)).first()
-    if not positives or positives == n:
-        raise ValueError(f"one class only: {positives} positives of {n} rows")
-    later = rows.where(F.col("_at") > edge)
-    calibrate = (later.agg(F.sum("_y")).first()[0] or 0) >= contract.least_calibration
-    early = (rows.where(F.col("_at") <= edge) if calibrate else rows).orderBy(*contract.order)
-    names = [f"i_{c}" if c in levels else f"x_{c}" for c in columns]
-    # numbered levels become nominal features; 0 is the level of missing values
-    index = [StringIndexerModel.from_labels([f"{k}.0" for k in range(len(levels[c]) + 1)], inputCol=f"x_{c}", outputCol=f"i_{c}", handleInvalid="keep") for c in levels]
-    bins = max([32, *(len(v) + 3 for v in levels.values())])
-    gbt = GBTClassifier(featuresCol="features", labelCol="_y", maxIter=trees, maxDepth=depth, stepSize=step, minInstancesPerNode=min(contract.leaf, max(1, n // 20)), maxBins=bins, seed=seed)
-    base = Pipeline(stages=[*index, VectorAssembler(inputCols=names, outputCol="features"), gbt]).fit(early)
-    calibrator = None
-    if calibrate:
-        scored = base.transform(later).select("_y", vector_to_array("probability")[1].alias("_raw"))
-        calibrator = IsotonicRegression(featuresCol="_raw", labelCol="_y", predictionCol="_calibrated").fit(scored)
-    about = {"target": contract.target, "n_train": n, "positives": int(positives), "calibrated": calibrate, "dropped": sorted(drop)}
-    return Fitted(base, calibrator, columns, levels, rate if contract.sampled else None, about)
+    agencies = sorted({w.without for w in wanted.values() if w.without is not None})
+    agency = F.col("agency_code").cast("string") if "agency_code" in train.columns else F.lit(None).cast("string")
+    fold = F.coalesce(F.array_position(F.array(*[F.lit(a) for a in agencies]), agency).cast("int") - 1, F.lit(-1)) if agencies else F.lit(-1)
+    rows = matrix(train, columns, levels).select(*contract.order, F.col(contract.target).cast("int").alias("_y"), fold.alias("_fold"), agency.alias("_agency"), *[f"x_{c}" for c in columns])
+    rows = rows.withColumn("_key", F.xxhash64(*contract.order, "_y", *[f"x_{c}" for c in columns]))
+    table = ranks.ranked(rows.where("_y is not null"), [*[F.col(c) for c in contract.order], F.col("_key")], "train")
+    cuts = ranks.edges(table, {name: (w.without, EARLY) for name, w in wanted.items()}, "_agency")
+    own = {name: F.col("_fold") != agencies.index(w.without) if w.without is not None else F.lit(True) for name, w in wanted.items()}
+    y = F.col("_y").cast("long")
+    sums = [F.struct(F.sum(o.cast("long")), F.sum(F.when(o, y)), F.sum(F.when(o & (F.col("_pos") > cuts[name]), y))).alias(f"s{k}") for k, (name, o) in enumerate(own.items())]
+    counts = {name: tuple(x or 0 for x in row) for name, row in zip(wanted, table.agg(*sums).first(), strict=True)}
+    for name, (n, positives, _) in counts.items():
+        if not 0 < positives < n:
+            raise ValueError(f"one class only{f' for {name}' if name else ''}: {positives} positives of {n} rows")
+    calibrated = {name: late >= contract.least_calibration for name, (_, _, late) in counts.items()}
+    options = boosting.Options(trees=trees or contract.trees, leaves=leaves or contract.leaves, leaf=leaf or contract.leaf, seed=seed)
+    bins = boosting.bins_of(table, columns, {c: len(v) for c, v in levels.items()}, options)
+    plans = [
+        Plan(agencies.index(w.without) if w.without is not None else None, cuts[name] if calibrated[name] else (1 << 63) - 1, [k for k, c in enumerate(columns) if c not in w.drop])
+        for name, w in wanted.items()
+    ]
+    grown = boosting.grow(table, bins, plans, options)
+    later = None
+    if any(calibrated.values()):
+        later = table.where(F.col("_pos") > min(cuts[n] for n, c in calibrated.items() if c)).select("_pos", "_fold", F.col("_y").cast("double").alias("_y"), boosting.probabilities(grown, columns).alias("_p"))
+        later = written(later, "later")
+    out = {}
+    for k, (name, w) in enumerate(wanted.items()):
+        calibrator = None
+        if calibrated[name]:
+            part = later.where(own[name] & (F.col("_pos") > cuts[name])).select("_y", F.col("_p")[k].alias("_raw"))
+            calibrator = IsotonicRegression(featuresCol="_raw", labelCol="_y", predictionCol="_calibrated").fit(part)
+        n, positives, _ = counts[name]
+        about = {"target": contract.target, "n_train": n, "positives": positives, "calibrated": calibrated[name], "dropped": sorted(w.drop), "absent": lacking, "trees": options.trees, "leaves": options.leaves}
+        used = [c for c in columns if c not in w.drop]
+        out[name] = Fitted(boosting.narrowed(grown[k], plans[k].columns), calibrator, used, {c: v for c, v in levels.items() if c in used}, rate if contract.sampled else None, about)
+    removed(table, *([later] if later is not None else []))
+    return out
+
+
+def fit(train: DataFrame, contract: Contract, drop: tuple[str, ...] = (), rate: float | None = None, **options) -> Fitted:
+    return fits(train, contract, {"": Wanted(drop=drop)}, rate, **options)[""]
 
 
 def score(df: DataFrame, model: Fitted, name: str = "risk") -> DataFrame:
     """df with its risk: the trees' score, calibrated, then with the prior corrected by the model's own sampling rate."""
-    out = model.base.transform(matrix(df, model.columns, model.levels)).withColumn("_raw", vector_to_array("probability")[1])
+    out = matrix(df, model.columns, model.levels).withColumn("_raw", boosting.probabilities([model.base], model.columns)[0])
     out = model.calibrator.transform(out) if model.calibrator is not None else out.withColumn("_calibrated", F.col("_raw"))
     risk = metrics.correct_prior("_calibrated", model.rate) if model.rate is not None else F.col("_calibrated")
     return out.withColumns({name: risk, f"{name}_raw": F.col("_raw")}).select(*df.columns, name, f"{name}_raw")
 
 
-def top_features(model: Fitted, n: int = 15) -> list[tuple[str, float]]:
-    gains = model.base.stages[-1].featureImportances.toArray().tolist()
-    return sorted(zip(model.columns, gains, strict=True), key=lambda x: (-x[1], x[0]))[:n]
+def top_features(model: Fitted, n: int = 15) -> list[tuple[str, int]]:
+    """The features with most splits."""
+    return sorted(boosting.splits(model.base).items(), key=lambda x: (-x[1], x[0]))[:n]
 
 
 def save(model: Fitted, spark: SparkSession, path: str, **about) -> None:
-    """The pipeline, the calibrator and a sidecar with levels, columns, sampling rate and what is given about the fit."""
-    model.base.write().overwrite().save(f"{path}/base")
+    """The trees, the calibrator and a sidecar with bins, levels, columns, sampling rate and what is given about the fit."""
+    boosting.save(model.base, spark, f"{path}/base")
     if model.calibrator is not None:
         model.calibrator.write().overwrite().save(f"{path}/calibrator")
-    store.write_json(spark, {"columns": model.columns, "levels": model.levels, "neg_rate": model.rate, "calibrated": model.calibrator is not None, "about": model.about | about}, f"{path}/model.json")
+    store.write_json(spark, {"base": model.base.base, "edges": model.base.bins.edges, "bins": model.base.bins.sizes, "columns": model.columns, "levels": model.levels, "neg_rate": model.rate, "calibrated": model.calibrator is not None, "about": model.about | about}, f"{path}/model.json")
 
 
 def load(spark: SparkSession, path: str) -> Fitted:
     side = store.read_json(spark, f"{path}/model.json")
     calibrator = IsotonicRegressionModel.load(f"{path}/calibrator") if side["calibrated"] else None
-    return Fitted(PipelineModel.load(f"{path}/base"), calibrator, side["columns"], side["levels"], side["neg_rate"], side["about"])
+    base = boosting.load(spark, f"{path}/base", boosting.Bins(side["columns"], side["edges"], side["bins"]), side["base"])
+    return Fitted(base, calibrator, side["columns"], side["levels"], side["neg_rate"], side["about"])
 
 
 def years_of(df: DataFrame) -> list[int]:
@@ -188,13 +238,17 @@ def season_split(df: DataFrame, test_years: list[int] | None = None) -> tuple[Da
     return df.where(F.col("fire_year").isin(before)), df.where(F.col("fire_year").isin(test_years)), before, test_years
 
 
-def scored_split(train: DataFrame, test: DataFrame, contract: Contract, drop: tuple[str, ...] = (), rate: float | None = None, **options) -> tuple[DataFrame, Fitted]:
-    """(the test rows' key, y, p, p_raw, p_base and weight, as a table; the model)."""
-    model = fit(train, contract, drop, rate, **options)
+def scored_rows(test: DataFrame, model: Fitted, contract: Contract, rate: float | None) -> DataFrame:
+    """The test rows' key, agency, y, p, p_raw, p_base and weight."""
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in contract.order]).alias("key")
     weight = metrics.sample_weight(contract.target, rate) if contract.sampled and rate else F.lit(1.0)
-    out = score(test, model, "p").select(key, F.col("agency_code").alias("agency_code"), F.col(contract.target).cast("int").alias("y"), "p", F.col("p_raw"), zero_if_missing(test, contract.baseline).alias("p_base"), weight.cast("double").alias("w"))
-    return written(out, "scored"), model
+    return score(test, model, "p").select(key, F.col("agency_code").alias("agency_code"), F.col(contract.target).cast("int").alias("y"), "p", F.col("p_raw"), zero_if_missing(test, contract.baseline).alias("p_base"), weight.cast("double").alias("w"))
+
+
+def scored_split(train: DataFrame, test: DataFrame, contract: Contract, drop: tuple[str, ...] = (), rate: float | None = None, **options) -> tuple[DataFrame, Fitted]:
+    """(scored_rows of the test rows, as a table; the model)."""
+    model = fit(train, contract, drop, rate, **options)
+    return written(scored_rows(test, model, contract, rate), "scored"), model
 
 
 def summary(scored: DataFrame, train_rate: float, draws: int) -> dict:
@@ -229,10 +283,13 @@ def fold_counts(pool: DataFrame, contract: Contract) -> DataFrame:
     return pool.groupBy("agency_code").agg(F.count("*").alias("n"), F.sum(F.col(contract.target).cast("long")).alias("positives")).orderBy(F.desc("positives"), "agency_code")
 
 
-def agency_backtest(df: DataFrame, contract: Contract, agencies: list[str] | None = None, test_years: list[int] | None = None, least_positives: int = 10, drop_geography: bool = False, rate: float | None = None, draws: int = 1000, **options) -> tuple[dict, DataFrame]:
-    """Leave one agency out: each fold trains without it and tests on it; with test_years it also trains on earlier seasons only.
+def agency_runs(
+    df: DataFrame, contract: Contract, drops: dict[str, tuple[str, ...]], agencies: list[str] | None = None, test_years: list[int] | None = None, least_positives: int = 10, rate: float | None = None, draws: int = 1000, **options
+) -> dict[str, tuple[dict, DataFrame]]:
+    """Leave one agency out, for each set of dropped features: each fold trains without the agency and tests on it; with test_years it also trains on earlier seasons only.
 
-    Folds with under ``least_positives`` positives are skipped, with the reason. Returns the folds, their pooled and mean accuracy, and the pooled scored rows.
+    All folds of all sets are fitted together. Folds with under ``least_positives`` positives are skipped, with the reason. Returns for each set the folds, their
+    pooled and mean accuracy, and the pooled scored rows.
     """
     years = years_of(df)
     before = [y for y in years if y < min(test_years)] if test_years else years
@@ -241,28 +298,39 @@ def agency_backtest(df: DataFrame, contract: Contract, agencies: list[str] | Non
     train_pool, test_pool = df.where(F.col("fire_year").isin(before)), df.where(F.col("fire_year").isin(test_years or years))
     counts = {r.agency_code: r for r in fold_counts(test_pool, contract).collect()}
     asked = agencies if agencies is not None else [a for a, r in counts.items() if a is not None and r.positives >= least_positives]
-    drop = contract.groups["geography"] if drop_geography else ()
-    folds, skipped, pooled = [], [], None
-    for agency in asked:
-        row = counts.get(agency)
-        if row is None or row.positives < least_positives:
-            skipped.append({"agency": agency, "reason": "no test rows" if row is None else f"fewer than {least_positives} positives", "positives": row.positives if row else 0})
-            continue
-        train = train_pool.where(F.col("agency_code") != agency)
-        scored, model = scored_split(train, test_pool.where(F.col("agency_code") == agency), contract, drop, rate, **options)
-        share = model.about["positives"] / model.about["n_train"]
-        folds.append({"agency": agency, "n_train": model.about["n_train"], "calibrated": model.about["calibrated"]} | summary(scored, share, draws))
-        pooled = scored if pooled is None else pooled.unionByName(scored)
-    if pooled is None:
+    enough = [a for a in asked if a in counts and counts[a].positives >= least_positives]
+    skipped = [{"agency": a, "reason": f"fewer than {least_positives} positives" if a in counts else "no test rows", "positives": counts[a].positives if a in counts else 0} for a in asked if a not in enough]
+    if not enough:
         raise ValueError("no agency has enough positives")
-    mean = lambda k: sum(f[k] for f in folds) / len(folds)
-    lifts = sorted(f["lift_over_base"] for f in folds if f["lift_over_base"] is not None)
-    macro = {
-        "pr_auc_model": mean("pr_auc_model"), "pr_auc_base": mean("pr_auc_base"), "folds_beating_base": sum(f["pr_auc_model"] > f["pr_auc_base"] for f in folds), "n_folds": len(folds),
-        "median_lift": (lifts[(len(lifts) - 1) // 2] + lifts[len(lifts) // 2]) / 2 if lifts else None,
-    }
-    mode = "region and season blocked" if test_years else "region blocked"
-    return {"mode": mode, "train_years": before, "folds": folds, "skipped": skipped, "dropped": sorted(drop), "macro": macro, "pooled": summary(pooled, folds[0]["prevalence"], draws)}, pooled
+    # rows of no agency train no fold
+    train = train_pool.where("agency_code is not null")
+    models = fits(train, contract, {f"{name}|{a}": Wanted(a, drop) for name, drop in drops.items() for a in enough}, rate, **options)
+    out = {}
+    for name, drop in drops.items():
+        pooled = None
+        for a in enough:
+            own = scored_rows(test_pool.where(F.col("agency_code") == a), models[f"{name}|{a}"], contract, rate)
+            pooled = own if pooled is None else pooled.unionByName(own)
+        pooled, folds = written(pooled, "pooled"), []
+        for a in enough:
+            about = models[f"{name}|{a}"].about
+            folds.append({"agency": a, "n_train": about["n_train"], "calibrated": about["calibrated"]} | summary(pooled.where(F.col("agency_code") == a), about["positives"] / about["n_train"], draws))
+        mean = lambda k: sum(f[k] for f in folds) / len(folds)  # noqa: B023, E731
+        lifts = sorted(f["lift_over_base"] for f in folds if f["lift_over_base"] is not None)
+        macro = {
+            "pr_auc_model": mean("pr_auc_model"), "pr_auc_base": mean("pr_auc_base"), "folds_beating_base": sum(f["pr_auc_model"] > f["pr_auc_base"] for f in folds), "n_folds": len(folds),
+            "median_lift": (lifts[(len(lifts) - 1) // 2] + lifts[len(lifts) // 2]) / 2 if lifts else None,
+        }
+        mode = "region and season blocked" if test_years else "region blocked"
+        result = {"mode": mode, "train_years": before, "folds": folds, "skipped": skipped, "dropped": sorted(drop), "macro": macro, "pooled": summary(pooled, folds[0]["prevalence"], draws)}
+        out[name] = result, pooled
+    return out
+
+
+def agency_backtest(df: DataFrame, contract: Contract, agencies: list[str] | None = None, test_years: list[int] | None = None, least_positives: int = 10, drop_geography: bool = False, rate: float | None = None, draws: int = 1000, **options) -> tuple[dict, DataFrame]:
+    """agency_runs with all features, or with all but geography."""
+    drop = contract.groups["geography"] if drop_geography else ()
+    return agency_runs(df, contract, {"run": drop}, agencies, test_years, least_positives, rate, draws, **options)["run"]
 
 
 def _against(first: DataFrame, other: DataFrame) -> DataFrame:
@@ -271,13 +339,14 @@ def _against(first: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def ablation(df: DataFrame, contract: Contract, sets: dict[str, list[str]], test_years: list[int] | None = None, rate: float | None = None, draws: int = 1000, **options) -> list[dict]:
-    """One refit for each set of left-out groups on one split; each but the first is paired with the first on the same resamples."""
+    """One refit for each set of left-out groups on one split, all together; each but the first is paired with the first on the same resamples."""
     train, test, *_ = season_split(df, test_years)
+    if unknown := {g for groups in sets.values() for g in groups} - set(contract.groups):
+        raise ValueError(f"no such feature group: {sorted(unknown)}")
+    models = fits(train, contract, {name: Wanted(drop=tuple(sorted({c for g in groups for c in contract.groups[g]}))) for name, groups in sets.items()}, rate, **options)
     out, first = [], None
-    for name, groups in sets.items():
-        if unknown := set(groups) - set(contract.groups):
-            raise ValueError(f"no such feature group: {sorted(unknown)}")
-        scored, _ = scored_split(train, test, contract, tuple(c for g in groups for c in contract.groups[g]), rate, **options)
+    for name, model in models.items():
+        scored = written(scored_rows(test, model, contract, rate), "scored")
         row = {"set": name, "pr_auc": metrics.average_precision(scored, w="w").first()[0]}
         if first is not None and draws:
             row["against_first"] = metrics.paired_bootstrap(_against(first, scored), "key", w="w", draws=draws).first().asDict()
@@ -286,12 +355,21 @@ def ablation(df: DataFrame, contract: Contract, sets: dict[str, list[str]], test
     return out
 
 
+def feature_sets(contract: Contract) -> dict[str, list[str]]:
+    """The sets that an ablation compares: all features, each group left out, and weather and geography left out together where the contract has both.
+
+    Weather is a smooth function of place and season: only without both does it show whether weather says nothing or nothing more.
+    """
+    both = {"no weather and no geography": ["weather", "geography"]} if {"weather", "geography"} <= set(contract.groups) else {}
+    return {"full": []} | {f"no {g}": [g] for g in contract.groups} | both
+
+
 def compare_geography(df: DataFrame, contract: Contract, draws: int = 1000, **options) -> dict:
     """Both leave-one-agency-out runs, with and without geography, paired on the rows that they share."""
-    with_, a = agency_backtest(df, contract, drop_geography=False, draws=0, **options)
-    without, b = agency_backtest(df, contract, drop_geography=True, draws=0, **options)
-    pairs = _against(b, a)
-    return {"with": with_["pooled"]["pr_auc_model"], "without": without["pooled"]["pr_auc_model"], "n": pairs.count(), "paired": metrics.paired_bootstrap(pairs, "key", w="w", draws=draws).first().asDict() if draws else None}
+    runs = agency_runs(df, contract, {"with": (), "without": contract.groups["geography"]}, draws=0, **options)
+    pairs = _against(runs["without"][1], runs["with"][1])
+    told = {name: run["pooled"]["pr_auc_model"] for name, (run, _) in runs.items()}
+    return told | {"n": pairs.count(), "paired": metrics.paired_bootstrap(pairs, "key", w="w", draws=draws).first().asDict() if draws else None}
 
 
 def fit_final(df: DataFrame, contract: Contract, rate: float | None = None, **options) -> Fitted:
@@ -329,7 +407,7 @@ def area_days(area: DataFrame, days: DataFrame) -> DataFrame:
     return area.join(F.broadcast(days.select("day").distinct().agg(F.collect_set("day").alias("_days"))), how="cross").withColumn("day", F.explode("_days")).drop("_days")
 
 
-def score_ignition(model: Fitted, fires: DataFrame, hotspots: DataFrame, observations: DataFrame, day=None, days: int = 1, sitreps: DataFrame | None = None, edges: DataFrame | None = None, measures: tuple[str, ...] = ("temp", "rh", "fwi")) -> DataFrame:
+def score_ignition(model: Fitted, fires: DataFrame, hotspots: DataFrame, observations: DataFrame, day=None, days: int = 1, sitreps: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
     """Every cell of the area of all seasons on every day that can be scored, by day and falling risk."""
     wanted = panel.scoreable_days(observations, day, days)
     if wanted.isEmpty():
@@ -337,6 +415,6 @@ def score_ignition(model: Fitted, fires: DataFrame, hotspots: DataFrame, observa
     events = panel.ignition_events(fires)
     seasons = [r[0] for r in events.select(F.year("day")).where("day is not null").distinct().collect()]
     cells = area_days(panel.study_area(events, hotspots, seasons, edges), wanted)
-    out = score(tables.ignition_features(cells, events, hotspots, observations, sitreps, measures), model)
+    out = score(tables.ignition_features(cells, events, hotspots, observations, sitreps), model)
     kept = [c for c in ("cell_x", "cell_y", "day", "lat", "lon", "agency_code", "wx_fwi", "wx_dist_km", "hs_n_7d", "ig_n_365d", "risk") if c in out.columns]
     return out.select(*kept).orderBy("day", F.desc("risk"), "cell_x", "cell_y")

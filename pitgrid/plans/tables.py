@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitgrid.functions import grid
+from pitgrid.functions import clean, grid
 from pitgrid.operators import asof, panel, spatial
 
 ESCALATED_HA, DECISION_H, HORIZON_H, RADIUS_KM = 100.0, 24, 72, 10.0
@@ -35,14 +35,16 @@ def escalation(revisions: DataFrame, hotspots: DataFrame, sitreps: DataFrame | N
     return out.withColumns({"escalated": (F.col("size_at_horizon") >= ESCALATED_HA).cast("tinyint"), "still_out_of_control": (F.coalesce("status_at_horizon", F.lit("")) == "OC").cast("tinyint")})
 
 
-def ignition_features(cells: DataFrame, events: DataFrame, hotspots: DataFrame, observations: DataFrame, sitreps: DataFrame | None = None, measures: tuple[str, ...] = ("temp", "rh", "fwi")) -> DataFrame:
-    """cells(cell_x, cell_y, day, agency_code, ...) with everything known before the day."""
+def ignition_features(cells: DataFrame, events: DataFrame, hotspots: DataFrame, observations: DataFrame, sitreps: DataFrame | None = None, measures: tuple[str, ...] | None = None) -> DataFrame:
+    """cells(cell_x, cell_y, day, agency_code, ...) with everything known before the day. measures: by default all that the observations have."""
     key = [*panel.CELL, "day"]
+    measures = measures if measures is not None else tuple(m for m in clean.LIMITS if m in observations.columns)
     daily = events.select(*panel.CELL, F.col("day").alias("d"), F.col("n_ignitions").alias("n"))
     near = grid.nearest(cells, observations.select("aes", "lat", "lon").groupBy("aes").agg(F.min_by("lat", F.struct("lat", "lon")).alias("lat"), F.min_by("lon", F.struct("lat", "lon")).alias("lon")), 12, 300.0)
-    out = cells.join(panel.trailing(cells, panel.cell_days(hotspots), "hs", (1, 3, 7), (7,), 60, ("fwi", "hfi", "ros")), key)
+    out = cells.join(panel.trailing(cells, panel.cell_days(hotspots), "hs", (1, 3, 7), (1, 3, 7), 60, ("fwi", "hfi", "ros"), ("hfi",)), key)
     out = out.join(panel.trailing(cells, daily, "ig", (7, 30, 365), (7, 365), 365), key)
     out = out.join(panel.station_weather(cells, near, observations, measures), key, "left")
+    out = out.withColumn("wx_n_stations", F.coalesce("wx_n_stations", F.lit(0).cast("long")))
     out = grid.with_centres(out).withColumns({"doy": F.dayofyear("day"), "month": F.month("day"), "fire_year": F.year("day"), "decision_at": F.col("day").cast("timestamp_ntz")})
     return asof.preparedness(out, sitreps) if sitreps is not None else out
 

@@ -27,4 +27,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: later steps neither recompute it nor depend on executors' disks."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._pitgrid_path = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_pitgrid_path", None):
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

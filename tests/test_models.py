@@ -10,7 +10,7 @@ from pitgrid.plans import metrics, models, serving
 from pitgrid.plans.views import view
 from pitgrid.sources import tables
 
-SMALL = {"trees": 5, "depth": 3}
+SMALL = {"trees": 5, "leaves": 8}
 
 
 @pytest.fixture(scope="module")
