@@ -3,7 +3,8 @@
 Features are binned once: numbers by quantiles of a bounded sample, categories one bin a level, bin 0 for what is missing. A pass over the binned blocks adds up counts,
 gradients and Hessians of the asked leaves, for all models together; the driver keeps trees and histograms only. The best-first order asks for one
 leaf after the other, but a leaf that it can still take is among the best of the present ones, as many as splits are left: those are asked for in one pass, so a
-tree takes about as many passes as it is deep. Of two children the smaller is counted, the other is the parent less it.
+tree takes about as many passes as it is deep. Of two children the smaller is counted, the other is the parent less it. Where all blocks are one task's, that
+task has the sums and runs the same steps without a pass for each.
 
 Sums are of integers (gradients in units of 2^-30), rows are drawn by hashes of their keys: trees do not depend on partitions or the order of rows, nor on the models
 that are grown beside them.
@@ -11,7 +12,8 @@ that are grown beside them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -347,8 +349,8 @@ class Boosted(NamedTuple):
     trees: list[Tree]
 
 
-def prepared(rows: DataFrame, bins: Bins) -> tuple[DataFrame, int]:
-    """rows(_y, _pos, _key, _fold, x_...) as a table of binned blocks, and how many tasks they are dealt to."""
+def prepared(rows: DataFrame, bins: Bins) -> DataFrame:
+    """rows(_y, _pos, _key, _fold, x_...) as a table of binned blocks, a file for as much as a task is dealt."""
     n = rows.count()
     tasks = max(1, -(-n * len(bins.names) // TASK_BYTES))
     rows = rows.select(F.col("_y").cast("tinyint").alias("_y"), F.col("_pos").cast("long").alias("_pos"), F.col("_key").cast("long").alias("_key"), F.col("_fold").cast("smallint").alias("_fold"), *[f"x_{c}" for c in bins.names])
@@ -356,14 +358,14 @@ def prepared(rows: DataFrame, bins: Bins) -> tuple[DataFrame, int]:
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BLOCK_ROWS))
     try:
-        return written(rows.coalesce(tasks).mapInArrow(lambda b: _blocks(b, bins), "n int, wide int, " + ", ".join(f"b{k} binary" for k in range(5))), "blocks"), tasks
+        return written(rows.coalesce(tasks).mapInArrow(lambda b: _blocks(b, bins), "n int, wide int, " + ", ".join(f"b{k} binary" for k in range(5))), "blocks")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
 def grow(rows: DataFrame, bins: Bins, plans: list[Plan], options: Options) -> list[Boosted]:
     """One model for each plan, all in the same passes."""
-    table, tasks = prepared(rows, bins)
+    table = prepared(rows, bins)
     blocks = table.rdd.map(_decoded)
     starts = np.append(0, np.cumsum(bins.sizes))
 
@@ -380,35 +382,51 @@ def grow(rows: DataFrame, bins: Bins, plans: list[Plan], options: Options) -> li
         base.append(float(np.log(positive / (n - positive))))
     first = np.array(base)
     state = blocks.map(lambda b: (*b, np.repeat(first[:, None], len(b[1]), 1))).persist(StorageLevel.MEMORY_AND_DISK)
-    older: list[RDD] = []
     done: list[list[Tree]] = [[] for _ in plans]
-    since: list[list[Tree]] = [[] for _ in plans]
-    for number in range(options.trees):
-        growing = [Growing(options, columns_of(p, options, number), bins, starts) for p in plans]
-        while any(asked := [g.asked() for g in growing]):
-            sums = _pass(state, plans, since, asked, number, options, starts)
-            for s in older:
-                s.unpersist()
-            older = []
-            for g, s in zip(growing, sums, strict=True):
-                if s is not None:
-                    g.take(s)
-        for g, own, new in zip(growing, done, since, strict=True):
-            tree = g.tree(set(g.chosen))
-            own.append(tree)
-            new.append(tree)
-        if len(since[0]) == KEPT:
-            # what is stored depends on the blocks' table by as many narrow steps as scores were stored before
-            older.append(state)
-            state = _stored(state, since)
+    older = state
+    for begin in range(0, options.trees, KEPT):
+        numbers = range(begin, min(begin + KEPT, options.trees))
+        if state.getNumPartitions() == 1:
+            # the only task has all sums, so it goes on from leaf to leaf and tree to tree by itself
+            since = state.mapPartitions(lambda blocks, n=numbers: [_in_one_task(list(blocks), plans, n, options, bins, starts)]).first()
+        else:
             since = [[] for _ in plans]
+            for number in numbers:
+                new = _trees(plans, bins, starts, options, number, lambda asked, k=number, s=state, t=since: _pass(s, plans, t, asked, k, options, starts))
+                since = [[*own, tree] for own, tree in zip(since, new, strict=True)]
+        if older is not state:
+            older.unpersist()
+        # what is stored depends on the blocks' table by as many narrow steps as scores were stored before
+        older, state = state, _stored(state, since)
+        for own, new in zip(done, since, strict=True):
+            own += new
+    older.unpersist()
     state.unpersist()
-    for s in older:
-        s.unpersist()
     removed(table)
     return [Boosted(bins, b, own) for b, own in zip(base, done, strict=True)]
 
 
+def _trees(plans: list[Plan], bins: Bins, starts: np.ndarray, options: Options, number: int, add: Callable[[list[Asked | None]], list]) -> list[Tree]:
+    """The next tree of every model; add: the sums for what they ask for."""
+    growing = [Growing(options, columns_of(p, options, number), bins, starts) for p in plans]
+    while any(asked := [g.asked() for g in growing]):
+        for g, sums in zip(growing, add(asked), strict=True):
+            if sums is not None:
+                g.take(sums)
+    return [g.tree(set(g.chosen)) for g in growing]
+
+
+def _in_one_task(blocks: list[tuple], plans: list[Plan], numbers: range, options: Options, bins: Bins, starts: np.ndarray) -> list[list[Tree]]:
+    out: list[list[Tree]] = [[] for _ in plans]
+    none: list[list[Tree]] = [[] for _ in plans]
+    for number in numbers:
+        new = _trees(plans, bins, starts, options, number, lambda asked, k=number: reduce(_sum, (_added(b, plans, none, asked, k, options, starts) for b in blocks)))
+        blocks = [_advanced(b, [[tree] for tree in new]) for b in blocks]
+        for own, tree in zip(out, new, strict=True):
+            own.append(tree)
+    return out
+
+
 def _stored(state: RDD, trees: list[list[Tree]]) -> RDD:
     return state.map(lambda b: _advanced(b, trees)).persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -422,14 +440,7 @@ def _pass(state: RDD, plans: list[Plan], trees: list[list[Tree]], asked: list[As
         if held is not None:
             yield held
 
-    out = state.mapPartitions(part)
-    if state.getNumPartitions() <= 8:
-        sums = out.collect()
-        total = sums[0]
-        for s in sums[1:]:
-            total = _sum(total, s)
-        return total
-    return out.treeReduce(_sum)
+    return state.mapPartitions(part).treeReduce(_sum)
 
 
 def probabilities(models: list[Boosted], names: list[str]) -> Column:
