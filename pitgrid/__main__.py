@@ -19,6 +19,7 @@ from pitgrid.plans import metrics, models, serving
 from pitgrid.plans import tables as plans
 from pitgrid.sources import feeds
 from pitgrid.sources import tables as store
+from pitgrid.sources.shared import written
 
 SITREPS = "ciffc_sitreps"
 
@@ -41,6 +42,17 @@ class Folder:
     def maybe(self, name: str) -> DataFrame | None:
         return self.read(name) if self.has(name) else None
 
+    def reports(self) -> DataFrame | None:
+        if not self.has(SITREPS):
+            print(f"without {SITREPS}: the ciffc_* features are left out (ingest-ciffc builds it)")
+        return self.maybe(SITREPS)
+
+    def texts(self, name: str) -> DataFrame:
+        """value: each landed file's text."""
+        if not self.has(name):
+            raise SystemExit(f"{self.path(name)} is missing: land the files there first")
+        return self.spark.read.text(self.path(name), wholetext=True)
+
     def write(self, df: DataFrame, name: str) -> None:
         store.replace(df, self.path(name))
 
@@ -78,18 +90,39 @@ def ingest_fwi(at: Folder, a) -> None:
         store.replace_seasons(feeds.archive(at.spark, at.path("raw/fwi_archive"), a.years), at.path("station_fwi"), a.years, at="obs_date")
 
 
+def ingest_reports(at: Folder, a) -> None:
+    """Landed daily reports (raw/ciffc/days, one JSON text a file) -> one row a date and agency; dates that a landed index (raw/ciffc/index) lacks go."""
+    rows = feeds.agency_reports(at.texts("raw/ciffc/days"))
+    rows = rows.where(F.year("sitrep_date").isin(a.years)) if a.years else rows
+    if at.has("raw/ciffc/index"):
+        known = feeds.report_index(at.texts("raw/ciffc/index")).withColumnRenamed("national_preparedness_level", "_level")
+        rows = rows.join(known, "sitrep_date").withColumn("national_preparedness_level", F.coalesce("national_preparedness_level", "_level")).drop("_level")
+    at.write(feeds.report_history(rows), SITREPS)
+    feeds.report_coverage(at.read(SITREPS)).orderBy("year").show()
+
+
+def read_pages(at: Folder, a) -> None:
+    """Landed rendered reports (raw/ciffc_pages, one HTML page a file) -> what each says: level and date, new fires and preparedness of each agency."""
+    parsed = written(feeds.pages(at.texts("raw/ciffc_pages").select(F.col("value").alias("html"), F.input_file_name().alias("page"))).drop("html"), "pages")
+    at.write(parsed.select("page", "sitrep_date", "preparedness_level"), "ciffc_pages")
+    at.write(feeds.new_fires(parsed, ["page", "sitrep_date"]), "ciffc_new_fires")
+    at.write(feeds.agency_levels(parsed, ["page", "sitrep_date"]), "ciffc_agency_levels")
+    at.read("ciffc_pages").orderBy("sitrep_date", "page").show(a.top, False)
+    print(f"{at.read('ciffc_new_fires').count()} agency rows, {at.read('ciffc_agency_levels').count()} APL rows")
+
+
 def diagnose(at: Folder, a) -> None:
     clean.bitemporal_depth(at.read("reported_fires")).withColumn("thin", F.col("rows_per_fire") < 1.5).orderBy("fire_year").show()
 
 
 def build(at: Folder, a) -> None:
-    at.write(plans.escalation(at.read("reported_fires"), at.read("hotspots"), at.maybe(SITREPS)), "modelling_table")
+    at.write(plans.escalation(at.read("reported_fires"), at.read("hotspots"), at.reports()), "modelling_table")
 
 
 def build_ignition(at: Folder, a) -> None:
     fires, hotspots, observations = at.read("reported_fires"), at.read("hotspots"), at.read("station_fwi")
     days = panel.season_days(at.spark, a.years)
-    at.write(plans.ignition(fires, hotspots, observations, days, a.area_years or a.years, a.neg_rate, sitreps=at.maybe(SITREPS)), "ignition_table")
+    at.write(plans.ignition(fires, hotspots, observations, days, a.area_years or a.years, a.neg_rate, sitreps=at.reports()), "ignition_table")
     events = panel.ignition_events(fires)
     covered = panel.area_coverage(panel.study_area(events, hotspots, a.area_years or a.years), events, days).first().asDict()
     store.write_json(at.spark, {"years": a.years, "area_years": a.area_years or a.years, "neg_rate": a.neg_rate, "study_area_coverage": covered, "built_at": now()}, at.path("ignition_table_meta.json"))
@@ -168,7 +201,7 @@ def meta(at: Folder, a) -> None:
 
 
 COMMANDS = {
-    "ingest-fires": ingest_fires, "ingest-hotspots": ingest_hotspots, "ingest-fwi": ingest_fwi, "diagnose": diagnose, "build": build, "build-ignition": build_ignition, "backtest": backtest,
+    "ingest-fires": ingest_fires, "ingest-hotspots": ingest_hotspots, "ingest-fwi": ingest_fwi, "ingest-ciffc": ingest_reports, "scrape-ciffc": read_pages, "diagnose": diagnose, "build": build, "build-ignition": build_ignition, "backtest": backtest,
     "backtest-ignition": backtest, "ablate": ablate, "ablate-ignition": ablate, "compare-geography": compare_geography, "fit-final": fit_final, "fit-final-ignition": fit_final,
     "predict": predict, "predict-ignition": predict_ignition, "report": report, "dashboard": dashboard, "meta": meta,
 }

@@ -143,12 +143,15 @@ def cell_counts(spark, d):
     return panel.cell_days(view(spark, d, "hotspots"))
 
 
-def _sql_trailing(prefix: str, windows, ring_windows, censor: int, measures, source: str) -> str:
-    own = ", ".join([f"cast(coalesce(sum(n) FILTER (d >= day - {w}), 0) AS BIGINT) AS {prefix}_n_{w}d" for w in windows] + [f"max({m}) FILTER (d >= day - {w}) AS {prefix}_{m}_max_{w}d" for w in windows for m in measures])
-    near = ", ".join([f"cast(coalesce(sum(n) FILTER (d >= day - {w}), 0) AS BIGINT) AS {prefix}_ring_n_{w}d" for w in ring_windows] + [f"max({m}) FILTER (d >= day - {w}) AS {prefix}_ring_{m}_max_{w}d" for w in ring_windows for m in measures])
-    return f"""a AS (SELECT k.cell_x, k.cell_y, k.day, {own}, min(date_diff('day', d, day)) FILTER (d >= day - {censor}) AS {prefix}_days_since FROM keys k LEFT JOIN {source} s ON s.cell_x = k.cell_x AND s.cell_y = k.cell_y AND d < day AND d >= day - {max(*windows, censor)} GROUP BY 1, 2, 3),
-    b AS (SELECT k.cell_x, k.cell_y, k.day, {near} FROM ring k LEFT JOIN {source} s ON s.cell_x = k.rx AND s.cell_y = k.ry AND d < day AND d >= day - {max(ring_windows)} GROUP BY 1, 2, 3)
-    SELECT * FROM a JOIN b USING (cell_x, cell_y, day)"""
+def _trailing_ctes(prefix: str, windows, ring_windows, censor: int, measures, source: str, ring_measures=None) -> str:
+    """a_<prefix> and b_<prefix>: windows in the cell and around it, over keys and ring."""
+    part = lambda ring, ws, ms: ", ".join([f"cast(coalesce(sum(n) FILTER (d >= day - {w}), 0) AS BIGINT) AS {prefix}_{ring}n_{w}d" for w in ws] + [f"max({m}) FILTER (d >= day - {w}) AS {prefix}_{ring}{m}_max_{w}d" for w in ws for m in ms])
+    return f"""a_{prefix} AS (SELECT k.cell_x, k.cell_y, k.day, {part('', windows, measures)}, min(date_diff('day', d, day)) FILTER (d >= day - {censor}) AS {prefix}_days_since FROM keys k LEFT JOIN {source} s ON s.cell_x = k.cell_x AND s.cell_y = k.cell_y AND d < day AND d >= day - {max(*windows, censor)} GROUP BY 1, 2, 3),
+    b_{prefix} AS (SELECT k.cell_x, k.cell_y, k.day, {part('ring_', ring_windows, measures if ring_measures is None else ring_measures)} FROM ring k LEFT JOIN {source} s ON s.cell_x = k.rx AND s.cell_y = k.ry AND d < day AND d >= day - {max(ring_windows)} GROUP BY 1, 2, 3)"""
+
+
+def _sql_trailing(prefix: str, *arguments) -> str:
+    return f"{_trailing_ctes(prefix, *arguments)} SELECT * FROM a_{prefix} JOIN b_{prefix} USING (cell_x, cell_y, day)"
 
 
 _KEYS = f"keys AS (SELECT cell_x, cell_y, day FROM (SELECT DISTINCT {_cell()} FROM hotspots), (SELECT unnest(generate_series(min(rep_date)::date, max(rep_date)::date, INTERVAL 1 DAY))::date AS day FROM hotspots))"
@@ -403,6 +406,38 @@ def escalation_backtest(spark, d):
     return models.scored_split(train, test, models.ESCALATION)[0]
 
 
+_X, _Y = "((cell_x + 0.5) * 10)", "((cell_y + 0.5) * 10)"
+_RHO = f"sqrt({_X} * {_X} + {_Y} * {_Y})"
+_ARC = f"(2 * asin(least(1, {_RHO} / (2 * 6371.0072))))"
+_LAT = f"degrees(asin(greatest(-1, least(1, cos({_ARC}) * sin(radians(60)) + {_Y} * sin({_ARC}) * cos(radians(60)) / {_RHO}))))"
+_LON = f"(-96 + degrees(atan2({_X} * sin({_ARC}), {_RHO} * cos(radians(60)) * cos({_ARC}) - {_Y} * sin(radians(60)) * sin({_ARC}))))"
+_ALL_WEATHER = tuple(clean.LIMITS)
+_IGNITION = f"""{_with('revisions', 'hotspots', 'weather', 'reports')}, {_FIRST}, {_EVENTS}, {_AGENCY}, {_AREA}, last AS (SELECT min(obs_date) AS a, max(obs_date) AS b FROM weather),
+    days AS (SELECT unnest(generate_series(date '2024-01-01', date '2024-02-10', INTERVAL 1 DAY))::date AS day), on_record AS (SELECT day FROM days, last WHERE day > a AND day <= b + 1),
+    pos AS (SELECT ev.cell_x, ev.cell_y, day, n_ignitions FROM ev JOIN area a ON a.cell_x = ev.cell_x AND a.cell_y = ev.cell_y JOIN on_record USING (day)),
+    neg AS (SELECT a.cell_x, a.cell_y, day FROM area a, on_record QUALIFY row_number() OVER (PARTITION BY day ORDER BY md5('17|' || a.cell_x || '|' || a.cell_y || '|' || day), a.cell_x, a.cell_y) <= (SELECT round_even(0.2 * count(*), 0) FROM area)),
+    panel AS (SELECT p.*, a.agency_code FROM (SELECT cell_x, cell_y, day, n_ignitions, 1 AS ignition FROM pos UNION ALL SELECT cell_x, cell_y, day, 0, 0 FROM neg ANTI JOIN pos USING (cell_x, cell_y, day)) p JOIN area a USING (cell_x, cell_y)),
+    keys AS (SELECT DISTINCT cell_x, cell_y, day FROM panel), {_RING}, {_DAILY}, evd AS (SELECT cell_x, cell_y, day AS d, n_ignitions AS n FROM ev),
+    {_trailing_ctes('hs', (1, 3, 7), (1, 3, 7), 60, ('fwi', 'hfi', 'ros'), 'daily', ('hfi',))}, {_trailing_ctes('ig', (7, 30, 365), (7, 365), 365, (), 'evd')},
+    {_SITES.replace('FROM obs', 'FROM weather')}, {_KNN.format(k=12, w='WHERE dist_km <= 300')}, j AS (SELECT k.*, dist_km, power(1 / greatest(dist_km, 1), 2) AS w, {', '.join(_ALL_WEATHER)} FROM keys k JOIN nb USING (cell_x, cell_y) JOIN weather o ON o.aes = nb.aes AND o.obs_date = k.day - 1),
+    wx AS (SELECT cell_x, cell_y, day, {', '.join(f'sum({m} * w) / sum(w) FILTER ({m} IS NOT NULL) AS wx_{m}' for m in _ALL_WEATHER)}, count(*) AS wx_n_stations, min(dist_km) AS wx_dist_km FROM j GROUP BY 1, 2, 3),
+    centre AS (SELECT cell_x, cell_y, {_LAT} AS lat, {_LON} AS lon FROM (SELECT DISTINCT cell_x, cell_y FROM keys)),
+    reported AS (SELECT p.cell_x, p.cell_y, p.day, {', '.join(f's.{source} AS {name}' for source, name in asof.SITREP.items())} FROM panel p ASOF LEFT JOIN reports s ON p.agency_code = s.agency_code AND p.day::TIMESTAMP >= s.published_at),
+    ign AS (SELECT panel.*, a_hs.* EXCLUDE (cell_x, cell_y, day), b_hs.* EXCLUDE (cell_x, cell_y, day), a_ig.* EXCLUDE (cell_x, cell_y, day), b_ig.* EXCLUDE (cell_x, cell_y, day), wx.* EXCLUDE (cell_x, cell_y, day, wx_n_stations), coalesce(wx_n_stations, 0) AS wx_n_stations, lat, lon, dayofyear(day) AS doy, month(day) AS month,
+        reported.* EXCLUDE (cell_x, cell_y, day) FROM panel JOIN a_hs USING (cell_x, cell_y, day) JOIN b_hs USING (cell_x, cell_y, day) JOIN a_ig USING (cell_x, cell_y, day) JOIN b_ig USING (cell_x, cell_y, day) LEFT JOIN wx USING (cell_x, cell_y, day) JOIN centre USING (cell_x, cell_y) JOIN reported USING (cell_x, cell_y, day))"""
+
+
+@query(f"{_IGNITION}, v AS (SELECT list_sort(list(DISTINCT agency_code)) AS v FROM ign) SELECT cell_x, cell_y, day, cast(ignition AS TINYINT) AS ignition, {', '.join(f'round(cast(coalesce({c}, -1e9) AS DOUBLE), 6) AS x_{c}' for c in models.IGNITION.numeric)}, cast(list_position((SELECT v FROM v), agency_code) AS DOUBLE) AS x_agency_code FROM ign")
+def ignition_matrix(spark, d):
+    """The panel of cells and days with all 51 numbers of the contract, and the agency."""
+    r, h, o, s = (view(spark, d, n) for n in ("revisions", "hotspots", "weather", "reports"))
+    days = spark.sql("select explode(sequence(date'2024-01-01', date'2024-02-10')) as day")
+    table = written(plans.ignition(r, h, o, days, [2024], rate=0.2, sitreps=s), "panel")
+    columns = models.features(table, models.IGNITION)
+    out = models.matrix(table, columns, models.levels_of(table, models.IGNITION, columns))
+    return out.select("cell_x", "cell_y", "day", "ignition", *[F.round(f"x_{c}", 6).alias(f"x_{c}") for c in columns])
+
+
 @query()
 def ignition_scores(spark, d):
     """Every cell of the study area on the day after the last observation."""
@@ -511,11 +546,6 @@ def observations_with_provinces(spark, d):
     return clean.with_provinces(obs.select("aes", "obs_date"), spark.sql(_STATIONS.replace("FROM obs", "FROM {obs}"), obs=obs))
 
 
-_X, _Y = "((cell_x + 0.5) * 10)", "((cell_y + 0.5) * 10)"
-_RHO = f"sqrt({_X} * {_X} + {_Y} * {_Y})"
-_ARC = f"(2 * asin(least(1, {_RHO} / (2 * 6371.0072))))"
-_LAT = f"degrees(asin(greatest(-1, least(1, cos({_ARC}) * sin(radians(60)) + {_Y} * sin({_ARC}) * cos(radians(60)) / {_RHO}))))"
-_LON = f"(-96 + degrees(atan2({_X} * sin({_ARC}), {_RHO} * cos(radians(60)) * cos({_ARC}) - {_Y} * sin(radians(60)) * sin({_ARC}))))"
 _CENTRES = f"centres AS (SELECT cell_x, cell_y, {_LAT} AS lat, {_LON} AS lon FROM (SELECT DISTINCT {_cell()} FROM hotspots))"
 
 
@@ -550,9 +580,11 @@ def area_on_scoreable_days(spark, d):
     return models.area_days(area, panel.scoreable_days(view(spark, d, "obs"), days=2))
 
 
-@query("SELECT day FROM (SELECT unnest(generate_series(date '2023-01-01', date '2024-12-31', INTERVAL 1 DAY))::date AS day) WHERE month(day) BETWEEN 4 AND 10")
+@query("SELECT day FROM (SELECT unnest(generate_series(make_date(y, 1, 1), make_date(y, 12, 31), INTERVAL 1 DAY))::date AS day FROM (SELECT DISTINCT cast(year(o_orderdate) AS INT) AS y FROM orders)) WHERE month(day) BETWEEN 4 AND 10")
 def season_days(spark, d):
-    return panel.season_days(spark, [2023, 2024])
+    """Season days of all years that have orders."""
+    years = spark.read.parquet(f"{d}/orders.parquet").select(F.year("o_orderdate")).where("o_orderdate is not null").distinct().collect()
+    return panel.season_days(spark, [r[0] for r in years])
 
 
 @query(f"{_with('scored')} SELECT count(*) AS n, count(*) FILTER (p >= 0.1) AS n_over_10, count(*) FILTER (p >= 0.25) AS n_over_25, count(*) FILTER (y = 1) AS n_out_of_control FROM scored")

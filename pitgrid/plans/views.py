@@ -20,9 +20,13 @@ _OBS = """select cast(s_suppkey as {s}) as aes, 48 + (s_suppkey * 71 % 1000) / 1
     from supplier, {ks}"""
 _SITREPS = """select case user_id % 5 when 0 then 'AB' when 1 then 'BC' when 2 then 'ON' when 3 then 'SK' else 'PC' end as agency_code, cast(ts as date) as sitrep_date, ts as published_at,
     value as national_preparedness_level, cast(event_id as double) as agency_preparedness from events where event_type = 'signup'"""
+_WEATHER = _OBS.replace(" as fwi\n", """ as fwi, cast((s_suppkey * 3 + k) % 50 as double) as ws, case when (s_suppkey + k) % 4 = 0 then cast((s_suppkey + k * 5) % 30 as double) else 0.0e0 end as precip, cast((s_suppkey * 19 + k) % 101 as double) as ffmc,
+    cast((s_suppkey * 7 + k * 2) % 90 as double) as dmc, cast((s_suppkey * 23 + k * 4) % 700 as double) as dc, cast((s_suppkey * 11 + k) % 25 as double) as isi, case when (s_suppkey * k) % 13 = 1 then null else cast((s_suppkey * 29 + k) % 120 as double) end as bui, cast((s_suppkey + k) % 35 as double) as dsr
+""")
+_REPORTS = _SITREPS.replace("as agency_preparedness from", "as agency_preparedness, " + ", ".join(f"cast(event_id % {n} as double) as {c}" for n, c in ((3, "prep_hazard"), (5, "prep_current_load"), (7, "prep_expected_load"), (11, "prep_resource_levels"), (13, "prep_resource_availability"), (17, "occurrence_pred_lightning"), (19, "occurrence_pred_human"))) + " from")
 _SCORED = "select l.doc_id, l.quality as y, least(d.n_chars, 5000) / 5000.0e0 as p, (d.n_chars % 97) / 97.0e0 as p_base, case when l.quality = 1 then 1.0e0 else 20.0e0 end as w from labels l join documents d on l.doc_id = d.doc_id"
 
-TEXTS = {"revisions": _REVISIONS, "hotspots": _HOTSPOTS, "obs": _OBS, "sitreps": _SITREPS, "scored": _SCORED}
+TEXTS = {"revisions": _REVISIONS, "hotspots": _HOTSPOTS, "obs": _OBS, "sitreps": _SITREPS, "weather": _WEATHER, "reports": _REPORTS, "scored": _SCORED}
 
 
 def sql(name: str, engine: str = "duck") -> str:
