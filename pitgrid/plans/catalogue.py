@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pitgrid.functions import clean, grid
 from pitgrid.operators import asof, panel, spatial
-from pitgrid.plans import metrics, models, serving
+from pitgrid.plans import metrics, models, resampling, serving
 from pitgrid.plans import tables as plans
 from pitgrid.plans.views import sql, view
 from pitgrid.sources import feeds, shared, tables
@@ -277,14 +277,21 @@ def prior_correction(spark, d):
     return view(spark, d, "scored").select("doc_id", F.round(metrics.correct_prior("p", 0.05), 9).alias("corrected"))
 
 
-_U = "('0x' || substr(h, {at}, 8))::BIGINT"
-_COUNT = " + ".join(f"(u >= {c})::INT" for c in metrics.POISSON)
+_TIMES = lambda x, k: f"(({x})::UHUGEINT * {k} % 18446744073709551616)::UBIGINT"
 
 
 def _sql_bootstrap(draws: int, w: str) -> str:
-    return f"""r AS (SELECT doc_id, y, p, p_base, {w} AS w, b, md5('17|' || b || '|' || doc_id) AS h FROM scored, (SELECT unnest(range(0, {-(-draws // 4)})) AS b)),
-    u AS ({' UNION ALL '.join(f'SELECT b * 4 + {k} AS draw, y, p, p_base, w, {_U.format(at=8 * k + 1)} AS u FROM r' for k in range(4))}),
-    n AS (SELECT draw, y, p, p_base, w * ({_COUNT}) AS n FROM u WHERE draw < {draws}),
+    """Picks are split between halves of the places by binomial counts: the number of chances below a hashed uniform number."""
+    a, b, c, d = resampling.TIMES
+    (s, m), (t, n) = resampling.MIX
+    return f"""r AS (SELECT y, p, p_base, {w} AS w, row_number() OVER (ORDER BY p DESC, doc_id::VARCHAR) - 1 AS place FROM scored), e AS (SELECT count(*) AS n FROM r),
+    k AS (WITH RECURSIVE t(draw, lo, hi, n) AS (SELECT draw, 0::BIGINT, e.n, e.n FROM e, (SELECT unnest(range(0, {draws})) AS draw)
+        UNION ALL SELECT draw, CASE side WHEN 0 THEN lo ELSE mid END, CASE side WHEN 0 THEN mid ELSE hi END, CASE side WHEN 0 THEN l ELSE n - l END FROM (
+            SELECT draw, lo, hi, n, mid, list_reduce(list_transform(range(0, n + 1), lambda j: {{'p': exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(pr) + (n - j) * ln(1 - pr)), 'c': 0.0e0, 'k': 0::BIGINT}}), lambda x, j: {{'p': 0.0e0, 'c': x.c + j.p, 'k': x.k + (x.c + j.p < u)::BIGINT}}, {{'p': 0.0e0, 'c': 0.0e0, 'k': 0::BIGINT}}).k AS l, unnest([0, 1]) AS side
+            FROM (SELECT draw, lo, hi, n, (lo + hi) // 2 AS mid, (mid - lo) / (hi - lo)::DOUBLE AS pr, xor(xor({_TIMES('draw + 1', a)}, {_TIMES(17, d)}), xor({_TIMES('lo + 1', b)}, {_TIMES('hi', c)})) AS h1,
+                {_TIMES(f'xor(h1, h1 >> {s})', m)} AS h2, {_TIMES(f'xor(h2, h2 >> {t})', n)} AS h3, (xor(h3, h3 >> 31) >> 11) / 9007199254740992.0e0 AS u FROM t WHERE hi - lo > 1)))
+        SELECT draw, lo AS place, n AS k FROM t WHERE hi - lo = 1),
+    n AS (SELECT draw, y, p, p_base, w * k AS n FROM k JOIN r USING (place)),
     g AS (SELECT draw, o, p, sum(CASE WHEN y = 1 THEN n ELSE 0 END) AS pos, sum(n) AS n FROM (SELECT draw, 'm' AS o, y, p, n FROM n UNION ALL SELECT draw, 'b', y, p_base, n FROM n) WHERE n > 0 GROUP BY 1, 2, 3),
     c AS (SELECT *, sum(pos) OVER d AS tp, sum(n) OVER d AS seen FROM g WINDOW d AS (PARTITION BY draw, o ORDER BY p DESC)),
     a AS (SELECT draw, o, sum(pos * tp / seen) / nullif(sum(pos), 0) AS ap FROM c GROUP BY 1, 2),

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pitgrid.plans import resampling
 from pitgrid.sources.shared import written
 
 
@@ -98,26 +98,13 @@ def sample_weight(y: str, rate: float):
     return F.when(F.col(y) == 1, F.lit(1.0)).otherwise(F.lit(1.0 / rate))
 
 
-#: Poisson(1) by inversion of 32 hashed bits: how many of these a value reaches.
-POISSON = [int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * (1 << 32)) for k in range(11)]
-
-
 def paired_bootstrap(scored: DataFrame, key: str, y: str = "y", model: str = "p", base: str = "p_base", w: str | None = None, draws: int = 1000, seed: int = 17) -> DataFrame:
     """5th and 95th percentiles of both average precisions and their paired difference over resamples of the rows.
 
-    A row's count in a draw is Poisson(1) by a hash of seed, draw and ``key``, the same for both scores: no row leaves its task to be drawn, and any engine
-    draws the same. Rows with equal scores are summed for each draw first. Draws without positives are skipped.
+    A resample picks as many rows as there are, with replacement: multinomial counts, the same for both scores, each times the row's weight. ``key`` orders rows
+    of equal scores. Draws without positives are skipped; null scores are the least. Without rows all results are null.
     """
-    weight = F.col(w).cast("double") if w else F.lit(1.0)
-    fours = F.explode(F.sequence(F.lit(0), F.lit(-(-draws // 4) - 1))).alias("_b")
-    rows = scored.select(F.col(key).cast("string").alias("_key"), (F.col(y) == 1).alias("_y"), F.col(model).cast("double").alias("_m"), F.col(base).cast("double").alias("_p"), weight.alias("_w"), fours)
-    rows = rows.withColumn("_h", F.expr(f"md5(concat_ws('|', '{seed}', _b, _key))"))
-    drawn = F.expr("posexplode(array(" + ", ".join(f"cast(conv(substring(_h, {8 * k + 1}, 8), 16, 10) as bigint)" for k in range(4)) + "))").alias("_k", "_u")
-    rows = rows.select("*", drawn).withColumn("_n", sum((F.col("_u") >= c).cast("int") for c in POISSON)).where("_n > 0")
-    rows = rows.select((F.col("_b") * 4 + F.col("_k")).alias("draw"), "_y", (F.col("_n") * F.col("_w")).alias("_n"), F.explode(F.expr("array(struct('model' as of, _m as p), struct('base' as of, _p as p))")).alias("_s")).where(F.col("draw") < draws)
-    groups = rows.groupBy("draw", "_s.of", "_s.p").agg(F.sum(F.when(F.col("_y"), F.col("_n")).otherwise(0.0)).alias("pos"), F.sum("_n").alias("all"))
-    down = W.partitionBy("draw", "of").orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    each = groups.withColumns({"tp": F.sum("pos").over(down), "seen": F.sum("all").over(down)}).groupBy("draw", "of").agg(F.try_divide(F.sum(F.expr("pos * tp / seen")), F.sum("pos")).alias("ap"))
-    both = each.groupBy("draw").agg(F.max(F.when(F.col("of") == "model", F.col("ap"))).alias("m"), F.max(F.when(F.col("of") == "base", F.col("ap"))).alias("b")).where("m is not null")
-    edge = lambda e: F.expr(f"percentile({e}, array(0.05D, 0.95D))")
-    return both.agg(edge("m").alias("model"), edge("b").alias("base"), edge("m - b").alias("delta"), F.avg((F.col("m") > F.col("b")).cast("double")).alias("p_better"), F.count("*").alias("draws"))
+    m, b = resampling.paired(scored, key, y, model, base, w, draws, seed)
+    edge = lambda x: [float(v) for v in np.percentile(x, [5, 95])] if len(x) else None
+    ddl = "model array<double>, base array<double>, delta array<double>, p_better double, draws long"
+    return scored.sparkSession.createDataFrame([(edge(m), edge(b), edge(m - b), float((m > b).mean()) if len(m) else None, len(m))], ddl)

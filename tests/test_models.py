@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pitgrid.plans import metrics, models, serving
+from pitgrid.plans import metrics, models, resampling, serving
 from pitgrid.plans.views import view
 from pitgrid.sources import tables
 
@@ -105,34 +105,59 @@ def test_ignition_scoring_corrects_the_prior(spark):
         models.score_ignition(model, r, h, o, day="2025-01-01")
 
 
-def test_bootstrap_against_a_plain_resample(spark):
-    import hashlib
-
+def test_bootstrap_against_a_plain_resample(spark, monkeypatch):
     import numpy as np
 
     rng = random.Random(2)
-    rows = [(i, int(rng.random() < 0.2), round(rng.random(), 1), round(rng.random(), 2), rng.choice([1.0, 20.0])) for i in range(300)]
-    got = metrics.paired_bootstrap(spark.createDataFrame(rows, "k long, y int, p double, p_base double, w double"), "k", w="w", draws=41).first()
+    rows = [(f"k{i:03d}", int(rng.random() < 0.2), rng.choice([round(rng.random(), 1), 0.5, None]), round(rng.random(), 2), rng.choice([1.0, 20.0])) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, y int, p double, p_base double, w double").repartition(7)
+    # rows of the model's order, each picked as often as its count says: weights are indices
+    order = sorted(rows, key=lambda r: (-(r[2] if r[2] is not None else -math.inf), r[0]))
+    picks = resampling.counts(np.arange(400), 400, np.arange(41), 17)
+    assert (picks.sum(0) == 400).all() and (picks >= 0).all() and (resampling.counts(np.array([7, 3, 399]), 400, np.arange(41), 17) == picks[[7, 3, 399]]).all()
+    low = lambda v: -math.inf if v is None else v
     draws = []
     for d in range(41):
-        n = []
-        for i, *_ in rows:
-            u = int(hashlib.md5(f"17|{d // 4}|{i}".encode()).hexdigest()[8 * (d % 4) : 8 * (d % 4) + 8], 16)
-            n.append(sum(u >= c for c in metrics.POISSON))
+        picked = [order[i] for i in np.repeat(np.arange(400), picks[:, d].astype(int))]
         ap = []
         for col in (2, 3):
             tp = seen = gain = 0.0
-            for s in sorted({r[col] for r in rows}, reverse=True):
-                own = [(k * r[4], r[1]) for k, r in zip(n, rows) if r[col] == s]
+            for s in sorted({low(r[col]) for r in picked}, reverse=True):
+                own = [(r[4], r[1]) for r in picked if low(r[col]) == s]
                 pos = sum(x for x, y in own if y)
                 tp, seen = tp + pos, seen + sum(x for x, _ in own)
-                gain += pos * tp / seen if seen else 0
+                gain += pos * tp / seen
             ap.append(gain / tp)
         draws.append(ap)
     x = np.array(draws)
-    assert np.allclose(got.model, np.percentile(x[:, 0], [5, 95])) and np.allclose(got.delta, np.percentile(x[:, 0] - x[:, 1], [5, 95])) and got.draws == 41
-    same = metrics.paired_bootstrap(spark.createDataFrame([(i, y, p, p, 1.0) for i, y, p, *_ in rows], "k long, y int, p double, p_base double, w double"), "k", draws=12).first()
-    assert same.delta == [0.0, 0.0]
+    for few in (1 << 15, 9):
+        make = resampling._ranges
+
+        def small(batches, *rest, few=few, make=make):
+            resampling.ROWS = few
+            return make(batches, *rest)
+
+        monkeypatch.setattr(resampling, "_ranges", small)
+        got = metrics.paired_bootstrap(df, "k", w="w", draws=41).first()
+        monkeypatch.undo()
+        assert np.allclose(got.model, np.percentile(x[:, 0], [5, 95])) and np.allclose(got.base, np.percentile(x[:, 1], [5, 95])) and np.allclose(got.delta, np.percentile(x[:, 0] - x[:, 1], [5, 95])) and got.draws == 41
+    same = metrics.paired_bootstrap(df.withColumn("p_base", F.col("p")), "k", draws=12).first()
+    assert same.delta == [0.0, 0.0] and same.p_better == 0
+    none = metrics.paired_bootstrap(df.where("y = 0"), "k", draws=5).first()
+    assert (none.draws, none.model) == (0, None) and metrics.paired_bootstrap(df.limit(0), "k", draws=5).first().draws == 0
+
+
+def test_counts_are_multinomial():
+    import numpy as np
+
+    n, draws = 50, 20_000
+    picks = resampling.counts(np.arange(n), n, np.arange(draws), 3)
+    # a row's count is binomial (n, 1 / n); two rows' counts have the covariance -1 / n
+    for k in range(4):
+        assert math.isclose((picks == k).mean(), math.comb(n, k) * (1 / n) ** k * (1 - 1 / n) ** (n - k), rel_tol=0.03)
+    assert abs(np.cov(picks[0], picks[1])[0, 1] + 1 / n) < 0.03 and abs(np.cov(picks[3], picks[40])[0, 1] + 1 / n) < 0.03
+    big = resampling.binomials(np.full((1, 400), 3e6), np.array([[0.25]]), (np.arange(400)[None, :] + 0.5) / 400)
+    assert abs(big.mean() - 750_000) < 40 and math.isclose(big.std(), (3e6 * 0.25 * 0.75) ** 0.5, rel_tol=0.02)
 
 
 def test_quantiles_and_points(spark):
