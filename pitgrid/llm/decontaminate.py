@@ -232,7 +232,7 @@ def blocks_of(benchmark: DataFrame, width: int, block_words: int) -> Iterator[tu
     yield Windows(held, width), False
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, block_words: int = 4_000_000) -> DataFrame:
+def contamination(documents: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, block_words: int = 400_000) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (word positions), items, check (a hash of the text).
 
     documents(doc_id, text), benchmark(item_id, text); other columns are ignored. A window is ``width`` consecutive words of an

@@ -187,7 +187,8 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.9, recall: float =
     embeddings(vec_id, embedding); other columns are ignored. Links join vectors with cosine >= threshold, checked in double precision;
     a pair at the threshold is found with probability ``recall``, closer ones almost surely. Equal vectors are compared as one with a count.
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do vectors of other lengths with each
-    other. Rows that share a vec_id are linked through it; a null vec_id links with nothing, has a null component and is kept.
+    other. Equal vectors are one class, which goes by its smallest vec_id; classes with the same smallest vec_id count as one for links, and a row has the
+    component of its class, so rows of one vec_id and unlike vectors can have different ones. A null vec_id links with nothing, has a null component and is kept.
     """
     spark = embeddings.sparkSession
     small_batches(spark)

@@ -152,8 +152,9 @@ def near_duplicates(documents: DataFrame, size: int = 4, percent: int = 80, bloc
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     documents(doc_id, text); other columns are ignored. Links join documents with 100 * |both| >= percent * |either|.
-    Null and empty texts and texts without words have no shingles and link with nothing. Rows that share a doc_id count as one document
-    for links; each row is returned. A row with a null doc_id links with nothing, has a null component and is kept.
+    Null and empty texts and texts without words have no shingles and link with nothing. Rows with equal sets are one class, which goes by its
+    smallest doc_id; classes with the same smallest doc_id count as one document for links. Each row is returned with the component of its class,
+    so rows of one doc_id and unlike texts can have different ones. A row with a null doc_id links with nothing, has a null component and is kept.
     An empty table gives no rows.
     """
     small_batches(documents.sparkSession)

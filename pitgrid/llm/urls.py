@@ -1,7 +1,7 @@
 """URL filter: a rule list first, then gradient-boosted trees on lexical features.
 
-The trees learn from the URLs that the rules decide, or from any labelled URLs: a sample of at most ``most_labels`` rows,
-picked by a hash. Suffix statistics are counted over all URLs.
+The trees learn from the URLs that the rules decide, or from any labelled URLs: of each label the ``most_labels`` / 2 rows with the
+least hashes, weighted to the labels' shares of all labelled rows. Suffix statistics are counted over all URLs.
 """
 
 from __future__ import annotations
@@ -93,14 +93,13 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFr
     if len(sizes) < 2:
         only = "block" if 1.0 in sizes else "allow"
         return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit(only)).alias("verdict"), F.lit(float(only == "block")).alias("score"))
-    share = min(1.0, most_labels / sum(sizes.values()))
     gather = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    sample = cut(taught.where(F.pmod(F.xxhash64(F.lit(seed), "page_id", "url"), F.lit(1 << 40)) < int(share * (1 << 40))).select("label", *FEATURES), "labelled")
-    if sample.select("label").distinct().count() < 2:
-        sample = cut(taught.select("label", *FEATURES).limit(most_labels), "labelled")
-    if sample.select("label").distinct().count() < 2:
-        only = max(sizes, key=sizes.get)
-        return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit("block" if only else "allow")).alias("verdict"), F.lit(only).alias("score"))
-    model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=seed).fit(gather.transform(sample))
+    sample, most = None, max(1, most_labels // 2)
+    for label, n in sorted(sizes.items()):
+        own = taught.where(F.col("label") == label).withColumn("_h", F.xxhash64(F.lit(seed), "page_id", "url")).orderBy("_h", "page_id", "url").limit(most)
+        own = own.select("label", *FEATURES, F.lit(n / min(n, most)).alias("_weight"))
+        sample = own if sample is None else sample.unionByName(own)
+    sample = cut(sample, "labelled")
+    model = GBTClassifier(featuresCol="features", labelCol="label", weightCol="_weight", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=seed).fit(gather.transform(sample))
     judged = model.transform(gather.transform(rows)).withColumn("score", vector_to_array("probability")[1])
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
