@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,8 +13,6 @@ from pyspark.sql import functions as F
 from pitgrid.sources.shared import written as cut
 
 RADIUS, LAT0, LON0, CELL_KM = 6371.0072, 60.0, -96.0, 10.0
-#: Degrees of latitude in a band of edges.
-BAND = 0.25
 RING = [(x, y) for x in (-1, 0, 1) for y in (-1, 0, 1) if (x, y) != (0, 0)]
 
 
@@ -87,21 +89,87 @@ def nearest(cells: DataFrame, stations: DataFrame, k: int = 12, max_km: float |
 
 
 def polygon_edges(rings: DataFrame) -> DataFrame:
-    """rings(code, ring long, points array<struct<lon, lat>>) -> one row an edge, with the ring's box; rings of under three points go."""
-    r = rings.where("size(points) >= 3").withColumns({f"_{a}{c}": F.expr(f"array_{a}(transform(points, p -> p.{c}))") for a in ("min", "max") for c in ("lon", "lat")})
-    r = r.withColumn("_e", F.explode(F.expr("arrays_zip(points, concat(slice(points, 2, size(points) - 1), slice(points, 1, 1)))")))
-    return r.select("code", "ring", "_minlon", "_maxlon", "_minlat", "_maxlat", *[F.col(f"_e.{s}.{c}").alias(f"{n}_{c}") for s, n in (("points", "a"), ("1", "b")) for c in ("lon", "lat")])
+    """rings(code, ring long, points array<struct<lon, lat>>) -> one row an edge; rings of under three points go."""
+    r = rings.where("size(points) >= 3").withColumn("_e", F.explode(F.expr("arrays_zip(points, concat(slice(points, 2, size(points) - 1), slice(points, 1, 1)))")))
+    return r.select("code", "ring", *[F.col(f"_e.{s}.{c}").alias(f"{n}_{c}") for s, n in (("points", "a"), ("1", "b")) for c in ("lon", "lat")])
+
+
+#: Degrees of the widest cells of a cover, how many parts a side is split into, and the least cells.
+COVER, PARTS, DEEPEST = 16.0, 4, 13
+#: How often the cells of a ring may hold its edges on average.
+COPIES = 16
+#: Beyond this many degrees from a cell an edge is surely not in it.
+CLEAR = 1e-9
+_EDGES = "array<struct<a_lon:double,a_lat:double,b_lon:double,b_lat:double>>"
 
 
-def place(points: DataFrame, edges: DataFrame, key: str, margin: float = 0.01) -> DataFrame:
+def cover(edges: DataFrame, most: int = 16) -> DataFrame:
+    """A hierarchy of cells for each ring: (code, ring, level, cx, cy, base, steps, near), those wholly outside left out.
+
+    A cell that more than ``most`` edges come near is split, the fullest first, until cells hold COPIES times the ring's edges (an outline whose edges are long and
+    cross each other's cells reaches that, others end long before). So the cells of a ring differ in size: large ones inside it, small ones along its edges. In a cell the
+    edges west of it never count for a point, those east of it count by their ends' latitudes alone: together they are ``base`` and a turn at each latitude
+    of ``steps``. Only ``near`` edges are tested, with the same arithmetic as over all edges.
+    """
+    own = edges.select("code", "ring", "a_lon", "a_lat", "b_lon", "b_lat").where("a_lat <> b_lat")
+    return own.groupBy("code", "ring").applyInArrow(lambda t: _covered(t, most), f"code string, ring long, level int, cx long, cy long, base int, steps array<double>, near {_EDGES}")
+
+
+def _covered(table: pa.Table, most: int) -> pa.Table:
+    a_lon, a_lat, b_lon, b_lat = edges = [table.column(c).to_numpy() for c in ("a_lon", "a_lat", "b_lon", "b_lat")]
+    west, east, south, north = np.minimum(a_lon, b_lon), np.maximum(a_lon, b_lon), np.minimum(a_lat, b_lat), np.maximum(a_lat, b_lat)
+    out: dict[str, list] = {c: [] for c in ("level", "cx", "cy", "base", "steps", "near")}
+
+    def inside(level: int, cx: int, cy: int, some: np.ndarray, base: int, steps: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+        """What a wider cell's edges and turns are in this one."""
+        side = COVER / PARTS**level
+        x, y = cx * side, cy * side
+        some = some[(north[some] > y) & (south[some] < y + side)]
+        beyond = some[west[some] > x + side + CLEAR]
+        turns = np.concatenate([steps, a_lat[beyond], b_lat[beyond]])
+        base ^= int((turns >= y + side).sum()) & 1
+        values, times = np.unique(turns[(turns > y) & (turns < y + side)], return_counts=True)
+        return some[(west[some] <= x + side + CLEAR) & (east[some] >= x - CLEAR)], base, values[times % 2 == 1]
+
+    ends = [int(np.floor(v / COVER)) for v in (west.min(), east.max(), south.min(), north.max())]
+    every = np.arange(len(a_lon))
+    open_ = []
+
+    def push(level: int, cx: int, cy: int, some: np.ndarray, base: int, steps: np.ndarray) -> int:
+        own = inside(level, cx, cy, some, base, steps)
+        heapq.heappush(open_, (-len(own[0]), level, cx, cy, *own))
+        return len(own[0])
+
+    held = sum(push(0, cx, cy, every, 0, np.zeros(0)) for cx in range(ends[0], ends[1] + 1) for cy in range(ends[2], ends[3] + 1))
+    while open_:
+        # the cell with most edges first
+        _, level, cx, cy, some, base, steps = heapq.heappop(open_)
+        if len(some) > most and level < DEEPEST and held <= COPIES * len(every) + 4096:
+            held -= len(some)
+            held += sum(push(level + 1, cx * PARTS + k % PARTS, cy * PARTS + k // PARTS, some, base, steps) for k in range(PARTS * PARTS))
+        elif len(some) or len(steps) or base:
+            near = [dict(zip(("a_lon", "a_lat", "b_lon", "b_lat"), (float(c[i]) for c in edges), strict=True)) for i in some]
+            for c, v in zip(out, (level, cx, cy, base, steps.tolist(), near), strict=True):
+                out[c].append(v)
+    n = len(out["level"])
+    kinds = {"level": pa.int32(), "cx": pa.int64(), "cy": pa.int64(), "base": pa.int32(), "steps": pa.list_(pa.float64()), "near": pa.list_(pa.struct([(c, pa.float64()) for c in ("a_lon", "a_lat", "b_lon", "b_lat")]))}
+    keys = {"code": pa.array([table.column("code")[0].as_py()] * n, pa.string()), "ring": pa.array([table.column("ring")[0].as_py()] * n, pa.int64())}
+    return pa.table(keys | {c: pa.array(out[c], t) for c, t in kinds.items()})
+
+
+def place(points: DataFrame, edges: DataFrame, key: str, few_bytes: int = 32 << 20) -> DataFrame:
     """(key, code): the polygon that each point lies in by the even-odd rule, edges half open in latitude; of several rings the first. Points outside are left out.
 
-    Points and edges meet by an equi-join of bands of latitude; an edge is copied to the bands that it spans.
+    Points meet the cells of the rings' cover by an equi-join, once for each size of cell that there is; a point tests the few edges near its cell only.
+    The cells are broadcast if they have at most ``few_bytes``.
     """
-    band = F.explode(F.sequence(F.floor(F.least("a_lat", "b_lat") / BAND), F.floor(F.greatest("a_lat", "b_lat") / BAND))).alias("_band")
-    box = f"lon between _minlon - {margin}D and _maxlon + {margin}D and lat between _minlat - {margin}D and _maxlat + {margin}D"
-    banded = points.select(key, "lat", "lon").withColumn("_band", F.floor(F.col("lat") / BAND))
-    over = banded.join(edges.select("*", band), "_band").where(f"{box} and (a_lat > lat) <> (b_lat > lat)")
-    crosses = F.expr("cast(lon < (b_lon - a_lon) * (lat - a_lat) / (b_lat - a_lat) + a_lon as int)")
-    inside = over.groupBy(key, "code", "ring").agg(F.sum(crosses).alias("_n")).where("_n % 2 = 1")
-    return inside.groupBy(key).agg(F.min_by("code", "ring").alias("code"))
+    cells = cut(cover(edges), "cover")
+    about = cells.groupBy("level").agg(F.sum(F.expr("60 + 8 * size(steps) + 40 * size(near)")).alias("bytes")).collect()
+    found = points.select(key, F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).where("lat is not null and lon is not null")
+    if not about:
+        return found.select(key, F.lit(None).cast("string").alias("code")).limit(0)
+    at = F.array(*[F.expr(f"struct({r['level']} as level, floor(lon / {COVER / PARTS ** r['level']!r}D) as cx, floor(lat / {COVER / PARTS ** r['level']!r}D) as cy)") for r in sorted(about)])
+    found = found.select(key, "lat", "lon", F.explode(at).alias("_at")).select(key, "lat", "lon", "_at.*")
+    met = found.join(F.broadcast(cells) if sum(r["bytes"] for r in about) <= few_bytes else cells, ["level", "cx", "cy"])
+    crossed = "size(filter(near, e -> (e.a_lat > lat) <> (e.b_lat > lat) and lon < (e.b_lon - e.a_lon) * (lat - e.a_lat) / (e.b_lat - e.a_lat) + e.a_lon))"
+    return met.where(f"(base + size(filter(steps, s -> s > lat)) + {crossed}) % 2 = 1").groupBy(key).agg(F.min_by("code", "ring").alias("code"))

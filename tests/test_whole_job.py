@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 
 from pitgrid.functions import grid
@@ -65,3 +66,34 @@ def test_panels_hold_all_cells_and_days(spark, tmp_path):
         if own:
             want[x, y, day] = (len(own), pytest.approx(sum(w * v for w, v in own) / sum(w for w, _ in own), abs=2e-6))
     assert {(r.cell_x, r.cell_y, r.day): (r.wx_n_stations, r.wx_temp) for r in run("idw_interpolation")} == want
+
+
+def test_polygons_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+
+    def star(n, lon, lat, r, rough=0.0):
+        angle = np.sort(rng.random(n)) * 2 * np.pi
+        far = r * (0.8 + 0.15 * np.sin(5 * angle) + 0.04 * np.sin(60 * angle) + rough * rng.random(n))
+        return [(float(lon + d * np.cos(t)), float(lat + d * np.sin(t))) for t, d in zip(angle, far)]
+
+    wide, holes = star(100_000, -100, 55, 14, 1e-5), [(-60.0, 40.0), (-40.0, 40.0), (-40.0, 60.0), (-50.0, 60.0), (-50.0, 50.0), (-60.0, 50.0), (-60.0, 40.0)]
+    rings = [("A", 0, wide), ("B", 1, star(300, -95, 55, 10, 0.3)), ("C", 2, holes), ("D", 3, star(40, 179, -10, 3)), ("E", 4, [(0.0, 0.0), (1.0, 1.0)])]
+    points = [(float(x), float(y)) for x, y in np.stack([rng.uniform(-120, -30, 4000), rng.uniform(35, 72, 4000)], 1)]
+    points += [wide[i] for i in range(0, 100_000, 997)] + [(x + dx, y) for x, y in holes for dx in (-1e-9, 0.0, 1e-9)] + [(-96.0, 48.0), (-100.0, 64.0), (-55.0, 50.0), (-50.0, 55.0), (180.0, -10.0)]
+    edges = grid.polygon_edges(spark.createDataFrame(rings, "code string, ring long, points array<struct<lon:double,lat:double>>"))
+    df = spark.createDataFrame([(i, lat, lon) for i, (lon, lat) in enumerate(points)] + [(-1, None, 3.0)], "i long, lat double, lon double")
+    want, lon, lat = {}, np.array([p[0] for p in points]), np.array([p[1] for p in points])
+    for code, _, ring in rings[:4]:
+        odd = np.zeros(len(points), bool)
+        for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1]):
+            if y0 != y1:
+                odd ^= ((y0 > lat) != (y1 > lat)) & (lon < (x1 - x0) * (lat - y0) / (y1 - y0) + x0)
+        for i in np.flatnonzero(odd).tolist():
+            want.setdefault(i, code)
+    cells = grid.cover(edges).cache()
+    assert cells.selectExpr("max(size(near))").first()[0] <= 16 and cells.where("size(near) = 0").count() > 100
+    for few in (1 << 40, 0):
+        got = {r.i: r.code for r in grid.place(df, edges, "i", few_bytes=few).collect()}
+        assert got == want and set(want.values()) == {"A", "B", "C", "D"}
+    assert grid.place(df, edges.limit(0), "i").count() == 0
+    cells.unpersist()
