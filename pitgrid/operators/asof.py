@@ -65,6 +65,53 @@ def observable(offsets: DataFrame, revisions: DataFrame, hours: float, cutoff=No
     return offsets.crossJoin(F.broadcast(end)).where(hours_after("t0", hours) <= F.col("_end")).drop("_end")
 
 
+CARRIED = ("latitude", "longitude", "agency_code", "region_code", "fire_year")
+
+
+def timeline(revisions: DataFrame, carried: tuple[str, ...] = CARRIED, block_days: int = 30) -> DataFrame:
+    """Every revision with the interval in which it is the incident's state, valid_from up to valid_to (null: still), and what is known by then.
+
+    Adds t0, n_rows (rows so far, undated ones first), the first known carried attributes so far, and over dated rows n_by, size_first, size_max and n_status (a null status is
+    one more). Any instant's state is the one row whose interval holds it, so instants relative to t0 are a filter. Undated rows have no interval; of rows of one instant
+    the last id's has one that is not empty. Rows are ordered inside blocks of days; a busy incident's blocks are separate tasks, joined by one small row a block.
+    """
+    dated = lambda c: F.when(F.col("record_start").isNotNull(), F.col(c))
+    name = lambda c: {"latitude": "lat", "longitude": "lon"}.get(c, c)
+    own = [c for c in carried if c in revisions.columns]
+    status = F.when(F.col("record_start").isNotNull(), F.coalesce(F.concat(F.lit("="), F.col("stage_of_control_status").cast("string")), F.lit("")))
+    rows = revisions.withColumns({"_block": F.coalesce(F.floor(F.unix_date(F.col("record_start").cast("date")) / block_days), F.lit(-(1 << 40))), "_status": status})
+    inside = W.partitionBy(KEY, "_block").orderBy(F.col("record_start").asc_nulls_first(), "id")
+    running = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
+    firsts = {name(c): F.first(c, ignorenulls=True) for c in own} | {"size_first": F.first(dated("fire_size"), ignorenulls=True)}
+    sums = {"n_rows": F.count("*"), "n_by": F.count("record_start")}
+    rest = {"size_max": F.max(dated("fire_size")), "_seen": F.collect_set("_status")}
+    told = rows.withColumns({f"_r_{c}": x.over(running) for c, x in (firsts | sums | rest).items()} | {"_next": F.lead("record_start").over(inside)})
+    # one row a block: what it adds, and what all blocks before it add up to
+    ordered = lambda c, x: F.min_by(x, F.when(x.isNotNull(), F.expr(ORDER))).alias(c)
+    values = {name(c): F.col(c) for c in own} | {"size_first": dated("fire_size")}
+    blocks = rows.groupBy(KEY, "_block").agg(*[ordered(c, x) for c, x in values.items()], *[x.alias(c) for c, x in (sums | rest).items()], F.min("record_start").alias("_at"))
+    ahead = W.partitionBy(KEY).orderBy("_block")
+    before = ahead.rowsBetween(W.unboundedPreceding, -1)
+    carry = {c: F.first(c, ignorenulls=True).over(before) for c in firsts} | {c: F.coalesce(F.sum(c).over(before), F.lit(0).cast("long")) for c in sums}
+    carry |= {"size_max": F.max("size_max").over(before), "_seen": F.flatten(F.collect_list("_seen").over(before))}
+    blocks = blocks.select(F.col(KEY).alias("_key"), F.col("_block").alias("_b"), *[x.alias(f"_b_{c}") for c, x in carry.items()], F.lead("_at").over(ahead).alias("_after"), F.min("_at").over(W.partitionBy(KEY)).alias("t0"))
+    both = told.join(blocks, (F.col(KEY) == F.col("_key")) & (F.col("_block") == F.col("_b")))
+    out = {c: F.coalesce(f"_b_{c}", f"_r_{c}") for c in firsts} | {c: F.col(f"_b_{c}") + F.col(f"_r_{c}") for c in sums}
+    out |= {"size_max": F.greatest("_b_size_max", "_r_size_max"), "n_status": F.size(F.array_union("_b__seen", "_r__seen")).cast("long")}
+    kept = [c for c in revisions.columns if c not in own]
+    return both.where("t0 is not null").select(*kept, F.col("record_start").alias("valid_from"), F.coalesce("_next", "_after").alias("valid_to"), "t0", *[x.alias(c) for c, x in out.items()])
+
+
+def at_instants(known: DataFrame, hours: dict[str, float]) -> DataFrame:
+    """One row an incident of timeline(): t0, the carried attributes, n_revisions, size_now and status_now; and for each name its state so many hours after t0, null without one."""
+    state = F.struct(*[c for c in ("fire_size", "stage_of_control_status", "response_type", "national_fire_cause") if c in known.columns], "n_by", "size_first", "size_max", "n_status")
+    dated = F.col("valid_from").isNotNull()
+    last = F.struct("t0", *[c for c in ("lat", "lon", "agency_code", "region_code", "fire_year") if c in known.columns], F.col("n_rows").alias("n_revisions"), F.col("fire_size").alias("size_now"), F.col("stage_of_control_status").alias("status_now"))
+    at = lambda h: dated & (F.col("valid_from") <= hours_after("t0", h)) & (F.col("valid_to").isNull() | (F.col("valid_to") > hours_after("t0", h)))
+    found = known.groupBy(KEY).agg(F.max(F.when(dated & F.col("valid_to").isNull(), last)).alias("_l"), *[F.max(F.when(at(h), state)).alias(n) for n, h in hours.items()])
+    return found.select(KEY, "_l.*", *hours)
+
+
 def asof_backward(left: DataFrame, right: DataFrame, key: str, left_on: str, right_on: str, tie: str, block_days: int = 30) -> DataFrame:
     """Each left row with the columns of the latest right row of its key at or before its instant (nulls if none).
 

@@ -388,10 +388,10 @@ def score_escalation(model: Fitted, revisions: DataFrame, hotspots: DataFrame, s
     """
     as_of = as_of if as_of is not None else revisions.agg(F.max("record_start")).first()[0]
     now = F.lit(as_of).cast("timestamp_ntz")
-    seen = revisions.where(F.col("record_start") <= now)
-    offsets = asof.first_seen(seen).where((F.col("t0") >= asof.hours_after(now, -24.0 * window_days)) & (asof.hours_after("t0", tables.DECISION_H) <= now))
-    found = tables.escalation_features(seen, offsets, hotspots, sitreps).where(f"coalesce(size_at_decision, 0) < {tables.ESCALATED_HA}")
-    latest = with_latest(score(found, model), seen)
+    known = asof.at_instants(asof.timeline(revisions.where(F.col("record_start") <= now)), {"decision": tables.DECISION_H})
+    known = written(known.where((F.col("t0") >= asof.hours_after(now, -24.0 * window_days)) & (asof.hours_after("t0", tables.DECISION_H) <= now)), "window")
+    found = tables.escalation_features(known, hotspots, sitreps).where(f"coalesce(size_at_decision, 0) < {tables.ESCALATED_HA}")
+    latest = score(found, model).join(known.select("national_fire_id", "size_now", "status_now"), "national_fire_id", "left")
     kept = [c for c in ("national_fire_id", "t0", "agency_code", "lat", "lon", "size_at_decision", "status_at_decision", "hs_count", "hs_hfi_max", "risk") if c in latest.columns]
     return latest.select(*kept, age_hours("t0", now).alias("age_hours"), "size_now", "status_now").orderBy(F.desc("risk"), "national_fire_id")
 

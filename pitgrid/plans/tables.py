@@ -7,30 +7,37 @@ from pyspark.sql import functions as F
 
 from pitgrid.functions import clean, grid
 from pitgrid.operators import asof, panel, spatial
+from pitgrid.sources.shared import removed, written
 
 ESCALATED_HA, DECISION_H, HORIZON_H, RADIUS_KM = 100.0, 24, 72, 10.0
 
 
-def escalation_features(revisions: DataFrame, offsets: DataFrame, hotspots: DataFrame, sitreps: DataFrame | None = None, decision_hours: float = DECISION_H) -> DataFrame:
-    """One row an incident with a state at its decision instant; only rows visible then are read. Counts are 0 without rows, measures null."""
-    state = asof.state_asof(revisions, offsets, decision_hours).select("national_fire_id", F.col("fire_size").alias("size_at_decision"), F.col("stage_of_control_status").alias("status_at_decision"), *[c for c in ("response_type", "national_fire_cause") if c in revisions.columns])
-    out = offsets.join(state, "national_fire_id").join(asof.revisions_before(revisions, offsets, decision_hours), "national_fire_id", "left")
-    out = out.join(spatial.hotspot_features(offsets, hotspots, RADIUS_KM, decision_hours), "national_fire_id", "left")
+def escalation_features(known: DataFrame, hotspots: DataFrame, sitreps: DataFrame | None = None, decision_hours: float = DECISION_H) -> DataFrame:
+    """One row an incident of asof.at_instants() with a state at its ``decision``; only what was visible then is read. Counts are 0 without rows, measures null."""
+    state = {f.name for f in known.schema["decision"].dataType.fields}
+    offsets = [c for c in known.columns if c not in ("decision", "horizon", "size_now", "status_now")]
+    names = {"fire_size": "size_at_decision", "stage_of_control_status": "status_at_decision", "n_by": "n_revisions_by_decision", "size_first": "size_first", "size_max": "size_max_so_far", "n_status": "n_distinct_status"}
+    taken = [F.col(f"decision.{c}").alias(names.get(c, c)) for c in (*names, "response_type", "national_fire_cause") if c in state]
+    out = known.where("decision is not null").select(*offsets, *taken)
+    out = out.join(spatial.hotspot_features(out, hotspots, RADIUS_KM, decision_hours), "national_fire_id", "left")
     out = out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("hs_count", "hs_active_days")})
     out = out.withColumns(
         {
             "month": F.month("t0"), "doy": F.dayofyear("t0"), "t0_hour": F.hour("t0"), "decision_at": asof.hours_after("t0", decision_hours),
-            "size_growth": F.expr("coalesce(size_at_decision, 0) - coalesce(size_first, 0)"), "log_size_at_decision": F.expr("log1p(coalesce(size_at_decision, 0))"),
+            "size_growth_to_decision": F.expr("coalesce(size_at_decision, 0) - coalesce(size_first, 0)"), "log_size_at_decision": F.expr("log1p(coalesce(size_at_decision, 0))"),
         }
     )
-    out = out.withColumnsRenamed({"size_growth": "size_growth_to_decision", "size_max_by_decision": "size_max_so_far", "n_status_by_decision": "n_distinct_status"})
     return asof.preparedness(out, sitreps) if sitreps is not None else out
 
 
 def escalation(revisions: DataFrame, hotspots: DataFrame, sitreps: DataFrame | None = None, cutoff=None) -> DataFrame:
-    """Features and labels of incidents whose horizon is on record and that were not yet escalated at the decision."""
-    offsets = asof.observable(asof.first_seen(revisions), revisions, HORIZON_H, cutoff)
-    out = escalation_features(revisions, offsets, hotspots, sitreps).join(asof.label_at(revisions, offsets, HORIZON_H), "national_fire_id")
+    """Features and labels of incidents whose horizon is on record and that were not yet escalated at the decision. The revisions are read once, into a timeline."""
+    known = written(asof.timeline(revisions), "timeline")
+    end = F.lit(cutoff if cutoff is not None else known.agg(F.max("valid_from")).first()[0]).cast("timestamp_ntz")
+    at = written(asof.at_instants(known, {"decision": DECISION_H, "horizon": HORIZON_H}).where(asof.hours_after("t0", HORIZON_H) <= end), "instants")
+    removed(known)
+    label = at.where("horizon is not null").select("national_fire_id", F.col("horizon.fire_size").alias("size_at_horizon"), F.col("horizon.stage_of_control_status").alias("status_at_horizon"))
+    out = escalation_features(at, hotspots, sitreps).join(label, "national_fire_id")
     out = out.where(f"size_at_horizon is not null and coalesce(size_at_decision, 0) < {ESCALATED_HA}")
     return out.withColumns({"escalated": (F.col("size_at_horizon") >= ESCALATED_HA).cast("tinyint"), "still_out_of_control": (F.coalesce("status_at_horizon", F.lit("")) == "OC").cast("tinyint")})
 
