@@ -185,7 +185,7 @@ def report(at: Folder, a) -> None:
     """Points of the curves of the held-out season, as tables."""
     contract, table, name = contract_of(a.command)
     _, scored = models.backtest(at.read(table), contract, a.test_years, rate_of(at, contract), 0, trees=a.trees)
-    at.write(metrics.reliability_points(scored), f"report/{name}_reliability")
+    at.write(metrics.reliability_points(scored).orderBy("bucket"), f"report/{name}_reliability")
     at.write(metrics.pr_curve(metrics.score_groups(scored, w="w")), f"report/{name}_pr_curve")
 
 

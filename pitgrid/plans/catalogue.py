@@ -325,9 +325,14 @@ def reliability_weighted(spark, d):
     return out.withColumns({c: F.round(c, 6) for c in ("mean_score", "mean_outcome")})
 
 
-@query()
+@query(f"""{E}, g AS (SELECT p, count(*) AS n, sum(y) AS k FROM scored GROUP BY p), c AS (SELECT *, sum(n) OVER (ORDER BY p) AS upto FROM g), t AS (SELECT greatest(30, sum(n) // 8) AS target, sum(n) AS total FROM g),
+    e AS (WITH RECURSIVE e(i, since, upto) AS (SELECT 0, 0::HUGEINT, min(c.upto)::HUGEINT FROM c, t WHERE c.upto >= least(target, total)
+        UNION ALL SELECT i + 1, since, upto FROM (SELECT e.i, e.upto AS since, min(c.upto)::HUGEINT AS upto FROM e, t, c WHERE e.upto < total AND c.upto >= least(total, e.upto + target) GROUP BY e.i, e.upto)) SELECT * FROM e),
+    m AS (SELECT CASE WHEN i > 0 AND upto = total AND upto - since < target // 3 THEN i - 1 ELSE i END AS bucket, since, upto FROM e, t)
+    SELECT bucket::INT AS bucket, cast(sum(n) AS BIGINT) AS n, round(sum(n * p) / sum(n), 9) AS mean_score, round(sum(k) / sum(n), 9) AS mean_outcome FROM c JOIN m ON c.upto > m.since AND c.upto <= m.upto GROUP BY 1""")
 def reliability_points(spark, d):
-    return metrics.reliability_points(view(spark, d, "scored"))
+    out = metrics.reliability_points(view(spark, d, "scored"))
+    return out.withColumns({c: F.round(c, 9) for c in ("mean_score", "mean_outcome")})
 
 
 @query(f"{E} SELECT doc_id, p AS risk, (SELECT count(*) FROM scored WHERE p >= 0.2) AS n_matching FROM scored WHERE p >= 0.2 ORDER BY p DESC, doc_id LIMIT 25")

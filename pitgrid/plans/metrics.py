@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pitgrid.operators import ranks
 from pitgrid.plans import resampling
 from pitgrid.sources.shared import written
 
@@ -70,21 +71,29 @@ def quantiles(scored: DataFrame, p: str, shares: list[float]) -> DataFrame:
 def reliability_points(scored: DataFrame, y: str = "y", p: str = "p", bins: int = 8) -> DataFrame:
     """Buckets of about equal counts that never split equal scores: bucket, n, mean_score, mean_outcome.
 
-    A bucket takes max(30, rows / bins) rows and then what equals its last score; a last one of under a third of that joins the one before. Only scores'
-    counts are folded, in their order.
+    A bucket takes max(30, rows / bins) rows and then what equals its last score; a last one of under a third of that joins the one before. Each bucket's end is
+    looked for among the totals of ranges of scores, then inside one range. Rows without a score are left out.
     """
-    groups = scored.groupBy(F.col(p).alias("p")).agg(F.count("*").alias("n"), F.sum(F.col(y)).cast("double").alias("k"))
-    total = groups.agg(F.sum("n")).first()[0] or 0
-    target, rows, held = max(30, total // bins), [], [0, 0.0, 0.0]
-    for r in groups.orderBy("p").toLocalIterator():
-        held = [held[0] + r.n, held[1] + r.n * r.p, held[2] + r.k]
-        if held[0] >= target:
-            rows, held = [*rows, held], [0, 0.0, 0.0]
-    if held[0]:
-        rows.append(held)
-    if len(rows) > 1 and rows[-1][0] < target // 3:
-        rows[-2:] = [[a + b for a, b in zip(*rows[-2:], strict=True)]]
-    return scored.sparkSession.createDataFrame([(i, n, s / n, k / n) for i, (n, s, k) in enumerate(rows)], "bucket int, n long, mean_score double, mean_outcome double")
+    groups = scored.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("p")).agg(F.count("*").alias("n"), F.sum(F.col(y)).cast("double").alias("k"))
+    table = ranks.ranked(groups, [F.col("p")], "scores")
+    ranges = [(r["at"], r["n"]) for r in table.groupBy(F.shiftright("_pos", ranks.LOW).alias("at")).agg(F.sum("n").alias("n")).orderBy("at").collect()]
+    total = sum(n for _, n in ranges)
+    target, ends, sizes, done = max(30, total // bins), [], [], 0
+    while done < total:
+        wanted, before = min(total, done + target), 0
+        for at, n in ranges:
+            if before + n >= wanted:
+                break
+            before += n
+        inside = table.where(F.col("_pos").between(at << ranks.LOW, ((at + 1) << ranks.LOW) - 1)).withColumn("upto", F.sum("n").over(W.orderBy("_pos")) + before)
+        end, upto = inside.where(F.col("upto") >= wanted).agg(F.min("p"), F.min("upto")).first()
+        ends, sizes, done = [*ends, end], [*sizes, upto - done], upto
+    if len(sizes) > 1 and sizes[-1] < target // 3:
+        ends.pop(-2)
+    bucket = F.lit(0)
+    for end in ends[:-1]:
+        bucket = bucket + (F.col("p") > F.lit(end)).cast("int")
+    return table.groupBy(bucket.cast("int").alias("bucket")).agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("p")) / F.sum("n")).alias("mean_score"), (F.sum("k") / F.sum("n")).alias("mean_outcome"))
 
 
 def correct_prior(p: str, rate: float):

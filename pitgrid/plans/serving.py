@@ -7,6 +7,8 @@ import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitgrid.operators import ranks
+
 from pitgrid.sources import tables
 
 #: Stage-of-control codes.
@@ -86,12 +88,17 @@ def readouts(risk: DataFrame, thresholds: tuple[float, ...] = (0.1, 0.25)) -> Da
 def top_share(risk: DataFrame, share: float = 0.08, bands: tuple[float, ...] = (0.995, 0.98), ties: tuple[str, ...] = ("cell_x", "cell_y"), day: str | None = "day") -> DataFrame:
     """The top share of the newest day's rows, at least one, by falling risk; band: 0 from the first quantile of all its rows on, 1 from the second, else the last.
 
-    Quantiles are the rows nearest to their place.
+    Quantiles are the rows nearest to their place. Rows that equal the last one in risk and ties come along with it; the result is in no order.
     """
     if day:
         risk = risk.join(F.broadcast(risk.agg(F.max(day).alias(day))), day)
     n = risk.count()
-    places = ", ".join(f"{int(q * (n - 1) + 0.5) / max(1, n - 1)}D" for q in bands)
-    cuts = risk.agg(F.expr(f"percentile(risk, array({places}))").alias("_q"))
-    kept = risk.orderBy(F.desc("risk"), *ties).limit(max(1, int(n * share)))
-    return kept.crossJoin(F.broadcast(cuts)).withColumn("band", F.expr("size(filter(_q, q -> risk < q))")).drop("_q")
+    if not n:
+        return risk.withColumn("band", F.lit(0))
+    cuts = [ranks.nth(risk, [("risk", False)], int(q * (n - 1) + 0.5) + 1)[0] for q in bands]
+    last = ranks.nth(risk, [("risk", True), *[(t, False) for t in ties]], max(1, int(n * share)))
+    inside = F.lit(True)
+    for c, value in reversed(list(zip(("risk", *ties), last, strict=True))):
+        ahead = F.col(c) > F.lit(value) if c == "risk" else F.col(c) < F.lit(value)
+        inside = ahead | ((F.col(c) == F.lit(value)) & inside)
+    return risk.where(inside).withColumn("band", sum((F.col("risk") < F.lit(q)).cast("int") for q in cuts))

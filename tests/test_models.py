@@ -169,7 +169,34 @@ def test_quantiles_and_points(spark):
     df = spark.createDataFrame(rows, "p double, y int").repartition(3)
     got = metrics.quantiles(df, "p", [0, 0.2, 0.4, 0.6, 0.8, 1]).first()[0]
     assert np.allclose(got, sorted(set(np.percentile(p, [0, 20, 40, 60, 80, 100]))))
-    points = metrics.reliability_points(df).collect()
+    points = metrics.reliability_points(df).orderBy("bucket").collect()
+    want, held = [], []
+    for score in sorted(set(p)):  # whole groups of equal scores until a bucket is full
+        held += [r for r in rows if r[0] == score]
+        if len(held) >= max(30, len(p) // 8):
+            want, held = [*want, held], []
+    if held:
+        want[-1:] = [want[-1] + held] if len(held) < max(30, len(p) // 8) // 3 else [want[-1], held]
+    assert [(r.n, round(r.mean_score, 9), round(r.mean_outcome, 9)) for r in points] == [(len(b), round(sum(x for x, _ in b) / len(b), 9), round(sum(y for _, y in b) / len(b), 9)) for b in want]
+    assert metrics.reliability_points(df.limit(0)).count() == 0
     assert points[0].n >= 120 and points[0].mean_score == 0 and sum(r.n for r in points) == len(p) and all(r.n >= 13 for r in points)
     assert math.isclose(sum(r.n * r.mean_outcome for r in points), sum(y for _, y in rows))
     assert tables.exists(spark, "/nowhere") is False
+
+
+def test_nth_and_top_share_without_a_sort(spark, monkeypatch):
+    from pitgrid.operators import ranks
+
+    rng = random.Random(7)
+    rows = [(rng.choice([0.5, 0.5, rng.random(), 1e-300 * rng.random()]), (1 << 62) + rng.randint(0, 9000), i) for i in range(6000)] + [(None, 1, 2)]
+    df = spark.createDataFrame(rows, "risk double, big long, i int").repartition(5)
+    monkeypatch.setattr(ranks, "FEW", 50)
+    monkeypatch.setattr(ranks, "BUCKETS", 16)
+    order = sorted(rows[:-1], key=lambda r: (-r[0], r[1], r[2]))
+    for k in (1, 700, 2500, 5999, 6000):
+        assert tuple(ranks.nth(df, [("risk", True), ("big", False), ("i", False)], k)) == order[k - 1]
+    assert ranks.nth(df, [("risk", True)], 6001) == [None]
+    got = serving.top_share(df.where("risk is not null"), ties=("big", "i"), day=None).collect()
+    low = sorted(r[0] for r in rows[:-1])
+    cuts = [low[int(q * 5999 + 0.5)] for q in (0.995, 0.98)]
+    assert sorted(map(tuple, got), key=str) == sorted(((*r, sum(r[0] < c for c in cuts)) for r in order[:480]), key=str)
