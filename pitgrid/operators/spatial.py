@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitgrid.sources.shared import written
+
 RADIUS_KM, KM_PER_DEGREE = 6371.0, 111.32
 MEASURES = ("fwi", "hfi", "ros", "sfc", "tfc")
-#: Degrees and days of a bin; incidents are copied to the few bins that their window touches, detections stay single.
-BIN = (0.2, 0.4, 1)
+#: Degrees and days of a bin; incidents are copied to the few bins that their window touches, detections stay single. A bin of more than MOST detections is split
+#: into four, up to LEVELS times.
+BIN, MOST, LEVELS = (0.2, 0.4, 1), 4000, 6
 
 
 def haversine_km(lat1: str, lon1: str, lat2: str, lon2: str) -> Column:
@@ -16,34 +19,48 @@ def haversine_km(lat1: str, lon1: str, lat2: str, lon2: str) -> Column:
     return F.expr(f"{RADIUS_KM}D * 2 * asin(sqrt({h}))")
 
 
-def within(fires: DataFrame, points: DataFrame, radius_km: float, before_hours: float = 24, after_hours: float = 24) -> DataFrame:
+def within(fires: DataFrame, points: DataFrame, radius_km: float, before_hours: float = 24, after_hours: float = 24, most: int = MOST) -> DataFrame:
     """Pairs (fire columns, point columns as p_*, dist_km) in the radius and time window, all bounds inclusive.
 
     fires(national_fire_id, t0, lat, lon), points(lat, lon, rep_date, ...); rows without a place or time match nothing. An equi-join on bins of latitude,
-    longitude and day replaces the inequality join; bounding box, time and distance are then tested exactly.
+    longitude and day replaces the inequality join; bounding box, time and distance are then tested exactly. Bins follow the detections' counts: dense ones are
+    split, day by day, and incidents look up the parts that their box touches.
     """
-    north, east, days = BIN
+    north, east, days = BIN[0] / (1 << LEVELS), BIN[1] / (1 << LEVELS), BIN[2]
     f = fires.where("lat is not null and lon is not null and t0 is not null")
     f = f.withColumns({"_dlat": F.lit(radius_km / KM_PER_DEGREE), "_dlon": F.expr(f"{radius_km}D / ({KM_PER_DEGREE}D * greatest(cos(radians(lat)), 0.01D))")})
     f = f.withColumns({"_from": F.col("t0") - F.expr(f"make_dt_interval(0, 0, 0, {before_hours * 3600.0})"), "_to": F.col("t0") + F.expr(f"make_dt_interval(0, 0, 0, {after_hours * 3600.0})")})
-    spread = lambda low, high, size: F.sequence(F.floor(low / size), F.floor(high / size))
-    f = f.withColumn("_by", F.explode(spread(F.col("lat") - F.col("_dlat"), F.col("lat") + F.col("_dlat"), north)))
-    f = f.withColumn("_bx", F.explode(spread(F.col("lon") - F.col("_dlon"), F.col("lon") + F.col("_dlon"), east)))
-    f = f.withColumn("_bt", F.explode(spread(F.unix_date(F.to_date("_from")), F.unix_date(F.to_date("_to")), days)))
+    # the box in the smallest bins; a wider bin's number is theirs without the last bits
+    f = f.withColumns({"_y0": F.floor((F.col("lat") - F.col("_dlat")) / north), "_y1": F.floor((F.col("lat") + F.col("_dlat")) / north), "_x0": F.floor((F.col("lon") - F.col("_dlon")) / east), "_x1": F.floor((F.col("lon") + F.col("_dlon")) / east)})
+    for c, low, high in (("_y", "_y0", "_y1"), ("_x", "_x0", "_x1")):
+        f = f.withColumn(c, F.explode(F.sequence(F.shiftright(low, LEVELS), F.shiftright(high, LEVELS))))
+    f = f.withColumn("_bt", F.explode(F.sequence(*[F.floor(F.unix_date(F.to_date(c)) / days) for c in ("_from", "_to")]))).withColumn("_l", F.lit(0))
     p = points.select(*[F.col(c).alias(f"p_{c}") for c in points.columns]).where("p_lat is not null and p_lon is not null and p_rep_date is not null")
-    p = p.withColumns({"_by": F.floor(F.col("p_lat") / north), "_bx": F.floor(F.col("p_lon") / east), "_bt": F.floor(F.unix_date(F.to_date("p_rep_date")) / days)})
-    near = f.join(p, ["_by", "_bx", "_bt"]).where("p_rep_date between _from and _to and p_lat between lat - _dlat and lat + _dlat and p_lon between lon - _dlon and lon + _dlon")
+    p = p.withColumns({"_py": F.floor(F.col("p_lat") / north), "_px": F.floor(F.col("p_lon") / east), "_bt": F.floor(F.unix_date(F.to_date("p_rep_date")) / days)})
+    split = dense_bins(p, most)
+    own = p.withColumns({"_l": F.lit(0), "_y": F.shiftright("_py", LEVELS), "_x": F.shiftright("_px", LEVELS)})
+    for level in range(max([r[0] for r in split.select("_l").distinct().collect()], default=-1) + 1):
+        own, f = divided(own, split, level, ("_py", "_py"), ("_px", "_px")), divided(f, split, level, ("_y0", "_y1"), ("_x0", "_x1"))
+    near = f.join(own, ["_bt", "_l", "_y", "_x"]).where("p_rep_date between _from and _to and p_lat between lat - _dlat and lat + _dlat and p_lon between lon - _dlon and lon + _dlon")
     near = near.withColumn("dist_km", haversine_km("lat", "lon", "p_lat", "p_lon")).where(F.col("dist_km") <= radius_km)
-    return near.drop("_by", "_bx", "_bt", "_dlat", "_dlon", "_from", "_to")
+    return near.drop("_bt", "_l", "_y", "_x", "_y0", "_y1", "_x0", "_x1", "_py", "_px", "_dlat", "_dlon", "_from", "_to")
 
 
-def exact_mean(c: str) -> Column:
-    """A mean over decimals: the same whatever the order of the rows."""
-    return F.expr(f"cast(sum(cast({c} as decimal(18,6))) as double) / nullif(count({c}), 0)")
+def dense_bins(points: DataFrame, most: int) -> DataFrame:
+    """(_bt, _l, _y, _x), a table: the bins of every level that hold more than ``most`` of points(_bt, _py, _px); they are n / most at most on each level."""
+    fine = points.groupBy("_bt", "_py", "_px").agg(F.count("*").alias("n"))
+    at = F.expr(f"transform(sequence(0, {LEVELS - 1}), l -> struct(l as _l, shiftright(_py, {LEVELS} - l) as _y, shiftright(_px, {LEVELS} - l) as _x))")
+    return written(fine.select("_bt", "n", F.explode(at).alias("_n")).groupBy("_bt", "_n").agg(F.sum("n").alias("n")).where(F.col("n") > most).select("_bt", "_n.*"), "dense")
 
 
-def exact_sum(c: str) -> Column:
-    return F.expr(f"cast(sum(cast({c} as decimal(18,6))) as double)")
+def divided(rows: DataFrame, split: DataFrame, level: int, y: tuple[str, str], x: tuple[str, str]) -> DataFrame:
+    """rows in bins (_bt, _l, _y, _x): those in a split bin of the level go to the parts of it that their numbers from y[0] to y[1] and x[0] to x[1] touch."""
+    shift = LEVELS - level - 1
+    part = lambda c, ends: F.sequence(F.greatest(F.col(c) * 2, F.shiftright(ends[0], shift)), F.least(F.col(c) * 2 + 1, F.shiftright(ends[1], shift)))
+    here = split.where(F.col("_l") == level).withColumn("_split", F.lit(True))
+    out = rows.join(here, ["_bt", "_l", "_y", "_x"], "left").withColumn("_into", F.coalesce("_split", F.lit(False)))
+    out = out.withColumn("_ny", F.explode(F.when(F.col("_into"), part("_y", y)).otherwise(F.array("_y")))).withColumn("_nx", F.explode(F.when(F.col("_into"), part("_x", x)).otherwise(F.array("_x"))))
+    return out.withColumns({"_l": F.when(F.col("_into"), F.lit(level + 1)).otherwise(F.col("_l")), "_y": F.col("_ny"), "_x": F.col("_nx")}).drop("_split", "_into", "_ny", "_nx")
 
 
 def fuel_group(c: str) -> Column:
@@ -58,19 +75,24 @@ def dominant(rows: DataFrame, key: str, category: str) -> DataFrame:
 
 
 def hotspot_features(fires: DataFrame, hotspots: DataFrame, radius_km: float = 10.0, decision_hours: float = 24) -> DataFrame:
-    """Counts, maxima, means, sums, nearest distance, active days, lead time and main fuel of each incident's detections. Incidents without any are left out."""
+    """Counts, maxima, means, sums, nearest distance, active days, lead time and main fuel of each incident's detections. Incidents without any are left out.
+
+    Detections are summed up by incident and fuel first, so the pairs are used once; sums are of decimals, the same whatever the order.
+    """
     have = [m for m in MEASURES if m in hotspots.columns]
-    near = within(fires.select("national_fire_id", "t0", "lat", "lon"), hotspots.select("lat", "lon", "rep_date", *have, *[c for c in ("fuel",) if c in hotspots.columns]), radius_km, 24, decision_hours)
-    aggs = [F.count("*").alias("hs_count")]
+    fuels = [c for c in ("fuel",) if c in hotspots.columns]
+    near = within(fires.select("national_fire_id", "t0", "lat", "lon"), hotspots.select("lat", "lon", "rep_date", *have, *fuels), radius_km, 24, decision_hours)
+    parts = [F.count("*").alias("_n"), F.min("dist_km").alias("_near"), F.collect_set(F.to_date("p_rep_date")).alias("_days"), F.min("p_rep_date").alias("_first")]
+    for m in have:
+        parts += [F.max(f"p_{m}").alias(f"_max_{m}"), F.sum(F.col(f"p_{m}").cast("decimal(18,6)")).alias(f"_sum_{m}"), F.count(f"p_{m}").alias(f"_known_{m}")]
+    by = near.groupBy("national_fire_id", "t0", (fuel_group("p_fuel") if fuels else F.lit(None).cast("string")).alias("_fuel")).agg(*parts)
+    aggs = [F.sum("_n").alias("hs_count"), F.min("_near").alias("hs_dist_min_km"), F.size(F.array_distinct(F.flatten(F.collect_list("_days")))).cast("long").alias("hs_active_days"), F.min("_first").alias("_first")]
     for m in have:
-        aggs += [F.max(f"p_{m}").alias(f"hs_{m}_max"), exact_mean(f"p_{m}").alias(f"hs_{m}_mean")]
+        aggs += [F.max(f"_max_{m}").alias(f"hs_{m}_max"), (F.sum(f"_sum_{m}").cast("double") / F.expr(f"nullif(sum(_known_{m}), 0)")).alias(f"hs_{m}_mean")]
     if "hfi" in have:
-        aggs.append(exact_sum("p_hfi").alias("hs_hfi_sum"))
-    aggs += [F.min("dist_km").alias("hs_dist_min_km"), F.count_distinct(F.to_date("p_rep_date")).alias("hs_active_days"), F.min("p_rep_date").alias("_first")]
+        aggs.append(F.sum("_sum_hfi").cast("double").alias("hs_hfi_sum"))
+    if fuels:
+        aggs.append(F.min_by("_fuel", F.struct((-F.col("_n")).alias("n"), "_fuel")).alias("hs_fuel_group"))
     # hours are counted by the boundaries between them
     lead = F.expr("timestampdiff(HOUR, date_trunc('HOUR', _first), date_trunc('HOUR', t0))")
-    out = near.groupBy("national_fire_id", "t0").agg(*aggs).withColumn("hs_detection_lead_hours", lead).drop("t0", "_first")
-    if "fuel" in hotspots.columns:
-        fuel = dominant(near.withColumn("hs_fuel_group", fuel_group("p_fuel")), "national_fire_id", "hs_fuel_group")
-        out = out.join(fuel, "national_fire_id", "left")
-    return out
+    return by.groupBy("national_fire_id", "t0").agg(*aggs).withColumn("hs_detection_lead_hours", lead).drop("t0", "_first")
