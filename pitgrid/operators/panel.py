@@ -94,6 +94,12 @@ def area_coverage(area: DataFrame, events: DataFrame, days: DataFrame) -> DataFr
     return sums.withColumn("coverage", F.col("n_inside") / F.greatest(F.col("n_reachable"), F.lit(1)))
 
 
+def days_on_record(days: DataFrame, observations: DataFrame) -> DataFrame:
+    """Of days(day) those whose day before can be in the stations' record: after its first day, and up to the one after its last."""
+    ends = observations.agg(F.min("obs_date").alias("_a"), F.max("obs_date").alias("_b"))
+    return days.crossJoin(F.broadcast(ends)).where("day > _a and day <= date_add(_b, 1)").select("day")
+
+
 def scoreable_days(observations: DataFrame, day=None, days: int = 1) -> DataFrame:
     """The ``days`` days up to ``day`` (by default the one after the last observation) that can be scored, by date."""
     last = observations.agg(F.date_add(F.max("obs_date"), 1).alias("_last"))

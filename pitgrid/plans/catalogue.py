@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitgrid.functions import clean, grid
@@ -619,3 +619,98 @@ def season_replacement(spark, d):
     for _ in range(2):
         tables.replace_seasons(orders.where("year(o_orderdate) = 1996 and o_orderkey % 2 = 0"), path, at="o_orderdate")
     return spark.read.parquet(path)
+
+
+@query("SELECT o_orderkey, o_orderdate, cast(year(o_orderdate) AS INT) AS season FROM orders WHERE year(o_orderdate) < 1997 AND (year(o_orderdate) <> 1995 OR o_orderkey % 3 = 0)")
+def season_narrowing(spark, d):
+    """A season replaced by rows with other columns: only the common ones stay, in all seasons."""
+    orders = spark.read.parquet(f"{d}/orders.parquet").where("year(o_orderdate) < 1997")
+    path = f"{shared.folder(spark)}/narrowed-{uuid.uuid4().hex}"
+    tables.replace_seasons(orders.select("o_orderkey", "o_orderdate", "o_orderpriority"), path, at="o_orderdate")
+    tables.replace_seasons(orders.where("year(o_orderdate) = 1995 and o_orderkey % 3 = 0").select("o_orderkey", "o_orderdate", "o_totalprice"), path, at="o_orderdate")
+    return spark.read.parquet(path)
+
+
+@query(f"{_with('hotspots', 'obs')}, days AS (SELECT DISTINCT cast(rep_date AS date) + 12 AS day FROM hotspots) SELECT day::date AS day FROM days WHERE day > (SELECT min(obs_date) FROM obs) AND day <= (SELECT max(obs_date) + 1 FROM obs)")
+def days_on_record(spark, d):
+    days = view(spark, d, "hotspots").select(F.expr("date_add(to_date(rep_date), 12)").alias("day")).distinct()
+    return panel.days_on_record(days, view(spark, d, "obs"))
+
+
+@query(f"{R} SELECT id, national_fire_id FROM revisions")
+def dropped_columns(spark, d):
+    rows = view(spark, d, "revisions").selectExpr("id", "national_fire_id", "'p' as geometry", "1 as FID")
+    return clean.without(rows, "geometry", "FID", "no_such_column")
+
+
+_LIST = "SELECT concat('  ', aes, ' ') AS aes, CASE WHEN cast(aes AS INT) % 5 = 0 THEN 'n/a' ELSE concat(' ', cast(cast(floor(lat) AS INT) AS {s})) END AS lat, concat(cast(cast(floor(lon) AS INT) AS {s}), '  ') AS lon, CASE WHEN cast(aes AS INT) % 2 = 0 THEN ' AB ' ELSE 'BC' END AS prov FROM {obs}"
+
+
+@query(f"{O}, raw AS ({_LIST.format(s='VARCHAR', obs='obs')}) SELECT trim(aes) AS aes, min(try_cast(trim(lat) AS DOUBLE)) AS lat, min(try_cast(trim(lon) AS DOUBLE)) AS lon, min(trim(prov)) AS prov FROM raw WHERE try_cast(trim(lat) AS DOUBLE) IS NOT NULL GROUP BY 1")
+def station_list(spark, d):
+    """Padded text columns as a list of stations; one without a number for a latitude goes."""
+    return feeds.stations(spark.sql(_LIST.format(s="STRING", obs="{obs}"), obs=view(spark, d, "obs")))
+
+
+@query(f"{R} SELECT id, CASE WHEN id % 5 <> 4 THEN date_trunc('second', record_start) END AS at FROM revisions")
+def utc_instants(spark, d):
+    """Texts with a zone, with an offset or without, as instants in UTC; what is none is null."""
+    fmt = "yyyy-MM-dd'T'HH:mm:ss"
+    text = f"""case id % 5 when 0 then concat(date_format(record_start, "{fmt}"), 'Z') when 1 then concat(date_format(record_start + interval 5 hours 30 minutes, "{fmt}"), '+05:30')
+        when 2 then date_format(record_start, "{fmt}") when 3 then concat(date_format(record_start - interval 7 hours, "{fmt}"), '-0700') else 'soon' end as text"""
+    return view(spark, d, "revisions").selectExpr("id", text).select("id", feeds.utc("text").alias("at"))
+
+
+@query(f"{E} SELECT doc_id, CASE WHEN y = 1 THEN 1.0e0 ELSE 1 / 0.02e0 END AS weight FROM scored")
+def sample_weights(spark, d):
+    return view(spark, d, "scored").select("doc_id", metrics.sample_weight("y", 0.02).alias("weight"))
+
+
+@query(f"{R} SELECT concat('{{\"id\":', id, ',\"day\":\"', strftime(record_start, '%Y-%m-%d'), '\",\"at\":\"', strftime(date_trunc('second', record_start), '%Y-%m-%dT%H:%M:%S'), '\",\"status\":', CASE WHEN stage_of_control_status IS NULL THEN 'null' ELSE concat('\"', stage_of_control_status, '\"') END, ',\"size\":null}}') AS json FROM revisions WHERE record_start IS NOT NULL")
+def json_rows(spark, d):
+    """Rows as JSON texts: dates in ISO form, nulls kept, no number is not a number."""
+    rows = view(spark, d, "revisions").where("record_start is not null").selectExpr("id", "to_date(record_start) as day", "record_start as at", "stage_of_control_status as status", "double('NaN') as size")
+    return clean.json_rows(rows)
+
+
+_RISKS = "risks AS (SELECT national_fire_id, agency_code, n_revisions, ((n_revisions * 37 + dayofyear(t0) * 11) % 101) / 101.0e0 AS risk FROM f)"
+
+
+def _risks(spark, d):
+    return _revisions(spark, d)[1].selectExpr("national_fire_id", "agency_code", "n_revisions", "((n_revisions * 37 + dayofyear(t0) * 11) % 101) / 101.0D as risk")
+
+
+@query(f"{R}, {_FIRST}, {_RISKS}, m AS (SELECT * FROM risks WHERE agency_code = 'AB' AND risk >= 0.2) SELECT *, (SELECT count(*) FROM m) AS n_matching FROM m ORDER BY risk DESC, national_fire_id LIMIT 40")
+def served_fires(spark, d):
+    """The riskiest incidents of an agency, and how many match."""
+    return serving.fires(_risks(spark, d), limit=40, min_risk=0.2, agency="ab")
+
+
+@query(f"{R}, {_FIRST}, {_RISKS} SELECT * FROM risks WHERE national_fire_id = (SELECT max(national_fire_id) FROM risks)")
+def served_fire(spark, d):
+    """One incident, looked up by its id."""
+    risks = _risks(spark, d)
+    return serving.fire(risks, risks.agg(F.max("national_fire_id")).first()[0])
+
+
+@query(f"{R}, {_FIRST}, {_RISKS}, o AS (SELECT *, row_number() OVER (ORDER BY risk DESC, national_fire_id) AS place FROM risks) SELECT * FROM o")
+def incidents_by_risk(spark, d):
+    """All incidents by falling risk, with their places in that order."""
+    ordered = serving.by_risk(_risks(spark, d), "national_fire_id").withColumn("_i", F.monotonically_increasing_id())
+    table = written(ordered, "by-risk")
+    sizes = table.groupBy(F.shiftright("_i", 33).alias("part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.withColumn("start", before).select("part", "start")
+    placed = table.withColumn("part", F.shiftright("_i", 33)).join(F.broadcast(starts), "part")
+    return placed.withColumn("place", F.col("start") + F.col("_i").bitwiseAND((1 << 33) - 1) + 1).drop("part", "start", "_i")
+
+
+_DAY_RISK = "((abs(cell_x) * 31 + abs(cell_y) * 17 + dayofyear(day)) % 997) / 997.0{e} AS risk"
+
+
+@query(f"{H}, {_CENTRES}, r AS (SELECT cell_x, cell_y, day, round(lat, 6) AS lat, round(lon, 6) AS lon, {_DAY_RISK.format(e='e0')} FROM centres JOIN (SELECT DISTINCT {_cell()}, cast(rep_date AS date) AS day FROM hotspots) USING (cell_x, cell_y)), m AS (SELECT * FROM r WHERE day = (SELECT max(day) FROM r) AND lon BETWEEN -122 AND -108 AND lat BETWEEN 48 AND 57 AND risk >= 0.1) SELECT *, (SELECT count(*) FROM m) AS n_matching FROM m ORDER BY risk DESC, cell_x, cell_y LIMIT 500")
+def served_cells(spark, d):
+    """The newest day's riskiest cells in a box."""
+    cells = grid.with_centres(grid.with_cells(view(spark, d, "hotspots")).select("cell_x", "cell_y", F.to_date("rep_date").alias("day")).distinct())
+    cells = cells.withColumns({c: F.round(c, 6) for c in ("lat", "lon")})
+    return serving.ignition(cells.selectExpr("*", _DAY_RISK.format(e="D")), limit=500, min_risk=0.1, bbox=(-122, 48, -108, 57))

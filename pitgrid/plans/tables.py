@@ -53,13 +53,16 @@ def ignition_features(cells: DataFrame, events: DataFrame, hotspots: DataFrame,
     out = out.join(panel.station_weather(cells, near, observations, measures), key, "left")
     out = out.withColumn("wx_n_stations", F.coalesce("wx_n_stations", F.lit(0).cast("long")))
     out = grid.with_centres(out).withColumns({"doy": F.dayofyear("day"), "month": F.month("day"), "fire_year": F.year("day"), "decision_at": F.col("day").cast("timestamp_ntz")})
-    return asof.preparedness(out, sitreps) if sitreps is not None else out
+    if sitreps is None:
+        return out
+    # agencies and days are few: each pair is looked up once
+    told = asof.preparedness(out.select(F.col("agency_code").alias("_agency"), F.col("decision_at").alias("_at")).distinct().selectExpr("_agency as agency_code", "_at as decision_at"), sitreps)
+    told = told.withColumnsRenamed({"agency_code": "_agency", "decision_at": "_at"})
+    return out.join(told, F.col("agency_code").eqNullSafe(F.col("_agency")) & (F.col("decision_at") == F.col("_at"))).drop("_agency", "_at")
 
 
 def ignition(fires: DataFrame, hotspots: DataFrame, observations: DataFrame, days: DataFrame, years: list[int], rate: float = 0.03, seed: int = 17, sitreps: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
     """The case-control panel with features; days are cut to those whose day before can be in the stations' record."""
     events = panel.ignition_events(fires)
     area = panel.study_area(events, hotspots, years, edges)
-    ends = observations.agg(F.min("obs_date").alias("_a"), F.max("obs_date").alias("_b"))
-    days = days.crossJoin(F.broadcast(ends)).where("day > _a and day <= date_add(_b, 1)").select("day")
-    return ignition_features(panel.sample_panel(area, events, days, rate, seed), events, hotspots, observations, sitreps)
+    return ignition_features(panel.sample_panel(area, events, panel.days_on_record(days, observations), rate, seed), events, hotspots, observations, sitreps)

@@ -8,7 +8,9 @@ from __future__ import annotations
 import csv
 import functools
 import io
+import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from datetime import date, timedelta
 from html.parser import HTMLParser
@@ -55,29 +57,75 @@ def detections(raw: DataFrame) -> DataFrame:
     return raw.select(known).withColumns(typed)
 
 
-def _members(batches: Iterator[pa.RecordBatch], columns: list[str], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+def _members(batches: Iterator[pa.RecordBatch], wanted: str) -> Iterator[pa.RecordBatch]:
+    """Archives -> their .csv members whose names match, still compressed: what is not asked for is neither unpacked nor passed on."""
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            raw = content.as_buffer()
+            with zipfile.ZipFile(pa.BufferReader(raw)) as archive:
+                for m in sorted(archive.infolist(), key=lambda m: m.filename):
+                    if m.filename.lower().endswith(".csv") and re.search(wanted, m.filename):
+                        head = raw[m.header_offset : m.header_offset + 30].to_pybytes()
+                        begin = m.header_offset + 30 + int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little")
+                        yield pa.RecordBatch.from_pydict({"path": [path], "member": [m.filename], "kind": pa.array([m.compress_type], pa.int32()), "packed": [raw[begin : begin + m.compress_size].to_pybytes()], "crc": pa.array([m.CRC], pa.int64())})
+
+
+class _Inflated(io.RawIOBase):
+    """The bytes of a member, unpacked as they are read."""
+
+    def __init__(self, packed: pa.Buffer, kind: int):
+        self.source, self.unpack, self.left, self.crc = pa.BufferReader(packed), zlib.decompressobj(-15) if kind == zipfile.ZIP_DEFLATED else None, b"", 0
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, room) -> int:
+        while not self.left:
+            piece = self.source.read(1 << 16)
+            self.left = self.unpack.decompress(piece) if self.unpack and piece else piece
+            if not piece:
+                self.left = self.unpack.flush() if self.unpack else b""
+                break
+        out, self.left = self.left[: len(room)], self.left[len(room) :]
+        room[: len(out)] = out
+        self.crc = zlib.crc32(out, self.crc)
+        return len(out)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], columns: list[str], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([(c, pa.string()) for c in columns])
     for batch in batches:
-        for content in batch.column("content"):
-            with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
-                for name in sorted(n for n in archive.namelist() if n.lower().endswith(".csv")):
-                    with io.TextIOWrapper(archive.open(name), "utf-8", "replace", newline="") as lines:
-                        reader = csv.reader(lines)
-                        at = {h.strip().lower(): i for i, h in enumerate(next(reader, []))}
-                        held: list[list[str | None]] = []
-                        for row in reader:
-                            held.append([row[at[c]] or None if c in at and at[c] < len(row) else None for c in columns])
-                            if len(held) == rows:
-                                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held, strict=True)], schema=schema)
-                                held = []
-                        if held:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held, strict=True)], schema=schema)
-
-
-def zipped(spark: SparkSession, paths: str | list[str], columns: list[str]) -> DataFrame:
-    """The named columns, as text, of all .csv members of zip files; a column that a member lacks is null. One task reads one archive, in batches of rows."""
-    files = spark.read.format("binaryFile").load(paths).select("content")
-    return files.mapInArrow(lambda b: _members(b, columns), ", ".join(f"`{c}` string" for c in columns))
+        for k in range(batch.num_rows):
+            member, kind, crc = (batch.column(c)[k].as_py() for c in ("member", "kind", "crc"))
+            if kind not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+                raise ValueError(f"{member} is packed by method {kind}, which is not read")
+            source = _Inflated(batch.column("packed")[k].as_buffer(), kind)
+            with io.TextIOWrapper(io.BufferedReader(source, 1 << 16), "utf-8", "replace", newline="") as lines:
+                reader = csv.reader(lines)
+                at = {h.strip().lower(): i for i, h in enumerate(next(reader, []))}
+                held: list[list[str | None]] = []
+                for row in reader:
+                    held.append([row[at[c]] or None if c in at and at[c] < len(row) else None for c in columns])
+                    if len(held) == rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held, strict=True)], schema=schema)
+                        held = []
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held, strict=True)], schema=schema)
+                if source.crc != crc:
+                    raise ValueError(f"{member} is damaged: its bytes have another CRC-32")
+
+
+def members(spark: SparkSession, paths: str | list[str], wanted: str = "") -> DataFrame:
+    """path, member, kind, packed, crc: the .csv members of zip files whose names match the pattern. An archive, of 2 GB at most, is read by one task, which unpacks nothing."""
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    return files.mapInArrow(lambda b: _members(b, wanted), "path string, member string, kind int, packed binary, crc long")
+
+
+def zipped(spark: SparkSession, paths: str | list[str], columns: list[str], wanted: str = "") -> DataFrame:
+    """The named columns, as text, of the .csv members of zip files whose names match ``wanted``; a column that a member lacks is null. Members are unpacked and parsed by different tasks."""
+    # a number of tasks is named, else small packed members would be put together
+    dealt = members(spark, paths, wanted).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "member")
+    return dealt.mapInArrow(lambda b: _unpacked(b, columns), ", ".join(f"`{c}` string" for c in columns))
 
 
 def station_days(raw: DataFrame) -> DataFrame:
