@@ -146,7 +146,7 @@ def _swept(batches: Iterator[pa.RecordBatch], columns: list[str], prefix: str, s
         if held is not None:
             table = pa.concat_tables([held, table])
         skip = held.num_rows if held is not None else 0
-        column = {c: table.column(c).to_numpy() for c in table.column_names}
+        column = {c: (table.column(c).fill_null(float("-inf")) if c.startswith("m_") else table.column(c)).to_numpy() for c in table.column_names}
         x, y, day, kind = (column[c].astype(np.int64) for c in (*CELL, "day", "kind"))
         cell = np.cumsum(np.append(0, (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
         # one number for cell and day: the rows are in its order
@@ -171,8 +171,8 @@ def _swept(batches: Iterator[pa.RecordBatch], columns: list[str], prefix: str, s
 
 
 def _tops(values: np.ndarray) -> list[np.ndarray]:
-    """Maxima of 1, 2, 4, ... values from each place on; nulls are the least."""
-    levels = [np.where(np.isnan(values), -np.inf, values)]
+    """Maxima of 1, 2, 4, ... values from each place on; what is not a number is the greatest, as in SQL, nulls (-inf) are the least."""
+    levels = [values]
     while len(levels[-1]) > 1 << (len(levels) - 1):
         step = 1 << (len(levels) - 1)
         levels.append(np.maximum(levels[-1][:-step], levels[-1][step:]))

@@ -452,11 +452,11 @@ def ignition_matrix(spark, d):
 
 @query()
 def ignition_scores(spark, d):
-    """Every cell of the study area on the day after the last observation."""
-    r, h, o = (view(spark, d, n) for n in ("revisions", "hotspots", "obs"))
+    """Every cell of the study area on the day after the last observation, by a model of the contract's whole matrix."""
+    r, h, o, t = (view(spark, d, n) for n in ("revisions", "hotspots", "weather", "reports"))
     days = spark.sql("select explode(sequence(date'2024-01-02', date'2024-01-30')) as day")
-    panel_ = written(plans.ignition(r, h, o, days, [2024], rate=0.2), "panel")
-    return models.score_ignition(models.fit(panel_, models.IGNITION, rate=0.2), r, h, o)
+    panel_ = written(plans.ignition(r, h, o, days, [2024], rate=0.2, sitreps=t), "panel")
+    return models.score_ignition(models.fit(panel_, models.IGNITION, rate=0.2), r, h, o, sitreps=t)
 
 
 @query(f"""{_with('sitreps')} SELECT cast(year(sitrep_date) AS INT) AS year, count(DISTINCT sitrep_date) AS n_days, count(*) AS n_rows, round(avg(national_preparedness_level), 2) AS mean_national_pl,

@@ -97,3 +97,36 @@ def test_polygons_equal_brute_force(spark):
         assert got == want and set(want.values()) == {"A", "B", "C", "D"}
     assert grid.place(df, edges.limit(0), "i").count() == 0
     cells.unpersist()
+
+
+def test_trailing_windows_over_small_batches(spark):
+    from pitgrid.operators import panel
+
+    rng = random.Random(11)
+    start = dt.date(2024, 3, 1)
+    day = lambda n: start + dt.timedelta(days=n)
+    daily = {(rng.randint(0, 3), rng.randint(0, 2), day(rng.randint(0, 80))): (rng.randint(1, 9), rng.choice([None, float("nan"), round(rng.uniform(-5, 5), 2)])) for _ in range(150)}
+    daily |= {(7, 7, day(n)): (1, float(n % 13)) for n in range(80)}
+    keys = sorted({(rng.randint(-1, 4), rng.randint(-1, 3), day(rng.randint(0, 90))) for _ in range(250)} | {(7, 7, day(n)) for n in range(0, 95, 2)} | {(8, 6, day(40))})
+    rows = spark.createDataFrame([(*k, n, m) for k, (n, m) in daily.items()] + [(1, 1, None, 5, 1.0)], "cell_x int, cell_y int, d date, n long, m double").repartition(3)
+    asked = spark.createDataFrame([*keys, keys[0], (None, 1, start)], "cell_x int, cell_y int, day date").repartition(3)
+
+    def window(key, n, ring):
+        own = [(c, v) for c, v in daily.items() if (max(abs(c[0] - key[0]), abs(c[1] - key[1])) == 1 if ring else c[:2] == key[:2]) and 1 <= (key[2] - c[2]).days <= n]
+        values = [m for _, (_, m) in own if m is not None]
+        top = None if not values else "nan" if any(math.isnan(v) for v in values) else max(values)
+        return sum(k for _, (k, _) in own), top
+
+    want = {}
+    for key in keys:
+        since = [(key[2] - c[2]).days for c in daily if c[:2] == key[:2] and 1 <= (key[2] - c[2]).days <= 30]
+        want[key] = (*(x for n in (1, 10) for x in window(key, n, False)), *(x for n in (2, 7) for x in window(key, n, True)), min(since, default=None))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in (before, "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = panel.trailing(asked, rows, "t", (1, 10), (2, 7), 30, ("m",)).collect()
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        plain = lambda v: "nan" if isinstance(v, float) and math.isnan(v) else v
+        assert {(r.cell_x, r.cell_y, r.day): tuple(map(plain, (r.t_n_1d, r.t_m_max_1d, r.t_n_10d, r.t_m_max_10d, r.t_ring_n_2d, r.t_ring_m_max_2d, r.t_ring_n_7d, r.t_ring_m_max_7d, r.t_days_since))) for r in got} == want and len(got) == len(keys)
