@@ -3,8 +3,8 @@
 Features are binned once: numbers by quantiles of a bounded sample, categories one bin a level, bin 0 for what is missing. A pass over the binned blocks adds up counts,
 gradients and Hessians of the asked leaves, for all models together; the driver keeps trees and histograms only. The best-first order asks for one
 leaf after the other, but a leaf that it can still take is among the best of the present ones, as many as splits are left: those are asked for in one pass, so a
-tree takes about as many passes as it is deep. Of two children the smaller is counted, the other is the parent less it. Where all blocks are one task's, that
-task has the sums and runs the same steps without a pass for each.
+tree takes about as many passes as it is deep. Of two children the smaller is counted, the other is the parent less it. Where all blocks are one task's, each model
+has a task that has all its sums and runs the same steps without a pass for each.
 
 Sums are of integers (gradients in units of 2^-30), rows are drawn by hashes of their keys: trees do not depend on partitions or the order of rows, nor on the models
 that are grown beside them.
@@ -383,12 +383,19 @@ def grow(rows: DataFrame, bins: Bins, plans: list[Plan], options: Options) -> li
     first = np.array(base)
     state = blocks.map(lambda b: (*b, np.repeat(first[:, None], len(b[1]), 1))).persist(StorageLevel.MEMORY_AND_DISK)
     done: list[list[Tree]] = [[] for _ in plans]
+    alone = state.getNumPartitions() == 1
+    if alone and len(plans) > 1:
+        # a task for each model: its own scores beside the blocks
+        whole = state
+        state = whole.flatMap(lambda b: [(k, (*b[:-1], b[-1][k : k + 1])) for k in range(len(plans))]).partitionBy(len(plans), lambda k: k).values().persist(StorageLevel.MEMORY_AND_DISK)
+        state.count()
+        whole.unpersist()
     older = state
     for begin in range(0, options.trees, KEPT):
         numbers = range(begin, min(begin + KEPT, options.trees))
-        if state.getNumPartitions() == 1:
-            # the only task has all sums, so it goes on from leaf to leaf and tree to tree by itself
-            since = state.mapPartitions(lambda blocks, n=numbers: [_in_one_task(list(blocks), plans, n, options, bins, starts)]).first()
+        if alone:
+            # a model's only task has all its sums, so it goes on from leaf to leaf and tree to tree by itself
+            since = state.mapPartitionsWithIndex(lambda k, blocks, n=numbers: [_in_one_task(list(blocks), [plans[k]], n, options, bins, starts)[0]]).collect()
         else:
             since = [[] for _ in plans]
             for number in numbers:
@@ -397,7 +404,7 @@ def grow(rows: DataFrame, bins: Bins, plans: list[Plan], options: Options) -> li
         if older is not state:
             older.unpersist()
         # what is stored depends on the blocks' table by as many narrow steps as scores were stored before
-        older, state = state, _stored(state, since)
+        older, state = state, _stored(state, since, alone)
         for own, new in zip(done, since, strict=True):
             own += new
     older.unpersist()
@@ -427,8 +434,9 @@ def _in_one_task(blocks: list[tuple], plans: list[Plan], numbers: range, options
     return out
 
 
-def _stored(state: RDD, trees: list[list[Tree]]) -> RDD:
-    return state.map(lambda b: _advanced(b, trees)).persist(StorageLevel.MEMORY_AND_DISK)
+def _stored(state: RDD, trees: list[list[Tree]], alone: bool) -> RDD:
+    """The blocks with the new trees' scores; alone: each partition is one model's."""
+    return state.mapPartitionsWithIndex(lambda k, blocks: (_advanced(b, [trees[k]] if alone else trees) for b in blocks)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _pass(state: RDD, plans: list[Plan], trees: list[list[Tree]], asked: list[Asked | None], number: int, options: Options, starts: np.ndarray) -> list[np.ndarray | None]:

@@ -102,6 +102,7 @@ def test_equals_a_plain_fit(frame, bins):
 def test_trees_depend_on_neither_partitions_nor_neighbours(frame, bins, monkeypatch):
     plans = [Plan(None, EVER, [0, 1, 2, 3]), *[Plan(k, 560, [0, 1, 2, 3]) for k in range(3)], Plan(None, 560, [1, 2])]
     alone = [boosting.grow(frame, bins, [p], OPTIONS)[0] for p in plans]
+    assert all(same(a, b) for a, b in zip(alone, boosting.grow(frame, bins, plans, OPTIONS), strict=True))
     calls = []
     passes = boosting._pass
     monkeypatch.setattr(boosting, "_pass", lambda *a: calls.append(a[4]) or passes(*a))
