@@ -358,7 +358,7 @@ def ablation(df: DataFrame, contract: Contract, sets: dict[str, list[str]], test
 def feature_sets(contract: Contract) -> dict[str, list[str]]:
     """The sets that an ablation compares: all features, each group left out, and weather and geography left out together where the contract has both.
 
-    Weather is a smooth function of place and season: only without both does it show whether weather says nothing or nothing more.
+    Coordinates and dates stand in for much of the weather, so leaving out weather by itself understates what it tells.
     """
     both = {"no weather and no geography": ["weather", "geography"]} if {"weather", "geography"} <= set(contract.groups) else {}
     return {"full": []} | {f"no {g}": [g] for g in contract.groups} | both

@@ -27,7 +27,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def replace(df: DataFrame, path: str, by: str | None = None) -> None:
-    """Writes df beside path, then puts it in path's place: df may read path, and a failed write leaves path as it was."""
+    """Writes df beside path, then puts it in path's place: df may read path, and a failed write leaves path as it was. Between the two renames readers find no table."""
     spark, mark = df.sparkSession, uuid.uuid4().hex
     fresh, aside = f"{path.rstrip('/')}-new-{mark}", f"{path.rstrip('/')}-old-{mark}"
     writer = df.write
