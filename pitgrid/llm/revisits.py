@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Header fields that a 304 answer may update in a stored response (RFC 9110, section 15.4.5).
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "vary", "last-modified"]
+#: Blocks that rows without a URL or an instant are dealt to.
+LOST = 4096
 #: Query parameters that only track the visitor.
 TRACKING = "^(utm_[^=]*|gclid|fbclid|ref)(=|$)"
 
@@ -37,6 +39,9 @@ def resolve_revisits(records: DataFrame, block_seconds: int = 3600) -> DataFrame
     """
     rows = records.where("status in (200, 304)").select("record_id", canonical_url().alias("canonical_url"), "ts", "status", "etag", "last_modified", "headers")
     rows = rows.withColumn("_at", F.expr("unix_micros(cast(ts as timestamp))")).withColumn("_block", F.floor(F.col("_at") / (block_seconds * 1_000_000)))
+    # rows without a URL or an instant meet no response: they are dealt over blocks of their own, before all others
+    lost = F.col("canonical_url").isNull() | F.col("_at").isNull()
+    rows = rows.withColumn("_block", F.when(lost, F.pmod(F.xxhash64("record_id", "canonical_url", "etag", F.to_json("headers")), F.lit(LOST)) - (1 << 60)).otherwise(F.col("_block")))
     known = F.when((F.col("status") == 200) & F.col("canonical_url").isNotNull() & F.col("_at").isNotNull(), F.struct("_at", "record_id", "etag", "last_modified", F.to_json("headers").alias("kept")))
     rows = rows.withColumn("_full", known)
     inside = W.partitionBy("canonical_url", "_block").orderBy("_at").rangeBetween(W.unboundedPreceding, -1)
