@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -146,76 +147,140 @@ def intervals(common: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((c, begin))
 
 
-def maximal_repeats(rights: list[bytes], lefts: list[bytes], least: int, width: int = 1) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """(right length, [(member, left length)]) with left + right >= least, for the intervals whose members' left contexts differ.
+def contexts(rights: list[bytes], lefts: list[bytes], least: int, width: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(right length, members in order of their left contexts, left lengths that neighbours share, each member's child interval) of the intervals that hold a repeat.
 
-    rights: from the common gram on; lefts: before it, its symbols in reverse; lengths are in symbols. A member's left length is the longest left
-    context that it shares with any other member of the interval.
+    rights: from the common gram on; lefts: before it, its symbols in reverse; lengths are in symbols. Left contexts are sorted once for all intervals: what any two
+    share is the least of what the neighbours between them share.
     """
-    order = sorted(range(len(rights)), key=rights.__getitem__)
-    common = [shared(rights[a], rights[b]) // width for a, b in zip(order[:-1], order[1:], strict=True)]
+    order, by_left = (sorted(range(len(x)), key=x.__getitem__) for x in (rights, lefts))
+    common, near = ([shared(x[a], x[b]) // width for a, b in zip(o[:-1], o[1:], strict=True)] for x, o in ((rights, order), (lefts, by_left)))
+    members, between, splits = np.array(by_left, np.int64), np.array([*near, 0], np.int64), np.array(common, np.int64)
+    rank = np.empty(len(order), np.int64)
+    rank[members] = np.arange(len(order))
+    rank = rank[order]
+    widest = max(near, default=0)
     for length, begin, end in intervals(common):
-        own = order[begin : end + 1]
-        if length + max(len(lefts[m]) for m in own) // width < least:
+        if length + widest < least:
             continue
-        members = sorted(own, key=lefts.__getitem__)
-        near = [0, *(shared(lefts[a], lefts[b]) // width for a, b in zip(members[:-1], members[1:], strict=True)), 0]
-        group = [(m, max(near[k], near[k + 1])) for k, m in enumerate(members)]
-        group = [(m, left) for m, left in group if left + length >= least]
-        if len(group) > 1:
-            yield length, group
+        inner = np.argsort(rank[begin : end + 1])
+        own = rank[begin : end + 1][inner]
+        gaps = np.minimum.reduceat(between, own)[:-1]
+        if (gaps + length >= least).any():
+            yield length, members[own], gaps, np.concatenate(([0], np.cumsum(splits[begin:end] == length)))[inner]
+
+
+def maximal_repeats(rights: list[bytes], lefts: list[bytes], least: int, width: int = 1) -> Iterator[tuple[int, int, list[int]]]:
+    """(left length, right length, all members) of every repeat with left + right >= least that is as long as its members allow.
+
+    The members of an interval of left contexts share no more symbols on the left; those that come from one child interval alone share more on the right, so they
+    are met again there and not given out here. Neither side of a group can be extended without losing a member.
+    """
+    for length, members, gaps, child in contexts(rights, lefts, least, width):
+        need = max(0, least - length)
+        for left, first, last in intervals(np.maximum(gaps - need + 1, 0).tolist()):
+            if (child[first : last + 1] != child[first]).any():
+                yield left - 1 + need, length, members[first : last + 1].tolist()
+
+
+def reaches(rights: list[bytes], lefts: list[bytes], least: int, width: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """How far each member's maximal repeats reach to the left and to the right; zeros: it has none.
+
+    All of a member's repeats hold its common gram, so their union is one span: deeply nested groups cost no memory here.
+    """
+    left, right = np.zeros((2, len(rights)), np.int64)
+    for length, members, gaps, _ in contexts(rights, lefts, least, width):
+        gaps = np.where(gaps + length >= least, gaps, -1)
+        most = np.maximum(np.append(gaps, -1), np.append(-1, gaps))
+        members, most = members[most >= 0], most[most >= 0]
+        left[members] = np.maximum(left[members], most)
+        right[members] = np.maximum(right[members], length)
+    return left, right
 
 
 def reversed_symbols(raw: bytes, width: int) -> bytes:
     return raw[::-1] if width == 1 else np.frombuffer(raw, ">u8")[::-1].tobytes()
 
 
-def _class_spans(batches: Iterator[pa.RecordBatch], unit: Unit) -> Iterator[pa.RecordBatch]:
+class Segment(NamedTuple):
+    """One content of a class, where it stands first. several: it stands elsewhere too."""
+
+    t: int
+    u: int
+    start: int
+    off: int
+    several: bool
+    raw: bytes
+
+    def sides(self, width: int) -> tuple[bytes, bytes]:
+        return self.raw[width * self.off :], reversed_symbols(self.raw[: width * self.off], width)
+
+
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[Segment]]]:
     """Rows come class by class; a class is held in memory."""
-    held: list[tuple[int, int, int, int, bool, bytes]] = []
+    held: list[Segment] = []
     last = None
-    out: list[tuple[int, int, int, int]] = []
-    width = unit.width
-
-    def done() -> None:
-        if len(held) < 2:
-            return
-        # all of a member's repeats hold its common gram, so their union is one span: deeply nested intervals cost no memory
-        best: dict[int, tuple[int, int]] = {}
-        for length, group in maximal_repeats([r[5][width * r[3] :] for r in held], [reversed_symbols(r[5][: width * r[3]], width) for r in held], unit.least, width):
-            for member, left in group:
-                wide = best.get(member, (0, 0))
-                best[member] = max(left, wide[0]), max(length, wide[1])
-        for member, (left, length) in best.items():
-            t, u, start, off, several, _ = held[member]
-            if not several:
-                out.append((t, u, start + off - left, start + off + length))
-
-    def batch_of(rows: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["t", "u", "b", "e"])
-
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("cls", "t", "u", "start", "off", "several", "raw")]
+        columns = [batch.column(c).to_pylist() for c in ("cls", *Segment._fields)]
         for cls, *row in zip(*columns, strict=True):
             if cls != last and held:
-                done()
+                yield last, held
                 held = []
             last = cls
-            held.append(tuple(row))
-        if len(out) > 5000:
-            yield batch_of(out)
-            out = []
+            held.append(Segment(*row))
     if held:
-        done()
-    if out:
-        yield batch_of(out)
+        yield last, held
+
+
+def _in_batches(rows: Iterator[tuple], names: list[str], most: int = 5000) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(rows, most)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part, strict=True)], names=names)
+
+
+def _class_spans(batches: Iterator[pa.RecordBatch], unit: Unit) -> Iterator[pa.RecordBatch]:
+    """What the repeats of a class cover of each segment that stands at one place only."""
+
+    def spans() -> Iterator[tuple[int, int, int, int]]:
+        for _, held in _classes(batches):
+            if len(held) > 1:
+                rights, lefts = zip(*(s.sides(unit.width) for s in held), strict=True)
+                for s, left, right in zip(held, *(x.tolist() for x in reaches(rights, lefts, unit.least, unit.width)), strict=True):
+                    if left + right and not s.several:
+                        yield s.t, s.u, s.start + s.off - left, s.start + s.off + right
+
+    return _in_batches(spans(), ["t", "u", "b", "e"])
+
+
+def _class_groups(batches: Iterator[pa.RecordBatch], unit: Unit) -> Iterator[pa.RecordBatch]:
+    """(class, number, size, off, t, u, start, b, e): the maximal repeats of a class with all members; b and e count from the segment's start.
+
+    A segment that stands at several places is a repeat by itself, unless others hold all of it: then that group has it as a member.
+    """
+
+    def groups() -> Iterator[tuple[int, ...]]:
+        for cls, held in _classes(batches):
+            rights, lefts = zip(*(s.sides(unit.width) for s in held), strict=True)
+            sizes, n = [len(s.raw) // unit.width for s in held], 0
+            alone = {k: (s.off, size - s.off) for k, (s, size) in enumerate(zip(held, sizes, strict=True)) if s.several}
+            for left, right, members in maximal_repeats(rights, lefts, unit.least, unit.width):
+                for k in members:
+                    if alone.get(k) == (left, right):
+                        del alone[k]
+                    s = held[k]
+                    yield cls, n, sizes[k], s.off, s.t, s.u, s.start, s.off - left, s.off + right
+                n += 1
+            for n, k in enumerate(alone, n):
+                s = held[k]
+                yield cls, n, sizes[k], s.off, s.t, s.u, s.start, 0, sizes[k]
+
+    return _in_batches(groups(), ["cls", "n", "size", "off", "t", "u", "start", "b", "e"])
 
 
 def _divided(batches: Iterator[pa.RecordBatch], unit: Unit) -> Iterator[pa.RecordBatch]:
     """Each segment in the classes of its gram extended to the left and to the right, trimmed to what such a class can share."""
     width, least = unit.width, unit.least
     for batch in batches:
-        out: dict[str, list] = {c: [] for c in ("cls", "h", "size", "off", "t", "u", "start", "known", "raw", "left", "right")}
+        out: dict[str, list] = {c: [] for c in ("cls", "h", "size", "off", "t", "u", "start", "p_cls", "p_size", "p_off", "p_start", "known", "raw", "left", "right")}
         names = ("cls", "t", "u", "start", "off", "several", "raw", "left", "right")
         for cls, t, u, start, off, several, raw, left, right in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
             lack, size = least - left - right, len(raw) // width
@@ -230,27 +295,27 @@ def _divided(batches: Iterator[pa.RecordBatch], unit: Unit) -> Iterator[pa.Recor
                 gram, own = raw[width * (off - l) : width * (off + r)], raw[width * begin : width * end]
                 digest = hashlib.blake2b(gram, digest_size=8, key=b"%d%s" % (cls, side.encode())).digest()
                 content = hashlib.blake2b(own, digest_size=8).digest()
-                row = (int.from_bytes(digest, "little", signed=True), int.from_bytes(content, "little", signed=True), end - begin, off - begin, t, u, start + begin, several, own, l, r)
+                row = (int.from_bytes(digest, "little", signed=True), int.from_bytes(content, "little", signed=True), end - begin, off - begin, t, u, start + begin, cls, size, off, start, several, own, l, r)
                 for values, value in zip(out.values(), row, strict=True):
                     values.append(value)
         yield pa.RecordBatch.from_pydict({c: pa.array(v, _TYPES.get(c, pa.int64())) for c, v in out.items()})
 
 
-_TYPES = {"size": pa.int32(), "off": pa.int32(), "known": pa.bool_(), "raw": pa.binary(), "left": pa.int32(), "right": pa.int32()}
-_DIVIDED = "cls long, h long, size int, off int, t long, u long, start long, known boolean, raw binary, left int, right int"
+_TYPES = {"size": pa.int32(), "off": pa.int32(), "p_size": pa.int32(), "p_off": pa.int32(), "known": pa.bool_(), "raw": pa.binary(), "left": pa.int32(), "right": pa.int32()}
+_DIVIDED = "cls long, h long, size int, off int, t long, u long, start long, p_cls long, p_size int, p_off int, p_start long, known boolean, raw binary, left int, right int"
 CONTENT, PLACE = ["cls", "h", "size", "off"], ["t", "u", "start"]
 
 
-def _settled(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _settled(rows: DataFrame, limit: int, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(spans of the segments that occur at several places, one place of each content of the classes left to compare, those classes).
 
-    Contents are told apart by class, size, place of the gram and a hash. What is joined back to skewed rows is a table, so that both sides of the
+    Contents are told apart by class, size, place of the gram and a hash. ``every``: also the classes all of whose contents are settled. What is joined back to skewed rows is a table, so that both sides of the
     join are shuffled and a crowded key can be split.
     """
     place = F.struct(*PLACE)
     contents = rows.groupBy(*CONTENT).agg(F.min(place).alias("low"), F.max(place).alias("high"), F.max("known").alias("known"))
     contents = cut(contents.selectExpr(*CONTENT, "low.t as t", "low.u as u", "low.start as start", "known or low <> high as several"), "contents")
-    mixed = cut(contents.groupBy("cls").agg(F.count("*").alias("n"), F.min("several").alias("all")).where("n > 1 and not all").select("cls", (F.col("n") > limit).alias("crowded")), "mixed")
+    mixed = cut(contents.groupBy("cls").agg(F.count("*").alias("n"), F.min("several").alias("all")).where("n > 1 or all" if every else "n > 1 and not all").select("cls", (F.col("n") > limit).alias("crowded")), "mixed")
     several = cut(contents.where("several").select(*CONTENT), "several")
     spans = rows.where("not known").join(several, CONTENT).selectExpr("t", "u", "start as b", "start + size as e").distinct()
     return spans, contents.join(mixed, "cls"), mixed
@@ -277,6 +342,32 @@ def keyed(documents: DataFrame) -> DataFrame:
     return documents.withColumns(dict(zip("tu", identity(), strict=True)))
 
 
+def _anchored(documents: DataFrame, unit: Unit) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with ``least`` symbols, their segments, their texts: one row and the number of rows of each)."""
+    small_batches(documents.sparkSession)
+    docs = keyed(documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")).where(f"octet_length(text) >= {unit.least_bytes}")
+    anchors = cut(docs.select("text", "t", "u").mapInArrow(lambda b: _anchors(b, unit), "cls long, h long, size int, off int, t long, u long, start long").withColumn("known", F.lit(False)), "anchors")
+    return docs, anchors, cut(docs.groupBy("t", "u").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "texts")
+
+
+def _fetched(docs: DataFrame, texts: DataFrame, left: DataFrame, unit: Unit) -> DataFrame:
+    """The contents left to compare with their symbols, one place of each."""
+    wanted = left.groupBy("t", "u").agg(F.collect_list(F.struct("cls", "start", "size", "off", "several", "crowded")).alias("wanted")).join(texts.select("t", "u", "rep"), ["t", "u"])
+    wanted = cut(wanted, "wanted")
+    chosen = chosen_texts(docs, wanted.select("t", "u", F.col("rep").alias("doc_id")))
+    pieces = chosen.join(wanted.withColumnRenamed("rep", "doc_id"), ["t", "u", "doc_id"]).select("text", "t", "u", "wanted")
+    shape = "cls long, start long, off int, several boolean, crowded boolean, t long, u long, raw binary"
+    return cut(pieces.mapInArrow(lambda b: _pieces(b, unit), shape), "pieces").withColumns({"left": F.lit(0), "right": F.lit(unit.gram)})
+
+
+def _split(pieces: DataFrame, unit: Unit) -> DataFrame:
+    return cut(pieces.where("crowded").mapInArrow(lambda b: _divided(b, unit), _DIVIDED), "divided")
+
+
+def _rejoined(rows: DataFrame, left: DataFrame) -> DataFrame:
+    return cut(rows.join(left.select(*CONTENT, *PLACE, "several", "crowded"), [*CONTENT, *PLACE]), "divided-pieces")
+
+
 def repeat_spans(documents: DataFrame, unit: Unit, class_limit: int = 2000) -> tuple[DataFrame, DataFrame]:
     """(texts with repeats: t, u, rep, spans array<struct<b, e>> unmerged, in symbols; texts that several rows share: t, u, copies).
 
@@ -284,25 +375,16 @@ def repeat_spans(documents: DataFrame, unit: Unit, class_limit: int = 2000) -> t
     texts that several rows share and that have ``least`` symbols are repeated as a whole, whatever their spans say.
     ``class_limit``: the most different segments that a task compares at once; the result does not depend on it.
     """
-    spark = documents.sparkSession
-    small_batches(spark)
-    docs = keyed(documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")).where(f"octet_length(text) >= {unit.least_bytes}")
-    anchors = cut(docs.select("text", "t", "u").mapInArrow(lambda b: _anchors(b, unit), "cls long, h long, size int, off int, t long, u long, start long").withColumn("known", F.lit(False)), "anchors")
-    texts = cut(docs.groupBy("t", "u").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "texts")
+    docs, anchors, texts = _anchored(documents, unit)
     whole, left, mixed = _settled(anchors, class_limit)
     whole = cut(whole, "whole-segments")
     drop(anchors)
-    wanted = left.groupBy("t", "u").agg(F.collect_list(F.struct("cls", "start", "size", "off", "several", "crowded")).alias("wanted")).join(texts.select("t", "u", "rep"), ["t", "u"])
-    wanted = cut(wanted, "wanted")
-    chosen = chosen_texts(docs, wanted.select("t", "u", F.col("rep").alias("doc_id")))
-    pieces = chosen.join(wanted.withColumnRenamed("rep", "doc_id"), ["t", "u", "doc_id"]).select("text", "t", "u", "wanted")
-    shape = "cls long, start long, off int, several boolean, crowded boolean, t long, u long, raw binary"
-    pieces = cut(pieces.mapInArrow(lambda b: _pieces(b, unit), shape), "pieces").withColumns({"left": F.lit(0), "right": F.lit(unit.gram)})
+    pieces = _fetched(docs, texts, left, unit)
     found = [whole, _compared(pieces, unit)]
     while not mixed.where("crowded").isEmpty():
-        rows = cut(pieces.where("crowded").mapInArrow(lambda b: _divided(b, unit), _DIVIDED), "divided")
+        rows = _split(pieces, unit)
         more, left, mixed = _settled(rows, class_limit)
-        pieces = cut(rows.join(left.select(*CONTENT, *PLACE, "several", "crowded"), [*CONTENT, *PLACE]), "divided-pieces")
+        pieces = _rejoined(rows, left)
         found += [cut(more, "whole-segments"), _compared(pieces, unit)]
     spans = found[0]
     for more in found[1:]:
@@ -311,6 +393,78 @@ def repeat_spans(documents: DataFrame, unit: Unit, class_limit: int = 2000) -> t
     return spans, texts.where("copies > 1").select("t", "u", "copies")
 
 
+GROUP, MEMBER = ["level", "g_cls", "n"], ["cls", "size", "off", "t", "u", "start"]
+
+
+def repeat_groups(documents: DataFrame, least: int = 400, gram: int = 100, class_limit: int = 2000) -> DataFrame:
+    """Maximal repeats with all their places, one row for each place: passage (SHA-256 of its bytes), n_bytes, n_places, doc_id, start (in bytes).
+
+    documents(doc_id, text); other columns are ignored, null texts are empty. For each string of ``least`` bytes that starts at several places there is one passage
+    that holds it at all of them and nowhere else: strings around one gram are extended as far as all members of their group agree, and groups with the same
+    places that overlap or touch are joined. A passage's places are all places of its bytes; n_places counts them. The bytes themselves are read at every place, so
+    no hash of a segment decides what is equal. Each row of repeated rows, null ids included, is a place of its own. The result is as large as its definition
+    says: a place is given once for each passage that holds it. ``class_limit`` as in repeat_spans. An empty table gives no rows.
+    """
+    unit = of_bytes(least, gram)
+    docs, anchors, texts = _anchored(documents, unit)
+    _, left, mixed = _settled(anchors, class_limit, every=True)
+    pieces = _fetched(docs, texts, left, unit)
+    levels, places = [(anchors, left)], _grouped(pieces, [(anchors, left)], unit)
+    while not mixed.where("crowded").isEmpty():
+        rows = _split(pieces, unit)
+        _, left, mixed = _settled(rows, class_limit, every=True)
+        pieces = _rejoined(rows, left)
+        levels.append((rows, left))
+        places = places.unionByName(_grouped(pieces, levels, unit))
+    found = _joined_groups(cut(places.distinct(), "places"))
+    # a text that several rows share is a passage by itself where some string of it stands in no other text and once in it
+    covered = runs(found.selectExpr("t", "u", "b", f"b + n_bytes - {least - 1} as e"), stretch=1 << 40).groupBy("t", "u").agg(F.sum(F.col("e") - F.col("b")).alias("covered"))
+    whole = texts.where("copies > 1").selectExpr("t", "u", f"u & {(1 << 31) - 1} as n_bytes").join(covered, ["t", "u"], "left")
+    whole = whole.where(f"coalesce(covered, 0) < n_bytes - {least - 1}").selectExpr("t", "u", "0L as b", "n_bytes")
+    found = cut(found.unionByName(whole), "groups")
+    keys = found.select("t", "u").distinct().join(texts, ["t", "u"])
+    read = chosen_texts(docs, keys.selectExpr("t", "u", "rep as doc_id")).dropDuplicates(["t", "u"]).select("t", "u", "text")
+    bytes_ = "substring(cast(text as binary), cast(b + 1 as int), cast(n_bytes as int))"
+    found = cut(found.join(read, ["t", "u"]).selectExpr(f"sha2({bytes_}, 256) as passage", "n_bytes", "t", "u", "b as start").distinct(), "passages")
+    counts = found.join(texts, ["t", "u"]).groupBy("passage").agg(F.sum("copies").alias("n_places"))
+    rows = keyed(documents.select("doc_id", "text")).where(f"octet_length(text) >= {least}").select("t", "u", "doc_id")
+    return found.join(counts, "passage").join(rows, ["t", "u"]).select("passage", "n_bytes", "n_places", "doc_id", "start")
+
+
+def _grouped(pieces: DataFrame, levels: list[tuple[DataFrame, DataFrame]], unit: Unit) -> DataFrame:
+    """(group, t, u, b, e) of all places of the groups in the classes of the last level.
+
+    A member stands at all places of its content, and these, in a divided class, at all places of the contents that they are parts of.
+    """
+    usual = pieces.where("not crowded").select("cls", *Segment._fields).repartition("cls").sortWithinPartitions("cls")
+    shape = "cls long, n long, size long, off long, t long, u long, start long, b long, e long"
+    at = cut(usual.mapInArrow(lambda b: _class_groups(b, unit), shape), "class-groups").withColumns({"level": F.lit(len(levels)), "g_cls": F.col("cls")})
+    for level in range(len(levels) - 1, -1, -1):
+        rows, left = levels[level]
+        own = left.select(*CONTENT, *PLACE)
+        up = ["p_cls", "p_size", "p_off", "p_start"] if level else ["0L as p_cls", "0 as p_size", "0 as p_off", "0L as p_start"]
+        of = rows.selectExpr(*CONTENT, "t as p_t", "u as p_u", "start as p_at", *up).distinct().join(own, CONTENT).drop("h")
+        at = at.join(of, MEMBER).selectExpr(*GROUP, "p_cls as cls", "p_size as size", "p_off as off", "p_t as t", "p_u as u", "p_start as start", "b + p_at - p_start as b", "e + p_at - p_start as e")
+    return at.select(*GROUP, "t", "u", "b", "e")
+
+
+def _joined_groups(places: DataFrame) -> DataFrame:
+    """(t, u, b, n_bytes): groups with the same places but for a shift, that overlap or touch, are one.
+
+    Such groups are told by where they stand relative to their first place: the number of places and two sums of hashes of them. The caller reads the bytes.
+    """
+    first = places.groupBy(*GROUP).agg(F.min(F.struct("t", "u", "b")).alias("first"))
+    shape = [F.bit_xor(F.xxhash64(F.lit(seed), "t", "u", F.col("b") - F.col("first.b"))).alias(name) for seed, name in ((1, "x"), (2, "y"))]
+    groups = places.join(first, GROUP).groupBy(*GROUP, "first").agg(F.count("*").alias("c"), *shape, F.max(F.col("e") - F.col("b")).alias("n_bytes"))
+    groups = groups.selectExpr(*GROUP, "first.t as t", "first.u as u", "first.b as b", "first.b + n_bytes as e", "c", "x", "y")
+    family = ["t", "u", "c", "x", "y"]
+    own = Window.partitionBy(*family).orderBy("b", "e", *GROUP)
+    groups = groups.withColumn("new", F.coalesce(F.col("b") > F.max("e").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int"))
+    groups = groups.withColumn("run", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = groups.groupBy(*family, "run").agg(F.min(F.struct("b", *GROUP)).alias("low"), (F.max("e") - F.min("b")).alias("n_bytes"))
+    return cut(places.join(joined.selectExpr("low.*", "n_bytes").drop("b"), GROUP).select("t", "u", "b", "n_bytes").distinct(), "joined-groups")
+
+
 def _compared(pieces: DataFrame, unit: Unit) -> DataFrame:
     usual = pieces.where("not crowded").select("cls", "t", "u", "start", "off", "several", "raw")
     return usual.repartition("cls").sortWithinPartitions("cls").mapInArrow(lambda b: _class_spans(b, unit), "t long, u long, b long, e long")
