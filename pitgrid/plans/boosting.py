@@ -19,7 +19,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import RDD, StorageLevel
+from pyspark import RDD, StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +28,12 @@ from pitgrid.sources.shared import removed, written
 MISSING = -1e9
 UNIT = float(1 << 30)
 MAX_BINS = 255
-#: Rows in a block, and bytes of bins that a task is dealt.
-BLOCK_ROWS, TASK_BYTES = 1 << 16, 8 << 20
-#: Passes ask for so many leaves of a model at once; trees are applied anew in each pass until as many have come together that the scores are stored.
+#: Rows in a block, bytes of bins that a task is dealt at most, and parts of that which are worth a task of their own where cores are free.
+BLOCK_ROWS, TASK_BYTES, SMALL = 1 << 16, 16 << 20, 16
+#: Passes ask for so many leaves of a model at once. Scores are held for one tree's passes, and stored for good when so many trees have come together.
 WIDTH, KEPT = 16, 10
+#: Sums of up to so many tasks and models are added up by the driver, more by a tree of tasks.
+DIRECT = 24
 
 
 class Options(NamedTuple):
@@ -130,30 +132,46 @@ def _blocks(batches: Iterator[pa.RecordBatch], bins: Bins) -> Iterator[pa.Record
     for batch in batches:
         if batch.num_rows:
             rows = binned([batch.column(f"x_{c}").to_numpy() for c in bins.names], bins)
-            parts = rows, *(batch.column(c).to_numpy() for c in ("_y", "_pos", "_key", "_fold"))
-            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int32()), "wide": pa.array([rows.dtype.itemsize], pa.int32()), **{f"b{k}": [np.ascontiguousarray(p).tobytes()] for k, p in enumerate(parts)}})
+            parts = rows.T, *(batch.column(c).to_numpy() for c in ("_y", "_pos", "_key", "_fold"))
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int32()), "wide": pa.array([rows.dtype.itemsize], pa.int32()), "task": pa.array([TaskContext.get().partitionId()], pa.int32()), **{f"b{k}": [np.ascontiguousarray(p).tobytes()] for k, p in enumerate(parts)}})
 
 
 def _decoded(row) -> tuple:
+    """(bins with a row for each column, y, pos, key, fold)."""
     kind = np.uint8 if row["wide"] == 1 else np.uint16
     rows, y, pos, key, fold = (np.frombuffer(row[f"b{k}"], t) for k, t in enumerate((kind, np.int8, np.int64, np.int64, np.int16)))
-    return rows.reshape(row["n"], -1), y, pos, key.view(np.uint64), fold
-
-
-def placed(tree: Tree, rows: np.ndarray) -> np.ndarray:
-    """The node that each row comes to."""
-    node, every = np.zeros(len(rows), np.int64), np.arange(len(rows))
-    for _ in range(tree.depth):
-        node = tree.children[node, np.where(tree.left[node, rows[every, tree.feature[node]]], 0, 1)]
-    return node
+    return rows.reshape(-1, row["n"]), y, pos, key.view(np.uint64), fold
+
+
+def parted(tree: Tree, columns: np.ndarray, some: np.ndarray, leaves: list[int] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(leaf, those of the rows ``some`` that come to it), for all leaves or the given ones: each node divides its own rows only."""
+    wanted = None
+    if leaves is not None:
+        wanted = set(leaves)
+        # children come after their parents
+        for i in range(len(tree.children) - 1, -1, -1):
+            if not wanted.isdisjoint(tree.children[i].tolist()):
+                wanted.add(i)
+    going = [(0, some)]
+    while going:
+        node, at = going.pop()
+        if wanted is not None and node not in wanted:
+            continue
+        left, right = tree.children[node].tolist()
+        if left == node:
+            yield node, at
+        elif len(at):
+            side = tree.left[node][columns[tree.feature[node]][at]]
+            going += [(left, at[side]), (right, at[~side])]
 
 
 def _advanced(block: tuple, trees: list[list[Tree]]) -> tuple:
     *rest, scores = block
-    scores = scores.copy()
+    scores, every = scores.copy(), np.arange(len(block[1]))
     for k, own in enumerate(trees):
         for tree in own:
-            scores[k] += tree.value[placed(tree, block[0])]
+            for node, at in parted(tree, block[0], every):
+                scores[k, at] += tree.value[node]
     return *rest, scores
 
 
@@ -167,24 +185,31 @@ class Asked(NamedTuple):
 
 def _added(block: tuple, plans: list[Plan], trees: list[list[Tree]], asked: list[Asked | None], number: int, options: Options, starts: np.ndarray) -> list[np.ndarray | None]:
     """Counts, gradients and Hessians (3, leaves, bins of all columns) of a block, for each model."""
-    rows, y, pos, key, fold, _ = block
+    columns, y, pos, key, fold, _ = block
     scores = _advanced(block, trees)[-1]
     bag = drawn(key, options.seed, number, options.rows)
-    total, out = int(starts[-1]), []
+    out = []
     for k, ask in enumerate(asked):
         if ask is None:
             out.append(None)
             continue
         plan = plans[k]
         some = np.flatnonzero(bag & (pos <= plan.upto) & ((fold != plan.without) if plan.without is not None else True))
-        at = np.full(len(ask.tree.value), -1, np.int64)
-        at[ask.leaves] = np.arange(len(ask.leaves))
-        leaf = at[placed(ask.tree, rows[some])]
-        some, leaf = some[leaf >= 0], leaf[leaf >= 0]
-        p = 1 / (1 + np.exp(-scores[k, some]))
-        places = (leaf[:, None] * total + starts[ask.columns] + rows[some][:, ask.columns]).ravel()
-        sums = [np.bincount(places, None if w is None else np.repeat(np.rint(w * UNIT), len(ask.columns)), len(ask.leaves) * total) for w in (None, p - y[some], p * (1 - p))]
-        out.append(np.rint(np.stack(sums)).astype(np.int64).reshape(3, len(ask.leaves), total))
+        number_of = {node: i for i, node in enumerate(ask.leaves)}
+        parts = [(number_of[node], at) for node, at in parted(ask.tree, columns, some, ask.leaves)]
+        sums = np.zeros((3, len(ask.leaves), int(starts[-1])), np.int64)
+        if parts:
+            # rows of one leaf lie together, so the sums that are added to do too
+            rows = np.concatenate([at for _, at in parts])
+            leaf = np.repeat([i for i, _ in parts], [len(at) for _, at in parts])
+            p = 1 / (1 + np.exp(-scores[k, rows]))
+            weights = None, np.rint((p - y[rows]) * UNIT), np.rint(p * (1 - p) * UNIT)
+            for c in ask.columns.tolist():
+                size = int(starts[c + 1] - starts[c])
+                places = leaf * size + columns[c][rows]
+                for into, w in zip(sums, weights, strict=True):
+                    into[:, starts[c] : starts[c + 1]] = np.bincount(places, w, len(ask.leaves) * size).reshape(-1, size)
+        out.append(sums)
     return out
 
 
@@ -349,24 +374,30 @@ class Boosted(NamedTuple):
     trees: list[Tree]
 
 
-def prepared(rows: DataFrame, bins: Bins) -> DataFrame:
-    """rows(_y, _pos, _key, _fold, x_...) as a table of binned blocks, a file for as much as a task is dealt."""
-    n = rows.count()
-    tasks = max(1, -(-n * len(bins.names) // TASK_BYTES))
-    rows = rows.select(F.col("_y").cast("tinyint").alias("_y"), F.col("_pos").cast("long").alias("_pos"), F.col("_key").cast("long").alias("_key"), F.col("_fold").cast("smallint").alias("_fold"), *[f"x_{c}" for c in bins.names])
+def tasks_of(values: int, cores: int) -> int:
+    """Tasks for so many binned values: one for what one task may have, else as many as there are cores or as keep each small."""
+    return 1 if values <= TASK_BYTES else max(-(-values // TASK_BYTES), min(cores, -(-values * SMALL // TASK_BYTES)))
+
+
+def prepared(rows: DataFrame, bins: Bins) -> tuple[DataFrame, int]:
+    """rows(_y, _pos, _key, _fold, x_...) as a table of binned blocks, each with the task that it is dealt to, and how many these are."""
     spark = rows.sparkSession
+    tasks = tasks_of(rows.count() * len(bins.names), spark.sparkContext.defaultParallelism)
+    rows = rows.select(F.col("_y").cast("tinyint").alias("_y"), F.col("_pos").cast("long").alias("_pos"), F.col("_key").cast("long").alias("_key"), F.col("_fold").cast("smallint").alias("_fold"), *[f"x_{c}" for c in bins.names])
+    rows = rows.repartition(tasks) if tasks > 1 else rows.coalesce(1)
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BLOCK_ROWS))
     try:
-        return written(rows.coalesce(tasks).mapInArrow(lambda b: _blocks(b, bins), "n int, wide int, " + ", ".join(f"b{k} binary" for k in range(5))), "blocks")
+        return written(rows.mapInArrow(lambda b: _blocks(b, bins), "n int, wide int, task int, " + ", ".join(f"b{k} binary" for k in range(5))), "blocks"), tasks
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
 def grow(rows: DataFrame, bins: Bins, plans: list[Plan], options: Options) -> list[Boosted]:
     """One model for each plan, all in the same passes."""
-    table = prepared(rows, bins)
-    blocks = table.rdd.map(_decoded)
+    table, tasks = prepared(rows, bins)
+    # by the tasks that wrote them: readers may put several files into one task, or cut one where its rows do not part
+    blocks = table.rdd.map(lambda r: (r["task"], r)).partitionBy(tasks, lambda k: k).values().map(_decoded)
     starts = np.append(0, np.cumsum(bins.sizes))
 
     def counted(block: tuple) -> list[tuple[int, int]]:
@@ -383,7 +414,7 @@ def grow(rows: DataFrame, bins: Bins, plans: list[Plan], options: Options) -> li
     first = np.array(base)
     state = blocks.map(lambda b: (*b, np.repeat(first[:, None], len(b[1]), 1))).persist(StorageLevel.MEMORY_AND_DISK)
     done: list[list[Tree]] = [[] for _ in plans]
-    alone = state.getNumPartitions() == 1
+    alone = tasks == 1
     if alone and len(plans) > 1:
         # a task for each model: its own scores beside the blocks
         whole = state
@@ -397,10 +428,15 @@ def grow(rows: DataFrame, bins: Bins, plans: list[Plan], options: Options) -> li
             # a model's only task has all its sums, so it goes on from leaf to leaf and tree to tree by itself
             since = state.mapPartitionsWithIndex(lambda k, blocks, n=numbers: [_in_one_task(list(blocks), [plans[k]], n, options, bins, starts)[0]]).collect()
         else:
-            since = [[] for _ in plans]
+            since, current = [[] for _ in plans], state
             for number in numbers:
-                new = _trees(plans, bins, starts, options, number, lambda asked, k=number, s=state, t=since: _pass(s, plans, t, asked, k, options, starts))
+                new = _trees(plans, bins, starts, options, number, lambda asked, k=number, s=current: _pass(s, plans, [[] for _ in plans], asked, k, options, starts))
                 since = [[*own, tree] for own, tree in zip(since, new, strict=True)]
+                if current is not state:
+                    current.unpersist()
+                if number != numbers[-1]:
+                    # a tree's passes read scores that hold all trees before it
+                    current = _stored(state, since, False)
         if older is not state:
             older.unpersist()
         # what is stored depends on the blocks' table by as many narrow steps as scores were stored before
@@ -448,7 +484,8 @@ def _pass(state: RDD, plans: list[Plan], trees: list[list[Tree]], asked: list[As
         if held is not None:
             yield held
 
-    return state.mapPartitions(part).treeReduce(_sum)
+    sums = state.mapPartitions(part)
+    return sums.reduce(_sum) if sums.getNumPartitions() * len(plans) <= DIRECT else sums.treeReduce(_sum)
 
 
 def probabilities(models: list[Boosted], names: list[str]) -> Column:
@@ -458,11 +495,13 @@ def probabilities(models: list[Boosted], names: list[str]) -> Column:
     def scored(x: pd.DataFrame) -> pd.Series:
         out = np.zeros((len(x), len(models)))
         bins = models[0].bins
-        rows = binned([x[f"x_{c}"].to_numpy() for c in bins.names], bins)
+        columns = np.ascontiguousarray(binned([x[f"x_{c}"].to_numpy() for c in bins.names], bins).T)
+        every = np.arange(len(x))
         for k, m in enumerate(models):
-            total = np.full(len(rows), m.base)
+            total = np.full(len(x), m.base)
             for tree in m.trees:
-                total += tree.value[placed(tree, rows)]
+                for node, at in parted(tree, columns, every):
+                    total[at] += tree.value[node]
             out[:, k] = 1 / (1 + np.exp(-total))
         return pd.Series(list(out))
 

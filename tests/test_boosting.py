@@ -119,6 +119,28 @@ def test_trees_depend_on_neither_partitions_nor_neighbours(frame, bins, monkeypa
     assert len(calls) > 11 and max(calls.count(k) for k in range(11)) <= OPTIONS.leaves
 
 
+def test_passes_have_a_task_for_each_core_and_scores_of_all_trees_before(frame, bins, monkeypatch):
+    states, passes = {}, boosting._pass
+
+    def told(state, plans, trees, asked, number, *rest):
+        assert not any(trees), "trees are applied once for a tree, not in each of its passes"
+        states.setdefault(number, state)
+        if number == 3 and number not in dealt:
+            dealt[number] = state.map(lambda b: len(b[1])).glom().map(sum).collect()
+        return passes(state, plans, trees, asked, number, *rest)
+
+    dealt = {}
+    monkeypatch.setattr(boosting, "_pass", told)
+    monkeypatch.setattr(boosting, "TASK_BYTES", 2000)
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    model = boosting.grow(frame, bins, [Plan(None, EVER, [0, 1, 2, 3])], OPTIONS._replace(trees=12))[0]
+    assert len(model.trees) == 12 and sum(dealt[3]) == 700
+    # 2,800 values, 125 to a task at least: not the two tasks of up to 2,000 that they fill
+    assert len(dealt[3]) == min(cores, 23) and min(dealt[3]) > 700 / len(dealt[3]) / 2
+    assert len({id(s) for s in states.values()}) == 12
+    assert [boosting.tasks_of(n, 12) for n in (0, 2000, 2001, 2600, 40_000)] == [1, 1, 12, 12, 20]
+
+
 def test_bins_of_a_bounded_sample(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=5000)
