@@ -13,9 +13,12 @@ LOW = 33
 BLOCK = 1024
 
 
-def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """df as a table in this order, with _pos: it grows along the order, and its bits from LOW on are the range's number. Equal rows may be in any order."""
-    return written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_pos", F.monotonically_increasing_id()), name)
+def ranked(df: DataFrame, order: list[Column], name: str, parts: int | None = None) -> DataFrame:
+    """df as a table in this order, with _pos: it grows along the order, and its bits from LOW on are the range's number. Equal rows may be in any order.
+
+    parts: how many ranges; by default their number follows from the bytes.
+    """
+    return written(df.repartitionByRange(*([parts] if parts else []), *order).sortWithinPartitions(*order).withColumn("_pos", F.monotonically_increasing_id()), name)
 
 
 def edges(table: DataFrame, shares: dict[str, tuple[str | None, float]], group: str | None = None) -> dict[str, int]:

@@ -200,3 +200,30 @@ def test_nth_and_top_share_without_a_sort(spark, monkeypatch):
     low = sorted(r[0] for r in rows[:-1])
     cuts = [low[int(q * 5999 + 0.5)] for q in (0.995, 0.98)]
     assert sorted(map(tuple, got), key=str) == sorted(((*r, sum(r[0] < c for c in cuts)) for r in order[:480]), key=str)
+
+
+def test_bootstrap_deals_rows_by_work_and_looks_counts_up(spark, monkeypatch):
+    import numpy as np
+
+    cores, seen = spark.sparkContext.defaultParallelism, {}
+    told = resampling.precisions
+    monkeypatch.setattr(resampling, "precisions", lambda table, *a: seen.setdefault(len(seen), table.select("_pos").where("_pos & 8589934591 = 0").count()) and told(table, *a))
+    monkeypatch.setattr(resampling, "LEAST", 150)
+    df = spark.range(3000).selectExpr("id", "cast(id % 9 = 0 as int) as y", "id * 37 % 1009 / 1009 as p", "id * 31 % 97 / 97 as p_base")
+    assert metrics.paired_bootstrap(df, "id", draws=2).first().draws == 2
+    # 3,000 rows are few bytes: they were one range, and one task's
+    assert set(seen.values()) == {min(cores, 20)}
+    assert [resampling.ranges_of(n, 12) for n in (0, 1024, 5000, 200_000, 1_200_000, 1 << 40)] == [1, 7, 12, 12, 37, 2000]
+    # each count is the first k whose running chance reaches u
+    rng = np.random.default_rng(4)
+    for n, p in ((rng.integers(0, 30, (50, 40)), 0.5), (rng.integers(0, 2_000_000, (3, 5)), 3 / 7), (np.full((2, 9), 1000), 0.01)):
+        u = rng.random(n.shape)
+        got = resampling.binomials(n.astype(float), np.full((len(n), 1), p), u)
+        for k, size, v in zip(got.ravel(), n.ravel().tolist(), u.ravel().tolist(), strict=True):
+            low = max(0, math.floor(size * p - 9 * math.sqrt(size * p * (1 - p)) - 10))
+            chance = math.exp(math.lgamma(size + 1) - math.lgamma(low + 1) - math.lgamma(size - low + 1) + low * math.log(p) + (size - low) * math.log(1 - p))
+            total = chance
+            while total < v and low < size:
+                chance *= (size - low) / (low + 1) * (p / (1 - p))
+                low, total = low + 1, total + chance
+            assert k == low
