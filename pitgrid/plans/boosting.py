@@ -13,7 +13,6 @@ that are grown beside them.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -233,38 +232,47 @@ def best_split(sums: np.ndarray, whole: np.ndarray, columns: np.ndarray, bins: B
     sizes = np.array([bins.sizes[c] for c in columns])
     width = int(sizes.max())
     inside = np.arange(1, width) < sizes[:, None]
-    table = np.where(inside, starts[columns][:, None] + np.arange(1, width), 0)
-    count, grad, hess = (np.where(inside, s[table], 0) for s in sums)
-    nominal = np.array([bins.edges[c] is None for c in columns])
-    order = np.tile(np.arange(width - 1), (len(columns), 1))
-    if nominal.any():
+    known = sums[:, np.where(inside, starts[columns][:, None] + np.arange(1, width), 0)] * inside
+    nominal = np.flatnonzero([bins.edges[c] is None for c in columns])
+    l2 = np.full(len(columns), options.l2)
+    l2[nominal] += options.category_l2
+    levels, order = known[:, nominal], np.zeros((len(nominal), width - 1), np.int64)
+    if len(nominal):
+        count, grad, hess = levels
         with np.errstate(invalid="ignore", divide="ignore"):
             ratio = np.where(count > 0, (grad / UNIT) / (hess / UNIT + options.category_smooth), np.inf)
-        order[nominal] = np.argsort(ratio[nominal], axis=1, kind="stable")
-    run = [np.cumsum(np.take_along_axis(x, order, 1), 1) for x in (count, grad, hess)]
-    lost = [s[starts[columns]][:, None] for s in sums]
-    l2 = np.where(nominal, options.l2 + options.category_l2, options.l2)[:, None, None]
-    # missing to the right, missing to the left
-    n, g, h = (np.stack([a, a + b], 2) for a, b in zip(run, lost, strict=True))
-    rest = [w - x for w, x in zip(whole, (n, g, h), strict=True)]
-    value = lambda a, b: (a / UNIT) ** 2 / (b / UNIT + l2)
-    whole_value = (whole[1] / UNIT) ** 2 / (whole[2] / UNIT + options.l2)
-    fits = (n >= options.leaf) & (rest[0] >= options.leaf) & (np.minimum(h, rest[2]) >= options.least_hessian * UNIT)
-    fits[:, :, 1] &= lost[0] > 0
-    with np.errstate(invalid="ignore", divide="ignore"):
-        gain = np.where(fits, value(g, h) + value(rest[1], rest[2]) - whole_value, -np.inf)
-    at = int(gain.argmax())
-    f, place, to_left = np.unravel_index(at, gain.shape)
-    if not gain[f, place, to_left] > 1e-12:
+        order = np.argsort(ratio, axis=1, kind="stable")
+        known[:, nominal] = np.take_along_axis(levels, order[None], 2)
+    run = np.cumsum(known, 2)
+    lost = sums[:, starts[columns]]
+    value = lambda a, b, more: (a / UNIT) ** 2 / (b / UNIT + more)
+    whole_value = value(whole[1], whole[2], options.l2)
+    found = []
+    # missing to the right, missing to the left where there are any
+    for to_left, some in ((0, np.arange(len(columns))), (1, np.flatnonzero(lost[0] > 0))):
+        n, g, h = run[:, some] + lost[:, some, None] if to_left else run
+        least = options.least_hessian * UNIT
+        at = np.flatnonzero((n >= options.leaf) & (n <= whole[0] - options.leaf) & (h >= least) & (h <= whole[2] - least))
+        if len(at):
+            n, g, h, more = n.ravel()[at], g.ravel()[at], h.ravel()[at], l2[some[at // (width - 1)]]
+            gain = value(g, h, more) + value(whole[1] - g, whole[2] - h, more) - whole_value
+            k = int(gain.argmax())
+            found.append((-float(gain[k]), int(some[at[k] // (width - 1)]), int(at[k] % (width - 1)), to_left, np.array([n[k], g[k], h[k]], np.int64)))
+    if not found:
+        return None
+    loss, f, place, to_left, sides = min(found, key=lambda x: x[:4])
+    if not -loss > 1e-12:
         return None
     left = np.zeros(int(max(bins.sizes)), bool)
-    left[order[f, : place + 1] + 1] = True
-    sides = np.array([x[f, place, to_left] for x in (n, g, h)], np.int64)
-    default = bool(to_left) if lost[0][f, 0] > 0 else bool(sides[0] > whole[0] - sides[0])
-    if nominal[f]:
-        left[1:width][count[f] == 0] = default
+    default = bool(to_left) if lost[0][f] > 0 else bool(sides[0] > whole[0] - sides[0])
+    if f in nominal:
+        own = int(np.flatnonzero(nominal == f)[0])
+        left[order[own, : place + 1] + 1] = True
+        left[1:width][levels[0, own] == 0] = default
+    else:
+        left[1 : place + 2] = True
     left[0] = default
-    return Split(float(gain[f, place, to_left]), int(columns[f]), left, sides)
+    return Split(-loss, int(columns[f]), left, sides)
 
 
 class Node:
@@ -461,15 +469,41 @@ def _trees(plans: list[Plan], bins: Bins, starts: np.ndarray, options: Options,
 
 def _in_one_task(blocks: list[tuple], plans: list[Plan], numbers: range, options: Options, bins: Bins, starts: np.ndarray) -> list[list[Tree]]:
     out: list[list[Tree]] = [[] for _ in plans]
-    none: list[list[Tree]] = [[] for _ in plans]
+    if not blocks:
+        return out
+    block = tuple(np.concatenate(parts, axis=-1) for parts in zip(*blocks, strict=True))
     for number in numbers:
-        new = _trees(plans, bins, starts, options, number, lambda asked, k=number: reduce(_sum, (_added(b, plans, none, asked, k, options, starts) for b in blocks)))
-        blocks = [_advanced(b, [[tree] for tree in new]) for b in blocks]
+        new = [_grown(block, k, plan, options, bins, starts, number) for k, plan in enumerate(plans)]
+        block = _advanced(block, [[tree] for tree in new])
         for own, tree in zip(out, new, strict=True):
             own.append(tree)
     return out
 
 
+def _grown(block: tuple, k: int, plan: Plan, options: Options, bins: Bins, starts: np.ndarray, number: int) -> Tree:
+    """The next tree of model k, by a task that has all rows: gradients are worked out once for it, and rows stay with their leaves."""
+    columns, y, pos, key, fold, scores = block
+    some = np.flatnonzero(drawn(key, options.seed, number, options.rows) & (pos <= plan.upto) & ((fold != plan.without) if plan.without is not None else True))
+    p = 1 / (1 + np.exp(-scores[k]))
+    g, h = np.rint((p - y) * UNIT), np.rint(p * (1 - p) * UNIT)
+    growing, at = Growing(options, columns_of(plan, options, number), bins, starts), {0: some}
+    while leaves := [i for i, _ in growing.waiting] if growing.nodes else [0]:
+        for i in [i for i in at if growing.nodes and growing.nodes[i].children]:
+            rows, node = at.pop(i), growing.nodes[i]
+            side = node.split.left[columns[node.split.feature][rows]]
+            at[node.children[0]], at[node.children[1]] = rows[side], rows[~side]
+        sums = np.zeros((3, len(leaves), int(starts[-1])), np.int64)
+        for i, leaf in enumerate(leaves):
+            rows = at[leaf]
+            weights = None, g[rows], h[rows]
+            for c in growing.columns.tolist():
+                places = columns[c][rows].astype(np.int64)
+                for into, w in zip(sums, weights, strict=True):
+                    into[i, starts[c] : starts[c + 1]] = np.bincount(places, w, int(starts[c + 1] - starts[c]))
+        growing.take(sums)
+    return growing.tree(set(growing.chosen))
+
+
 def _stored(state: RDD, trees: list[list[Tree]], alone: bool) -> RDD:
     """The blocks with the new trees' scores; alone: each partition is one model's."""
     return state.mapPartitionsWithIndex(lambda k, blocks: (_advanced(b, [trees[k]] if alone else trees) for b in blocks)).persist(StorageLevel.MEMORY_AND_DISK)

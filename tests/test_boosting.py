@@ -174,3 +174,23 @@ def test_unseen_levels_count_as_missing_and_absent_columns_are_told(spark, caplo
     probe = spark.createDataFrame([("x", a, 3.0) for a in (None, "ZZ")], "national_fire_id string, agency_code string, size_at_decision double")
     a, b = (r.risk_raw for r in models.score(probe, model).orderBy(F.col("agency_code").isNull()).collect())
     assert a == b
+
+
+def test_one_task_reads_a_leafs_rows_from_its_parent(frame, bins, monkeypatch):
+    """Rows went from the root to their leaves in each pass; a tree of one task counts them once a level, and goes by whole trees for scores only."""
+    rows, walked = data(), []
+    x = boosting.binned([np.array([r[4 + k] for r in rows]) for k in range(4)], bins).T
+    y, key, pos, fold = (np.array([r[k] for r in rows], t) for k, t in ((1, np.int8), (3, np.uint64), (0, np.int64), (2, np.int16)))
+    plans = [Plan(None, EVER, [0, 1, 2, 3]), Plan(2, 499, [0, 1, 3])]
+    cut = [(x[:, s], y[s], pos[s], key[s], fold[s], np.zeros((2, len(y[s])))) for s in (slice(0, 300), slice(300, 700))]
+    parted = boosting.parted
+    monkeypatch.setattr(boosting, "parted", lambda tree, *a: walked.append(len(tree.children)) or parted(tree, *a))
+    starts = np.append(0, np.cumsum(bins.sizes))
+    got = boosting._in_one_task(cut, plans, range(3), OPTIONS, bins, starts)
+    assert len(walked) == 6 and [len(t.value) for own in got for t in own] == [2 * OPTIONS.leaves - 1] * 6
+    # the passes' own sums
+    none, whole = [[], []], tuple(np.concatenate(p, axis=-1) for p in zip(*cut, strict=True))
+    for number in range(3):
+        want = boosting._trees(plans, bins, starts, OPTIONS, number, lambda asked, k=number, w=whole: boosting._added(w, plans, none, asked, k, OPTIONS, starts))
+        assert all(np.array_equal(a, b) for own, tree in zip(got, want, strict=True) for a, b in zip(own[number], tree, strict=True))
+        whole = boosting._advanced(whole, [[t] for t in want])
